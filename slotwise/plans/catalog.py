@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from slotwise.plans import base_queries  # noqa: F401
+from slotwise.plans import base_queries, feed_queries  # noqa: F401
 from slotwise.plans.registry import QUERIES  # noqa: F401
