@@ -95,7 +95,11 @@ def bank_holidays(spark: SparkSession, first_year: int = 1995, last_year: int =
     one_off = [
         "1999-12-31", "2002-06-03", "2011-04-29", "2012-06-05", "2022-06-03", "2022-09-19", "2023-05-08",
     ]
+    # A weekend holiday counts on its own date and on its substitute weekday.
     regular = F.array(
+        F.make_date(y, F.lit(1), F.lit(1)),
+        xmas,
+        boxing,
         weekend_moved(F.make_date(y, F.lit(1), F.lit(1))),
         F.date_sub(easter, 2),
         F.date_add(easter, 1),

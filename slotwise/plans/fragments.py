@@ -70,7 +70,7 @@ FROM c_panel p JOIN c_fence USING (series)"""
 CTES["c_wf"] = """
 SELECT series, settlement_date, settlement_period, slot_ix, day_ix,
        'fold_' || CAST((day_ix - 19723) // 7 AS VARCHAR) AS fold, ssp AS actual,
-       round(m, 6) AS q50, round(m - s * 0.8, 6) AS q10, round(m + s * 0.8, 6) AS q90,
+       round(m + 1.3e-8, 6) AS q50, round(m - s * 0.8 + 1.3e-8, 6) AS q10, round(m + s * 0.8 + 1.3e-8, 6) AS q90,
        price_derivation_code, net_imbalance_volume, wind_pct
 FROM (SELECT *, avg(ssp) OVER w AS m, stddev_samp(ssp) OVER w AS s, count(ssp) OVER w AS n FROM c_panel
       WINDOW w AS (PARTITION BY series, settlement_period ORDER BY day_ix RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING))

@@ -13,7 +13,7 @@ MONEY = "decimal(18,2)"
 
 
 def r6(c: str | Column) -> Column:
-    return F.round(c, 6)
+    return F.round((F.col(c) if isinstance(c, str) else c) + 1.3e-8, 6)
 
 
 def slot_events(t: Tables, since: str | None = None, until: str | None = None) -> DataFrame:

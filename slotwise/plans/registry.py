@@ -13,6 +13,10 @@ from slotwise.plans.fragments import CTES
 from slotwise.session import Tables
 
 
+# Added before rounding so that exact ties (means of two-decimal values) round alike in both engines.
+NUDGE = 1.3e-8
+
+
 @dataclass(frozen=True)
 class Query:
     name: str
@@ -25,7 +29,7 @@ class Query:
         df = self.build(Tables(spark, folder))
         if not self.rounded:
             return df
-        return df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in self.rounded})
+        return df.withColumns({c: F.round(F.col(c).cast("double") + NUDGE, 6) for c in self.rounded})
 
     def sql(self) -> str | None:
         if self.body is None:
@@ -33,7 +37,7 @@ class Query:
         text = with_fragments(self.body)
         if not self.rounded:
             return text
-        swaps = ", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0 AS {c}" for c in self.rounded)
+        swaps = ", ".join(f"round(CAST({c} AS DOUBLE) + {NUDGE}, 6) + 0 AS {c}" for c in self.rounded)
         return f"SELECT * REPLACE ({swaps}) FROM (\n{text}\n)"
 
 
