@@ -98,3 +98,28 @@ FROM (SELECT CAST(l_shipdate AS DATE) AS settlement_date, CAST(l_suppkey % 48 +
 
 CTES["c_level"] = """
 SELECT series, settlement_date, day_ix, count(*) AS n_slots, avg(ssp) AS ssp_mean FROM c_panel GROUP BY 1, 2, 3"""
+
+CTES["c_wf3"] = """
+SELECT series, settlement_date, settlement_period, slot_ix, day_ix,
+       round(m + 1.3e-8, 6) AS q50, round(m - s * 1.2 + 1.3e-8, 6) AS q10, round(m + s * 1.2 + 1.3e-8, 6) AS q90
+FROM (SELECT *, avg(ssp) OVER w AS m, stddev_samp(ssp) OVER w AS s, count(ssp) OVER w AS n FROM c_panel
+      WINDOW w AS (PARTITION BY series, settlement_period ORDER BY day_ix RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING))
+WHERE n >= 2"""
+
+CTES["c_delta"] = """
+SELECT settlement_period, greatest(quantile_cont(greatest(q10 - actual, actual - q90), 0.8), 0) AS delta FROM c_wf GROUP BY 1"""
+
+CTES["c_cal"] = """
+SELECT w.*, delta, q10 - delta AS lo, q90 + delta AS hi FROM c_wf w JOIN c_delta USING (settlement_period)"""
+
+CTES["c_risk"] = """
+SELECT d.series, d.settlement_date, CAST(coalesce(p.elevated, 0) AS BIGINT) AS elevated_count_lag1d,
+       coalesce(p.wind, 100) AS wind_pct_lag1d,
+       coalesce(p.elevated, 0) >= 5 OR (coalesce(p.wind, 100) < 10 AND month(d.settlement_date) IN (3, 4, 5, 9, 10, 11)) AS spike_risk_flag
+FROM (SELECT DISTINCT series, settlement_date, day_ix FROM c_panel) d
+LEFT JOIN (SELECT series, day_ix + 1 AS day_ix, sum(CASE WHEN ssp > 120 THEN 1 ELSE 0 END) AS elevated, avg(wind_pct) AS wind
+           FROM c_panel GROUP BY 1, 2) p ON p.series = d.series AND p.day_ix = d.day_ix"""
+
+CTES["c_wfr"] = """
+SELECT w.*, coalesce(r.spike_risk_flag, FALSE) AS spike_risk_flag, r.elevated_count_lag1d
+FROM c_wf w LEFT JOIN c_risk r USING (series, settlement_date)"""

@@ -135,3 +135,25 @@ def long_panel(t: Tables) -> DataFrame:
     )
     return g.select(F.lit("all").alias("series"), "*", day_index().alias("day_ix"),
                     (day_index() * 48 + F.col("settlement_period") - 1).alias("slot_ix"))
+
+
+def short_forecasts(t: Tables, days: int = 3) -> DataFrame:
+    """A rival forecast from a shorter memory (the second model, the shadow run)."""
+    f = frames_by(["series", "settlement_period"], "day_ix")
+    d = panel(t).withColumns({
+        "_m": f.rolling("ssp", days, "mean"), "_s": f.rolling("ssp", days, "std"), "_n": f.rolling("ssp", days, "count"),
+    }).where("_n >= 2")
+    return d.select(
+        "series", "settlement_date", "settlement_period", "slot_ix", "day_ix",
+        r6("_m").alias("q50"), r6(F.col("_m") - F.col("_s") * 1.2).alias("q10"), r6(F.col("_m") + F.col("_s") * 1.2).alias("q90"))
+
+
+def risk_flags(t: Tables) -> DataFrame:
+    from slotwise.operators.joins import risk_days
+    return risk_days(panel(t))
+
+
+def flagged_forecasts(t: Tables) -> DataFrame:
+    flags = risk_flags(t).select("series", "settlement_date", "spike_risk_flag", "elevated_count_lag1d")
+    return forecasts(t).join(flags, ["series", "settlement_date"], "left").withColumn(
+        "spike_risk_flag", F.coalesce("spike_risk_flag", F.lit(False)))
