@@ -82,8 +82,7 @@ def as_of(targets: DataFrame, publications: DataFrame, key: Sequence[str], targe
 
 def latest_run(df: DataFrame, published: str) -> DataFrame:
     """Rows of the most recent publication."""
-    top = df.agg(F.max(published).alias(published))
-    return df.join(F.broadcast(top), published, "left_semi")
+    return df.where(F.col(published) == df.agg(F.max(published)).scalar())
 
 
 def with_code(df: DataFrame, prices: DataFrame, default: str = "N") -> DataFrame:

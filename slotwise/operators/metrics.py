@@ -75,7 +75,7 @@ def coverage_wilson(df: DataFrame, keys: Sequence[str], y="actual", lo="q10", hi
 def winsorised_residual(df: DataFrame, keys: Sequence[str], tail: float = 0.05) -> DataFrame:
     r = df.select(*keys, (F.col("actual") - F.col("q50")).alias("e")).where("e IS NOT NULL")
     q = exact_quantiles(r, keys, "e", {"lo": tail, "hi": 1 - tail, "median": 0.5})
-    joined = r.join(q, list(keys)) if keys else r.join(F.broadcast(q))
+    joined = r.join(q, list(keys)) if keys else r.withColumn("_q", q.select(F.struct("*")).scalar()).select("e", "_q.*")
     return joined.groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg(F.least(F.greatest("e", "lo"), "hi")).alias("win_mean"),
         F.first("median").alias("median"))
@@ -161,9 +161,9 @@ def leave_one_out_bias(df: DataFrame, fold: str = "fold") -> DataFrame:
     fold table), then one exact percentile per (fold, slot): a group holds one
     value per forecast day.
     """
-    folds = df.select(F.col(fold).alias("_for")).distinct().agg(F.array_sort(F.collect_list("_for")).alias("_folds"))
+    folds = df.select(fold).distinct().agg(F.collect_list(fold)).scalar()
     r = df.select(fold, "settlement_period", (F.col("actual") - F.col("q50")).alias("e"))
-    spread = r.join(F.broadcast(folds)).withColumn("_for", F.explode("_folds")).where(F.col("_for") != F.col(fold))
+    spread = r.withColumn("_for", F.explode(folds)).where(F.col("_for") != F.col(fold))
     return spread.groupBy(F.col("_for").alias(fold), "settlement_period").agg(
         F.percentile("e", F.lit(0.5)).alias("median_bias"), F.count("*").alias("n"))
 

@@ -48,9 +48,9 @@ def score_bands(resid: DataFrame, bands: DataFrame, gate: tuple[float, float] =
 
 def keep_or_replace(old: DataFrame, new: DataFrame, check: DataFrame) -> DataFrame:
     """New bands only if every horizon's overall band passed its gate, else the old ones stay."""
-    ok = check.where("regime = 'overall'").agg(F.min(F.col("pass").cast("int")).alias("_ok"))
+    ok = check.where("regime = 'overall'").agg(F.min(F.col("pass").cast("int"))).scalar()
     a = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    return a.join(F.broadcast(ok)).where(F.col("_new") == F.coalesce("_ok", F.lit(0))).drop("_new", "_ok")
+    return a.where(F.col("_new") == F.coalesce(ok, F.lit(0))).drop("_new")
 
 
 def nowcast(latest: DataFrame, bands: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:

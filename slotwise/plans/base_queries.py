@@ -171,9 +171,8 @@ CROSS JOIN (SELECT max_by(cpi_index, year_month) AS latest FROM c_cpi) l""")
 def deflated_target(t: Tables):
     """Target in latest-month money, and its asinh(y / 50) form."""
     c = I.cpi(t)
-    latest = c.agg(F.max_by("cpi_index", "year_month").alias("_latest"))
-    # One aggregate row against a month table of a few hundred rows.
-    factor = c.join(F.broadcast(latest)).select("year_month", (F.col("_latest") / F.col("cpi_index")).alias("cpi_deflator"))
+    latest = c.agg(F.max_by("cpi_index", "year_month")).scalar()
+    factor = c.select("year_month", (latest / F.col("cpi_index")).alias("cpi_deflator"))
     p = I.panel(t).withColumn("year_month", F.trunc("settlement_date", "month"))
     real = F.col("ssp") * F.col("cpi_deflator")
     return p.join(F.broadcast(factor), "year_month").select(

@@ -126,8 +126,7 @@ SELECT settlement_date, avg(abs(actual - a50)) AS mae_main, avg(abs(actual - b50
 FROM m WHERE day_ix > (SELECT max(day_ix) FROM m) - 30 GROUP BY 1""")
 def models_by_day(t: Tables):
     m = model_table(t)
-    last = m.agg(F.max("day_ix").alias("_last"))
-    d = m.join(F.broadcast(last)).where(F.col("day_ix") > F.col("_last") - 30)
+    d = m.where(F.col("day_ix") > I.panel(t).agg(F.max("day_ix")).scalar() - 30)
     return d.groupBy("settlement_date").agg(
         S.mae("actual", "a50").alias("mae_main"), S.mae("actual", "b50").alias("mae_rival"),
         S.mae("actual", "pers").alias("mae_persistence"), _pin("a10", "a90").alias("pinball_main"),
@@ -143,8 +142,8 @@ def headline_models(t: Tables):
     """Headline errors switch to live days once a week of them has settled."""
     d = model_table(t).groupBy("settlement_date", (F.col("settlement_date") >= F.lit("2024-01-18").cast("date")).alias("live")).agg(
         S.mae("actual", "a50").alias("x"), S.mae("actual", "b50").alias("z"))
-    c = d.agg((F.count_if("live") >= 7).alias("use_live"))
-    return d.join(F.broadcast(c)).where(~F.col("use_live") | F.col("live")).agg(
+    c = d.agg(F.count_if("live") >= 7).scalar()
+    return d.withColumn("use_live", c).where(~F.col("use_live") | F.col("live")).agg(
         F.max(F.col("use_live").cast("int")).alias("live_only"), F.count("*").alias("n_days"),
         F.avg("x").alias("mae_main"), F.avg("z").alias("mae_rival"))
 
@@ -197,7 +196,7 @@ def slot_parameter_with_default(t: Tables):
     """Slots without an own parameter fall back to the global one."""
     f = I.forecasts(t)
     delta = CB.conformal_delta(f, ["settlement_period"]).where("settlement_period <= 40")
-    return CB.widen(f.join(F.broadcast(CB.global_delta(f))), delta, default=F.col("delta_global")).select(*KEY, "delta")
+    return CB.widen(f, delta, default=CB.global_delta(f).scalar()).select(*KEY, "delta")
 
 
 @query("C17 C18", sql="""
@@ -205,9 +204,8 @@ SELECT count(*) FILTER (WHERE spike_risk_flag) AS n_risk, count(*) FILTER (WHERE
 def semi_and_anti_days(t: Tables):
     f = I.forecasts(t)
     days = I.risk_flags(t).where("spike_risk_flag").select("settlement_date")
-    a = f.join(days, "settlement_date", "left_semi").agg(F.count("*").alias("n_risk"))
-    b = f.join(days, "settlement_date", "left_anti").agg(F.count("*").alias("n_other"))
-    return a.join(F.broadcast(b))
+    other = f.join(days, "settlement_date", "left_anti").agg(F.count("*")).scalar()
+    return f.join(days, "settlement_date", "left_semi").agg(F.count("*").alias("n_risk")).withColumn("n_other", other)
 
 
 @query("C19", rnd="price", sql="""
