@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +57,376 @@ def wind_share(grid: DataFrame, keys: Sequence[str] = ("series", "settlement_dat
     d = interpolate_in_day(d, keys, "settlement_period", "tsdf_fc_mw", "_t")
     share = F.when(F.col("_t").isNull(), F.col("_w") / WIND_CAPACITY_MW * 100).when(F.col("_t") > 0, F.col("_w") / F.col("_t") * 100)
     return d.withColumn("wind_pct", share).drop("_w", "_t")
+
+
+# -- linear fits from sufficient statistics ---------------------------------------
+def grouped_least_squares(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, weight: str | None = None,
+                          ridge: float = 1e-9) -> DataFrame:
+    """Weighted least squares of many groups in one job.
+
+    The cross products are plain sums, combined map-side, so a group of any
+    size costs one row per task; only the (features + 1)^2 matrix of a group
+    is solved in Python. Result: (keys, beta) with the intercept first.
+    """
+    w = F.col(weight) if weight else F.lit(1.0)
+    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in features]]
+    k = len(cols)
+    ok = df.dropna(subset=[label, *features])
+    gram = [F.sum(w * cols[i] * cols[j]) for i in range(k) for j in range(i, k)]
+    rhs = [F.sum(w * c * F.col(label)) for c in cols]
+    g = ok.groupBy(*keys).agg(F.array(*gram).alias("_g"), F.array(*rhs).alias("_r"), F.count("*").alias("n_train"))
+
+    @F.pandas_udf("array<double>")
+    def solve(gs: pd.Series, rs: pd.Series) -> pd.Series:
+        at = np.triu_indices(k)
+        out = []
+        for a, r in zip(gs, rs):
+            m = np.zeros((k, k))
+            m[at] = a
+            m = m + np.triu(m, 1).T
+            out.append(np.linalg.solve(m + ridge * np.trace(m) / k * np.eye(k), np.asarray(r)))
+        return pd.Series(out)
+
+    return g.select(*keys, "n_train", solve("_g", "_r").alias("beta"))
+
+
+def linear_predict(features: Sequence[str], beta: str = "beta"):
+    out = F.element_at(beta, 1)
+    for i, c in enumerate(features):
+        out = out + F.element_at(beta, i + 2) * F.col(c)
+    return out
+
+
+def level_sweep(daily: DataFrame, features: Sequence[str], label: str, configs: Sequence[tuple[int | None, int | None, str]],
+                fold_starts: Sequence[str], fold_days: int = 14, gap_days: int = 2, scale: float = 50.0,
+                min_train: int = 120) -> DataFrame:
+    """Training-window x half-life x transform sweep over walk-forward folds, scored per configuration.
+
+    Every (configuration, fold) is a group of one grouped fit. P10 / P90 come
+    from the training residuals of the group.
+    """
+    spark = daily.sparkSession
+    grid = [(i, w or 99, h or 0, tr, f) for i, (w, h, tr) in enumerate(configs) for f in fold_starts]
+    plan = spark.createDataFrame(grid, "config INT, window_months INT, half_life INT, transform STRING, fold_start STRING").withColumn(
+        "fold_start", F.to_date("fold_start"))
+    cells = plan.agg(F.collect_list(F.struct("*"))).scalar()
+    d = daily.select("settlement_date", label, *features).dropna(subset=[label, *features])
+    d = d.withColumn("_c", F.explode(cells)).select("settlement_date", label, *features, "_c.*")
+    date, fs = F.col("settlement_date"), F.col("fold_start")
+    train = d.where((date < F.date_sub(fs, gap_days)) & ((F.col("window_months") == 99) | (date >= F.add_months(fs, -F.col("window_months")))))
+    test = d.where((date >= fs) & (date < F.date_add(fs, fold_days)))
+    y = F.when(F.col("transform") == "asinh", F.asinh(F.col(label) / scale)).otherwise(F.col(label))
+    weight = F.when(F.col("half_life") > 0, F.pow(F.lit(0.5), F.datediff(fs, date) / F.nullif(F.col("half_life"), F.lit(0)))).otherwise(1.0)
+    keys = ["config", "fold_start"]
+    train = train.withColumns({"_y": y, "_w": weight})
+    fit = grouped_least_squares(train, keys, features, "_y", "_w").where(F.col("n_train") >= min_train)
+
+    def predict(rows):
+        z = linear_predict(features)
+        return rows.join(F.broadcast(fit), keys).withColumn(
+            "pred", F.when(F.col("transform") == "asinh", F.sinh(z) * scale).otherwise(z))
+
+    resid = predict(train).select(*keys, (F.col(label) - F.col("pred")).alias("_e"))
+    band = exact_quantiles(resid, keys, "_e", {"r10": 0.1, "r90": 0.9})
+    t = predict(test).join(F.broadcast(band), keys).withColumns({"lo": F.col("pred") + F.col("r10"), "hi": F.col("pred") + F.col("r90")})
+    err = F.col(label) - F.col("pred")
+
+    def pin(c, q):
+        e = F.col(label) - F.col(c)
+        return F.avg(F.greatest(e * q, e * (q - 1)))
+
+    return t.groupBy("config", "window_months", "half_life", "transform").agg(
+        F.count_distinct("fold_start").alias("n_folds"), F.count("*").alias("n_days"), F.avg(F.abs(err)).alias("mae"),
+        F.avg(-err).alias("bias"), ((pin("lo", 0.1) + pin("hi", 0.9)) / 2).alias("pinball"),
+        F.avg(F.when((F.col(label) >= F.col("lo")) & (F.col(label) <= F.col("hi")), 1.0).otherwise(0.0)).alias("coverage"))
+
+
+# -- MLlib models -----------------------------------------------------------------
+def assemble(df: DataFrame, features: Sequence[str], fit_on: DataFrame | None = None):
+    """Median-imputed features plus missing flags as one vector (trees in MLlib do not route missing values)."""
+    from pyspark.ml.feature import Imputer, VectorAssembler
+    flags = {f"{c}__na": F.col(c).isNull().cast("double") for c in features}
+    src = df.withColumns({c: F.col(c).cast("double") for c in features})
+    base = (fit_on if fit_on is not None else df).withColumns({c: F.col(c).cast("double") for c in features})
+    imp = Imputer(inputCols=list(features), outputCols=[f"{c}__i" for c in features], strategy="median").fit(base)
+    va = VectorAssembler(inputCols=[*[f"{c}__i" for c in features], *flags], outputCol="features")
+    return va.transform(imp.transform(src.withColumns(flags)))
+
+
+def quantile_forest(train: DataFrame, score: DataFrame, features: Sequence[str], label: str, keys: Sequence[str] = (),
+                    rounds: int = 20, depth: int = 4, seed: int = 42) -> DataFrame:
+    """Boosted median with P10 / P90 from training residual quantiles per key; missing quantile fits have no MLlib twin."""
+    from pyspark.ml.regression import GBTRegressor
+    tr = assemble(train.dropna(subset=[label]), features)
+    m = GBTRegressor(labelCol=label, featuresCol="features", lossType="absolute", maxIter=rounds, maxDepth=depth, seed=seed).fit(tr)
+    resid = m.transform(tr).select(*keys, (F.col(label) - F.col("prediction")).alias("_e"))
+    q = exact_quantiles(resid, keys, "_e", {"_r10": 0.1, "_r90": 0.9})
+    out = m.transform(assemble(score, features, train)).drop("features", *[f"{c}__i" for c in features], *[f"{c}__na" for c in features])
+    out = out.join(q, list(keys), "left") if keys else out.withColumn("_q", q.select(F.struct("*")).scalar()).select("*", "_q.*").drop("_q")
+    return out.withColumns({"q50": F.col("prediction"), "q10": F.least(F.col("prediction") + F.col("_r10"), "prediction"),
+                            "q90": F.greatest(F.col("prediction") + F.col("_r90"), "prediction")}).drop("prediction", "_r10", "_r90")
+
+
+def two_stage(level: DataFrame, shape: DataFrame, keys: Sequence[str] = ("series", "settlement_date")) -> DataFrame:
+    """Slot quantiles = ordered daily level quantiles + the slot's predicted deviation."""
+    lv = level.select(*keys, F.least("q10", "q50").alias("l10"), F.col("q50").alias("l50"), F.greatest("q90", "q50").alias("l90"))
+    j = shape.join(lv, list(keys))
+    return j.withColumns({f"q{q}": F.col(f"l{q}") + F.col("deviation") for q in (10, 50, 90)}).drop("l10", "l50", "l90")
+
+
+def day_probability(train: DataFrame, score: DataFrame, features: Sequence[str], label: str, out: str) -> DataFrame:
+    """Balanced logistic score of a day class as a feature column."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import vector_to_array
+    tr = balanced(assemble(train.dropna(subset=[label]), features), label)
+    pipe = Pipeline(stages=[
+        StandardScaler(inputCol="features", outputCol="z", withMean=True, withStd=True),
+        LogisticRegression(featuresCol="z", labelCol=label, weightCol="_w", regParam=0.01, maxIter=100)]).fit(tr)
+    res = pipe.transform(assemble(score, features, train))
+    return res.withColumn(out, vector_to_array("probability")[1]).select(*score.columns, out)
+
+
+def balanced(df: DataFrame, label: str) -> DataFrame:
+    """Class weights n / (2 n_class)."""
+    n = df.agg(F.struct(F.count("*").alias("n"), F.sum(label).alias("k"))).scalar()
+    d = df.withColumn("_n", n)
+    mine = F.when(F.col(label) == 1, F.col("_n.k")).otherwise(F.col("_n.n") - F.col("_n.k"))
+    return d.withColumn("_w", F.col("_n.n") / (2.0 * F.greatest(mine, F.lit(1)))).drop("_n")
+
+
+def calibrated_spike_scores(df: DataFrame, key: Sequence[str], features: Sequence[str], label: str, folds: int = 5) -> DataFrame:
+    """Out-of-fold logistic scores, mapped to probabilities by an isotonic fit on the other folds' scores.
+
+    The fold of a row is a hash of its key, so it is stable under re-runs and
+    lost executors.
+    """
+    from pyspark.ml.regression import IsotonicRegression
+    d = df.dropna(subset=[label]).withColumn("_fold", F.pmod(F.xxhash64(*key), F.lit(folds)))
+    out = None
+    for f in range(folds):
+        part = day_probability(d.where(F.col("_fold") != f), d.where(F.col("_fold") == f), features, label, "raw")
+        out = part if out is None else out.unionByName(part)
+    iso = IsotonicRegression(featuresCol="raw", labelCol=label, predictionCol="p").fit(
+        out.select("raw", F.col(label).cast("double").alias(label)))
+    return iso.transform(out).drop("_fold")
+
+
+def shuffled(df: DataFrame, feature: str, seed: int) -> DataFrame:
+    """The table with one column permuted over all rows.
+
+    Both sides get a distributed rank by a seeded hash of the row key and are
+    joined rank to rank: a true permutation without a global sort in one task.
+    ``df`` needs a unique ``row_id``.
+    """
+    from slotwise.operators.ordered import running_by_value
+    a = df.withColumn("_h", F.xxhash64("row_id", F.lit(seed)))
+    b = df.select("row_id", feature).withColumn("_h", F.xxhash64("row_id", F.lit(seed + 1_000_003)))
+    ra = running_by_value(a, [], "_h", {"n": F.count(F.lit(1))}).select("_h", F.col("cum_n").alias("_rank"))
+    rb = running_by_value(b, [], "_h", {"n": F.count(F.lit(1))}).select("_h", F.col("cum_n").alias("_rank"))
+    left = a.drop(feature).join(ra, "_h").drop("_h")
+    right = b.join(rb, "_h").select("_rank", feature)
+    return left.join(right, "_rank").drop("_rank")
+
+
+def permutation_importance(df: DataFrame, predict, features: Sequence[str], label: str, repeats: int = 3) -> DataFrame:
+    """Rise of the mean absolute error when one column is permuted, per feature, mean and deviation over repeats."""
+    err = F.abs(F.col(label) - F.col("pred"))
+    base = predict(df).agg(F.avg(err)).scalar()
+    cells = None
+    for i, f in enumerate(features):
+        for r in range(repeats):
+            one = predict(shuffled(df, f, 7919 * i + r)).agg(F.avg(err).alias("m")).select(
+                F.lit(f).alias("feature"), F.lit(r).alias("rep"), "m")
+            cells = one if cells is None else cells.unionByName(one)
+    d = cells.withColumn("gain", F.col("m") - base)
+    return d.groupBy("feature").agg(F.avg("gain").alias("importance_mean"), F.stddev_pop("gain").alias("importance_std"))
+
+
+# -- lagged day profiles and per-slot lasso ---------------------------------------
+PROFILE_LAGS = (1, 2, 7)
+
+
+def day_profiles(df: DataFrame, keys: Sequence[str] = ("series",), value: str = "ssp_raw", slots: int = 48) -> DataFrame:
+    """Complete days as one 48-vector each (bounded by the slots of a day)."""
+    pairs = F.array_sort(F.collect_list(F.struct("settlement_period", F.col(value).alias("v"))))
+    d = df.where(F.col(value).isNotNull()).groupBy(*keys, "settlement_date", "day_ix").agg(pairs.alias("p"))
+    d = d.where(F.size("p") == slots)
+    v = F.transform("p", lambda r: r["v"])
+    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    return d.select(*keys, "settlement_date", "day_ix", v.alias("profile"), (total / slots).alias("day_mean"),
+                    F.array_min(v).alias("day_min"), F.array_max(v).alias("day_max"))
+
+
+def profile_design(days: DataFrame, market: DataFrame | None = None, keys: Sequence[str] = ("series",)) -> DataFrame:
+    """Per day: profiles 1, 2 and 7 days back, daily aggregates, weekday one-hot and holiday flag.
+
+    Days whose lagged profile is missing are left out. Calendar-safe: the lag
+    is a join on the day index.
+    """
+    from slotwise.functions.calendar import bank_holidays
+    out = days
+    for n in PROFILE_LAGS:
+        cols = [F.col("profile").alias(f"profile_lag{n}d"), F.col("day_mean").alias(f"dmean_lag{n}")]
+        if n == 1:
+            cols += [F.col("day_min").alias("dmin_lag1"), F.col("day_max").alias("dmax_lag1")]
+        out = out.join(days.select(*keys, (F.col("day_ix") + n).alias("day_ix"), *cols), [*keys, "day_ix"])
+    out = out.drop("dmean_lag2")
+    if market is not None:
+        m = market.select(F.date_add("settlement_date", 1).alias("settlement_date"), F.col("mid_mean").alias("mid_lag1"))
+        out = out.join(m, "settlement_date", "left").withColumn("ssp_mid_spread_lag1", F.col("dmean_lag1") - F.col("mid_lag1"))
+    hol = bank_holidays(days.sparkSession).select(F.col("holiday_date").alias("settlement_date"), F.lit(1.0).alias("_h"))
+    out = out.join(F.broadcast(hol), "settlement_date", "left").withColumn("is_holiday", F.coalesce("_h", F.lit(0.0))).drop("_h")
+    return out.withColumns({f"dow_{i}": (F.weekday("settlement_date") == i).cast("double") for i in range(7)})
+
+
+def design_names(market: bool = True) -> list[str]:
+    names = [f"p_lag{n}d_sp{s}" for n in PROFILE_LAGS for s in range(1, 49)]
+    names += ["dmean_lag1", "dmean_lag7", "dmin_lag1", "dmax_lag1"]
+    names += ["mid_lag1", "ssp_mid_spread_lag1"] if market else []
+    return names + [f"dow_{i}" for i in range(7)] + ["is_holiday"]
+
+
+def design_rows(design: DataFrame, keys: Sequence[str] = ("series",), market: bool = True) -> DataFrame:
+    """One row per (day, slot): the shared day vector x and the slot's outcome y."""
+    tail = ["dmean_lag1", "dmean_lag7", "dmin_lag1", "dmax_lag1"]
+    tail += ["mid_lag1", "ssp_mid_spread_lag1"] if market else []
+    tail += [f"dow_{i}" for i in range(7)] + ["is_holiday"]
+    x = F.concat(*[F.col(f"profile_lag{n}d") for n in PROFILE_LAGS], F.array(*[F.col(c).cast("double") for c in tail]))
+    d = design.select(*keys, "settlement_date", "day_ix", x.alias("x"), F.posexplode("profile").alias("_i", "y"))
+    return d.withColumn("settlement_period", F.col("_i") + 1).drop("_i")
+
+
+def _lasso_path(x, y, n_alphas: int = 40, ratio_min: float = 1e-3, folds: int = 5, steps: int = 400):
+    """Lasso with the penalty chosen by contiguous cross-validation; all penalties advance together."""
+    def solve(a, b, alphas):
+        n, rhs = len(b), (a.T @ b / len(b))[:, None]
+        wide = a.shape[1] > n
+        gram = a @ a.T / n if wide else a.T @ a / n
+        lip = max(float(np.linalg.eigvalsh(gram)[-1]), 1e-12)
+        beta = np.zeros((a.shape[1], len(alphas)))
+        move, t = beta.copy(), 1.0
+        for _ in range(steps):
+            pull = a.T @ (a @ move) / n if wide else gram @ move
+            step = move - (pull - rhs) / lip
+            new = np.sign(step) * np.maximum(np.abs(step) - alphas[None, :] / lip, 0.0)
+            t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            move = new + (t - 1) / t_new * (new - beta)
+            beta, t = new, t_new
+        return beta
+
+    top = np.abs(x.T @ (y - y.mean())).max() / len(y)
+    alphas = np.geomspace(max(top, 1e-9), max(top, 1e-9) * ratio_min, n_alphas)
+    losses = np.zeros(n_alphas)
+    for part in np.array_split(np.arange(len(y)), min(folds, len(y))):
+        keep = np.setdiff1d(np.arange(len(y)), part)
+        if len(keep) < 2:
+            continue
+        mu, my = x[keep].mean(0), y[keep].mean()
+        beta = solve(x[keep] - mu, y[keep] - my, alphas)
+        losses += (((x[part] - mu) @ beta + my - y[part][:, None]) ** 2).sum(0)
+    best = int(np.argmin(losses))
+    beta = solve(x - x.mean(0), y - y.mean(), alphas[: best + 1])[:, -1]
+    return beta, float(y.mean() - x.mean(0) @ beta), float(alphas[best])
+
+
+def slot_lasso(rows: DataFrame, train_until: str, keys: Sequence[str] = ("series",)) -> DataFrame:
+    """One lasso per (series, slot) on the asinh robust-scaled outcome, forecasting the days after the cut-off.
+
+    A group holds one row per calendar day of one slot, so its size is bounded
+    by the length of the history, and Spark spreads series x 48 groups.
+    Returns predictions with P10 / P90 from training residuals, the penalty and
+    the coefficients.
+    """
+    on = [*keys, "settlement_period"]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        cols = [*on, "settlement_date", "actual", "q10", "q50", "q90", "alpha", "coef"]
+        pdf = pdf.sort_values("day_ix")
+        x = np.stack(pdf["x"].to_numpy()).astype(float)
+        y = pdf["y"].to_numpy(dtype=float)
+        tr = pdf["train"].to_numpy(dtype=bool)
+        if tr.sum() < 5 or (~tr).sum() == 0:
+            return pd.DataFrame(columns=cols)
+        med_x = np.nanmedian(x[tr], axis=0)
+        x = np.where(np.isnan(x), np.where(np.isnan(med_x), 0.0, med_x), x)
+        mu, sd = x[tr].mean(0), x[tr].std(0)
+        z = (x - mu) / np.where(sd == 0, 1.0, sd)
+        a = float(np.median(y[tr]))
+        b = float(1.4826 * np.median(np.abs(y[tr] - a))) or 1.0
+        beta, c0, alpha = _lasso_path(z[tr], np.arcsinh((y[tr] - a) / b))
+        pred = a + b * np.sinh(z @ beta + c0)
+        lo, hi = np.quantile(y[tr] - pred[tr], [0.1, 0.9])
+        out = pdf.loc[~tr, [*on, "settlement_date"]].copy()
+        out["actual"], out["q50"] = y[~tr], pred[~tr]
+        out["q10"], out["q90"], out["alpha"] = out["q50"] + lo, out["q50"] + hi, alpha
+        out["coef"] = [beta.tolist()] * len(out)
+        return out[cols]
+
+    schema = ", ".join([*[f"{k} STRING" for k in keys], "settlement_period INT", "settlement_date DATE", "actual DOUBLE",
+                        "q10 DOUBLE", "q50 DOUBLE", "q90 DOUBLE", "alpha DOUBLE", "coef ARRAY<DOUBLE>"])
+    d = rows.withColumn("train", F.col("settlement_date") <= F.lit(train_until).cast("date"))
+    return d.groupBy(*on).applyInPandas(fit, schema)
+
+
+def top_coefficients(pred: DataFrame, names: Sequence[str], n: int = 15, keys: Sequence[str] = ("series",)) -> DataFrame:
+    """The n largest non-zero coefficients per slot, by size."""
+    one = pred.groupBy(*keys, "settlement_period").agg(F.any_value("coef").alias("coef"), F.any_value("alpha").alias("alpha"))
+    pairs = F.zip_with(F.array(*map(F.lit, names)), "coef", lambda a, b: F.struct((-F.abs(b)).alias("o"), a.alias("feature"), b.alias("beta")))
+    kept = F.slice(F.array_sort(F.filter(pairs, lambda r: r["beta"] != 0)), 1, n)
+    d = one.select(*keys, "settlement_period", "alpha", F.posexplode(kept).alias("_p", "r"))
+    return d.select(*keys, "settlement_period", "alpha", (F.col("_p") + 1).alias("rank"), "r.feature", "r.beta")
+
+
+# -- recursive roll-out -----------------------------------------------------------
+def rollout(history: DataFrame, future: DataFrame, weights: dict[str, float], keys: Sequence[str] = ("series",),
+            cap: float | None = None, memory: int = 48) -> DataFrame:
+    """Slot-by-slot forecast of a day, each step feeding the next; days run in parallel.
+
+    ``history``: (keys, target_date, buf) with the last ``memory`` prices before
+    the day, newest last. ``future``: (keys, target_date, settlement_period,
+    base), base being the part of the forecast that does not depend on the
+    day's own slots. ``weights`` are the coefficients of lag_1, lag_2, lag_48
+    and the rolling mean, minimum and maximum of 6 slots. The fold is a built-in
+    ``aggregate`` over at most 50 steps.
+    """
+    on = [*keys, "target_date"]
+    steps = future.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("settlement_period", "base"))).alias("steps"))
+    d = history.join(steps, on)
+
+    def push(acc, s):
+        buf = acc["buf"]
+        last6 = F.slice(buf, -6, 6)
+        terms = {
+            "lag_1": F.element_at(buf, -1), "lag_2": F.element_at(buf, -2), "lag_48": F.element_at(buf, -memory),
+            "roll_mean_6": F.aggregate(last6, F.lit(0.0), lambda a, v: a + v) / 6,
+            "roll_min_6": F.array_min(last6), "roll_max_6": F.array_max(last6),
+        }
+        y = s["base"]
+        for n, w in weights.items():
+            y = y + terms[n] * float(w)
+        fed = F.least(F.greatest(y, F.lit(-500.0)), F.lit(float(cap))) if cap is not None else y
+        nxt = F.concat(F.slice(buf, -(memory - 1), memory - 1), F.array(fed))
+        return F.struct(nxt.alias("buf"), F.concat(acc["out"], F.array(F.struct(
+            s["settlement_period"].alias("settlement_period"), y.alias("pred")))).alias("out"))
+
+    start = F.struct(F.col("buf"), F.from_json(F.lit("[]"), "array<struct<settlement_period:int,pred:double>>").alias("out"))
+    return d.select(*on, F.inline(F.aggregate("steps", start, push, lambda a: a["out"])))
+
+
+def last_prices(df: DataFrame, value: str, keys: Sequence[str] = ("series",), memory: int = 48) -> DataFrame:
+    """Per target day the complete previous day's prices in slot order."""
+    d = df.groupBy(*keys, F.date_add("settlement_date", 1).alias("target_date")).agg(
+        F.array_sort(F.collect_list(F.struct("settlement_period", F.col(value).alias("v")))).alias("p"))
+    return d.where(F.size("p") == memory).select(*keys, "target_date", F.transform("p", lambda r: r["v"]).alias("buf"))
+
+
+def target_grid(df: DataFrame, days: int = 1, keys: Sequence[str] = ("series",), slots: int = 48) -> DataFrame:
+    """History plus empty rows for the days to forecast, so that one feature function serves both."""
+    last = df.groupBy(*keys).agg(F.max("settlement_date").alias("_d"))
+    g = last.select(*keys, F.explode(F.sequence(F.date_add("_d", 1), F.date_add("_d", days))).alias("settlement_date"))
+    g = g.select(*keys, "settlement_date", F.explode(F.sequence(F.lit(1), F.lit(slots))).alias("settlement_period"))
+    from slotwise.functions.keys import day_index, slot_index
+    g = g.withColumns({"slot_ix": slot_index(), "day_ix": day_index()})
+    return df.withColumn("is_target", F.lit(False)).unionByName(g.withColumn("is_target", F.lit(True)), allowMissingColumns=True)
