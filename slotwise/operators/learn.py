@@ -61,7 +61,7 @@ def wind_share(grid: DataFrame, keys: Sequence[str] = ("series", "settlement_dat
 
 # -- linear fits from sufficient statistics ---------------------------------------
 def grouped_least_squares(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, weight: str | None = None,
-                          ridge: float = 1e-9) -> DataFrame:
+                          rcond: float = 1e-12) -> DataFrame:
     """Weighted least squares of many groups in one job.
 
     The cross products are plain sums, combined map-side, so a group of any
@@ -84,7 +84,8 @@ def grouped_least_squares(df: DataFrame, keys: Sequence[str], features: Sequence
             m = np.zeros((k, k))
             m[at] = a
             m = m + np.triu(m, 1).T
-            out.append(np.linalg.solve(m + ridge * np.trace(m) / k * np.eye(k), np.asarray(r)))
+            size = np.sqrt(np.maximum(np.diag(m), 1e-300))
+            out.append(np.linalg.lstsq(m / np.outer(size, size), np.asarray(r) / size, rcond=rcond)[0] / size)
         return pd.Series(out)
 
     return g.select(*keys, "n_train", solve("_g", "_r").alias("beta"))

@@ -55,14 +55,20 @@ def merge_into(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[st
     """Merge rows into a partitioned parquet table, rewriting only the partitions they touch.
 
     The merged partitions are written to the shared folder before the dynamic
-    overwrite, so a failed job never leaves a half-read partition.
+    overwrite, so a failed job never leaves a half-read partition. ``keep`` is
+    first (stored row stays), last (new row wins) or newest (``order`` decides).
     """
     old = spark.read.parquet(path)
     touched = new.select(partition).distinct()
     affected = old.join(F.broadcast(touched), partition, "left_semi") if _few(touched) else old.join(
         touched, partition, "left_semi")
-    merge = upsert_last_wins if keep == "last" else append_first_wins
-    merged = materialise(merge(affected.select(*new.columns), new, keys, order), "merge")
+    kept = affected.select(*new.columns)
+    if keep == "newest":
+        # Stored and new rows compete under ``order`` alone, so a late old version never wins.
+        out = keep_one(kept.unionByName(new), keys, order)
+    else:
+        out = (upsert_last_wins if keep == "last" else append_first_wins)(kept, new, keys, order)
+    merged = materialise(out, "merge")
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
