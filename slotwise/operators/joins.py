@@ -119,3 +119,10 @@ def horizon_columns(df: DataFrame, horizons: Sequence[int], value: str = "ssp",
     """The value ``h`` slots earlier as one column per horizon: the horizon self-join without copying rows."""
     from slotwise.operators.series import with_frames
     return with_frames(df, keys, "slot_ix", lambda f: {f"h{h}": f.lag(value, h) for h in horizons}, back=max(horizons))
+
+
+def blend(readings: DataFrame, keys: Sequence[str], location: str, weights: dict[str, float], values: Sequence[str]) -> DataFrame:
+    """Weighted sum over locations; the weights are a literal map, so no join is needed."""
+    w = F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col(location))
+    known = readings.where(F.col(location).isin(*weights))
+    return known.groupBy(*keys).agg(*[F.sum(F.col(v) * w).alias(v) for v in values])

@@ -301,3 +301,22 @@ def shipment_vwap(t: Tables):
     q = F.sum(F.col("l_quantity").cast(I.MONEY)).cast("double")
     return t.lineitem.groupBy(F.to_date("l_shipdate").alias("ship_date")).agg(
         (F.sum(F.col("l_extendedprice").cast(I.MONEY)).cast("double") / F.nullif(q, F.lit(0.0))).alias("vwap"), q.alias("volume"))
+
+
+@query("D5", rnd="temp_c wind_ms", sql="""
+WITH h AS (SELECT date_trunc('hour', ts) AS datetime_utc, event_type, CAST(sum(k) AS DOUBLE) / count(*) / 4 AS temp_c, CAST(sum(dval) AS DOUBLE) / count(*) / 5 AS wind_ms FROM c_ev GROUP BY 1, 2),
+w AS (SELECT *, CASE event_type WHEN 'view' THEN 0.6 WHEN 'click' THEN 0.2 WHEN 'signup' THEN 0.2 END AS wt FROM h)
+SELECT datetime_utc, sum(temp_c * wt) AS temp_c, sum(wind_ms * wt) AS wind_ms FROM w WHERE wt IS NOT NULL GROUP BY 1""")
+def location_blend(t: Tables):
+    from slotwise.operators.joins import blend
+    h = I.slot_events(t).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("datetime_utc"), "event_type").agg(
+        (F.sum("k") / F.count("*") / 4).alias("temp_c"), (F.sum("dval").cast("double") / F.count("*") / 5).alias("wind_ms"))
+    return blend(h, ["datetime_utc"], "event_type", {"view": 0.6, "click": 0.2, "signup": 0.2}, ["temp_c", "wind_ms"])
+
+
+@query("F1 A18", rnd="ssp", sql="SELECT series, settlement_date, settlement_period, ssp FROM c_panel_type ORDER BY settlement_date, settlement_period, series")
+def chronological_table(t: Tables):
+    path = fresh_path(t.spark, "sorted")
+    order = ["settlement_date", "settlement_period", "series"]
+    FS.write_sorted(I.panel(t, by_type=True).select("series", *KEY, "ssp"), path, order)
+    return t.spark.read.parquet(path).orderBy(*order)

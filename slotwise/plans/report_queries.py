@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from slotwise.functions import scoring as S
 from slotwise.functions.keys import clock_label, ratio
 from slotwise.operators import analysis as A
-from slotwise.operators import calibrate as CB
 from slotwise.operators import clean as C
 from slotwise.operators import correct as K
 from slotwise.operators import joins as J
@@ -18,7 +17,7 @@ from slotwise.operators.ordered import exact_quantiles
 from slotwise.plans import inputs as I
 from slotwise.plans.feature_queries import at, roll
 from slotwise.plans.registry import query
-from slotwise.plans.score_queries import COV, MAE, SMAPE, RMSE, _MODELS, ISC, CALB, RAW, model_table
+from slotwise.plans.score_queries import COV, ISC, MAE, RAW, _MODELS, model_table
 from slotwise.session import Tables
 
 KEY = ["settlement_date", "settlement_period"]
@@ -77,21 +76,36 @@ def corrector_scores(t: Tables):
     return K.replay_scores(K.replay(I.forecasts(t)))
 
 
-@query("D29", rnd="q_noise sigma_sp mean_nis", sql="WITH RECURSIVE " + ", ".join(
-    (_KAL.format(q=q, s=s).replace("WITH RECURSIVE st AS", f"st{i} AS").replace("k AS (", f"k{i} AS (").replace("FROM k JOIN st ON", f"FROM k{i} k JOIN st{i} st ON"))
-    for i, (q, s) in enumerate([(5.0, 20.0), (35.0, 28.0), (100.0, 55.0)])) + " " + " UNION ALL ".join(
-    f"SELECT CAST({q} AS DOUBLE) AS q_noise, CAST({s} AS DOUBLE) AS sigma_sp, fold, count(nis) AS n, avg(nis) AS mean_nis FROM k{i} GROUP BY fold HAVING count(nis) > 0"
-    for i, (q, s) in enumerate([(5.0, 20.0), (35.0, 28.0), (100.0, 55.0)])))
-def innovation_grid_corners(t: Tables):
-    g = K.nis_grid(I.forecasts(t))
-    want = [(5.0, 20.0), (35.0, 28.0), (100.0, 55.0)]
-    keep = F.struct("q_noise", "sigma_sp").isin(*[F.struct(F.lit(q), F.lit(s)) for q, s in want])
-    return g.where(keep).select("q_noise", "sigma_sp", "fold", "n", "mean_nis")
+_GRID = """
+WITH RECURSIVE g AS (SELECT CAST(q AS DOUBLE) AS q, CAST(s AS DOUBLE) AS s FROM (VALUES (5), (10), (21), (35), (50), (100)) AS a(q) CROSS JOIN (VALUES (20), (28), (35), (45), (55)) AS b(s)),
+st AS (
+  SELECT settlement_date, fold, h, avg(actual - q50) FILTER (WHERE settlement_period <= least(17 + 2 * h, 48)) AS z,
+    count(*) FILTER (WHERE settlement_period <= least(17 + 2 * h, 48)) AS n
+  FROM c_wf CROSS JOIN (SELECT CAST(unnest(range(0, 10)) AS INTEGER) AS h) hh GROUP BY 1, 2, 3),
+k AS (
+  SELECT g.q, g.s, settlement_date, fold, -1 AS h, CAST(0 AS DOUBLE) AS x, s * s AS p, CAST(NULL AS DOUBLE) AS nis
+  FROM (SELECT DISTINCT settlement_date, fold FROM c_wf) CROSS JOIN g
+  UNION ALL
+  SELECT k.q, k.s, k.settlement_date, k.fold, st.h,
+    CASE WHEN st.n > 0 AND abs(st.z) <= 500 THEN k.x + (k.p + q) / (k.p + q + s * s / st.n) * (st.z - k.x) ELSE k.x END,
+    CASE WHEN st.n > 0 AND abs(st.z) <= 500 THEN (1 - (k.p + q) / (k.p + q + s * s / st.n)) * (k.p + q) ELSE k.p END,
+    CASE WHEN st.n >= 3 THEN (st.z - k.x) * (st.z - k.x) / (k.p + q + s * s / st.n) END
+  FROM k JOIN st ON st.settlement_date = k.settlement_date AND st.fold = k.fold AND st.h = k.h + 1),
+c AS (SELECT q AS q_noise, s AS sigma_sp, fold, count(nis) AS n, avg(nis) AS mean_nis, sum(nis) AS sum_nis FROM k GROUP BY 1, 2, 3 HAVING count(nis) > 0)
+"""
+
+
+@query("D29", rnd="q_noise sigma_sp mean_nis", sql=_GRID + "SELECT q_noise, sigma_sp, fold, n, mean_nis FROM c")
+def innovation_grid(t: Tables):
+    return K.nis_grid(I.forecasts(t)).select("q_noise", "sigma_sp", "fold", "n", "mean_nis")
 
 
-@query("D29 F5 D54", rnd="mean_nis lowest highest")
+@query("D29 F5 D54", rnd="mean_nis lowest highest", sql=_GRID + """
+, b AS (SELECT q_noise, sigma_sp FROM c GROUP BY 1, 2 ORDER BY abs(sum(sum_nis) / sum(n) - 1), 1, 2 LIMIT 1)
+SELECT sum(sum_nis) / sum(n) AS mean_nis, min(mean_nis) AS lowest, max(mean_nis) AS highest,
+  CASE WHEN min(mean_nis) > 1.15 THEN 'over-confident' WHEN max(mean_nis) < 0.85 THEN 'under-confident'
+       WHEN sum(sum_nis) / sum(n) BETWEEN 0.85 AND 1.15 THEN 'well-calibrated' ELSE 'mixed' END AS verdict FROM c JOIN b USING (q_noise, sigma_sp)""")
 def best_filter_parameters(t: Tables):
-    """The whole 30-cell grid; its cells agree with the recursive SQL of ``innovation_grid_corners``."""
     g = K.nis_grid(I.forecasts(t))
     return K.nis_verdict(g, K.best_filter(g))
 
@@ -429,9 +443,8 @@ def spike_profile(t: Tables):
 # -- dashboards -------------------------------------------------------------------
 @query("D31 F4", rnd="mean_price max_price min_price last_price", sql="""
 SELECT series, count(*) AS n, avg(ssp) AS mean_price, max(ssp) AS max_price, min(ssp) AS min_price, max_by(ssp, slot_ix) AS last_price,
-  arg_max(settlement_period, ssp) AS max_period, max(settlement_date) AS last_date, avg(CASE WHEN ssp < 0 THEN 0 ELSE 0 END) AS zero FROM c_panel_type GROUP BY 1""".replace(
-    ", avg(CASE WHEN ssp < 0 THEN 0 ELSE 0 END) AS zero", "").replace("arg_max(settlement_period, ssp) AS max_period",
-    "min(settlement_period) FILTER (WHERE ssp = mx) AS max_period").replace("FROM c_panel_type", "FROM (SELECT *, max(ssp) OVER (PARTITION BY series) AS mx FROM c_panel_type)"))
+  min(settlement_period) FILTER (WHERE ssp = mx) AS max_period, max(settlement_date) AS last_date
+FROM (SELECT *, max(ssp) OVER (PARTITION BY series) AS mx FROM c_panel_type) GROUP BY 1""")
 def headline_prices(t: Tables):
     return I.panel(t, by_type=True).groupBy("series").agg(
         F.count("*").alias("n"), F.avg("ssp").alias("mean_price"), F.max("ssp").alias("max_price"), F.min("ssp").alias("min_price"),
@@ -448,7 +461,7 @@ def daily_means(t: Tables):
 _DAYS = [f"2024-01-{d:02d}" for d in range(1, 31)]
 
 
-@query("D33 E16", rnd=" ".join(f'"{d}"' for d in _DAYS).replace('"', "") if False else "", sql="""
+@query("D33 E16", sql="""
 WITH g AS (SELECT CAST(d AS DATE) AS settlement_date, CAST(unnest(range(1, 49)) AS INTEGER) AS settlement_period
   FROM (SELECT unnest(generate_series(min(settlement_date), max(settlement_date), INTERVAL 1 DAY)) AS d FROM c_panel)),
 j AS (SELECT g.*, p.ssp FROM g LEFT JOIN c_panel p USING (settlement_date, settlement_period)),

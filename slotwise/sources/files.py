@@ -90,3 +90,8 @@ def heartbeat(df: DataFrame, keys: Sequence[str], at: Column) -> DataFrame:
     return df.groupBy(*keys).agg(
         F.count("*").alias("n_slots"), F.max("settlement_period").alias("max_sp")
     ).withColumn("fetched_at", at)
+
+
+def write_sorted(df: DataFrame, path: str, order: Sequence[str]) -> None:
+    """Chronological table: range-partitioned and sorted inside each file, so no task sorts everything."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
