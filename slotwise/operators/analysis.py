@@ -185,20 +185,40 @@ def volatility_signal(df: DataFrame, widths: Sequence[int] = (6, 12), keys: Sequ
     return g.select(F.inline(F.array(*[F.struct(F.lit(w).alias("width"), F.col(f"c{w}").alias("corr")) for w in widths])))
 
 
-def smoothed(df: DataFrame, alpha: float, keys: Sequence[str] = ("series",), value: str = "ssp") -> DataFrame:
-    """Exponential smoothing of the slots before each slot, as a weighted frame.
-
-    Weights alpha (1 - alpha)^k fall below 1e-16 within some tens of slots, so a
-    bounded frame gives the recursive value without a sequential fold over the
-    whole series; the first value of the frame carries the remaining weight.
+def smoothed(df: DataFrame, alpha: float, keys: Sequence[str] = ("series",), value: str = "ssp", chunk: int = 512,
+             out: str = "es") -> DataFrame:
+    """Exponential smoothing of the rows before each slot; exact, though no task sees a whole series.
+
+    The recursion is linear, so a chunk of slots acts on its starting value s as
+    ``end0 + (1 - alpha)^m s``: chunks are folded from 0 in parallel, their
+    starting values are chained on one row per chunk, and the decayed starting
+    value is added back. The first value of a series seeds it.
     """
-    reach = math.ceil(36.9 / -math.log(1 - alpha))
-    d = with_frames(df, keys, "slot_ix", lambda f: {
-        "_past": F.collect_list(F.struct(F.col("slot_ix").alias("i"), F.col(value).alias("v"))).over(f.spec.rangeBetween(-reach, -1))}, back=reach)
-    fold = F.aggregate(
-        F.col("_past"), F.lit(None).cast("double"),
-        lambda acc, r: F.when(acc.isNull(), r["v"]).otherwise(acc * (1 - alpha) + r["v"] * alpha))
-    return d.withColumn("es", fold).drop("_past")
+    keys, keep = list(keys), 1 - alpha
+    d = df.where(F.col(value).isNotNull()).withColumn("_chunk", F.floor(F.col("slot_ix") / chunk))
+    rows = F.array_sort(F.collect_list(F.struct("slot_ix", F.col(value).alias("v"))))
+    path = "array<struct<slot_ix:bigint,before:double,k:int>>"
+    start = F.struct(F.lit(0.0).alias("s"), F.from_json(F.lit("[]"), path).alias("out"))
+
+    def push(acc, r):
+        row = F.struct(r["slot_ix"].cast("long").alias("slot_ix"), acc["s"].alias("before"), F.size(acc["out"]).alias("k"))
+        return F.struct((acc["s"] * keep + r["v"] * alpha).alias("s"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    parts = d.groupBy(*keys, "_chunk").agg(rows.alias("_p")).select(
+        *keys, "_chunk", F.size("_p").alias("m"), F.element_at("_p", 1)["v"].alias("v1"), F.aggregate("_p", start, push).alias("f"))
+
+    def chain(acc, c):
+        return F.struct((c["end0"] + acc["s"] * F.pow(F.lit(keep), c["m"])).alias("s"),
+                        F.concat(acc["out"], F.array(F.struct(c["c"].alias("_chunk"), acc["s"].alias("s_in")))).alias("out"))
+
+    ends = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        F.col("_chunk").alias("c"), "m", F.col("f.s").alias("end0"), "v1"))).alias("_q"))
+    seed = F.struct(F.element_at("_q", 1)["v1"].alias("s"), F.from_json(F.lit("[]"), "array<struct<_chunk:bigint,s_in:double>>").alias("out"))
+    carry = ends.select(*keys, F.element_at("_q", 1)["c"].alias("_first"), F.inline(F.aggregate("_q", seed, chain, lambda a: a["out"])))
+    j = parts.select(*keys, "_chunk", F.inline("f.out")).join(carry, [*keys, "_chunk"])
+    es = F.when((F.col("_chunk") == F.col("_first")) & (F.col("k") == 0), F.lit(None)).otherwise(
+        F.col("before") + F.col("s_in") * F.pow(F.lit(keep), F.col("k")))
+    return df.join(j.select(*keys, "slot_ix", es.alias(out)), [*keys, "slot_ix"], "left")
 
 
 def rolling_ar2(df: DataFrame, days: int = 28, keys: Sequence[str] = ("series",), value: str = "ssp") -> DataFrame:

@@ -51,7 +51,7 @@ def upsert_last_wins(old: DataFrame, new: DataFrame, keys: Sequence[str], order:
 
 
 def merge_into(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], partition: str,
-               order: Sequence[Column], keep: str = "last") -> None:
+               order: Sequence[Column] = (), keep: str = "last") -> None:
     """Merge rows into a partitioned parquet table, rewriting only the partitions they touch.
 
     The merged partitions are written to the shared folder before the dynamic

@@ -70,8 +70,8 @@ def test_running_totals_descending(spark):
 
 
 def test_fill_crosses_chunks(spark):
-    pdf = pd.DataFrame({"series": "a", "slot_ix": range(100), "v": [5.0 if i == 3 else (9.0 if i == 90 else None) for i in range(100)]})
-    d = frame(spark, pdf)
+    rows = [("a", i, {3: 5.0, 90: 9.0}.get(i)) for i in range(100)]
+    d = spark.createDataFrame(rows, "series STRING, slot_ix BIGINT, v DOUBLE")
     f = SR.fill_forward(d, ["series"], "slot_ix", ["v"], chunk=10).toPandas().sort_values("slot_ix")["v"].tolist()
     assert all(x is None or np.isnan(x) for x in f[:3]) and f[3:90] == [5.0] * 87 and f[90:] == [9.0] * 10
     b = SR.fill_forward(d, ["series"], "slot_ix", ["v"], chunk=10, backward=True).toPandas().sort_values("slot_ix")["v"].tolist()
