@@ -60,22 +60,18 @@ def wind_share(grid: DataFrame, keys: Sequence[str] = ("series", "settlement_dat
 
 
 # -- linear fits from sufficient statistics ---------------------------------------
-def grouped_least_squares(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, weight: str | None = None,
-                          rcond: float = 1e-12) -> DataFrame:
-    """Weighted least squares of many groups in one job.
-
-    The cross products are plain sums, combined map-side, so a group of any
-    size costs one row per task; only the (features + 1)^2 matrix of a group
-    is solved in Python. Result: (keys, beta) with the intercept first.
-    """
-    w = F.col(weight) if weight else F.lit(1.0)
+def _cross_products(features: Sequence[str], labels: Sequence[str], weight=None) -> dict:
+    """Named sums a weighted least-squares fit needs: upper triangle of X'WX and X'Wy per label."""
+    w = weight if weight is not None else F.lit(1.0)
     cols = [F.lit(1.0), *[F.col(c).cast("double") for c in features]]
     k = len(cols)
-    ok = df.dropna(subset=[label, *features])
-    gram = [F.sum(w * cols[i] * cols[j]) for i in range(k) for j in range(i, k)]
-    rhs = [F.sum(w * c * F.col(label)) for c in cols]
-    g = ok.groupBy(*keys).agg(F.array(*gram).alias("_g"), F.array(*rhs).alias("_r"), F.count("*").alias("n_train"))
+    out = {f"g_{i}_{j}": F.sum(w * cols[i] * cols[j]) for i in range(k) for j in range(i, k)}
+    for lab in labels:
+        out |= {f"r_{lab}_{i}": F.sum(w * cols[i] * F.col(lab)) for i in range(k)}
+    return out
+
 
+def _solver(k: int, rcond: float):
     @F.pandas_udf("array<double>")
     def solve(gs: pd.Series, rs: pd.Series) -> pd.Series:
         at = np.triu_indices(k)
@@ -88,7 +84,23 @@ def grouped_least_squares(df: DataFrame, keys: Sequence[str], features: Sequence
             out.append(np.linalg.lstsq(m / np.outer(size, size), np.asarray(r) / size, rcond=rcond)[0] / size)
         return pd.Series(out)
 
-    return g.select(*keys, "n_train", solve("_g", "_r").alias("beta"))
+    return solve
+
+
+def grouped_least_squares(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, weight: str | None = None,
+                          rcond: float = 1e-12) -> DataFrame:
+    """Weighted least squares of many groups in one job.
+
+    The cross products are plain sums, combined map-side, so a group of any
+    size costs one row per task; only the (features + 1)^2 matrix of a group
+    is solved in Python. Result: (keys, beta) with the intercept first.
+    """
+    k = len(features) + 1
+    sums = _cross_products(features, [label], F.col(weight) if weight else None)
+    g = df.dropna(subset=[label, *features]).groupBy(*keys).agg(F.count("*").alias("n_train"), *[c.alias(n) for n, c in sums.items()])
+    gram = F.array(*[n for n in sums if n.startswith("g_")])
+    rhs = F.array(*[f"r_{label}_{i}" for i in range(k)])
+    return g.select(*keys, "n_train", _solver(k, rcond)(gram, rhs).alias("beta"))
 
 
 def linear_predict(features: Sequence[str], beta: str = "beta"):
@@ -103,34 +115,42 @@ def level_sweep(daily: DataFrame, features: Sequence[str], label: str, configs:
                 min_train: int = 120) -> DataFrame:
     """Training-window x half-life x transform sweep over walk-forward folds, scored per configuration.
 
-    Every (configuration, fold) is a group of one grouped fit. P10 / P90 come
-    from the training residuals of the group.
+    Weights depend on the date alone, so all series first collapse to one row
+    of cross products per date; the (configuration, fold) grid is spread over
+    that calendar-sized table, not over the data. P10 / P90 come from the
+    training residuals through a mergeable sketch (rank error 1e-4), which is
+    combined map-side, so the residuals of the grid are never shuffled.
     """
     spark = daily.sparkSession
     grid = [(i, w or 99, h or 0, tr, f) for i, (w, h, tr) in enumerate(configs) for f in fold_starts]
     plan = spark.createDataFrame(grid, "config INT, window_months INT, half_life INT, transform STRING, fold_start STRING").withColumn(
         "fold_start", F.to_date("fold_start"))
     cells = plan.agg(F.collect_list(F.struct("*"))).scalar()
-    d = daily.select("settlement_date", label, *features).dropna(subset=[label, *features])
-    d = d.withColumn("_c", F.explode(cells)).select("settlement_date", label, *features, "_c.*")
     date, fs = F.col("settlement_date"), F.col("fold_start")
-    train = d.where((date < F.date_sub(fs, gap_days)) & ((F.col("window_months") == 99) | (date >= F.add_months(fs, -F.col("window_months")))))
-    test = d.where((date >= fs) & (date < F.date_add(fs, fold_days)))
-    y = F.when(F.col("transform") == "asinh", F.asinh(F.col(label) / scale)).otherwise(F.col(label))
+    in_train = (date < F.date_sub(fs, gap_days)) & ((F.col("window_months") == 99) | (date >= F.add_months(fs, -F.col("window_months"))))
+    in_test = (date >= fs) & (date < F.date_add(fs, fold_days))
     weight = F.when(F.col("half_life") > 0, F.pow(F.lit(0.5), F.datediff(fs, date) / F.nullif(F.col("half_life"), F.lit(0)))).otherwise(1.0)
-    keys = ["config", "fold_start"]
-    train = train.withColumns({"_y": y, "_w": weight})
-    fit = grouped_least_squares(train, keys, features, "_y", "_w").where(F.col("n_train") >= min_train)
-
-    def predict(rows):
-        z = linear_predict(features)
-        return rows.join(F.broadcast(fit), keys).withColumn(
-            "pred", F.when(F.col("transform") == "asinh", F.sinh(z) * scale).otherwise(z))
-
-    resid = predict(train).select(*keys, (F.col(label) - F.col("pred")).alias("_e"))
-    band = exact_quantiles(resid, keys, "_e", {"r10": 0.1, "r90": 0.9})
-    t = predict(test).join(F.broadcast(band), keys).withColumns({"lo": F.col("pred") + F.col("r10"), "hi": F.col("pred") + F.col("r90")})
+    keys, k = ["config", "fold_start"], len(features) + 1
+
+    d = daily.select("settlement_date", label, *features).dropna(subset=[label, *features]).withColumn(
+        "_asinh", F.asinh(F.col(label) / scale))
+    sums = _cross_products(features, [label, "_asinh"])
+    by_date = d.groupBy("settlement_date").agg(F.count("*").alias("n"), *[c.alias(n) for n, c in sums.items()])
+    spread = by_date.withColumn("_c", F.explode(cells)).select("*", "_c.*").drop("_c").where(in_train).withColumn("_w", weight)
+    g = spread.groupBy(*keys, "transform").agg(F.sum("n").alias("n_train"), *[F.sum(F.col(n) * F.col("_w")).alias(n) for n in sums])
+    gram = F.array(*[n for n in sums if n.startswith("g_")])
+    rhs = F.when(F.col("transform") == "asinh", F.array(*[f"r__asinh_{i}" for i in range(k)])).otherwise(
+        F.array(*[f"r_{label}_{i}" for i in range(k)]))
+    # At most one row per grid cell: a few hundred.
+    fit = g.where(F.col("n_train") >= min_train).select(*keys, _solver(k, 1e-12)(gram, rhs).alias("beta"))
+    models = fit.join(F.broadcast(plan), keys).agg(F.collect_list(F.struct(*plan.columns, "beta"))).scalar()
+    z = linear_predict(features)
+    rows = d.withColumn("_c", F.explode(models)).select("settlement_date", label, *features, "_c.*")
+    rows = rows.withColumn("pred", F.when(F.col("transform") == "asinh", F.sinh(z) * scale).otherwise(z))
     err = F.col(label) - F.col("pred")
+    band = rows.where(in_train).groupBy(*keys).agg(F.percentile_approx(err, [0.1, 0.9], 10000).alias("_r"))
+    t = rows.where(in_test).join(F.broadcast(band), keys).withColumns(
+        {"lo": F.col("pred") + F.col("_r")[0], "hi": F.col("pred") + F.col("_r")[1]})
 
     def pin(c, q):
         e = F.col(label) - F.col(c)
