@@ -20,10 +20,10 @@ def conformal_score(y="actual", lo="q10", hi="q90") -> Column:
 def conformal_delta(df: DataFrame, keys: Sequence[str], target: float = 0.8, out: str = "delta") -> DataFrame:
     """Half-widening per key: the target quantile of the scores, floored at 0.
 
-    Keys are slots (or slot x season): a group holds one value per forecast
-    day, so the calendar bounds it and the built-in exact percentile fits.
+    A slot pools every series and day, so its quantile goes through the
+    distributed primitive rather than a per-group value table.
     """
-    d = df.withColumn("_score", conformal_score()).groupBy(*keys).agg(F.percentile("_score", F.lit(target)).alias("_d"))
+    d = exact_quantiles(df.select(*keys, conformal_score().alias("_score")), keys, "_score", {"_d": target})
     return d.select(*keys, F.greatest("_d", F.lit(0.0)).alias(out))
 
 

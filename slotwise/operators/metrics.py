@@ -157,15 +157,16 @@ def diurnal_swing(df: DataFrame, keys: Sequence[str] = (), strong: float = 15.0)
 def leave_one_out_bias(df: DataFrame, fold: str = "fold") -> DataFrame:
     """Median bias per slot learnt from every other fold.
 
-    Each residual is copied to the folds it trains (few, and known from the
-    fold table), then one exact percentile per (fold, slot): a group holds one
-    value per forecast day.
+    Each residual is copied to the folds it trains; folds are few and come from
+    a scalar subquery over the fold column.
     """
     folds = df.select(fold).distinct().agg(F.collect_list(fold)).scalar()
     r = df.select(fold, "settlement_period", (F.col("actual") - F.col("q50")).alias("e"))
     spread = r.withColumn("_for", F.explode(folds)).where(F.col("_for") != F.col(fold))
-    return spread.groupBy(F.col("_for").alias(fold), "settlement_period").agg(
-        F.percentile("e", F.lit(0.5)).alias("median_bias"), F.count("*").alias("n"))
+    spread = spread.select(F.col("_for").alias(fold), "settlement_period", "e")
+    keys = [fold, "settlement_period"]
+    counts = spread.groupBy(*keys).agg(F.count("*").alias("n"))
+    return exact_quantiles(spread, keys, "e", {"median_bias": 0.5}).join(counts, keys)
 
 
 def histogram(df: DataFrame, value: Column, lo: float, hi: float, bins: int) -> DataFrame:

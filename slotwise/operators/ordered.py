@@ -29,27 +29,25 @@ def running_by_value(
 ) -> DataFrame:
     """One row per (keys, distinct value) with each sum, its running total ``cum_*`` and grand total ``all_*``."""
     keys = list(keys)
-    base = df if keys else df.withColumn("_all", F.lit(0))
-    by = keys or ["_all"]
     names = list(sums)
-    per_value = base.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*[c.alias(n) for n, c in sums.items()])
+    per_value = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[c.alias(n) for n, c in sums.items()])
     cuts = [i / buckets for i in range(1, buckets)]
-    splits = per_value.groupBy(*by).agg(F.percentile_approx(value, cuts, 1000).alias("_splits"))
-    ranged = per_value.join(splits, by).withColumn(
-        "_range", F.size(F.filter("_splits", lambda s: s < F.col(value)))
-    ).drop("_splits")
+    splits = per_value.groupBy(*keys).agg(F.percentile_approx(value, cuts, 1000).alias("_splits"))
+    cut = per_value.join(splits, keys) if keys else per_value.withColumn("_splits", splits.scalar())
+    ranged = cut.withColumn("_range", F.size(F.filter("_splits", lambda s: s < F.col(value)))).drop("_splits")
     order = F.col("_range").desc() if descending else F.col("_range").asc()
-    before = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*by)
-    totals = ranged.groupBy(*by, "_range").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
+    # These two windows run over at most ``buckets`` rows per key.
+    before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(*keys)
+    totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
     offsets = totals.select(
-        *by, "_range",
+        *keys, "_range",
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names],
         *[F.sum(f"_t_{n}").over(whole).alias(f"all_{n}") for n in names],
     )
     vorder = F.col(value).desc() if descending else F.col(value).asc()
-    inside = W.partitionBy(*by, "_range").orderBy(vorder).rowsBetween(W.unboundedPreceding, 0)
-    out = ranged.join(offsets, [*by, "_range"])
+    inside = W.partitionBy(*keys, "_range").orderBy(vorder).rowsBetween(W.unboundedPreceding, 0)
+    out = ranged.join(offsets, [*keys, "_range"])
     return out.select(
         *keys, value, *names,
         *[(F.col(f"_o_{n}") + F.sum(n).over(inside)).alias(f"cum_{n}") for n in names],
@@ -66,11 +64,7 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, rank: str = "a
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], buckets: int = BUCKETS
 ) -> DataFrame:
-    """Linear-interpolated exact quantiles, one row per key: ``{column: probability}``.
-
-    For groups without a size bound; where a group is bounded by the calendar
-    (a slot's history, a fold's days) the built-in ``percentile`` is cheaper.
-    """
+    """Linear-interpolated exact quantiles, one row per key: ``{column: probability}``, for groups of any size."""
     r = running_by_value(df, keys, value, {"_n": F.count(F.lit(1))}, buckets=buckets)
     first = F.col("cum__n") - F.col("_n")
     picks = []

@@ -16,6 +16,11 @@ def r6(c: str | Column) -> Column:
     return F.round((F.col(c) if isinstance(c, str) else c) + 1.3e-8, 6)
 
 
+def one_series(c: str) -> Column:
+    """The single series of a table, as a value of its rows: a literal would be folded out of every key."""
+    return F.when(F.col(c).isNotNull(), "all")
+
+
 def slot_events(t: Tables, since: str | None = None, until: str | None = None) -> DataFrame:
     """Events keyed by slot; the half-open date range is put on the stored column, so the scan skips row groups."""
     e = t.events
@@ -34,7 +39,7 @@ def slot_events(t: Tables, since: str | None = None, until: str | None = None) -
 
 def panel(t: Tables, by_type: bool = False, since: str | None = None, until: str | None = None) -> DataFrame:
     """Half-hour price panel; one series, or one per event type."""
-    e = slot_events(t, since, until).withColumn("series", F.col("event_type") if by_type else F.lit("all"))
+    e = slot_events(t, since, until).withColumn("series", F.col("event_type") if by_type else one_series("event_id"))
     signed = F.when(F.col("event_type").isin("purchase", "signup"), F.col("dval")).otherwise(-F.col("dval"))
     g = e.groupBy("series", "settlement_date", "settlement_period").agg(
         (F.sum("dval").cast("double") / F.count("*") * 2 - 30).alias("ssp"),
@@ -112,7 +117,7 @@ def forecasts(t: Tables) -> DataFrame:
 
 def daily_orders(t: Tables, by_priority: bool = False) -> DataFrame:
     """Daily price over several years; one series, or one per order priority."""
-    s = F.col("o_orderpriority") if by_priority else F.lit("all")
+    s = F.col("o_orderpriority") if by_priority else one_series("o_orderkey")
     return (
         t.orders.groupBy(s.alias("series"), F.to_date("o_orderdate").alias("settlement_date"))
         .agg(
@@ -126,6 +131,7 @@ def daily_orders(t: Tables, by_priority: bool = False) -> DataFrame:
 def long_panel(t: Tables) -> DataFrame:
     """Several years of half-hour prices from line items (slot by supplier)."""
     g = t.lineitem.groupBy(
+        one_series("l_suppkey").alias("series"),
         F.to_date("l_shipdate").alias("settlement_date"),
         (F.col("l_suppkey") % 48 + 1).cast("int").alias("settlement_period"),
     ).agg(
@@ -133,7 +139,7 @@ def long_panel(t: Tables) -> DataFrame:
          / F.sum(F.col("l_quantity").cast(MONEY)).cast("double") / 12 - 40).alias("ssp"),
         F.sum("l_quantity").alias("volume"),
     )
-    return g.select(F.lit("all").alias("series"), "*", day_index().alias("day_ix"),
+    return g.select("*", day_index().alias("day_ix"),
                     (day_index() * 48 + F.col("settlement_period") - 1).alias("slot_ix"))
 
 
