@@ -13,7 +13,7 @@ from slotwise.operators import nowcast as N
 from slotwise.operators.ordered import exact_quantiles
 from slotwise.plans import inputs as I
 from slotwise.plans.registry import query
-from slotwise.session import Tables
+from slotwise.session import Tables, materialise
 
 KEY = ["settlement_date", "settlement_period"]
 
@@ -434,7 +434,8 @@ b AS (SELECT 'raw' AS band, actual, q10 AS lo, q90 AS hi FROM c_wf UNION ALL SEL
 SELECT band, count(*) AS n, {COV.format(**CALB)} * 100 AS coverage, avg(hi - lo) AS width, {ISC.format(**CALB)} AS interval_score, {PIN.format(**CALB)} AS pinball
 FROM b GROUP BY 1""")
 def band_comparison(t: Tables):
-    return CB.calibration_report(I.forecasts(t))
+    # Four bands read the forecasts; they are written once instead of being derived from raw events each time.
+    return CB.calibration_report(materialise(I.forecasts(t), "forecasts"))
 
 
 _HI = """
@@ -448,13 +449,13 @@ dh AS (SELECT CAST(g.sp AS INTEGER) AS settlement_period, r.settlement_period IS
 """
 
 
-def _delta_hi(t: Tables):
-    return CB.upper_widening(I.forecasts(t), elevated=100.0, min_n=3)
+def _delta_hi(f):
+    return CB.upper_widening(f, elevated=100.0, min_n=3)
 
 
 @query("D21 C17", rnd="delta_hi", sql=_HI + "SELECT settlement_period, CAST(risky AS INTEGER) AS risky, delta_hi, n_exceed FROM dh")
 def upper_widening(t: Tables):
-    return _delta_hi(t).withColumn("risky", F.col("risky").cast("int"))
+    return _delta_hi(materialise(I.forecasts(t), "forecasts")).withColumn("risky", F.col("risky").cast("int"))
 
 
 _SCORE = """
@@ -463,16 +464,23 @@ cj AS (SELECT c.*, coalesce(p, 0) AS p, risky, delta_hi FROM c_cal c LEFT JOIN p
 """
 
 
-def _day_scores(t: Tables):
+def _widening_inputs(t: Tables):
+    """Scored calibrated forecasts and the extra widening, both from one stored forecast table."""
+    f = materialise(I.forecasts(t), "forecasts")
+    return _day_scores(t, f), materialise(_delta_hi(f), "delta-hi")
+
+
+def _day_scores(t: Tables, f):
     """Day risk score in [0, 1] from the previous day's elevated slots."""
     s = I.risk_flags(t).select("settlement_date", F.least(F.col("elevated_count_lag1d") / 10.0, F.lit(1.0)).alias("p"))
-    return CB.calibrated(I.forecasts(t)).join(s, "settlement_date", "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
+    return CB.calibrated(f).join(s, "settlement_date", "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
 
 
 @query("J13", rnd="hi_wide", sql=_HI + _SCORE + """
 SELECT settlement_date, settlement_period, hi + CASE WHEN p > 0.3 THEN delta_hi ELSE 0 END AS hi_wide FROM cj""")
 def upper_widening_applied(t: Tables):
-    return CB.apply_upper_widening(_day_scores(t), _delta_hi(t), "p", 0.3).select(*KEY, "hi_wide")
+    scores, delta_hi = _widening_inputs(t)
+    return CB.apply_upper_widening(scores, delta_hi, "p", 0.3).select(*KEY, "hi_wide")
 
 
 _SWEEP = _HI + _SCORE + """
@@ -492,13 +500,15 @@ _TAUS = [0.05, 0.1, 0.2, 0.3, 0.5]
 
 @query("D24", rnd="tau g1_lift g1b_cov g2_change", sql=_SWEEP + "SELECT * FROM w")
 def widening_gate_sweep(t: Tables):
-    return CB.widening_sweep(_day_scores(t), _delta_hi(t), "p", _TAUS).withColumn("all_pass", F.col("all_pass").cast("int"))
+    scores, delta_hi = _widening_inputs(t)
+    return CB.widening_sweep(scores, delta_hi, "p", _TAUS).withColumn("all_pass", F.col("all_pass").cast("int"))
 
 
 @query("D24 F5", rnd="best_tau", sql=_SWEEP + """
 SELECT tau AS best_tau, (SELECT max(all_pass) FROM w) AS any_pass FROM w ORDER BY all_pass DESC, coalesce(g1_lift, -999) DESC, tau LIMIT 1""")
 def best_widening_threshold(t: Tables):
-    s = CB.widening_sweep(_day_scores(t), _delta_hi(t), "p", _TAUS)
+    scores, delta_hi = _widening_inputs(t)
+    s = CB.widening_sweep(scores, delta_hi, "p", _TAUS)
     return CB.best_threshold(s).withColumn("any_pass", F.col("any_pass").cast("int"))
 
 
