@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import language
+from slotwise.llm import decontaminate, language, pii
 from slotwise.llm.texts import crc_of
 
 
@@ -13,6 +13,24 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def _count(spans: F.Column, kind: str) -> F.Column:
+    return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("bigint").alias(f"n_{kind}")
+
+
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.search(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "benchmark"), keep=["doc_id"])
+    return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.scan(_table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
+    spans = F.col("spans")
+    counts = [_count(spans, k) for k in pii.BASE]
+    base = F.filter(spans, lambda s: s.kind.isin(*pii.BASE))
+    return found.select("row.doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(spans).alias("spans"))
+
+
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     remainder = crc_of("doc_id") % 4
@@ -21,5 +39,5 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op7_language_id,)}
+QUERIES = {f.__name__: f for f in (op3_decontamination, op4_pii, op7_language_id)}
 SQL: dict[str, str] = {}
