@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import decontaminate, language, pii
+from slotwise.llm import decontaminate, language, mixing, pii, secrets, topk, urls
 from slotwise.llm.texts import crc_of
 
 
@@ -13,6 +13,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(_table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
+    counts = [_count(F.col("base"), k) for k in secrets.SHAPES]
+    return found.select("row.doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 def _count(spans: F.Column, kind: str) -> F.Column:
     return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("bigint").alias(f"n_{kind}")
 
@@ -31,6 +37,11 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row.doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(spans).alias("spans"))
 
 
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, folder, "documents").select("doc_id", "text", "source"), keep=["doc_id"])
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     remainder = crc_of("doc_id") % 4
@@ -39,5 +50,39 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op4_pii, op7_language_id)}
-SQL: dict[str, str] = {}
+# The rules of the url filter, and the words that mark a host without a rule.
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+BLOCKED_WORDS = ("ads", "adult", "bet", "bets", "betting", "casino", "phishing", "pills", "poker", "porn", "slots", "spam", "xxx")
+
+
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    found = urls.judge(_table(spark, folder, "pages").select("page_id", "url"), rules, BLOCKED_WORDS, keep=["page_id"])
+    return found.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search(_table(spark, folder, "embeddings"), F.col("key") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_decontamination, op4_pii, op5_mixing, op7_language_id, op9_url_filter, op10_top_k)}
+SQL: dict[str, str] = {
+    "op9_url_filter": f"""
+WITH cut AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+named AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS name FROM cut),
+parts AS (SELECT page_id, row_number() OVER () AS n, translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(name) + 1), '^[^?#]*') AS path FROM named),
+rules(r_host, r_path, said) AS (VALUES {", ".join(map(str, URL_RULES))}),
+best AS (SELECT n, max_by(r_host || r_path, length(r_host || r_path)) AS rule, max_by(said, length(r_host || r_path)) AS said
+    FROM parts JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN list_has_any(regexp_split_to_array(host, '[.-]'), {list(BLOCKED_WORDS)}) THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN best USING (n)""",
+    "op10_top_k": """
+WITH kept AS (SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+scored AS (SELECT q.uid AS quid, q.vec_id AS query_id, c.uid, c.vec_id,
+    coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0) AS score
+    FROM kept q JOIN kept c ON q.uid <> c.uid AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY quid ORDER BY score DESC, vec_id, uid) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 5""",
+}
