@@ -89,7 +89,8 @@ def fit(docs: DataFrame, text: str, label: str, key: str, per_language: int = PE
     rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"), lang.alias("lang"), share(F.col(f"`{key}`"), F.lit(7)).alias("u"))
     rows = rows.filter("lang IS NOT NULL")
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    chosen = rows.join(sizes, "lang").filter(F.col("u") * F.col("n") < per_language).filter("text IS NOT NULL")
+    # The model holds a column per language anyway, so a row per language is small enough to send everywhere.
+    chosen = rows.join(F.broadcast(sizes), "lang").filter(F.col("u") * F.col("n") < per_language).filter("text IS NOT NULL")
 
     def make():
         def work(texts):
