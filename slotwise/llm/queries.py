@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import decontaminate, language, mixing, pii, secrets, topk, urls
+from slotwise.llm import decontaminate, language, mixing, pii, secrets, topk, toxicity, urls
 from slotwise.llm.texts import crc_of
 
 
@@ -23,6 +23,14 @@ def _count(spans: F.Column, kind: str) -> F.Column:
     return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("bigint").alias(f"n_{kind}")
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, remainder = _table(spark, folder, "documents"), crc_of("doc_id") % 3
+    field = toxicity.fit(docs.select("doc_id", "text"), _table(spark, folder, "labels").filter(remainder != 1))
+    rows = docs.select("doc_id", "text", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"))
+    found = toxicity.score(rows, field, keep=["doc_id", "held_out"])
+    return found.select("row.doc_id", "row.held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.search(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "benchmark"), keep=["doc_id"])
     return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
@@ -65,7 +73,7 @@ def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search(_table(spark, folder, "embeddings"), F.col("key") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_decontamination, op4_pii, op5_mixing, op7_language_id, op9_url_filter, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_decontamination, op4_pii, op5_mixing, op7_language_id, op9_url_filter, op10_top_k)}
 SQL: dict[str, str] = {
     "op9_url_filter": f"""
 WITH cut AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
