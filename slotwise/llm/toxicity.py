@@ -28,6 +28,8 @@ from dataclasses import dataclass
 from math import log10
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ from slotwise.llm.texts import annotate, share
 from slotwise.session import materialise
 
 #: Labelled documents of each label used for learning.
-PER_CLASS = 4000
+PER_CLASS = 2000
 BITS = 20
 SIGNATURES = 3
 #: Lengths of word beginnings that are features, and the features of a token itself.
@@ -59,10 +61,10 @@ def _bucket(tag: str, value: str) -> int:
     return xxhash.xxh32_intdigest(f"{tag}:{value}".encode("utf-8", "surrogatepass")) >> (32 - BITS)
 
 
-def cue_features(word: str) -> tuple[str, ...]:
-    """What can be a cue: the word, and its beginnings."""
+def cue_features(word: str) -> list[int]:
+    """Digests of what can be a cue: the word, and its beginnings."""
     w = word.lower()
-    return (w, *(w[:n] + "*" for n in BEGINNINGS if n < len(w)))
+    return [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1 for x in (w, *(w[:n] + "*" for n in BEGINNINGS if n < len(w)))]
 
 
 def own_features(word: str) -> tuple[int, ...]:
@@ -78,7 +80,7 @@ def token_features(words: list[str]) -> np.ndarray:
     return np.concatenate([own, np.array([before, after], dtype=np.int32).reshape(2, -1).T], axis=1)
 
 
-def chain(emission: np.ndarray, alive: np.ndarray, start: float, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def chain(emission: np.ndarray, alive: np.ndarray, start: float, moves: np.ndarray, moved: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward for a batch of two-label chains.
 
     ``emission`` (n, T) is the score of label 1 against 0, ``alive`` marks the
@@ -99,7 +101,7 @@ def chain(emission: np.ndarray, alive: np.ndarray, start: float, moves: np.ndarr
             a0, a1 = np.where(alive[:, t], a0, p0), np.where(alive[:, t], a1, p1)
         total = a0 + a1
         fwd[t, 0], fwd[t, 1], scale[t] = a0 / total, a1 / total, np.where(alive[:, t], total, 1.0)
-    one, pairs = np.empty((n, length)), np.zeros((3, n, length))
+    one, pairs = np.empty((n, length)), np.zeros((3, n, length if moved else 0))
     b0, b1 = np.ones(n), np.ones(n)
     for t in range(length - 1, -1, -1):
         norm = fwd[t, 0] * b0 + fwd[t, 1] * b1
@@ -107,10 +109,11 @@ def chain(emission: np.ndarray, alive: np.ndarray, start: float, moves: np.ndarr
         if t:
             p0, p1 = fwd[t - 1]
             live = alive[:, t]
-            joint = norm * scale[t]
-            pairs[0, :, t] = np.where(live, p1 * m[1, 1] * e[:, t] * b1 / joint, 0)
-            pairs[1, :, t] = np.where(live, p0 * m[0, 1] * e[:, t] * b1 / joint, 0)
-            pairs[2, :, t] = np.where(live, p1 * m[1, 0] * b0 / joint, 0)
+            if moved:
+                joint = norm * scale[t]
+                pairs[0, :, t] = np.where(live, p1 * m[1, 1] * e[:, t] * b1 / joint, 0)
+                pairs[1, :, t] = np.where(live, p0 * m[0, 1] * e[:, t] * b1 / joint, 0)
+                pairs[2, :, t] = np.where(live, p1 * m[1, 0] * b0 / joint, 0)
             n0, n1 = (m[0, 0] * b0 + m[0, 1] * e[:, t] * b1) / scale[t], (m[1, 0] * b0 + m[1, 1] * e[:, t] * b1) / scale[t]
             b0, b1 = np.where(live, n0, b0), np.where(live, n1, b1)
             top = np.maximum(b0, b1)
@@ -173,7 +176,7 @@ class Scorer(dict):
             total[first] += edge[0] - np.where(first > 0, before[first - 1], 0)
             total[last] += edge[1] - np.where(last + 1 < len(after), after[np.minimum(last + 1, len(after) - 1)], 0)
             emission[alive] = total
-            one = chain(emission, alive, self.field.start, self.field.moves)[0]
+            one = chain(emission, alive, self.field.start, self.field.moves, moved=False)[0]
             for k, i in enumerate(group):
                 out[i] = one[k, :sizes[k]]
         return out
@@ -233,17 +236,18 @@ def cues(toxic: list[tuple[list[int], np.ndarray]], clean: np.ndarray, n_clean:
     return found
 
 
-def train(windows: list[dict]) -> ToxicField:
-    """Fits the field to windows of ``features`` (tokens by feature slots) and ``labels``."""
+def train(windows: pa.Table) -> ToxicField:
+    """Fits the field to windows of ``features`` (tokens by feature slots), ``labels`` and ``y``, the label of the document."""
     slots = N_OWN + 2
-    longest = max(len(w["labels"]) for w in windows)
-    n = len(windows)
+    columns = {c: windows[c].combine_chunks() for c in ("features", "labels", "y")}
+    sizes = pc.list_value_length(columns["labels"]).to_numpy()
+    n, longest = len(sizes), int(sizes.max())
+    alive = np.arange(longest) < sizes[:, None]
     features = np.zeros((n, longest, slots), dtype=np.int32)
-    labels, alive = np.zeros((n, longest)), np.zeros((n, longest), dtype=bool)
-    for i, w in enumerate(windows):
-        t = len(w["labels"])
-        features[i, :t] = np.array(w["features"], dtype=np.int32).reshape(t, slots)
-        labels[i, :t], alive[i, :t] = w["labels"], True
+    features[alive] = columns["features"].flatten().to_numpy().reshape(-1, slots)
+    labels = np.zeros((n, longest))
+    labels[alive] = columns["labels"].flatten().to_numpy()
+    labels *= columns["y"].to_numpy()[:, None]
     flat = features[alive].ravel()
     weights, bias, start, moves = np.zeros(1 << BITS), -2.0, -2.0, np.zeros((2, 2))
     g_w, g_s = np.full(1 << BITS, 1e-8), np.full(5, 1e-8)
@@ -254,12 +258,12 @@ def train(windows: list[dict]) -> ToxicField:
     seen = np.array([(later * prior * labels).sum(), (later * (1 - prior) * labels).sum(), (later * prior * (1 - labels)).sum()])
     count = alive.sum()
     for _ in range(ROUNDS):
-        emission = weights[features].sum(axis=2) + bias
+        emission = sum(weights[features[:, :, k]] for k in range(slots)) + bias
         one, pairs, _ = chain(emission, alive, start, moves)
         gap = np.where(alive, labels - one, 0.0)
         grad = np.bincount(flat, weights=np.repeat(gap[alive], slots), minlength=1 << BITS) / n - DECAY * weights
-        moved = seen - pairs.sum(axis=(1, 2))
-        small = np.array([gap.sum() / count * 10, gap[:, 0].sum() / n, *(moved / n)])
+        turns = (seen - pairs.sum(axis=(1, 2))) / n
+        small = np.array([gap.sum() / count * 10, gap[:, 0].sum() / n, *turns])
         g_w += grad * grad
         g_s += small * small
         weights += RATE * grad / np.sqrt(g_w)
@@ -305,16 +309,20 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             return {"f": [sorted({x for w in set(ws) for x in cue_features(w)}) for ws in words], "s": [signatures(ws) for ws in words]}
         return work
 
-    per_doc = materialise(annotate(sample, "text", ["key", "y"], "f array<string>, s array<bigint>", listed).select("row.key", "row.y", "f", "s"), "features")
+    per_doc = materialise(annotate(sample, "text", ["key", "y"], "f array<bigint>, s array<bigint>", listed).select("row.key", "row.y", "f", "s"), "features")
     # Only what three toxic documents share can become a cue; these features are numbered.
     counts = (per_doc.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
               .filter(F.col("toxic") >= LEAST_LEFT).orderBy("f").toArrow())
-    number = {f: i for i, f in enumerate(counts["f"].to_pylist())}
-    toxic = per_doc.filter("y = 1").orderBy("key").select("s", "f").toArrow().to_pylist()
+    names = counts["f"].to_numpy()
     n_clean = per_doc.filter("y = 0").count()
-    found = cues([(x["s"], np.array([number[f] for f in x["f"] if f in number], dtype=np.int64)) for x in toxic], counts["clean"].to_numpy(), n_clean)
-    names = list(number)
-    marks = {names[i] for i in found}
+    toxic = per_doc.filter("y = 1").orderBy("key").select("s", "f").toArrow()
+    docs_of = []
+    for signs, f in zip(toxic["s"].to_pylist(), toxic["f"]):
+        own = f.values.to_numpy()
+        at = np.searchsorted(names, own)
+        docs_of.append((signs, at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == own)] if len(names) else at[:0]))
+    marks = set(names[sorted(cues(docs_of, counts["clean"].to_numpy(), n_clean))].tolist()) if len(names) else set()
+    del toxic, docs_of
     if not marks:
         return None
 
@@ -330,7 +338,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                 if words:
                     y = np.array([any(x in marks for x in cue_features(w)) for w in words])
                     at = np.flatnonzero(y)
-                    centres = at[np.linspace(0, len(at) - 1, min(4, len(at))).astype(int)].tolist() if len(at) else []
+                    centres = at[np.linspace(0, len(at) - 1, min(3, len(at))).astype(int)].tolist() if len(at) else []
                     for c in {*centres, int(rng.integers(len(words)))}:
                         a, b = max(0, c - WINDOW), c + WINDOW
                         near = words[max(0, a - 1):b + 1]
@@ -341,8 +349,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         return work
 
     cuts = annotate(sample, "text", ["y"], "w array<struct<features:array<int>,labels:array<int>>>", cut).select("row.y", F.explode("w").alias("w"))
-    windows = [{"features": r.features, "labels": r.labels if r.y else [0] * len(r.labels)} for r in cuts.select("y", "w.features", "w.labels").toLocalIterator()]
-    windows.sort(key=lambda w: (w["labels"], w["features"]))
+    windows = cuts.select("y", "w.features", "w.labels").orderBy(F.xxhash64("features"), "y").toArrow()
     field = train(windows)
     judged = score(sample, field, keep=["y"]).select("row.y", "evidence").toArrow()
     return calibrated(field, judged["evidence"].to_numpy(), judged["y"].to_numpy().astype(float))
