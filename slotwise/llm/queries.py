@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import decontaminate, language, mixing, pii, secrets, topk, toxicity, urls
+from slotwise.llm import decontaminate, language, mixing, pii, secrets, simhash, topk, toxicity, urls
 from slotwise.llm.texts import crc_of
 
 
@@ -58,6 +58,11 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.group(_table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select("row.doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 # The rules of the url filter, and the words that mark a host without a rule.
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 BLOCKED_WORDS = ("ads", "adult", "bet", "bets", "betting", "casino", "phishing", "pills", "poker", "porn", "slots", "spam", "xxx")
@@ -73,7 +78,7 @@ def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search(_table(spark, folder, "embeddings"), F.col("key") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_decontamination, op4_pii, op5_mixing, op7_language_id, op9_url_filter, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_decontamination, op4_pii, op5_mixing, op7_language_id, op8_simhash, op9_url_filter, op10_top_k)}
 SQL: dict[str, str] = {
     "op9_url_filter": f"""
 WITH cut AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
