@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import decontaminate, language, mixing, pii, secrets, simhash, topk, toxicity, urls
+from slotwise.llm import decontaminate, language, mixing, pii, repeats, secrets, simhash, topk, toxicity, urls
 from slotwise.llm.texts import crc_of
 
 
@@ -50,6 +50,11 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.deduplicate(_table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     remainder = crc_of("doc_id") % 4
@@ -78,7 +83,7 @@ def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search(_table(spark, folder, "embeddings"), F.col("key") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_decontamination, op4_pii, op5_mixing, op7_language_id, op8_simhash, op9_url_filter, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_decontamination, op4_pii, op5_mixing, op6_repeats, op7_language_id, op8_simhash, op9_url_filter, op10_top_k)}
 SQL: dict[str, str] = {
     "op9_url_filter": f"""
 WITH cut AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
