@@ -43,6 +43,7 @@ BITS = 20
 SIGNATURES = 3
 #: Lengths of word beginnings that are features, and the features of a token itself.
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
+END = 4
 N_OWN = 2 + len(BEGINNINGS)
 #: A cue must be this unlikely (decimal digits) if it had nothing to do with the label, and seen in this share of toxic documents.
 DIGITS, LEAST_SHARE, LEAST_DOCS = 8.0, 0.002, 5
@@ -57,27 +58,46 @@ _WORD = re.compile(r"\w+")
 TYPES = 400_000
 
 
-def _bucket(tag: str, value: str) -> int:
-    return xxhash.xxh32_intdigest(f"{tag}:{value}".encode("utf-8", "surrogatepass")) >> (32 - BITS)
-
-
 def cue_features(word: str) -> list[int]:
     """Digests of what can be a cue: the word, and its beginnings."""
     w = word.lower()
     return [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1 for x in (w, *(w[:n] + "*" for n in BEGINNINGS if n < len(w)))]
 
 
-def own_features(word: str) -> tuple[int, ...]:
-    w = word.lower()
-    return (_bucket("w", w), _bucket("end", w[-4:]), *(_bucket("p", w[:n] + "*" if n < len(w) else "") for n in BEGINNINGS))
+def _mixed(h: np.ndarray, slot: int) -> np.ndarray:
+    """Hashes of a feature slot as bucket numbers."""
+    h = (h ^ np.uint32(slot * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    return ((h * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS)).astype(np.int32)
+
+
+def _points(parts: list[str], width: int) -> np.ndarray:
+    return np.array(parts, dtype=f"U{width}").view(np.uint32).reshape(len(parts), width)
+
+
+def word_features(words: list[str]) -> np.ndarray:
+    """Feature buckets of each word: the word, its end, its beginnings, and what it is to the token after and before it."""
+    lows = [w.lower() for w in words]
+    whole = np.array([xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) for w in lows], dtype=np.uint32)
+    sizes = np.array([len(w) for w in lows])
+    out = np.empty((len(words), N_OWN + 2), dtype=np.int32)
+    out[:, 0] = _mixed(whole, 0)
+    for part, slots in ((_points([w[-END:] for w in lows], END), {END: 1}), (_points([w[:BEGINNINGS[-1]] for w in lows], BEGINNINGS[-1]), {n: 2 + i for i, n in enumerate(BEGINNINGS)})):
+        h = np.zeros(len(words), dtype=np.uint32)
+        for i in range(part.shape[1]):
+            h = (h ^ part[:, i]) * np.uint32(0x01000193)
+            h ^= h >> np.uint32(15)
+            if i + 1 in slots:
+                slot = slots[i + 1]
+                out[:, slot] = _mixed(np.where((slot == 1) | (sizes > i + 1), h, np.uint32(0)), slot)
+    out[:, -2], out[:, -1] = _mixed(whole, 100), _mixed(whole, 101)
+    return out
 
 
 def token_features(words: list[str]) -> np.ndarray:
     """One row per token: its own features and the words before and after."""
-    own = np.array([own_features(w) for w in words], dtype=np.int32).reshape(-1, N_OWN)
-    before = [_bucket("b", w.lower()) for w in ["", *words[:-1]]] if words else []
-    after = [_bucket("a", w.lower()) for w in [*words[1:], ""]] if words else []
-    return np.concatenate([own, np.array([before, after], dtype=np.int32).reshape(2, -1).T], axis=1)
+    rows = word_features(["", *words, ""])
+    return np.concatenate([rows[1:-1, :N_OWN], rows[:-2, -2:-1], rows[2:, -1:]], axis=1)
 
 
 def chain(emission: np.ndarray, alive: np.ndarray, start: float, moves: np.ndarray, moved: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,29 +154,34 @@ class ToxicField:
         return Scorer(self)
 
 
-class Scorer(dict):
-    """Emission parts of each word type, computed when the type is first met."""
+class Scorer:
+    """Emission parts of the word types met so far: of the word itself, and what it adds after and before it."""
 
     def __init__(self, field: ToxicField):
-        super().__init__()
         self.field = field
-        self.parts = np.empty((1024, 3))
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[str, int] = {"": 0}
+        self.parts = self.parts_of([""])
+
+    def parts_of(self, words: list[str]) -> np.ndarray:
+        w = self.field.weights[word_features(words)]
+        return np.stack([w[:, :N_OWN].sum(axis=1) + self.field.bias, w[:, -2], w[:, -1]], axis=1)
 
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.parts):
-            self.parts = np.concatenate([self.parts, np.empty_like(self.parts)])
-        w, low = self.field.weights, word.lower()
-        self.parts[at] = w[list(own_features(word))].sum() + self.field.bias, w[_bucket("b", low)], w[_bucket("a", low)]
-        self[word] = at
-        return at
+    def learn(self, texts: list[list[str]]) -> None:
+        if len(self.numbers) > TYPES:
+            self.forget()
+        new = sorted(set().union(*texts) - self.numbers.keys())
+        if new:
+            self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new))))
+            self.parts = np.concatenate([self.parts, self.parts_of(new)])
 
     def marginals(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Marginal of the toxic label of every token, per text; texts of like length run together."""
-        if len(self) > TYPES:
-            self.clear()
-        edge = self.field.weights[[_bucket("b", ""), _bucket("a", "")]]
-        ids = [np.fromiter(map(self.__getitem__, t), dtype=np.int64, count=len(t)) for t in texts]
+        self.learn(texts)
+        edge = self.parts[0, 1:]
+        ids = [np.fromiter(map(self.numbers.__getitem__, t), dtype=np.int64, count=len(t)) for t in texts]
         out: list[np.ndarray] = [np.zeros(0)] * len(texts)
         order = sorted((i for i in range(len(texts)) if texts[i]), key=lambda i: len(texts[i]))
         while order:
