@@ -13,6 +13,9 @@ plan moves to wider keys as the corpus grows.  A fingerprint is filed under its
 partition's value with every choice of t_i bits blanked; fingerprints that share
 a file are candidates and verified.
 
+For a similarity instead of a number of bits (:func:`one_of_similar`), a
+fingerprint of 512 bits is cut into 32 parts, looked up and verified alike.
+
 Equal fingerprints are one entry.  A file with many entries is walked breadth
 first over what is not yet reached, so it yields one link per entry, not all
 pairs; connected components of the links give the groups.
@@ -25,12 +28,12 @@ group; an empty table gives no rows; texts are read whole.
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import acos, comb, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.llm.components import roots
@@ -44,23 +47,33 @@ SAMPLE = 4096
 ROW_COST, PAIR_COST = 300.0, 1.0
 #: Files of up to so many entries are compared all against all in one sweep.
 SMALL = 64
+# Fingerprints for a similarity: words of a shingle, blocks of 64 bits, bits in all, bits of a part that is looked up.
+WIDE_SHINGLE, BLOCKS, PART = 5, 8, 16
+WIDE = BLOCKS * BITS
 
 
-def fingerprint(text: str | None) -> int:
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the shingles of ``size`` words, repeats included; none for a text without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return 0
     whole = b" ".join(words)
-    if len(words) <= SHINGLE:
-        return xxhash.xxh64_intdigest(whole, SEED)
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(whole, SEED)] if words else [], dtype=np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-    starts = [0, *ends[:-SHINGLE].tolist()]
+    starts = [0, *ends[:-size].tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(whole[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1:] - 1).tolist())], dtype=np.uint64)
+    return np.array([digest(whole[a:b], SEED) for a, b in zip(starts, (ends[size - 1:] - 1).tolist())], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half of the hashes, as bytes."""
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 14):
         ones += np.unpackbits(hashes[at:at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    return np.packbits(ones * 2 > len(hashes), bitorder="little")
+
+
+def fingerprint(text: str | None) -> int:
+    return int(majority(shingle_hashes(text)).view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -230,6 +243,132 @@ def group(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: list[s
     return stored.join(grouped(stored.select("fp", "id"), reach), "fp")
 
 
+def wide_fingerprint(text: str | None) -> bytes:
+    """A fingerprint of ``BLOCKS`` times 64 bits over shingles of ``WIDE_SHINGLE`` words; each block remixes the hashes."""
+    hashes = shingle_hashes(text, WIDE_SHINGLE)
+    out = []
+    for i in range(BLOCKS):
+        h = (hashes ^ np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0x94D049BB133111EB)
+        out.append(majority(h ^ h >> np.uint64(29)))
+    return np.concatenate(out).tobytes()
+
+
+def reach_of(similarity: float) -> int:
+    """Bits of a wide fingerprint in which texts of that Jaccard similarity differ, with one standard deviation of room."""
+    share_of_bits = acos(2 * similarity / (1 + similarity)) / pi
+    return int(WIDE * share_of_bits + sqrt(WIDE * share_of_bits * (1 - share_of_bits)))
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One edge from each node but the smallest of its component to that smallest, for the edges (a, b)."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, other = at[:len(a)], at[len(a):]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[one], label[other])
+        new = label.copy()
+        np.minimum.at(new, one, least)
+        np.minimum.at(new, other, least)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    apart = label != np.arange(len(nodes))
+    return nodes[apart], nodes[label[apart]]
+
+
+def wide_links_of_file(prints: np.ndarray, reach: int) -> list[tuple[int, int]]:
+    """As :func:`links_of_file` for rows of 64-bit words; pairs of row numbers."""
+    left, out = np.arange(len(prints)), []
+    while len(left) > 1:
+        seed, left = int(left[0]), left[1:]
+        front = [seed]
+        while front and len(left):
+            x = front.pop()
+            near = np.bitwise_count(prints[left] ^ prints[x]).sum(axis=1) <= reach
+            found = left[near].tolist()
+            out += [(i, seed) for i in found]
+            front += found
+            left = left[~near]
+    return out
+
+
+def similar_links(prints: DataFrame, reach: int) -> DataFrame:
+    """Edges (a, b) between the nodes of rows (node, wide) that share a ``PART`` of their bits and differ in ``reach`` at most.
+
+    The parts are partitions with threshold zero: any two fingerprints that
+    differ in fewer bits than there are parts share one; of those that differ in
+    more, the README gives the share that is found.
+    """
+    def file(batches):
+        for batch in batches:
+            wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, WIDE // PART)
+            parts = wide.shape[1]
+            files = wide.astype(np.int64) | np.arange(parts, dtype=np.int64) << PART
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), parts))
+            yield pa.RecordBatch.from_arrays([pa.array(files.ravel()), batch.column(0).take(rows), batch.column(1).take(rows)], names=["file", "node", "wide"])
+
+    def compare(batches):
+        held: list[pa.RecordBatch] = []
+
+        def out(table):
+            files, nodes = table.column(0).to_numpy(), table.column(1).to_numpy()
+            words = np.frombuffer(b"".join(table.column(2).to_pylist()), dtype=np.uint64).reshape(len(files), BLOCKS)
+            heads = np.flatnonzero(np.diff(files, prepend=files[0] - 1))
+            ends = np.append(heads[1:], len(files))
+            pairs = [(h + i, h + j) for h, e in zip(heads.tolist(), ends.tolist()) if e - h > SMALL for i, j in wide_links_of_file(words[h:e], reach)]
+            a, b = [np.array([p[0] for p in pairs], dtype=np.int64)], [np.array([p[1] for p in pairs], dtype=np.int64)]
+            end = np.repeat(ends, ends - heads)
+            rows = np.flatnonzero(np.repeat(ends - heads <= SMALL, ends - heads))
+            for d in range(1, SMALL):
+                rows = rows[rows + d < end[rows]]
+                if not len(rows):
+                    break
+                near = np.bitwise_count(words[rows] ^ words[rows + d]).sum(axis=1) <= reach
+                a.append(rows[near])
+                b.append(rows[near] + d)
+            # Stars to the smallest node: files that hold the same group yield the same few edges.
+            x, y = stars(nodes[np.concatenate(a)], nodes[np.concatenate(b)])
+            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            first, last = held[0].column(0)[0].as_py(), batch.column(0)[-1].as_py()
+            if first != last:
+                table = pa.Table.from_batches(held).combine_chunks()
+                whole = int(np.searchsorted(table.column(0).to_numpy(), last))
+                yield out(table.slice(0, whole))
+                held = table.slice(whole).combine_chunks().to_batches()
+        if held:
+            yield out(pa.Table.from_batches(held).combine_chunks())
+
+    filed = prints.select("node", "wide").mapInArrow(file, "file bigint, node bigint, wide binary")
+    return filed.repartition("file").sortWithinPartitions("file").mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def one_of_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = 0.8) -> DataFrame:
+    """One document of each group of similar texts stays, the one with the smallest id, in the documents' own columns.
+
+    Texts link at a Jaccard similarity of ``similarity`` or more over shingles of
+    ``WIDE_SHINGLE`` words, as wide fingerprints estimate it.
+    """
+    mark = F.xxhash64(F.col(f"`{text}`").cast("string"))
+    thin = docs.select(F.col(f"`{key}`").alias("id"), mark.alias("mark"), F.col(f"`{text}`").cast("string").alias("text"))
+    prints = annotate(thin, "text", ["id", "mark"], "wide binary", lambda: lambda texts: {"wide": [wide_fingerprint(t) for t in texts]})
+    prints = materialise(prints.select("row.id", "row.mark", "wide", F.xxhash64("wide").alias("node")), "wide")
+    alike = materialise(prints.groupBy("node").agg(F.any_value("wide").alias("wide")), "nodes")
+    near = materialise(roots(similar_links(alike, reach_of(similarity))), "roots")
+    member = prints.select("id", "mark", "node").join(near, "node", "left").select("id", "mark", F.coalesce("root", "node").alias("root"))
+    first = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first")).select("first.id", "first.mark")
+    # Repeated rows of the one that stays: the join has brought them together by id and text.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).alias("id"), mark.alias("mark"))
+    first = first.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "mark")
+    one = Window.partitionBy("id", "mark").orderBy(F.lit(1))
+    return keyed.join(first, ["id", "mark"]).withColumn("n", F.row_number().over(one)).filter("n = 1").select("row.*")
+
+
 def one_of_each(found: DataFrame) -> DataFrame:
     """Of :func:`group`'s rows one per component, the one with the smallest id, in the documents' own columns."""
     first = found.groupBy("component_id").agg(F.min_by("uid", F.struct(F.col("id").isNull(), "id", "uid")).alias("uid")).select("uid")

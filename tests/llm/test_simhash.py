@@ -122,3 +122,42 @@ def test_one_document_of_each_group_stays(spark, folder, documents):
     kept = simhash.one_of_each(simhash.group(docs))
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "None"]
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t.lower().split()[i:i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_texts(spark, folder, documents):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(60):
+        words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(rng.randint(80, 300))]
+        texts.append(" ".join(words))
+        for edits in ([], [0, 2, 40, 80], [1])[rng.randint(0, 2)]:
+            other = list(words)
+            for _ in range(edits):
+                other[rng.randrange(len(other))] = "changed"
+            texts.append(" ".join(other))
+    texts += [texts[0], None, "", "a b", "a b c"]
+    path = folder(documents=documents(texts, extra=("id", "mark", "wide", "n")))
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    kept = simhash.one_of_similar(docs)
+    assert kept.columns == docs.columns
+    ids = {r.doc_id for r in kept.collect()}
+    n = len(texts) - 5
+    missed = near = 0
+    for i in range(n):
+        best = max((jaccard(texts[i], texts[j]) for j in range(i)), default=0)
+        if best >= 0.8:
+            near += 1
+            missed += i in ids
+        elif best < 0.6:
+            assert i in ids
+    assert near > 20 and missed <= 0.1 * near
+    assert not {n, n + 2} & ids and {n + 1, n + 3, n + 4} <= ids
+    twice = folder(documents=documents(["a b", "a b", "c d", "c d"], ids=[4, 4, None, None]))
+    got = simhash.one_of_similar(spark.read.parquet(f"{twice}/documents.parquet")).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["4", "None"]
+    assert simhash.one_of_similar(spark.read.parquet(f"{folder(documents=documents([]))}/documents.parquet")).count() == 0
