@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.functions.keys import col
@@ -64,8 +64,8 @@ def easter_sunday(year: Column) -> Column:
     return F.make_date(year.cast("int"), div(s, 31).cast("int"), (s % 31 + 1).cast("int"))
 
 
-def bank_holidays(spark: SparkSession, first_year: int = 1995, last_year: int = 2030) -> DataFrame:
-    """England and Wales bank holidays by rule; one row per date (about 8 per year)."""
+def bank_holidays(dates: DataFrame, date: str = "settlement_date") -> DataFrame:
+    """England and Wales bank holidays by rule for every year that ``date`` holds; one row per holiday (about 8 per year)."""
     y = F.col("year").cast("int")
 
     def first_monday(month: int) -> Column:
@@ -112,7 +112,7 @@ def bank_holidays(spark: SparkSession, first_year: int = 1995, last_year: int =
         .when(F.weekday(boxing) == 0, F.date_add(boxing, 1))
         .otherwise(boxing),
     )
-    years = spark.range(first_year, last_year + 1).select(F.col("id").alias("year"))
+    years = dates.select(F.year(date).alias("year")).where("year IS NOT NULL").distinct()
     special = F.array(*[F.lit(x).cast("date") for x in one_off])
     return (
         years.select(F.explode(F.concat(regular, F.filter(special, lambda s: F.year(s) == y))).alias("holiday_date"))

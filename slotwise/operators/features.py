@@ -159,8 +159,8 @@ def join_price_index(df: DataFrame, cpi: DataFrame, date: str = "settlement_date
 
 
 def add_calendar(df: DataFrame) -> DataFrame:
-    """Calendar parts, cycles, flags and England holidays (a generated table of about 300 rows)."""
-    hol = bank_holidays(df.sparkSession).select(F.col("holiday_date").alias("settlement_date"), F.lit(1).alias("_h"))
+    """Calendar parts, cycles, flags and England holidays (a generated table of about 8 rows per year of the data)."""
+    hol = bank_holidays(df).select(F.col("holiday_date").alias("settlement_date"), F.lit(1).alias("_h"))
     out = df.withColumns(calendar_parts() | calendar_cycles() | calendar_flags())
     out = out.join(F.broadcast(hol), "settlement_date", "left")
     return out.withColumn("is_holiday", F.coalesce("_h", F.lit(0))).drop("_h").withColumn(

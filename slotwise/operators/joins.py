@@ -66,14 +66,13 @@ def as_of(targets: DataFrame, publications: DataFrame, key: Sequence[str], targe
     """
     when = F.col(published)
     shifted = when - F.make_dt_interval(hours=F.lit(cutoff_hour))
-    # A cutoff c = noon(D-1) admits c-24h <= t <= c: D is the day after the next noon at or after t.
-    days_back = reach_hours // 24
+    # A cutoff c = noon(D-1) admits c - reach <= t <= c: D - 1 runs from the next noon at or after t to the last one within reach.
     first = F.when(shifted == F.to_date(shifted).cast("timestamp_ntz"), F.to_date(shifted)).otherwise(
         F.date_add(F.to_date(shifted), 1))
     # Closed at both ends: a publication exactly at noon also closes the next day's window.
-    last = F.date_add(F.to_date(shifted), days_back)
+    last = F.to_date(shifted + F.make_dt_interval(hours=F.lit(reach_hours)))
     p = publications.where(when.isNotNull()).select(
-        *key, published, *values, F.explode(F.sequence(F.date_add(first, 1), F.date_add(last, 1))).alias(target_date))
+        *key, published, *values, F.explode(F.when(last >= first, F.sequence(F.date_add(first, 1), F.date_add(last, 1)))).alias(target_date))
     best = p.groupBy(*key, target_date).agg(
         F.max_by(F.struct(published, *values), F.struct(published, *values)).alias("_b"))
     return targets.join(best, [*key, target_date], "left").select(
@@ -85,9 +84,10 @@ def latest_run(df: DataFrame, published: str) -> DataFrame:
     return df.where(F.col(published) == df.agg(F.max(published)).scalar())
 
 
-def with_code(df: DataFrame, prices: DataFrame, default: str = "N") -> DataFrame:
-    codes = prices.select(*KEY, F.col("price_derivation_code").alias("_code"))
-    return df.join(codes, KEY, "left").withColumn("price_derivation_code", F.coalesce("_code", F.lit(default))).drop("_code")
+def with_code(df: DataFrame, prices: DataFrame, default: str = "N", keys: Sequence[str] = KEY) -> DataFrame:
+    """Rows with the code of their slot; ``keys`` has the series too where there are several."""
+    codes = prices.select(*keys, F.col("price_derivation_code").alias("_code"))
+    return df.join(codes, list(keys), "left").withColumn("price_derivation_code", F.coalesce("_code", F.lit(default))).drop("_code")
 
 
 def fill_from(df: DataFrame, fallback: DataFrame, value: str, keys: Sequence[str] = KEY) -> DataFrame:
@@ -122,7 +122,9 @@ def horizon_columns(df: DataFrame, horizons: Sequence[int], value: str = "ssp",
 
 
 def blend(readings: DataFrame, keys: Sequence[str], location: str, weights: dict[str, float], values: Sequence[str]) -> DataFrame:
-    """Weighted sum over locations; the weights are a literal map, so no join is needed."""
-    w = F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col(location))
-    known = readings.where(F.col(location).isin(*weights))
-    return known.groupBy(*keys).agg(*[F.sum(F.col(v) * w).alias(v) for v in values])
+    """Weighted sum over locations; the weights are a literal map, so no join is needed.
+
+    A location without a weight adds nothing; a key that has only such gets NULL.
+    """
+    w = F.try_element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col(location))
+    return readings.groupBy(*keys).agg(*[F.sum(F.col(v) * w).alias(v) for v in values])

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotwise.operators.ordered import exact_quantiles
@@ -137,7 +138,8 @@ def level_sweep(daily: DataFrame, features: Sequence[str], label: str, configs:
     sums = _cross_products(features, [label, "_asinh"])
     by_date = d.groupBy("settlement_date").agg(F.count("*").alias("n"), *[c.alias(n) for n, c in sums.items()])
     spread = by_date.withColumn("_c", F.explode(cells)).select("*", "_c.*").drop("_c").where(in_train).withColumn("_w", weight)
-    g = spread.groupBy(*keys, "transform").agg(F.sum("n").alias("n_train"), *[F.sum(F.col(n) * F.col("_w")).alias(n) for n in sums])
+    # One row per date: the days of a window, however many series they hold.
+    g = spread.groupBy(*keys, "transform").agg(F.count("*").alias("n_train"), *[F.sum(F.col(n) * F.col("_w")).alias(n) for n in sums])
     gram = F.array(*[n for n in sums if n.startswith("g_")])
     rhs = F.when(F.col("transform") == "asinh", F.array(*[f"r__asinh_{i}" for i in range(k)])).otherwise(
         F.array(*[f"r_{label}_{i}" for i in range(k)]))
@@ -148,9 +150,8 @@ def level_sweep(daily: DataFrame, features: Sequence[str], label: str, configs:
     rows = d.withColumn("_c", F.explode(models)).select("settlement_date", label, *features, "_c.*")
     rows = rows.withColumn("pred", F.when(F.col("transform") == "asinh", F.sinh(z) * scale).otherwise(z))
     err = F.col(label) - F.col("pred")
-    band = rows.where(in_train).groupBy(*keys).agg(F.percentile_approx(err, [0.1, 0.9], 10000).alias("_r"))
-    t = rows.where(in_test).join(F.broadcast(band), keys).withColumns(
-        {"lo": F.col("pred") + F.col("_r")[0], "hi": F.col("pred") + F.col("_r")[1]})
+    band = exact_quantiles(rows.where(in_train).withColumn("_e", err), keys, "_e", {"_r10": 0.1, "_r90": 0.9})
+    t = rows.where(in_test).join(band, keys).withColumns({"lo": F.col("pred") + F.col("_r10"), "hi": F.col("pred") + F.col("_r90")})
 
     def pin(c, q):
         e = F.col(label) - F.col(c)
@@ -178,11 +179,12 @@ def quantile_forest(train: DataFrame, score: DataFrame, features: Sequence[str],
                     rounds: int = 20, depth: int = 4, seed: int = 42) -> DataFrame:
     """Boosted median with P10 / P90 from training residual quantiles per key; missing quantile fits have no MLlib twin."""
     from pyspark.ml.regression import GBTRegressor
-    tr = assemble(train.dropna(subset=[label]), features)
+    labelled = train.dropna(subset=[label])
+    tr = assemble(labelled, features)
     m = GBTRegressor(labelCol=label, featuresCol="features", lossType="absolute", maxIter=rounds, maxDepth=depth, seed=seed).fit(tr)
     resid = m.transform(tr).select(*keys, (F.col(label) - F.col("prediction")).alias("_e"))
     q = exact_quantiles(resid, keys, "_e", {"_r10": 0.1, "_r90": 0.9})
-    out = m.transform(assemble(score, features, train)).drop("features", *[f"{c}__i" for c in features], *[f"{c}__na" for c in features])
+    out = m.transform(assemble(score, features, labelled)).drop("features", *[f"{c}__i" for c in features], *[f"{c}__na" for c in features])
     out = out.join(q, list(keys), "left") if keys else out.withColumn("_q", q.select(F.struct("*")).scalar()).select("*", "_q.*").drop("_q")
     return out.withColumns({"q50": F.col("prediction"), "q10": F.least(F.col("prediction") + F.col("_r10"), "prediction"),
                             "q90": F.greatest(F.col("prediction") + F.col("_r90"), "prediction")}).drop("prediction", "_r10", "_r90")
@@ -201,11 +203,12 @@ def day_probability(train: DataFrame, score: DataFrame, features: Sequence[str],
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler
     from pyspark.ml.functions import vector_to_array
-    tr = balanced(assemble(train.dropna(subset=[label]), features), label)
+    labelled = train.dropna(subset=[label])
+    tr = balanced(assemble(labelled, features), label)
     pipe = Pipeline(stages=[
         StandardScaler(inputCol="features", outputCol="z", withMean=True, withStd=True),
         LogisticRegression(featuresCol="z", labelCol=label, weightCol="_w", regParam=0.01, maxIter=100)]).fit(tr)
-    res = pipe.transform(assemble(score, features, train))
+    res = pipe.transform(assemble(score, features, labelled))
     return res.withColumn(out, vector_to_array("probability")[1]).select(*score.columns, out)
 
 
@@ -229,9 +232,13 @@ def calibrated_spike_scores(df: DataFrame, key: Sequence[str], features: Sequenc
     for f in range(folds):
         part = day_probability(d.where(F.col("_fold") != f), d.where(F.col("_fold") == f), features, label, "raw")
         out = part if out is None else out.unionByName(part)
-    iso = IsotonicRegression(featuresCol="raw", labelCol=label, predictionCol="p").fit(
-        out.select("raw", F.col(label).cast("double").alias(label)))
-    return iso.transform(out).drop("_fold")
+    iso = IsotonicRegression(featuresCol="raw", labelCol=label, predictionCol="p")
+    scores = out.select("_fold", "raw", F.col(label).cast("double").alias(label))
+    mapped = None
+    for f in range(folds):
+        part = iso.fit(scores.where(F.col("_fold") != f)).transform(out.where(F.col("_fold") == f))
+        mapped = part if mapped is None else mapped.unionByName(part)
+    return mapped.drop("_fold")
 
 
 def shuffled(df: DataFrame, feature: str, seed: int) -> DataFrame:
@@ -244,10 +251,15 @@ def shuffled(df: DataFrame, feature: str, seed: int) -> DataFrame:
     from slotwise.operators.ordered import running_by_value
     a = df.withColumn("_h", F.xxhash64("row_id", F.lit(seed)))
     b = df.select("row_id", feature).withColumn("_h", F.xxhash64("row_id", F.lit(seed + 1_000_003)))
-    ra = running_by_value(a, [], "_h", {"n": F.count(F.lit(1))}).select("_h", F.col("cum_n").alias("_rank"))
-    rb = running_by_value(b, [], "_h", {"n": F.count(F.lit(1))}).select("_h", F.col("cum_n").alias("_rank"))
-    left = a.drop(feature).join(ra, "_h").drop("_h")
-    right = b.join(rb, "_h").select("_rank", feature)
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        # Rows of one hash follow each other by their id, so every row has a rank of its own.
+        before = running_by_value(rows, [], "_h", {"n": F.count(F.lit(1))}).select("_h", (F.col("cum_n") - F.col("n")).alias("_before"))
+        tie = F.row_number().over(W.partitionBy("_h").orderBy("row_id"))
+        return rows.join(before, "_h").withColumn("_rank", F.col("_before") + tie).drop("_before", "_h")
+
+    left = ranked(a).drop(feature)
+    right = ranked(b).select("_rank", feature)
     return left.join(right, "_rank").drop("_rank")
 
 
@@ -297,7 +309,7 @@ def profile_design(days: DataFrame, market: DataFrame | None = None, keys: Seque
     if market is not None:
         m = market.select(F.date_add("settlement_date", 1).alias("settlement_date"), F.col("mid_mean").alias("mid_lag1"))
         out = out.join(m, "settlement_date", "left").withColumn("ssp_mid_spread_lag1", F.col("dmean_lag1") - F.col("mid_lag1"))
-    hol = bank_holidays(days.sparkSession).select(F.col("holiday_date").alias("settlement_date"), F.lit(1.0).alias("_h"))
+    hol = bank_holidays(days).select(F.col("holiday_date").alias("settlement_date"), F.lit(1.0).alias("_h"))
     out = out.join(F.broadcast(hol), "settlement_date", "left").withColumn("is_holiday", F.coalesce("_h", F.lit(0.0))).drop("_h")
     return out.withColumns({f"dow_{i}": (F.weekday("settlement_date") == i).cast("double") for i in range(7)})
 
@@ -368,8 +380,15 @@ def slot_lasso(rows: DataFrame, train_until: str, keys: Sequence[str] = ("series
         x = np.stack(pdf["x"].to_numpy()).astype(float)
         y = pdf["y"].to_numpy(dtype=float)
         tr = pdf["train"].to_numpy(dtype=bool)
-        if tr.sum() < 5 or (~tr).sum() == 0:
+        if (~tr).sum() == 0:
             return pd.DataFrame(columns=cols)
+        if tr.sum() < 5:
+            # Too little to learn from: the slot stays, without a forecast.
+            out = pdf.loc[~tr, [*on, "settlement_date"]].copy()
+            out["actual"] = y[~tr]
+            for c in ("q10", "q50", "q90", "alpha", "coef"):
+                out[c] = None
+            return out[cols]
         med_x = np.nanmedian(x[tr], axis=0)
         x = np.where(np.isnan(x), np.where(np.isnan(med_x), 0.0, med_x), x)
         mu, sd = x[tr].mean(0), x[tr].std(0)
@@ -401,7 +420,7 @@ def top_coefficients(pred: DataFrame, names: Sequence[str], n: int = 15, keys: S
 
 
 # -- recursive roll-out -----------------------------------------------------------
-def rollout(history: DataFrame, future: DataFrame, weights: dict[str, float], keys: Sequence[str] = ("series",),
+def rollout(history: DataFrame, future: DataFrame, weights: dict[str, float | str], keys: Sequence[str] = ("series",),
             cap: float | None = None, memory: int = 48) -> DataFrame:
     """Slot-by-slot forecast of a day, each step feeding the next; days run in parallel.
 
@@ -409,11 +428,12 @@ def rollout(history: DataFrame, future: DataFrame, weights: dict[str, float], ke
     the day, newest last. ``future``: (keys, target_date, settlement_period,
     base), base being the part of the forecast that does not depend on the
     day's own slots. ``weights`` are the coefficients of lag_1, lag_2, lag_48
-    and the rolling mean, minimum and maximum of 6 slots. The fold is a built-in
+    and the rolling mean, minimum and maximum of 6 slots: numbers, or names of
+    columns of ``future``. The fold is a built-in
     ``aggregate`` over at most 50 steps.
     """
     on = [*keys, "target_date"]
-    steps = future.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("settlement_period", "base"))).alias("steps"))
+    steps = future.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("settlement_period", "base", *dict.fromkeys(w for w in weights.values() if isinstance(w, str))))).alias("steps"))
     d = history.join(steps, on)
 
     def push(acc, s):
@@ -426,7 +446,7 @@ def rollout(history: DataFrame, future: DataFrame, weights: dict[str, float], ke
         }
         y = s["base"]
         for n, w in weights.items():
-            y = y + terms[n] * float(w)
+            y = y + terms[n] * (s[w] if isinstance(w, str) else float(w))
         fed = F.least(F.greatest(y, F.lit(-500.0)), F.lit(float(cap))) if cap is not None else y
         nxt = F.concat(F.slice(buf, -(memory - 1), memory - 1), F.array(fed))
         return F.struct(nxt.alias("buf"), F.concat(acc["out"], F.array(F.struct(

@@ -16,24 +16,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Fewest ranges of an order; a session with more shuffle partitions gets as many ranges.
 BUCKETS = 64
 
 
+def _ranges(df: DataFrame) -> int:
+    return max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _with(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which a NULL key meets a NULL key."""
+    r = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(r, on).drop(*[f"_r_{k}" for k in keys])
+
+
 def running_by_value(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     sums: dict[str, Column],
     descending: bool = False,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """One row per (keys, distinct value) with each sum, its running total ``cum_*`` and grand total ``all_*``."""
     keys = list(keys)
     names = list(sums)
     per_value = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[c.alias(n) for n, c in sums.items()])
+    buckets = buckets or _ranges(df)
     cuts = [i / buckets for i in range(1, buckets)]
-    splits = per_value.groupBy(*keys).agg(F.percentile_approx(value, cuts, 1000).alias("_splits"))
-    cut = per_value.join(splits, keys) if keys else per_value.withColumn("_splits", splits.scalar())
+    splits = per_value.groupBy(*keys).agg(F.percentile_approx(value, cuts, 16 * buckets).alias("_splits"))
+    cut = _with(per_value, splits, keys) if keys else per_value.withColumn("_splits", splits.scalar())
     ranged = cut.withColumn("_range", F.size(F.filter("_splits", lambda s: s < F.col(value)))).drop("_splits")
     order = F.col("_range").desc() if descending else F.col("_range").asc()
     # These two windows run over at most ``buckets`` rows per key.
@@ -47,7 +60,7 @@ def running_by_value(
     )
     vorder = F.col(value).desc() if descending else F.col(value).asc()
     inside = W.partitionBy(*keys, "_range").orderBy(vorder).rowsBetween(W.unboundedPreceding, 0)
-    out = ranged.join(offsets, [*keys, "_range"])
+    out = _with(ranged, offsets, [*keys, "_range"])
     return out.select(
         *keys, value, *names,
         *[(F.col(f"_o_{n}") + F.sum(n).over(inside)).alias(f"cum_{n}") for n in names],
@@ -62,7 +75,7 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, rank: str = "a
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], buckets: int = BUCKETS
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], buckets: int | None = None
 ) -> DataFrame:
     """Linear-interpolated exact quantiles, one row per key: ``{column: probability}``, for groups of any size."""
     r = running_by_value(df, keys, value, {"_n": F.count(F.lit(1))}, buckets=buckets)

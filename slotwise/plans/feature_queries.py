@@ -219,8 +219,9 @@ SELECT settlement_date, CAST(d IS NOT NULL AS INTEGER) AS is_holiday,
        CAST(d IS NULL AND dayofweek(settlement_date) BETWEEN 1 AND 5 AS INTEGER) AS is_business_day
 FROM c_daily LEFT JOIN hol ON d = settlement_date""")
 def holidays_flagged(t: Tables):
-    h = F.broadcast(bank_holidays(t.spark).withColumn("h", F.lit(1)))
-    d = I.daily_orders(t).join(h, F.col("settlement_date") == F.col("holiday_date"), "left")
+    days = I.daily_orders(t)
+    h = F.broadcast(bank_holidays(days).withColumn("h", F.lit(1)))
+    d = days.join(h, F.col("settlement_date") == F.col("holiday_date"), "left")
     return d.select("settlement_date", F.coalesce("h", F.lit(0)).alias("is_holiday"),
                     (F.col("h").isNull() & (F.weekday("settlement_date") < 5)).cast("int").alias("is_business_day"))
 

@@ -306,7 +306,7 @@ def shipment_vwap(t: Tables):
 @query("D5", rnd="temp_c wind_ms", sql="""
 WITH h AS (SELECT date_trunc('hour', ts) AS datetime_utc, event_type, CAST(sum(k) AS DOUBLE) / count(*) / 4 AS temp_c, CAST(sum(dval) AS DOUBLE) / count(*) / 5 AS wind_ms FROM c_ev GROUP BY 1, 2),
 w AS (SELECT *, CASE event_type WHEN 'view' THEN 0.6 WHEN 'click' THEN 0.2 WHEN 'signup' THEN 0.2 END AS wt FROM h)
-SELECT datetime_utc, sum(temp_c * wt) AS temp_c, sum(wind_ms * wt) AS wind_ms FROM w WHERE wt IS NOT NULL GROUP BY 1""")
+SELECT datetime_utc, sum(temp_c * wt) AS temp_c, sum(wind_ms * wt) AS wind_ms FROM w GROUP BY 1""")
 def location_blend(t: Tables):
     from slotwise.operators.joins import blend
     h = I.slot_events(t).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("datetime_utc"), "event_type").agg(

@@ -193,9 +193,11 @@ def fitted_rollout(t: Tables):
     d = materialise(d, "roll")
     train, test = _split(d, "2024-01-22")
     names = ["ssp_lag_1", "ssp_lag_2", "ssp_lag_48", "ssp_roll_mean_6"]
-    beta = L.grouped_least_squares(train, ["series"], names, "ssp").first()["beta"]
-    w = dict(zip(["lag_1", "lag_2", "lag_48", "roll_mean_6"], beta[1:]))
-    fut = test.select("series", F.col("settlement_date").alias("target_date"), "settlement_period", F.lit(float(beta[0])).alias("base"))
+    # Each series has its own coefficients; a series without a fit has no roll-out.
+    beta = L.grouped_least_squares(train, ["series"], names, "ssp").select("series", "beta")
+    w = {n: f"w_{n}" for n in ("lag_1", "lag_2", "lag_48", "roll_mean_6")}
+    fut = test.join(beta, "series").select("series", F.col("settlement_date").alias("target_date"), "settlement_period", F.col("beta")[0].alias("base"),
+                                           *[F.col("beta")[i].alias(c) for i, c in enumerate(w.values(), 1)])
     out = L.rollout(L.last_prices(d, "ssp"), fut, w, cap=500.0)
     j = out.join(test.select("series", F.col("settlement_date").alias("target_date"), "settlement_period", "ssp_raw"),
                  ["series", "target_date", "settlement_period"])

@@ -28,7 +28,7 @@ def _land(df, label: str, partitions: str | None = None):
 @query("I1 I2 B4", rnd="total", sql="""
 SELECT event_type AS series, settlement_date, settlement_period, CAST(sum(dval) AS DOUBLE) AS total, count(*) AS n FROM c_ev GROUP BY 1, 2, 3""")
 def streamed_slots(t: Tables):
-    events = SF.landed_stream(t.spark, t.folder, glob="events.parquet")
+    events = SF.landed_stream(t.spark, t.path("events"))
     return SF.drain(SF.event_slots(events, F.col("event_type"), "40 days"), ["series", *KEY], "slots")
 
 
@@ -36,7 +36,7 @@ def streamed_slots(t: Tables):
 WITH w AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) + INTERVAL 30 MINUTE * CAST(g.i AS INTEGER) AS window_end, dval FROM c_ev CROSS JOIN (SELECT unnest(range(1, 49)) AS i) g)
 SELECT window_end, count(*) AS n, CAST(sum(dval) AS DOUBLE) / count(*) AS mean_value FROM w GROUP BY 1""")
 def streamed_day_means(t: Tables):
-    events = SF.landed_stream(t.spark, t.folder, glob="events.parquet")
+    events = SF.landed_stream(t.spark, t.path("events"))
     return SF.drain(SF.sliding_day(events, "40 days"), ["window_end"], "sliding")
 
 

@@ -58,10 +58,11 @@ def merge_into(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[st
     overwrite, so a failed job never leaves a half-read partition. ``keep`` is
     first (stored row stays), last (new row wins) or newest (``order`` decides).
     """
+    # Read once more per step below: a micro-batch would be computed anew each time.
+    new = materialise(new, "batch")
     old = spark.read.parquet(path)
     touched = new.select(partition).distinct()
-    affected = old.join(F.broadcast(touched), partition, "left_semi") if _few(touched) else old.join(
-        touched, partition, "left_semi")
+    affected = old.join(touched, partition, "left_semi")
     kept = affected.select(*new.columns)
     if keep == "newest":
         # Stored and new rows compete under ``order`` alone, so a late old version never wins.
@@ -70,8 +71,3 @@ def merge_into(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[st
         out = (upsert_last_wins if keep == "last" else append_first_wins)(kept, new, keys, order)
     merged = materialise(out, "merge")
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-
-
-def _few(df: DataFrame, limit: int = 100_000) -> bool:
-    """Whether a one-column key table is proven small enough to broadcast."""
-    return df.limit(limit + 1).count() <= limit

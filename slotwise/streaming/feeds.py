@@ -19,14 +19,16 @@ from slotwise.session import fresh_path
 
 
 def landed_stream(spark: SparkSession, path: str, schema=None, glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
-    """Stream over parquet files landing in a folder."""
+    """Stream over parquet files landing in a folder, or over a table that may be one file or a folder of files."""
     schema = schema or spark.read.parquet(f"{path.rstrip('/')}/{glob}" if glob else path).schema
     r = spark.readStream.schema(schema)
     if glob:
         r = r.option("pathGlobFilter", glob)
     if files_per_batch:
         r = r.option("maxFilesPerTrigger", files_per_batch)
-    return r.parquet(path)
+    # As a pattern, a path may name a file as well as a folder.
+    path = path.rstrip("/")
+    return r.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run_updates(stream: DataFrame, path: str, checkpoint: str, mode: str = "update",
@@ -79,8 +81,12 @@ def sliding_day(events: DataFrame, late: str = "2 days") -> DataFrame:
 
 
 def feed_status(slots: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Settled count and latest slot per published day, kept current as rows arrive."""
-    return slots.groupBy(*keys).agg(F.count("*").alias("n_actual"), F.max("settlement_period").alias("last_sp"))
+    """Settled slots and latest slot per published day, kept current as rows arrive; a slot sent again counts once.
+
+    The state holds the slots of a day: at most 50 per series.
+    """
+    slot = F.struct(*[c for c in ("series", "settlement_period") if c in slots.columns])
+    return slots.groupBy(*keys).agg(F.size(F.collect_set(slot)).cast("bigint").alias("n_actual"), F.max("settlement_period").alias("last_sp"))
 
 
 def latest_slot(slots: DataFrame, keys: Sequence[str] = ("series",)) -> DataFrame:
