@@ -352,8 +352,6 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         return None
 
     def cut():
-        rng = np.random.default_rng(0)
-
         def work(texts):
             # The label is not known here; a clean document has no cue but by accident, and then is a hard example.
             out = []
@@ -364,7 +362,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                     y = np.array([any(x in marks for x in cue_features(w)) for w in words])
                     at = np.flatnonzero(y)
                     centres = at[np.linspace(0, len(at) - 1, min(3, len(at))).astype(int)].tolist() if len(at) else []
-                    for c in {*centres, int(rng.integers(len(words)))}:
+                    for c in {*centres, xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass")) % len(words)}:
                         a, b = max(0, c - WINDOW), c + WINDOW
                         near = words[max(0, a - 1):b + 1]
                         rows = token_features(near)[a - max(0, a - 1):][:len(words[a:b])]
