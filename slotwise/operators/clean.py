@@ -93,12 +93,6 @@ def complete_cases(df: DataFrame, core: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(core))
 
 
-def optional_split(columns: Sequence[str], optional_prefixes: Sequence[str]) -> tuple[list[str], list[str]]:
-    """(core, optional) column names; optional ones may be missing in complete-case filters."""
-    opt = [c for c in columns if c.startswith(tuple(optional_prefixes))]
-    return [c for c in columns if c not in opt], opt
-
-
 def all_null_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
     """Names of columns without any value: one aggregate row reaches the driver."""
     row = df.agg(*[F.count(c).alias(c) for c in columns]).first()

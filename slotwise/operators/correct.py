@@ -30,7 +30,6 @@ ALPHA_SHIFT = 0.4
 DEAD_BAND = 0.5
 Q_GRID = (5.0, 10.0, 21.0, 35.0, 50.0, 100.0)
 SIGMA_GRID = (20.0, 28.0, 35.0, 45.0, 55.0)
-GAMMA_GRID = (0.9, 0.95, 0.966, 0.98, 1.0)
 MIN_SETTLED_NIS = 3
 
 

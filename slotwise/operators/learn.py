@@ -315,6 +315,7 @@ def profile_design(days: DataFrame, market: DataFrame | None = None, keys: Seque
 
 
 def design_names(market: bool = True) -> list[str]:
+    # The column names of the design.
     names = [f"p_lag{n}d_sp{s}" for n in PROFILE_LAGS for s in range(1, 49)]
     names += ["dmean_lag1", "dmean_lag7", "dmin_lag1", "dmax_lag1"]
     names += ["mid_lag1", "ssp_mid_spread_lag1"] if market else []

@@ -78,7 +78,7 @@ def winsorised_residual(df: DataFrame, keys: Sequence[str], tail: float = 0.05)
     joined = r.join(q, list(keys)) if keys else r.withColumn("_q", q.select(F.struct("*")).scalar()).select("e", "_q.*")
     return joined.groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg(F.least(F.greatest("e", "lo"), "hi")).alias("win_mean"),
-        F.first("median").alias("median"))
+        F.any_value("median").alias("median"))
 
 
 def daily_bias(df: DataFrame, keys: Sequence[str] = ("series",), days: int = 7) -> DataFrame:

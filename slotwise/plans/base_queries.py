@@ -206,8 +206,8 @@ def winsorised_residuals(t: Tables):
     clipped = F.least(F.greatest("e", "lo"), "hi")
     # q holds one row per fold, so the join is broadcast at run time and no fold is shuffled whole.
     return r.join(q, "fold").groupBy("fold").agg(
-        F.count("*").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
-        F.avg(clipped).alias("win_mean"), F.first("median").alias("median"))
+        F.count("*").alias("n"), F.any_value("lo").alias("lo"), F.any_value("hi").alias("hi"),
+        F.avg(clipped).alias("win_mean"), F.any_value("median").alias("median"))
 
 
 @query("B22 C19", rnd="temp_c", sql="""

@@ -72,7 +72,7 @@ def price_rolling(t: Tables):
 @query("E4", rnd=" ".join(_VROLL), sql=select_sql(_VROLL, "c_panel_type"))
 def volume_rolling(t: Tables):
     """Five series at once, cut into chunks of 512 slots."""
-    return FT.slot_history(I.panel(t, by_type=True), [FT.volume_rolling], chunk=512).select(*SID, *_VROLL)
+    return FT.slot_history(I.panel(t, by_type=True), [FT.volume_rolling]).select(*SID, *_VROLL)
 
 
 @query("E7", sql=select_sql(
@@ -259,7 +259,7 @@ def days_padded_forward(t: Tables):
     p = I.panel(t, by_type=True)
     g = SR.slot_grid(p, ["series"]).join(p.select(*SID, "ssp"), SID, "left").withColumn(
         "slot_ix", F.datediff("settlement_date", F.lit("1970-01-01").cast("date")).cast("long") * 48 + F.col("settlement_period") - 1)
-    return SR.fill_forward(g, ["series"], "slot_ix", ["ssp"], chunk=256).select(*SID, "ssp")
+    return SR.fill_forward(g, ["series"], "slot_ix", ["ssp"]).select(*SID, "ssp")
 
 
 @query("E16 D33", rnd="mid_price", sql="""
@@ -271,7 +271,7 @@ FROM g LEFT JOIN c_mid m USING (settlement_date, settlement_period)""")
 def slots_filled_backward(t: Tables):
     g = SR.slot_grid(I.panel(t), ["series"]).join(vwap(I.provider_trades(t), KEY), KEY, "left").withColumn(
         "slot_ix", F.datediff("settlement_date", F.lit("1970-01-01").cast("date")).cast("long") * 48 + F.col("settlement_period") - 1)
-    return SR.fill_forward(g, ["series"], "slot_ix", ["mid_price"], chunk=256, backward=True).select(*KEY, "mid_price")
+    return SR.fill_forward(g, ["series"], "slot_ix", ["mid_price"], backward=True).select(*KEY, "mid_price")
 
 
 _RUNS = """
@@ -285,7 +285,7 @@ SELECT series, code AS price_derivation_code, min(slot_ix) AS run_start, max(slo
        max(slot_ix) - min(slot_ix) + 1 AS run_length FROM g GROUP BY series, code, grp""")
 def regime_runs(t: Tables):
     """Runs of one derivation code, cut into small chunks so that merging is exercised."""
-    return SR.runs(C.default_code(I.panel(t)), ["series"], "slot_ix", "price_derivation_code", chunk=64)
+    return SR.runs(C.default_code(I.panel(t)), ["series"], "slot_ix", "price_derivation_code")
 
 
 @query("D45", rnd="median_run mean_run", sql=_RUNS + """

@@ -204,7 +204,7 @@ s AS (SELECT CAST(1 AS BIGINT) AS rn, ssp AS e7, ssp AS e5 FROM o WHERE rn = 1
 SELECT count(*) AS n, avg(abs(o.ssp - s.e7)) AS mae_07, avg(abs(o.ssp - s.e5)) AS mae_05 FROM s JOIN o ON o.rn = s.rn + 1""")
 def exponential_smoothing(t: Tables):
     p = I.panel(t)
-    d = A.smoothed(A.smoothed(p, 0.7, chunk=128, out="e7"), 0.5, chunk=128, out="e5")
+    d = A.smoothed(A.smoothed(p, 0.7, out="e7"), 0.5, out="e5")
     return d.agg(F.count("e7").alias("n"), S.mae("ssp", "e7").alias("mae_07"), S.mae("ssp", "e5").alias("mae_05"))
 
 

@@ -549,7 +549,7 @@ WITH r AS (SELECT p.series, p.settlement_date, p.settlement_period, p.slot_ix, p
 
 @query("E21", rnd="y0 r", sql=_RESID.format(src="c_panel_type") + "SELECT series, slot_ix, regime, h, y0, r FROM r")
 def forward_residuals(t: Tables):
-    return N.forward_residuals(I.panel(t, by_type=True), chunk=256).select("series", "slot_ix", "regime", "h", "y0", "r")
+    return N.forward_residuals(I.panel(t, by_type=True)).select("series", "slot_ix", "regime", "h", "y0", "r")
 
 
 _BANDS = _RESID.format(src="c_panel") + """
