@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions import scoring as S
 from slotwise.functions.keys import ratio
-from slotwise.operators.ordered import exact_quantiles
+from slotwise.operators.ordered import exact_quantiles, quantiles_of_others
 
 
 def conformal_score(y="actual", lo="q10", hi="q90") -> Column:
@@ -71,9 +71,9 @@ def calibration_report(df: DataFrame) -> DataFrame:
 
 def conditioned_delta_check(df: DataFrame, keys: Sequence[str], fold: str = "fold", target: float = 0.8) -> DataFrame:
     """Leave-one-fold-out coverage of a widening conditioned on ``keys``."""
-    folds = df.select(fold).distinct().agg(F.collect_list(fold)).scalar()
-    spread = df.withColumn("_for", F.explode(folds)).where(F.col("_for") != F.col(fold))
-    learnt = conformal_delta(spread.withColumn(fold, F.col("_for")), [fold, *keys], target)
+    scores = df.select(fold, *keys, conformal_score().alias("_score"))
+    learnt = quantiles_of_others(scores, keys, fold, "_score", {"_d": target}).select(
+        fold, *keys, F.greatest("_d", F.lit(0.0)).alias("delta"))
     d = df.join(learnt, [fold, *keys], "left").withColumn("delta", F.coalesce("delta", F.lit(0.0)))
     lo, hi = F.col("q10") - F.col("delta"), F.col("q90") + F.col("delta")
     return d.groupBy(fold).agg(F.count("*").alias("n"), S.coverage_pct("actual", "q10", "q90").alias("before"),

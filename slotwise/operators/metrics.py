@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions import scoring as S
 from slotwise.functions.keys import col, ratio
-from slotwise.operators.ordered import exact_quantiles
+from slotwise.operators.ordered import exact_quantiles, quantiles_of_others
 from slotwise.operators.series import frames_by
 
 
@@ -155,18 +155,9 @@ def diurnal_swing(df: DataFrame, keys: Sequence[str] = (), strong: float = 15.0)
 
 
 def leave_one_out_bias(df: DataFrame, fold: str = "fold") -> DataFrame:
-    """Median bias per slot learnt from every other fold.
-
-    Each residual is copied to the folds it trains; folds are few and come from
-    a scalar subquery over the fold column.
-    """
-    folds = df.select(fold).distinct().agg(F.collect_list(fold)).scalar()
+    """Median bias per slot learnt from every other fold."""
     r = df.select(fold, "settlement_period", (F.col("actual") - F.col("q50")).alias("e"))
-    spread = r.withColumn("_for", F.explode(folds)).where(F.col("_for") != F.col(fold))
-    spread = spread.select(F.col("_for").alias(fold), "settlement_period", "e")
-    keys = [fold, "settlement_period"]
-    counts = spread.groupBy(*keys).agg(F.count("*").alias("n"))
-    return exact_quantiles(spread, keys, "e", {"median_bias": 0.5}).join(counts, keys)
+    return quantiles_of_others(r, ["settlement_period"], fold, "e", {"median_bias": 0.5})
 
 
 def histogram(df: DataFrame, value: Column, lo: float, hi: float, bins: int) -> DataFrame:

@@ -95,3 +95,48 @@ def exact_quantiles(
             for n in probs
         ],
     )
+
+
+def quantiles_of_others(df: DataFrame, keys: Sequence[str], fold: str, value: str, probs: dict[str, float], block: int = 1024) -> DataFrame:
+    """Exact quantiles per (fold, keys) over the rows of all *other* folds, with their number ``n``.
+
+    No row is copied to the folds it serves. Take the order of all folds: if o
+    rows of the own fold lie below the answer, the answer stands o places
+    further up than its place among the others. o follows from the own fold's
+    values; places are then looked up by blocks of ranks. Rows without a fold
+    take no part.
+    """
+    keys = list(keys)
+    rows = df.where(F.col(fold).isNotNull() & F.col(value).isNotNull())
+    count = {"m": F.count(F.lit(1))}
+    total = running_by_value(rows, keys, value, count)
+    own = running_by_value(rows, [*keys, fold], value, count).select(
+        *keys, fold, value, F.col("cum_m").alias("_own"), F.col("all_m").alias("_size"))
+    parts = [(f"{name}_{part}", p, at) for name, p in probs.items() for part, at in (("lo", F.floor), ("hi", F.ceil))]
+
+    def place(p: float, at, n: Column) -> Column:
+        return at(F.lit(float(p)) * (n - 1)).cast("bigint")
+
+    others = F.col("all_m") - F.col("_size")
+    below = {part: F.max(F.when(F.col("cum_m") - F.col("_own") < place(p, at, others) + 1, F.col("_own"))).alias(f"_b_{part}") for part, p, at in parts}
+    mine = _with(own, total, [*keys, value]).groupBy(*keys, fold).agg(F.max("_size").alias("_size"), *below.values())
+    # Every fold with every key, also where the fold has no row of its own.
+    folds = rows.select(fold).distinct().agg(F.collect_list(fold)).scalar()
+    pairs = total.groupBy(*keys).agg(F.max("all_m").alias("all_m")).withColumn(fold, F.explode(folds))
+    r = mine.select(*[F.col(c).alias(f"_r_{c}") if c in (*keys, fold) else F.col(c) for c in mine.columns])
+    on = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in (*keys, fold)]
+    n = F.col("all_m") - F.coalesce("_size", F.lit(0))
+    wanted = pairs.join(r, on, "left").withColumn("n", n).where("n > 0")
+    ranks = F.array(*[F.struct(F.lit(part).alias("part"), (place(p, at, F.col("n")) + 1 + F.coalesce(f"_b_{part}", F.lit(0))).alias("at")) for part, p, at in parts])
+    wanted = wanted.select(*keys, fold, "n", F.explode(ranks).alias("w")).select(*keys, fold, "n", "w.*").withColumn("_block", F.floor(F.col("at") / block))
+    first = F.col("cum_m") - F.col("m") + 1
+    held = total.select(*keys, value, first.alias("_first"), "cum_m", F.explode(F.sequence(F.floor(first / block), F.floor(F.col("cum_m") / block))).alias("_block"))
+    found = _with(wanted, held, [*keys, "_block"]).where((F.col("at") >= F.col("_first")) & (F.col("at") <= F.col("cum_m")))
+    got = found.groupBy(*keys, fold).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("part") == part, F.col(value))).alias(f"_v_{part}") for part, *_ in parts])
+
+    def between(name: str, p: float) -> Column:
+        pos = F.lit(float(p)) * (F.col("n") - 1)
+        lo, hi = F.col(f"_v_{name}_lo"), F.col(f"_v_{name}_hi")
+        return (lo + (hi - lo) * (pos - F.floor(pos))).alias(name)
+
+    return got.select(*keys, fold, "n", *[between(name, p) for name, p in probs.items()])

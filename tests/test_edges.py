@@ -82,3 +82,24 @@ def test_shared_folder_is_asked_for_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+@pytest.mark.parametrize("seed,block", [(0, 1024), (1, 3), (2, 7)])
+def test_quantiles_of_the_other_folds(spark, seed, block):
+    import numpy as np
+
+    from slotwise.operators.ordered import quantiles_of_others
+
+    rng = np.random.default_rng(seed)
+    rows = [(rng.choice(["a", "b", None]), int(rng.integers(0, 5)), float(rng.integers(0, 12))) for _ in range(200)]
+    rows += [("only", 1, 4.0), ("b", None, 100.0), ("a", 2, None), *[("b", 3, 5.0)] * 150]
+    df = spark.createDataFrame(rows, "g string, fold int, x double")
+    got = {(r.g, r.fold): (r.n, r.q1, r.q8) for r in quantiles_of_others(df, ["g"], "fold", "x", {"q1": 0.1, "q8": 0.8}, block=block).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        for f in range(5):
+            rest = [x for k, o, x in rows if k == g and o is not None and o != f and x is not None]
+            if rest:
+                want[g, f] = (len(rest), float(np.quantile(rest, 0.1)), float(np.quantile(rest, 0.8)))
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k]) for k in want)
