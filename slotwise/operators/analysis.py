@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions.keys import ratio
 from slotwise.operators.joins import horizon_columns
+from slotwise.operators.learn import grouped_least_squares, linear_predict
 from slotwise.operators.ordered import average_ranks, exact_quantiles
 from slotwise.operators.series import frames_by, with_frames
 
@@ -52,21 +53,25 @@ def harmonics(date: str = "settlement_date", count: int = 2) -> dict[str, Column
 
 
 def fourier_fit(df: DataFrame, value: str, date: str = "settlement_date", clip: tuple[float, float] = (0.01, 0.99)) -> DataFrame:
-    """Two-harmonic least-squares fit of the clipped series: amplitudes, peaks, R2, by MLlib's normal solver."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+    """Two-harmonic least-squares fit of the clipped series: amplitudes, peaks, R2.
+
+    The fit needs only sums of products, combined map-side; R2 takes a second
+    pass with the coefficients as a scalar. Harmonic 0 is the intercept.
+    """
     q = exact_quantiles(df, [], value, {"lo": clip[0], "hi": clip[1]}).select(F.struct("*")).scalar()
     h = harmonics(date)
     d = df.withColumn("_q", q).select(F.least(F.greatest(F.col(value), F.col("_q.lo")), F.col("_q.hi")).alias("y"),
                                       *[c.alias(n) for n, c in h.items()])
-    x = VectorAssembler(inputCols=list(h), outputCol="x").transform(d)
-    m = LinearRegression(featuresCol="x", labelCol="y", solver="normal").fit(x)
-    c = list(m.coefficients)
-    rows = [(0, float(m.intercept), None, float(m.summary.r2))]
+    beta = grouped_least_squares(d, [], list(h), "y").select("beta").scalar()
+    err = F.col("y") - linear_predict(list(h))
+    g = d.withColumn("beta", beta).agg(F.any_value("beta").alias("beta"), (1 - F.sum(err * err) / (F.var_pop("y") * F.count("y"))).alias("r2"))
+    none = F.lit(None).cast("double")
+    rows = [F.struct(F.lit(0).alias("harmonic"), F.element_at("beta", 1).alias("amplitude"), none.alias("peak_day"), F.col("r2"))]
     for k in (1, 2):
-        s, co = c[2 * k - 2], c[2 * k - 1]
-        rows.append((k, math.hypot(s, co), (math.atan2(s, co) % (2 * math.pi)) * 365.25 / (2 * math.pi) / k, None))
-    return df.sparkSession.createDataFrame(rows, "harmonic INT, amplitude DOUBLE, peak_day DOUBLE, r2 DOUBLE")
+        s, c = F.element_at("beta", 2 * k), F.element_at("beta", 2 * k + 1)
+        turn = F.pmod(F.atan2(s, c), F.lit(2 * math.pi))
+        rows.append(F.struct(F.lit(k).alias("harmonic"), F.hypot(s, c).alias("amplitude"), (turn * 365.25 / (2 * math.pi) / k).alias("peak_day"), none.alias("r2")))
+    return g.select(F.inline(F.array(*rows)))
 
 
 def autocorrelation(df: DataFrame, value: str, lags: Sequence[int], keys: Sequence[str] = ("series",),

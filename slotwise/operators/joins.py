@@ -112,7 +112,7 @@ def restore_actuals(new: DataFrame, previous: DataFrame, keys: Sequence[str] = K
     """Outcomes already shown in the previous output stay when the new one lacks them."""
     old = previous.where("is_actual").select(*keys, F.col("q50").alias("ssp"))
     open_rows = new.where(~F.col("is_actual"))
-    return splice_actuals(open_rows, old).unionByName(new.where("is_actual"))
+    return splice_actuals(open_rows, old, keys=keys).unionByName(new.where("is_actual"))
 
 
 def horizon_columns(df: DataFrame, horizons: Sequence[int], value: str = "ssp", keys: Sequence[str] = ("series",)) -> DataFrame:

@@ -25,11 +25,13 @@ def time_split(df: DataFrame, val_days: int, test_days: int, day: str = "day_ix"
 
 
 def fold_parts(df: DataFrame, folds: Sequence[tuple[str, str, str]], val_days: int, train_days: int | None = None,
-               date: str = "settlement_date") -> DataFrame:
+               date: str = "settlement_date", parts: Sequence[str] = ("train", "val", "predict")) -> DataFrame:
     """Rows tagged per walk-forward fold: train before the validation days, predict inside the fold.
 
     The fold list is a handful of literals, so each row is tagged by an
     expression instead of a range join; folds starting after the data are skipped.
+    Only rows of the wanted ``parts`` come out, so a row that no fold trains on
+    is not copied for it.
     """
     d = F.col(date)
     last = df.agg(F.max(date)).scalar()
@@ -37,7 +39,7 @@ def fold_parts(df: DataFrame, folds: Sequence[tuple[str, str, str]], val_days: i
     for name, start, end in folds:
         a, b = F.lit(start).cast("date"), F.lit(end).cast("date")
         part = F.when(d < F.date_sub(a, val_days), "train").when(d < a, "val").otherwise("predict")
-        inside = (d <= b) & (a <= last)
+        inside = (d <= b) & (a <= last) & part.isin(*parts)
         if train_days:
             inside = inside & (d >= F.date_sub(a, val_days + train_days))
         tags.append(F.when(inside, F.struct(F.lit(name).alias("fold"), part.alias("part"))))
@@ -96,14 +98,61 @@ def grouped_least_squares(df: DataFrame, keys: Sequence[str], features: Sequence
     size costs one row per task; only the (features + 1)^2 matrix of a group
     is solved in Python. Result: (keys, beta) with the intercept first.
     """
-    k = len(features) + 1
     sums = _cross_products(features, [label], F.col(weight) if weight else None)
     g = df.dropna(subset=[label, *features]).groupBy(*keys).agg(F.count("*").alias("n_train"), *[c.alias(n) for n, c in sums.items()])
+    return _solved(g, keys, sums, label, len(features) + 1, rcond)
+
+
+def _solved(g: DataFrame, keys: Sequence[str], sums: dict, label: str, k: int, rcond: float = 1e-12) -> DataFrame:
     gram = F.array(*[n for n in sums if n.startswith("g_")])
     rhs = F.array(*[f"r_{label}_{i}" for i in range(k)])
     return g.select(*keys, "n_train", _solver(k, rcond)(gram, rhs).alias("beta"))
 
 
+def fold_least_squares(df: DataFrame, folds: Sequence[tuple[str, str, str]], val_days: int, keys: Sequence[str], features: Sequence[str],
+                       label: str) -> DataFrame:
+    """One least-squares fit per (keys, walk-forward fold), all folds in one job: (keys, fold, n_train, beta).
+
+    Rows collapse to cross products per date first; only those are given to the
+    folds that train on them.
+    """
+    sums = _cross_products(features, [label])
+    by_date = df.dropna(subset=[label, *features]).groupBy(*keys, "settlement_date").agg(
+        F.count("*").alias("n_train"), *[c.alias(n) for n, c in sums.items()])
+    spread = fold_parts(by_date, folds, val_days, parts=["train"])
+    g = spread.groupBy(*keys, "fold").agg(*[F.sum(n).alias(n) for n in ("n_train", *sums)])
+    return _solved(g, [*keys, "fold"], sums, label, len(features) + 1)
+
+
+def walk_forward_two_stage(slots: DataFrame, daily: DataFrame, folds: Sequence[tuple[str, str, str]], val_days: int, score_features: Sequence[str],
+                           level_features: Sequence[str], shape_features: Sequence[str], keys: Sequence[str] = ("series",)) -> DataFrame:
+    """Level and shape fitted anew for every walk-forward fold; one table of all folds' forecasts.
+
+    ``daily`` has level and low_day (0 / 1): a linear score of the day class is
+    fitted first and is a feature of the level. ``slots`` has ssp_raw and
+    deviation_true. The band comes from the fold's validation days, which neither
+    stage has seen. Result: (fold, keys, date, slot, actual, q10, q50, q90).
+    """
+    on = [*keys, "fold"]
+    score = fold_least_squares(daily, folds, val_days, keys, score_features, "low_day")
+    # The score differs by fold, so the days (one row per series and date) are tagged before the level is fitted.
+    days = fold_parts(daily, folds, val_days).join(score.select(*on, F.col("beta").alias("_s")), on)
+    days = days.withColumn("low_score", linear_predict(score_features, "_s"))
+    inputs = [*level_features, "low_score"]
+    level = grouped_least_squares(days.where("part = 'train'"), on, inputs, "level")
+    ahead = days.where("part <> 'train'").join(level.select(*on, "beta"), on).select(
+        *on, "part", "settlement_date", linear_predict(inputs).alias("_level"))
+    shape = fold_least_squares(slots, folds, val_days, keys, shape_features, "deviation_true")
+    d = fold_parts(slots, folds, val_days, parts=["val", "predict"]).join(shape.select(*on, "beta"), on)
+    d = d.join(ahead, [*on, "part", "settlement_date"]).select(
+        "fold", *keys, "part", "settlement_date", "settlement_period", F.col("ssp_raw").alias("actual"),
+        (F.col("_level") + linear_predict(shape_features)).alias("q50")).where("q50 IS NOT NULL")
+    band = exact_quantiles(d.where("part = 'val'").withColumn("_e", F.col("actual") - F.col("q50")), on, "_e", {"_r10": 0.1, "_r90": 0.9})
+    out = d.where("part = 'predict'").join(band, on)
+    return out.select("fold", *keys, "settlement_date", "settlement_period", "actual",
+                      F.least(F.col("q50") + F.col("_r10"), "q50").alias("q10"), "q50", F.greatest(F.col("q50") + F.col("_r90"), "q50").alias("q90"))
+
+
 def linear_predict(features: Sequence[str], beta: str = "beta"):
     out = F.element_at(beta, 1)
     for i, c in enumerate(features):
@@ -118,9 +167,8 @@ def level_sweep(daily: DataFrame, features: Sequence[str], label: str, configs:
 
     Weights depend on the date alone, so all series first collapse to one row
     of cross products per date; the (configuration, fold) grid is spread over
-    that calendar-sized table, not over the data. P10 / P90 come from the
-    training residuals through a mergeable sketch (rank error 1e-4), which is
-    combined map-side, so the residuals of the grid are never shuffled.
+    that calendar-sized table, not over the data. P10 / P90 are exact quantiles
+    of the training residuals.
     """
     spark = daily.sparkSession
     grid = [(i, w or 99, h or 0, tr, f) for i, (w, h, tr) in enumerate(configs) for f in fold_starts]
@@ -147,7 +195,14 @@ def level_sweep(daily: DataFrame, features: Sequence[str], label: str, configs:
     fit = g.where(F.col("n_train") >= min_train).select(*keys, _solver(k, 1e-12)(gram, rhs).alias("beta"))
     models = fit.join(F.broadcast(plan), keys).agg(F.collect_list(F.struct(*plan.columns, "beta"))).scalar()
     z = linear_predict(features)
-    rows = d.withColumn("_c", F.explode(models)).select("settlement_date", label, *features, "_c.*")
+
+    def used(m):
+        ahead = date >= m["fold_start"]
+        back = (m["window_months"] == 99) | (date >= F.add_months(m["fold_start"], -m["window_months"]))
+        return (ahead & (date < F.date_add(m["fold_start"], fold_days))) | (~ahead & back & (date < F.date_sub(m["fold_start"], gap_days)))
+
+    # A row meets only the models that train or are scored on it.
+    rows = d.withColumn("_m", models).withColumn("_c", F.explode(F.filter("_m", used))).select("settlement_date", label, *features, "_c.*")
     rows = rows.withColumn("pred", F.when(F.col("transform") == "asinh", F.sinh(z) * scale).otherwise(z))
     err = F.col(label) - F.col("pred")
     band = exact_quantiles(rows.where(in_train).withColumn("_e", err), keys, "_e", {"_r10": 0.1, "_r90": 0.9})
@@ -176,13 +231,18 @@ def assemble(df: DataFrame, features: Sequence[str], fit_on: DataFrame | None =
 
 
 def quantile_forest(train: DataFrame, score: DataFrame, features: Sequence[str], label: str, keys: Sequence[str] = (),
-                    rounds: int = 20, depth: int = 4, seed: int = 42) -> DataFrame:
-    """Boosted median with P10 / P90 from training residual quantiles per key; missing quantile fits have no MLlib twin."""
+                    rounds: int = 20, depth: int = 4, seed: int = 42, held_out: DataFrame | None = None) -> DataFrame:
+    """Boosted median with P10 / P90 from residual quantiles per key, as MLlib has no quantile loss.
+
+    The residuals are those of ``held_out``, rows after the training rows;
+    without it those of the training rows, which understate the band.
+    """
     from pyspark.ml.regression import GBTRegressor
     labelled = train.dropna(subset=[label])
     tr = assemble(labelled, features)
     m = GBTRegressor(labelCol=label, featuresCol="features", lossType="absolute", maxIter=rounds, maxDepth=depth, seed=seed).fit(tr)
-    resid = m.transform(tr).select(*keys, (F.col(label) - F.col("prediction")).alias("_e"))
+    judged = tr if held_out is None else assemble(held_out.dropna(subset=[label]), features, labelled)
+    resid = m.transform(judged).select(*keys, (F.col(label) - F.col("prediction")).alias("_e"))
     q = exact_quantiles(resid, keys, "_e", {"_r10": 0.1, "_r90": 0.9})
     out = m.transform(assemble(score, features, labelled)).drop("features", *[f"{c}__i" for c in features], *[f"{c}__na" for c in features])
     out = out.join(q, list(keys), "left") if keys else out.withColumn("_q", q.select(F.struct("*")).scalar()).select("*", "_q.*").drop("_q")
@@ -220,25 +280,26 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return d.withColumn("_w", F.col("_n.n") / (2.0 * F.greatest(mine, F.lit(1)))).drop("_n")
 
 
-def calibrated_spike_scores(df: DataFrame, key: Sequence[str], features: Sequence[str], label: str, folds: int = 5) -> DataFrame:
-    """Out-of-fold logistic scores, mapped to probabilities by an isotonic fit on the other folds' scores.
+def calibrated_spike_scores(train: DataFrame, score: DataFrame, key: Sequence[str], features: Sequence[str], label: str, folds: int = 5) -> DataFrame:
+    """Logistic scores of a later window, mapped to probabilities by an isotonic fit on out-of-fold scores of the training rows.
 
-    The fold of a row is a hash of its key, so it is stable under re-runs and
-    lost executors.
+    Neither fit has seen a row of ``score``. The fold of a training row is a
+    hash of its key, so it is stable under re-runs and lost executors.
     """
     from pyspark.ml.regression import IsotonicRegression
-    d = df.dropna(subset=[label]).withColumn("_fold", F.pmod(F.xxhash64(*key), F.lit(folds)))
+    d = train.dropna(subset=[label]).withColumn("_fold", F.pmod(F.xxhash64(*key), F.lit(folds)))
     out = None
     for f in range(folds):
         part = day_probability(d.where(F.col("_fold") != f), d.where(F.col("_fold") == f), features, label, "raw")
         out = part if out is None else out.unionByName(part)
     iso = IsotonicRegression(featuresCol="raw", labelCol=label, predictionCol="p")
-    scores = out.select("_fold", "raw", F.col(label).cast("double").alias(label))
-    mapped = None
-    for f in range(folds):
-        part = iso.fit(scores.where(F.col("_fold") != f)).transform(out.where(F.col("_fold") == f))
-        mapped = part if mapped is None else mapped.unionByName(part)
-    return mapped.drop("_fold")
+    fitted = iso.fit(out.select("raw", F.col(label).cast("double").alias(label)))
+    return fitted.transform(day_probability(d, score, features, label, "raw"))
+
+
+def seeded_hash(c: str, seed: int):
+    """The first 60 bits of the digest of value and seed."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.col(c).cast("string"), F.lit(seed))), 1, 15), 16, 10).cast("bigint")
 
 
 def shuffled(df: DataFrame, feature: str, seed: int) -> DataFrame:
@@ -246,11 +307,12 @@ def shuffled(df: DataFrame, feature: str, seed: int) -> DataFrame:
 
     Both sides get a distributed rank by a seeded hash of the row key and are
     joined rank to rank: a true permutation without a global sort in one task.
-    ``df`` needs a unique ``row_id``.
+    The hash is one that every engine has, so the permutation can be repeated
+    elsewhere. ``df`` needs a unique ``row_id``.
     """
     from slotwise.operators.ordered import running_by_value
-    a = df.withColumn("_h", F.xxhash64("row_id", F.lit(seed)))
-    b = df.select("row_id", feature).withColumn("_h", F.xxhash64("row_id", F.lit(seed + 1_000_003)))
+    a = df.withColumn("_h", seeded_hash("row_id", seed))
+    b = df.select("row_id", feature).withColumn("_h", seeded_hash("row_id", seed + 1_000_003))
 
     def ranked(rows: DataFrame) -> DataFrame:
         # Rows of one hash follow each other by their id, so every row has a rank of its own.

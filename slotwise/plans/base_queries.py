@@ -9,6 +9,7 @@ from slotwise.functions.keys import (
     ahead_date, ahead_period, clock_label, local_clock, local_date, ordinal_period, periods_in_day, slot_start,
 )
 from slotwise.operators import clean as C
+from slotwise.operators import features as FT
 from slotwise.operators.ordered import exact_quantiles
 from slotwise.plans import inputs as I
 from slotwise.plans.registry import query
@@ -166,16 +167,16 @@ def date_range_rows(t: Tables):
 @query("B17 J23", rnd="ssp_real asinh_target", sql="""
 SELECT p.settlement_date, p.settlement_period, p.ssp * (l.latest / c.cpi_index) AS ssp_real,
        asinh(p.ssp * (l.latest / c.cpi_index) / 50) AS asinh_target
-FROM c_panel p JOIN c_cpi c ON c.year_month = date_trunc('month', p.settlement_date)
+FROM c_panel p LEFT JOIN (
+  SELECT m.year_month, last_value(cpi_index IGNORE NULLS) OVER (ORDER BY m.year_month) AS cpi_index
+  FROM (SELECT CAST(unnest(generate_series(min(year_month), max(year_month), INTERVAL 1 MONTH)) AS DATE) AS year_month FROM c_cpi) m
+  LEFT JOIN c_cpi c ON c.year_month = m.year_month) c ON c.year_month = date_trunc('month', p.settlement_date)
 CROSS JOIN (SELECT max_by(cpi_index, year_month) AS latest FROM c_cpi) l""")
 def deflated_target(t: Tables):
-    """Target in latest-month money, and its asinh(y / 50) form."""
-    c = I.cpi(t)
-    latest = c.agg(F.max_by("cpi_index", "year_month")).scalar()
-    factor = c.select("year_month", (latest / F.col("cpi_index")).alias("cpi_deflator"))
-    p = I.panel(t).withColumn("year_month", F.trunc("settlement_date", "month"))
+    """Target in latest-month money, and its asinh(y / 50) form; an unpublished month takes the index of the one before."""
+    p = FT.join_price_index(I.panel(t), I.cpi(t))
     real = F.col("ssp") * F.col("cpi_deflator")
-    return p.join(F.broadcast(factor), "year_month").select(
+    return p.select(
         "settlement_date", "settlement_period", real.alias("ssp_real"), F.asinh(real / 50).alias("asinh_target"))
 
 

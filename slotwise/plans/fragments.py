@@ -123,3 +123,35 @@ LEFT JOIN (SELECT series, day_ix + 1 AS day_ix, sum(CASE WHEN ssp > 120 THEN 1 E
 CTES["c_wfr"] = """
 SELECT w.*, coalesce(r.spike_risk_flag, FALSE) AS spike_risk_flag, r.elevated_count_lag1d
 FROM c_wf w LEFT JOIN c_risk r USING (series, settlement_date)"""
+
+
+def least_squares(name: str, source: str, xs: list[str], y: str, keys: list[str], weight: str = "1.0") -> str:
+    """CTEs ending in ``name`` (keys, n_train, b0, b1, ...): weighted least squares by elimination on centred products.
+
+    A column that the earlier ones explain gets coefficient 0.
+    """
+    cols = [*xs, y]
+    last, by = len(cols), ", ".join(keys)
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    means = ", ".join(f"sum({weight} * {c}) / sum({weight}) AS m_{i}" for i, c in enumerate(cols, 1))
+    pairs = [(i, j) for i in range(1, last) for j in range(i, last + 1)]
+    products = ", ".join(f"sum({weight} * ({cols[i - 1]} - m_{i}) * ({cols[j - 1]} - m_{j})) AS g0_{i}_{j}" for i, j in pairs)
+    kept = ", ".join(f"any_value(m_{i}) AS m_{i}" for i in range(1, last + 1))
+    steps = [f"{name}_m AS (SELECT {by}, count(*) AS n_train, {means} FROM {source} WHERE {whole} GROUP BY {by})",
+             f"{name}_0 AS (SELECT {by}, any_value(n_train) AS n_train, {kept}, {products} FROM {source} JOIN {name}_m USING ({by}) WHERE {whole} GROUP BY {by})"]
+    for p in range(1, last - 1):
+        def less(i: int, j: int) -> str:
+            return f"g{p-1}_{i}_{j} - CASE WHEN g{p-1}_{p}_{p} > 1e-9 THEN g{p-1}_{p}_{i} * g{p-1}_{p}_{j} / g{p-1}_{p}_{p} ELSE 0 END AS g{p}_{i}_{j}"
+
+        steps.append(f"{name}_{p} AS (SELECT *, " + ", ".join(less(i, j) for i, j in pairs if i > p) + f" FROM {name}_{p-1})")
+    back = []
+    for i in range(last - 1, 0, -1):
+        rest = "".join(f" - g{i-1}_{i}_{j} * b{j}" for j in range(i + 1, last))
+        back.append(f"CASE WHEN g{i-1}_{i}_{i} > 1e-9 THEN (g{i-1}_{i}_{last}{rest}) / g{i-1}_{i}_{i} ELSE 0 END AS b{i}")
+    origin = f"m_{last}" + "".join(f" - b{i} * m_{i}" for i in range(1, last))
+    steps.append(f"{name} AS (SELECT {by}, n_train, {', '.join(back)}, {origin} AS b0 FROM {name}_{last-2})")
+    return ",\n".join(steps)
+
+
+def predicted(xs: list[str], fit: str) -> str:
+    return f"({fit}.b0" + "".join(f" + {fit}.b{i} * {c}" for i, c in enumerate(xs, 1)) + ")"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from slotwise.functions import scoring as S
@@ -14,6 +16,7 @@ from slotwise.operators import series as SR
 from slotwise.operators.joins import vwap
 from slotwise.plans import inputs as I
 from slotwise.plans.feature_queries import at, roll
+from slotwise.plans.fragments import least_squares, predicted
 from slotwise.plans.registry import query
 from slotwise.session import Tables, materialise
 
@@ -37,11 +40,18 @@ def _split(d, cut="2000-07-01"):
     return d.where(c), d.where(~c)
 
 
+def _with_held_out(d, cut, days):
+    """Rows before, on and after the last ``days`` days before the cut-off: to fit, to judge the fit, to forecast."""
+    before, after = _split(d, cut)
+    early = F.col("settlement_date") < F.date_sub(F.lit(cut).cast("date"), days)
+    return before.where(early), before.where(~early), after
+
+
 @query("J4", rnd="mae coverage")
 def level_quantiles(t: Tables):
     d = materialise(daily_model_table(t), "daily")
-    train, test = _split(d)
-    p = L.quantile_forest(train, test, DAILY_FEATURES, "price", rounds=10, depth=3)
+    train, val, test = _with_held_out(d, "2000-07-01", 180)
+    p = L.quantile_forest(train, test, DAILY_FEATURES, "price", rounds=10, depth=3, held_out=val)
     return p.groupBy("series").agg(F.count("*").alias("n"), S.mae("price", "q50").alias("mae"),
                                    S.coverage_pct("price", "q10", "q90").alias("coverage"))
 
@@ -88,13 +98,74 @@ def two_stage_forecast(t: Tables):
     daily = daily.withColumns({"level_lag1": fr.lag("level", 1), "level_lag7": fr.lag("level", 7), "level_roll7": fr.rolling("level", 7, "mean", 3),
                                "dow": F.weekday("settlement_date")})
     dtr, dte = _split(daily, "2024-01-22")
-    level = L.quantile_forest(dtr, dte, ["level_lag1", "level_lag7", "level_roll7", "dow"], "level", rounds=8, depth=2)
+    fit, val, _ = _with_held_out(dtr, "2024-01-22", 7)
+    level = L.quantile_forest(fit, dte, ["level_lag1", "level_lag7", "level_roll7", "dow"], "level", rounds=8, depth=2, held_out=val)
     shape = L.quantile_forest(train, test, SHAPE_FEATURES, "deviation_true", rounds=8, depth=3).select(
         "series", *KEY, F.col("ssp_raw").alias("actual"), F.col("q50").alias("deviation"))
     return M.score(L.two_stage(level, shape), ["settlement_date"], {
         "mae": S.mae("actual", "q50"), "rmse": S.rmse("actual", "q50"), "coverage": S.coverage_pct("actual", "q10", "q90")})
 
 
+# Fixed dates of the test data's folds.
+FOLDS = [("w3", "2024-01-15", "2024-01-21"), ("w4", "2024-01-22", "2024-01-28"), ("w9", "2024-03-01", "2024-03-07")]
+FOLD_VAL_DAYS = 3
+_SCORE = ["low_lag1", "wind_lag1"]
+_LEVEL = ["level_lag1", "level_roll7"]
+_SHAPE = ["ssp_lag_48", "same_sp_mean_7d", "sin_sp", "cos_sp"]
+_DAILY_LAGS = {"low_lag1": at("n_low", 1, "d"), "wind_lag1": at("wind", 1, "d"), "level_lag1": at("level", 1, "d"),
+               "level_roll7": roll("level", 7, "mean", "d", 3)}
+_PARTS = "CASE WHEN settlement_date < a - 3 THEN 'train' WHEN settlement_date < a THEN 'val' ELSE 'predict' END AS part"
+_WF2 = f"""
+WITH f AS (SELECT * FROM (VALUES {", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in FOLDS)}) AS v(fold, a, b)),
+y0 AS (SELECT series, settlement_date, day_ix, avg(ssp_raw) AS level, count(*) FILTER (WHERE ssp_raw < 20) AS n_low, avg(wind_pct) AS wind
+  FROM c_clean GROUP BY 1, 2, 3),
+y1 AS (SELECT *, CAST(n_low >= 4 AS INTEGER) AS low_day, {", ".join(f"{e} AS {n}" for n, e in _DAILY_LAGS.items())} FROM y0),
+y2 AS (SELECT *, {_PARTS} FROM y1 JOIN f ON settlement_date <= b WHERE a <= (SELECT max(settlement_date) FROM y1)),
+yt AS (SELECT * FROM y2 WHERE part = 'train'),
+{least_squares("sc", "yt", _SCORE, "low_day", ["series", "fold"])},
+y3 AS (SELECT y2.*, {predicted(_SCORE, "sc")} AS low_score FROM y2 JOIN sc USING (series, fold)),
+y3t AS (SELECT * FROM y3 WHERE part = 'train'),
+{least_squares("lv", "y3t", [*_LEVEL, "low_score"], "level", ["series", "fold"])},
+ahead AS (SELECT series, fold, part, settlement_date, {predicted([*_LEVEL, "low_score"], "lv")} AS lvl FROM y3 JOIN lv USING (series, fold)),
+s0 AS (SELECT *, {at("ssp", 48)} AS ssp_lag_48, {roll("ssp", 7, "mean", "s")} AS same_sp_mean_7d,
+  sin(2 * pi() * (settlement_period - 1) / 48) AS sin_sp, cos(2 * pi() * (settlement_period - 1) / 48) AS cos_sp,
+  ssp_raw - avg(ssp_raw) OVER (PARTITION BY series, settlement_date) AS deviation_true FROM c_clean),
+s1 AS (SELECT *, {_PARTS} FROM s0 JOIN f ON settlement_date <= b WHERE a <= (SELECT max(settlement_date) FROM s0)),
+st AS (SELECT * FROM s1 WHERE part = 'train'),
+{least_squares("sh", "st", _SHAPE, "deviation_true", ["series", "fold"])},
+p0 AS (SELECT s1.*, lvl + {predicted(_SHAPE, "sh")} AS q50 FROM s1 JOIN sh USING (series, fold) JOIN ahead USING (series, fold, part, settlement_date)),
+p AS (SELECT * FROM p0 WHERE q50 IS NOT NULL),
+band AS (SELECT series, fold, quantile_cont(ssp_raw - q50, 0.1) AS r10, quantile_cont(ssp_raw - q50, 0.9) AS r90 FROM p WHERE part = 'val' GROUP BY 1, 2),
+wf AS (SELECT fold, series, settlement_date, settlement_period, ssp_raw AS actual, least(q50 + r10, q50) AS q10, q50, greatest(q50 + r90, q50) AS q90
+  FROM p JOIN band USING (series, fold) WHERE part = 'predict')
+"""
+
+
+def _walk_forward(t: Tables):
+    slots = materialise(slot_model_table(t), "slots")
+    days = slots.groupBy("series", "settlement_date", "day_ix").agg(
+        F.avg("ssp_raw").alias("level"), F.count_if(F.col("ssp_raw") < 20).alias("n_low"), F.avg("wind_pct").alias("wind"))
+    f = SR.frames_by(["series"], "day_ix")
+    days = days.withColumns({"low_day": (F.col("n_low") >= 4).cast("int"), "low_lag1": f.lag("n_low", 1), "wind_lag1": f.lag("wind", 1),
+                             "level_lag1": f.lag("level", 1), "level_roll7": f.rolling("level", 7, "mean", 3)})
+    p = L.walk_forward_two_stage(slots, days, FOLDS, FOLD_VAL_DAYS, _SCORE, _LEVEL, _SHAPE)
+    return materialise(p, "walk_forward")
+
+
+@query("J3 J4 J5 J6 J7", rnd="actual q10 q50 q90", sql=_WF2 + "SELECT * FROM wf")
+def walk_forward_two_stage(t: Tables):
+    """Both stages fitted anew per fold, the low-day score a feature of the level, bands from unseen days."""
+    return _walk_forward(t)
+
+
+@query("J3 J4 J6", rnd="mae rmse coverage", sql=_WF2 + """
+SELECT fold, count(*) AS n, avg(abs(actual - q50)) AS mae, sqrt(avg(power(actual - q50, 2))) AS rmse,
+  avg(CASE WHEN actual >= q10 AND actual <= q90 THEN 1.0 ELSE 0.0 END) * 100 AS coverage FROM wf GROUP BY fold""")
+def walk_forward_scores(t: Tables):
+    return _walk_forward(t).groupBy("fold").agg(F.count("*").alias("n"), S.mae("actual", "q50").alias("mae"), S.rmse("actual", "q50").alias("rmse"),
+                                                S.coverage_pct("actual", "q10", "q90").alias("coverage"))
+
+
 @query("J7", rnd="mean_low mean_other")
 def low_price_day_score(t: Tables):
     """Probability of a low-price day as a feature; higher on days that turn out low."""
@@ -108,7 +179,8 @@ def low_price_day_score(t: Tables):
 @query("J8 D28", rnd="brier base_rate base_brier skill")
 def spike_day_probability(t: Tables):
     d = materialise(daily_model_table(t), "daily")
-    s = L.calibrated_spike_scores(d, ["series", "settlement_date"], ["price_lag1", "price_lag2", "price_lag7", "roll_mean_28", "spikes_28", "month"], "spike_day")
+    train, later = _split(d)
+    s = L.calibrated_spike_scores(train, later, ["series", "settlement_date"], ["price_lag1", "price_lag2", "price_lag7", "roll_mean_28", "spikes_28", "month"], "spike_day")
     return M.brier(materialise(s, "scores"), "p", "spike_day")
 
 
@@ -157,9 +229,9 @@ def slot_lasso_coefficients(t: Tables):
 def direct_quantiles(t: Tables):
     """Direct slot model with short lags, median by absolute loss and residual bands."""
     d = materialise(FT.slot_history(C.winsorise(I.panel(t)), [FT.price_lags, FT.price_rolling]), "direct")
-    train, test = _split(d, "2024-01-22")
+    train, val, test = _with_held_out(d, "2024-01-22", 5)
     feats = ["ssp_lag_1", "ssp_lag_2", "ssp_lag_48", "ssp_lag_336", "ssp_roll_mean_6", "ssp_roll_std_48", "net_imbalance_volume_lag_1"]
-    p = L.quantile_forest(train, test, feats, "ssp_raw", rounds=8, depth=3)
+    p = L.quantile_forest(train, test, feats, "ssp_raw", rounds=8, depth=3, held_out=val)
     return p.groupBy("settlement_date").agg(F.count("*").alias("n"), S.mae("ssp_raw", "q50").alias("mae"),
                                             S.coverage_pct("ssp_raw", "q10", "q90").alias("coverage"))
 
@@ -186,15 +258,31 @@ def recursive_rollout(t: Tables):
     return L.rollout(L.last_prices(p, "ssp"), fut, _W, cap=150.0).select("target_date", "settlement_period", "pred")
 
 
-@query("J19 J18", rnd="mae")
+_ROLLED = ["ssp_lag_1", "ssp_lag_2", "ssp_lag_48", "ssp_roll_mean_6"]
+
+
+@query("J19 J18", rnd="mae", sql=f"""
+WITH RECURSIVE d AS (SELECT *, {", ".join(f"{at('ssp', n)} AS ssp_lag_{n}" for n in (1, 2, 48))}, {roll('ssp', 6, 'mean')} AS ssp_roll_mean_6 FROM c_clean),
+tr AS (SELECT * FROM d WHERE settlement_date < DATE '2024-01-22'),
+{least_squares("ls", "tr", _ROLLED, "ssp", ["series"])},
+h AS (SELECT series, CAST(settlement_date + 1 AS DATE) AS target_date, list(ssp ORDER BY settlement_period) AS buf FROM d GROUP BY 1, 2 HAVING count(*) = 48),
+s AS (SELECT h.*, d.settlement_period, d.ssp_raw, row_number() OVER (PARTITION BY h.series, h.target_date ORDER BY d.settlement_period) AS k, b0, b1, b2, b3, b4
+  FROM h JOIN d ON d.series = h.series AND d.settlement_date = h.target_date JOIN ls ON ls.series = h.series WHERE h.target_date >= DATE '2024-01-22'),
+r AS (
+  SELECT series, target_date, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS pred, CAST(0 AS DOUBLE) AS y, any_value(buf) AS buf FROM s GROUP BY 1, 2
+  UNION ALL
+  SELECT series, target_date, k, pred, y, list_append(buf[2:], least(greatest(pred, -500), 500)) FROM (
+    SELECT s.series, s.target_date, s.k, s.ssp_raw AS y, r.buf, b0 + b1 * r.buf[48] + b2 * r.buf[47] + b3 * r.buf[1]
+        + b4 * (r.buf[43] + r.buf[44] + r.buf[45] + r.buf[46] + r.buf[47] + r.buf[48]) / 6 AS pred
+    FROM r JOIN s ON s.series = r.series AND s.target_date = r.target_date AND s.k = r.k + 1))
+SELECT target_date, count(*) AS n, avg(abs(y - pred)) AS mae FROM r WHERE k > 0 GROUP BY 1""")
 def fitted_rollout(t: Tables):
     """Short-lag coefficients fitted on slots before the cut-off, then rolled out day by day."""
     d = FT.slot_history(C.winsorise(I.panel(t)), [FT.price_lags, FT.price_rolling])
     d = materialise(d, "roll")
     train, test = _split(d, "2024-01-22")
-    names = ["ssp_lag_1", "ssp_lag_2", "ssp_lag_48", "ssp_roll_mean_6"]
     # Each series has its own coefficients; a series without a fit has no roll-out.
-    beta = L.grouped_least_squares(train, ["series"], names, "ssp").select("series", "beta")
+    beta = L.grouped_least_squares(train, ["series"], _ROLLED, "ssp").select("series", "beta")
     w = {n: f"w_{n}" for n in ("lag_1", "lag_2", "lag_48", "roll_mean_6")}
     fut = test.join(beta, "series").select("series", F.col("settlement_date").alias("target_date"), "settlement_period", F.col("beta")[0].alias("base"),
                                            *[F.col("beta")[i].alias(c) for i, c in enumerate(w.values(), 1)])
@@ -216,31 +304,68 @@ def least_squares_per_series(t: Tables):
     return g.select("series", "n_train", F.element_at("beta", 1).alias("b0"), F.element_at("beta", 2).alias("b1"))
 
 
-@query("J22 J23 E29", rnd="mae bias pinball coverage")
+# Training window in months, half-life in days, transform; first days of the folds.
+CONFIGS = [(w, h, "linear") for w in (12, 18, 24, 36, None) for h in (None, 365, 182, 91)] + [
+    (w, h, "asinh") for w in (36, 18, None) for h in (None, 182)]
+STARTS = [f"2000-{m:02d}-01" for m in range(7, 13)] + [f"2001-{m:02d}-01" for m in range(1, 8)]
+_SWEPT = ["price_lag1", "price_lag7", "roll_mean_7", "roll_mean_28", "sin_annual", "cos_annual"]
+_YEAR = 2 * math.pi / 365
+_LAGGED = f"""SELECT series, settlement_date, price, {at('price', 1, 'd')} AS price_lag1, {at('price', 7, 'd')} AS price_lag7,
+  {roll('price', 7, 'mean', 'd', 3)} AS roll_mean_7, {roll('price', 28, 'mean', 'd', 3)} AS roll_mean_28,
+  sin(dayofyear(settlement_date) * {_YEAR!r}) AS sin_annual, cos(dayofyear(settlement_date) * {_YEAR!r}) AS cos_annual FROM c_daily_prio"""
+
+
+@query("J22 J23 E29", rnd="mae bias pinball coverage", sql=f"""
+WITH d AS (SELECT * FROM ({_LAGGED}) WHERE {" AND ".join(f"{c} IS NOT NULL" for c in ["price", *_SWEPT])}),
+plan AS (SELECT config, coalesce(w, 99) AS window_months, coalesce(h, 0) AS half_life, transform, fs AS fold_start
+  FROM (VALUES {", ".join(f"({i}, {w or 'NULL'}, {h or 'NULL'}, '{tr}')" for i, (w, h, tr) in enumerate(CONFIGS))}) AS c(config, w, h, transform),
+       (VALUES {", ".join(f"(DATE '{x}')" for x in STARTS)}) AS f(fs)),
+tr0 AS (SELECT d.*, plan.*, CASE WHEN half_life > 0 THEN power(0.5, (fold_start - settlement_date) / CAST(half_life AS DOUBLE)) ELSE 1.0 END AS w,
+    CASE WHEN transform = 'asinh' THEN asinh(price / 50) ELSE price END AS y FROM d JOIN plan ON settlement_date < fold_start - 2
+    AND (window_months = 99 OR settlement_date >= fold_start - to_months(CAST(window_months AS INTEGER)))),
+enough AS (SELECT config, fold_start FROM tr0 GROUP BY 1, 2 HAVING count(DISTINCT settlement_date) >= 120),
+tr AS (SELECT * FROM tr0 JOIN enough USING (config, fold_start)),
+{least_squares("ls", "tr", _SWEPT, "y", ["config", "fold_start"], "w")},
+trp AS (SELECT tr.*, {predicted(_SWEPT, "ls")} AS z FROM tr JOIN ls USING (config, fold_start)),
+band AS (SELECT config, fold_start, quantile_cont(e, 0.1) AS r10, quantile_cont(e, 0.9) AS r90
+  FROM (SELECT *, price - CASE WHEN transform = 'asinh' THEN sinh(z) * 50 ELSE z END AS e FROM trp) GROUP BY 1, 2),
+te AS (SELECT d.*, plan.*, {predicted(_SWEPT, "ls")} AS z FROM d JOIN plan ON settlement_date >= fold_start AND settlement_date < fold_start + 14
+  JOIN ls USING (config, fold_start)),
+p AS (SELECT te.*, CASE WHEN transform = 'asinh' THEN sinh(z) * 50 ELSE z END AS pred, pred + r10 AS lo, pred + r90 AS hi FROM te JOIN band USING (config, fold_start))
+SELECT config, window_months, half_life, transform, count(DISTINCT fold_start) AS n_folds, count(*) AS n_days, avg(abs(price - pred)) AS mae, avg(pred - price) AS bias,
+  (avg(greatest((price - lo) * 0.1, (price - lo) * -0.9)) + avg(greatest((price - hi) * 0.9, (price - hi) * (0.9 - 1)))) / 2 AS pinball,
+  avg(CASE WHEN price >= lo AND price <= hi THEN 1.0 ELSE 0.0 END) AS coverage FROM p GROUP BY 1, 2, 3, 4""")
 def level_sweep(t: Tables):
     """26 training configurations x 13 folds, fitted in one grouped job."""
     d = daily_model_table(t)
-    configs = [(w, h, "linear") for w in (12, 18, 24, 36, None) for h in (None, 365, 182, 91)]
-    configs += [(w, h, "asinh") for w in (36, 18, None) for h in (None, 182)]
-    starts = [f"{y}-{m:02d}-01" for y, m in [(2000, 7), (2000, 8), (2000, 9), (2000, 10), (2000, 11), (2000, 12), (2001, 1), (2001, 2),
-                                            (2001, 3), (2001, 4), (2001, 5), (2001, 6), (2001, 7)]]
-    return L.level_sweep(d, ["price_lag1", "price_lag7", "roll_mean_7", "roll_mean_28", "sin_annual", "cos_annual"], "price", configs, starts)
+    return L.level_sweep(d, _SWEPT, "price", CONFIGS, STARTS)
 
 
-@query("J20", rnd="importance_mean importance_std")
-def permutation_importance(t: Tables):
-    feats = ["price_lag1", "price_lag7", "roll_mean_28"]
-    d = daily_model_table(t).select("series", "settlement_date", "price", *feats).dropna()
-    d = materialise(d.withColumn("row_id", F.concat_ws("|", "series", "settlement_date")), "perm")
-    beta = L.grouped_least_squares(d.withColumn("one", F.lit(1)), ["one"], feats, "price").first()["beta"]
+_PERMUTED = ["price_lag1", "price_lag7", "roll_mean_28"]
 
-    def predict(rows):
-        out = F.lit(float(beta[0]))
-        for c, b in zip(feats, beta[1:]):
-            out = out + F.col(c) * float(b)
-        return rows.withColumn("pred", out)
 
-    return L.permutation_importance(d, predict, feats, "price")
+def _hash_sql(seed: int) -> str:
+    return f"CAST('0x' || substr(md5(row_id || '|{seed}'), 1, 15) AS BIGINT)"
+
+
+def _permuted_sql(feature: int, repeat: int) -> str:
+    seed, c = 7919 * feature + repeat, _PERMUTED[feature]
+    return f"""SELECT '{c}' AS feature, {repeat} AS rep, avg(abs(a.price - {predicted([f"b.{c}" if x == c else f"a.{x}" for x in _PERMUTED], "ls")})) AS m
+  FROM (SELECT *, row_number() OVER (ORDER BY {_hash_sql(seed)}, row_id) AS rk FROM d) a
+  JOIN (SELECT {c}, row_number() OVER (ORDER BY {_hash_sql(seed + 1_000_003)}, row_id) AS rk FROM d) b USING (rk), ls"""
+
+
+@query("J20", rnd="importance_mean importance_std", sql=f"""
+WITH d AS (SELECT *, 1 AS one, series || '|' || settlement_date AS row_id FROM ({_LAGGED}) WHERE {" AND ".join(f"{c} IS NOT NULL" for c in ["price", *_PERMUTED])}),
+{least_squares("ls", "d", _PERMUTED, "price", ["one"])},
+base AS (SELECT avg(abs(price - {predicted(_PERMUTED, "ls")})) AS m0 FROM d, ls),
+cells AS ({" UNION ALL ".join(_permuted_sql(i, r) for i in range(len(_PERMUTED)) for r in range(3))})
+SELECT feature, avg(m - m0) AS importance_mean, stddev_pop(m - m0) AS importance_std FROM cells, base GROUP BY 1""")
+def permutation_importance(t: Tables):
+    d = daily_model_table(t).select("series", "settlement_date", "price", *_PERMUTED).dropna()
+    d = materialise(d.withColumn("row_id", F.concat_ws("|", "series", "settlement_date")), "perm")
+    beta = L.grouped_least_squares(d, [], _PERMUTED, "price").select("beta").scalar()
+    return L.permutation_importance(d, lambda rows: rows.withColumn("beta", beta).withColumn("pred", L.linear_predict(_PERMUTED)), _PERMUTED, "price")
 
 
 @query("J20", sql="""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from slotwise.functions import scoring as S
@@ -16,6 +18,7 @@ from slotwise.operators import series as SR
 from slotwise.operators.ordered import exact_quantiles
 from slotwise.plans import inputs as I
 from slotwise.plans.feature_queries import at, roll
+from slotwise.plans.fragments import least_squares, predicted
 from slotwise.plans.registry import query
 from slotwise.plans.score_queries import COV, ISC, MAE, RAW, _MODELS, model_table
 from slotwise.session import Tables
@@ -246,9 +249,18 @@ def kruskal_wallis_months(t: Tables):
     return A.kruskal_wallis(d, "month", "price")
 
 
-@query("D42", rnd="amplitude peak_day r2")
+_WAVES = [f"{f}(dayofyear(settlement_date) * {2 * math.pi / 365.25!r} * {k})" for k in (1, 2) for f in ("sin", "cos")]
+
+
+@query("D42", rnd="amplitude peak_day r2", sql=f"""
+WITH q AS (SELECT quantile_cont(price, 0.01) AS lo, quantile_cont(price, 0.99) AS hi FROM c_daily),
+d AS (SELECT 1 AS one, least(greatest(price, lo), hi) AS y, {", ".join(f"{w} AS x{i}" for i, w in enumerate(_WAVES, 1))} FROM c_daily, q),
+{least_squares("ls", "d", ["x1", "x2", "x3", "x4"], "y", ["one"])},
+r AS (SELECT 1 - sum(power(y - {predicted(["x1", "x2", "x3", "x4"], "ls")}, 2)) / (var_pop(y) * count(*)) AS r2 FROM d JOIN ls USING (one))
+SELECT 0 AS harmonic, b0 AS amplitude, NULL AS peak_day, r2 FROM ls, r
+UNION ALL SELECT 1, sqrt(b1 * b1 + b2 * b2), fmod(atan2(b1, b2) + {2 * math.pi!r}, {2 * math.pi!r}) * 365.25 / {2 * math.pi!r}, NULL FROM ls
+UNION ALL SELECT 2, sqrt(b3 * b3 + b4 * b4), fmod(atan2(b3, b4) + {2 * math.pi!r}, {2 * math.pi!r}) * 365.25 / {2 * math.pi!r} / 2, NULL FROM ls""")
 def fourier_season(t: Tables):
-    """Least squares through MLlib; checked in the tests against a direct solve."""
     return A.fourier_fit(I.daily_orders(t), "price")
 
 

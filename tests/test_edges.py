@@ -42,8 +42,8 @@ def test_publications_within_any_reach(spark, reach, hours, found):
 
 
 def test_permutation_keeps_every_value_under_tied_hashes(spark, monkeypatch):
-    real = F.xxhash64
-    monkeypatch.setattr(learn.F, "xxhash64", lambda *c: F.pmod(real(*c), F.lit(3)))
+    real = learn.seeded_hash
+    monkeypatch.setattr(learn, "seeded_hash", lambda *c: F.pmod(real(*c), F.lit(3)))
     df = spark.range(50).select(F.col("id").alias("row_id"), (F.col("id") * 2).alias("x"))
     got = learn.shuffled(df, "x", 1).collect()
     assert sorted(r.row_id for r in got) == list(range(50)) and sorted(r.x for r in got) == list(range(0, 100, 2))
