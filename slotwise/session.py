@@ -19,19 +19,19 @@ RECOMMENDED_CONF = {
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
+    """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
     Only where a local session names none (tests, laptops) a temporary folder is
     set; it is the caller's to delete, as is what queries leave in a shared one.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
-        master = spark.conf.get("spark.master", "")
-        if not re.match(r"local(\[|$)", master):
+        if not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="slotwise-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
+        # The setting itself is fixed once the session runs.
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="slotwise-"))
+        path = context.getCheckpointDir()
     return path
 
 

@@ -1,6 +1,7 @@
 """Cases the synthetic tables do not reach: NULL groups, other years, unlisted values, several series and files."""
 
 import datetime as dt
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,18 +73,6 @@ def test_redelivered_slots_count_once(spark):
     assert feeds.feed_status(df, ["series", "settlement_date"]).first()["n_actual"] == 3
 
 
-def test_shared_folder_is_asked_for_on_a_cluster():
-    class Conf(dict):
-        def set(self, k, v):
-            self[k] = v
-
-    class Session:
-        conf = Conf({"spark.master": "yarn"})
-
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_dir(Session())
-
-
 @pytest.mark.parametrize("seed,block", [(0, 1024), (1, 3), (2, 7)])
 def test_quantiles_of_the_other_folds(spark, seed, block):
     import numpy as np
@@ -103,3 +92,38 @@ def test_quantiles_of_the_other_folds(spark, seed, block):
                 want[g, f] = (len(rest), float(np.quantile(rest, 0.1)), float(np.quantile(rest, 0.8)))
     assert got.keys() == want.keys()
     assert all(np.allclose(got[k], want[k]) for k in want)
+
+
+def _session(master, folder=None):
+    context = SimpleNamespace(master=master, folder=folder)
+    context.getCheckpointDir = lambda: context.folder
+    context.setCheckpointDir = lambda path: setattr(context, "folder", path)
+    return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default: default))
+
+
+def test_shared_folder_is_asked_for_off_the_local_master():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(_session("spark://host:7077"))
+    assert shared_dir(_session("spark://host:7077", "hdfs:/shared")) == "hdfs:/shared"
+    local = _session("local[2]")
+    assert shared_dir(local) == shared_dir(local)
+
+
+def test_restored_outcomes_stay_with_their_series(spark):
+    cols = "series string, settlement_date date, settlement_period int, q10 double, q50 double, q90 double, is_actual boolean"
+    day = dt.date(2024, 1, 1)
+    new = spark.createDataFrame([(s, day, 1, 1.0, 2.0, 3.0, False) for s in ("a", "b")], cols)
+    old = spark.createDataFrame([("a", day, 1, 7.0, 7.0, 7.0, True), ("b", day, 1, 9.0, 9.0, 9.0, True)], cols)
+    got = joins.restore_actuals(new, old, ["series", *joins.KEY]).collect()
+    assert sorted((r.series, r.q50) for r in got) == [("a", 7.0), ("b", 9.0)]
+
+
+def test_walk_forward_folds_learn_from_the_past_alone(spark):
+    days = [(s, dt.date(2024, 1, 1) + dt.timedelta(d), 10.0 * k + d + (100 if d >= 20 else 0), int(d % 2), float(d % 3), float(d)) for k, s in enumerate("ab") for d in range(27)]
+    daily = spark.createDataFrame(days, "series string, settlement_date date, level double, low_day int, x double, t double")
+    slots = daily.select("series", "settlement_date", F.explode(F.array(F.lit(1), F.lit(2))).alias("settlement_period"), "level").selectExpr(
+        "*", "double(settlement_period) AS p", "settlement_period - 1.5D AS deviation_true", "level + settlement_period - 1.5D AS ssp_raw")
+    got = learn.walk_forward_two_stage(slots, daily, [("w", "2024-01-15", "2024-01-20"), ("v", "2024-01-21", "2024-01-27")], 3, ["x"], ["t"], ["p"]).collect()
+    assert len(got) == 2 * 2 * (6 + 7) and {r.fold for r in got} == {"w", "v"}
+    # The series rise by one a day until the level jumps: fold w is exact, fold v misses the jump alone.
+    assert all(abs(r.actual - r.q50 - (100 if r.fold == "v" else 0)) < 1e-6 and abs(r.q90 - r.q10) < 1e-6 for r in got)
