@@ -128,6 +128,7 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
 
 def plan(sample: np.ndarray, n: int, reach: int = REACH) -> list[tuple[list[int], int]]:
     """Partitions (bit positions) and thresholds for ``n`` fingerprints."""
+    n = max(n, 1)
     bits = (sample[:, None] >> np.arange(BITS, dtype=np.uint64) & np.uint64(1)).astype(float) if len(sample) else np.full((1, BITS), 0.5)
     choices = []
     for m in range(2, reach + 2):
