@@ -696,10 +696,10 @@ def error_autopsy(t: Tables):
 
 
 @query("D56", rnd="spread", sql="""
-SELECT settlement_date, stddev_pop(b.q50 - a.q50) AS spread, count(*) AS n, CAST(stddev_pop(b.q50 - a.q50) > 0.5 AS INTEGER) AS diverged
-FROM c_wf a JOIN c_wf3 b USING (settlement_date, settlement_period) GROUP BY 1""")
+SELECT series, settlement_date, stddev_pop(b.q50 - a.q50) AS spread, count(*) AS n, CAST(stddev_pop(b.q50 - a.q50) > 0.5 AS INTEGER) AS diverged
+FROM c_wf a JOIN c_wf3 b USING (series, settlement_date, settlement_period) GROUP BY 1, 2""")
 def published_against_live(t: Tables):
-    return MO.divergence(I.forecasts(t), I.short_forecasts(t), ["settlement_date"]).withColumn("diverged", F.col("diverged").cast("int"))
+    return MO.divergence(I.forecasts(t), I.short_forecasts(t), ["series", "settlement_date"]).withColumn("diverged", F.col("diverged").cast("int"))
 
 
 @query("D57 F4", rnd="min_q50 mean_q50 max_q50 peak_q90", sql="""

@@ -228,7 +228,7 @@ FROM c_wf w LEFT JOIN (SELECT * FROM c_panel WHERE {cond}) v USING (series, sett
 
 @query("C20 I11", rnd="q10 q50 q90", sql=_SPLICE.format(cond="settlement_period <= 20"))
 def settled_rows_spliced(t: Tables):
-    d = J.splice_actuals(I.forecasts(t), I.panel(t).where("settlement_period <= 20"))
+    d = J.splice_actuals(I.forecasts(t), I.panel(t).where("settlement_period <= 20"), keys=["series", *KEY])
     return d.select(*KEY, "q10", "q50", "q90", F.col("is_actual").cast("int").alias("is_actual"))
 
 
@@ -236,9 +236,10 @@ def settled_rows_spliced(t: Tables):
 def earlier_actuals_restored(t: Tables):
     """A re-run that lost slot 30 gets it back from the previous output."""
     f, p = I.forecasts(t), I.panel(t)
-    before = J.splice_actuals(f, p.where("settlement_period <= 15 OR settlement_period = 30"))
-    now = J.splice_actuals(f, p.where("settlement_period <= 20"))
-    d = J.restore_actuals(now, before)
+    on = ["series", *KEY]
+    before = J.splice_actuals(f, p.where("settlement_period <= 15 OR settlement_period = 30"), keys=on)
+    now = J.splice_actuals(f, p.where("settlement_period <= 20"), keys=on)
+    d = J.restore_actuals(now, before, keys=on)
     return d.select(*KEY, "q10", "q50", "q90", F.col("is_actual").cast("int").alias("is_actual"))
 
 
