@@ -13,8 +13,12 @@ plan moves to wider keys as the corpus grows.  A fingerprint is filed under its
 partition's value with every choice of t_i bits blanked; fingerprints that share
 a file are candidates and verified.
 
-For a similarity instead of a number of bits (:func:`one_of_similar`), a
-fingerprint of 512 bits is cut into 32 parts, looked up and verified alike.
+For a similarity instead of a number of bits (:func:`one_of_similar`), fingerprints
+of 512 bits, cut into 32 parts, link most near copies cheaply.  What they miss is
+found without loss: two sets of shingles whose Jaccard similarity is s or more share
+one of the first n - ceil(s n) + 1 shingles of either in any common order.  Shingles
+that are frequent in a sample come last in that order.  Pairs of different groups
+that share such a shingle are compared by their sets.
 
 Equal fingerprints are one entry.  A file with many entries is walked breadth
 first over what is not yet reached, so it yields one link per entry, not all
@@ -28,7 +32,7 @@ group; an empty table gives no rows; texts are read whole.
 from __future__ import annotations
 
 from itertools import combinations
-from math import acos, comb, pi, sqrt
+from math import acos, ceil, comb, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +54,8 @@ SMALL = 64
 # Fingerprints for a similarity: words of a shingle, blocks of 64 bits, bits in all, bits of a part that is looked up.
 WIDE_SHINGLE, BLOCKS, PART = 5, 8, 16
 WIDE = BLOCKS * BITS
+#: Documents of which frequent shingles are learnt, and in how many of them one must be (they choose the order, never the result).
+ORDER_SAMPLE, FREQUENT = 8192, 3
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -296,12 +302,29 @@ def wide_links_of_file(prints: np.ndarray, reach: int) -> list[tuple[int, int]]:
     return out
 
 
+def whole_files(batches):
+    """The rows of sorted batches as tables that end where the first column changes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        first, last = held[0].column(0)[0].as_py(), batch.column(0)[-1].as_py()
+        if first != last:
+            table = pa.Table.from_batches(held).combine_chunks()
+            whole = int(np.searchsorted(table.column(0).to_numpy(), last))
+            yield table.slice(0, whole)
+            held = table.slice(whole).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def similar_links(prints: DataFrame, reach: int) -> DataFrame:
     """Edges (a, b) between the nodes of rows (node, wide) that share a ``PART`` of their bits and differ in ``reach`` at most.
 
     The parts are partitions with threshold zero: any two fingerprints that
-    differ in fewer bits than there are parts share one; of those that differ in
-    more, the README gives the share that is found.
+    differ in fewer bits than there are parts share one; :func:`prefix_pairs`
+    finds the others.
     """
     def file(batches):
         for batch in batches:
@@ -312,9 +335,7 @@ def similar_links(prints: DataFrame, reach: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(files.ravel()), batch.column(0).take(rows), batch.column(1).take(rows)], names=["file", "node", "wide"])
 
     def compare(batches):
-        held: list[pa.RecordBatch] = []
-
-        def out(table):
+        for table in whole_files(batches):
             files, nodes = table.column(0).to_numpy(), table.column(1).to_numpy()
             words = np.frombuffer(b"".join(table.column(2).to_pylist()), dtype=np.uint64).reshape(len(files), BLOCKS)
             heads = np.flatnonzero(np.diff(files, prepend=files[0] - 1))
@@ -332,35 +353,147 @@ def similar_links(prints: DataFrame, reach: int) -> DataFrame:
                 b.append(rows[near] + d)
             # Stars to the smallest node: files that hold the same group yield the same few edges.
             x, y = stars(nodes[np.concatenate(a)], nodes[np.concatenate(b)])
-            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
-
-        for batch in batches:
-            held.append(batch)
-            first, last = held[0].column(0)[0].as_py(), batch.column(0)[-1].as_py()
-            if first != last:
-                table = pa.Table.from_batches(held).combine_chunks()
-                whole = int(np.searchsorted(table.column(0).to_numpy(), last))
-                yield out(table.slice(0, whole))
-                held = table.slice(whole).combine_chunks().to_batches()
-        if held:
-            yield out(pa.Table.from_batches(held).combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
     filed = prints.select("node", "wide").mapInArrow(file, "file bigint, node bigint, wide binary")
     return filed.repartition("file").sortWithinPartitions("file").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct hashes of the shingles of ``WIDE_SHINGLE`` words, ascending."""
+    return np.unique(shingle_hashes(text, WIDE_SHINGLE))
+
+
+def frequent_shingles(thin: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several distinct texts of a sample hold, ascending, and in how many (``thin`` has ``mark`` and ``text``)."""
+    some = thin.filter(share(F.col("mark"), F.lit(5)) < ORDER_SAMPLE / F.lit(max(thin.count(), 1))).groupBy("mark").agg(F.any_value("text").alias("text"))
+    sets = annotate(some, "text", ["mark"], "shingle array<bigint>", lambda: lambda texts: {"shingle": [shingle_set(t).view(np.int64) for t in texts]})
+    counts = sets.select(F.explode("shingle").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT).toArrow()
+    shingles = counts["shingle"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], counts["n"].to_numpy()[order]
+
+
+def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles in the common order, one of which any set of that similarity holds among its own first."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    rank = np.zeros(n, dtype=np.int64)
+    known, counts = frequent
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        rank = np.where(known[at] == shingles, counts[at], 0)
+    return shingles[np.lexsort((shingles, rank))[:n - ceil(similarity * n - 1e-9) + 1]]
+
+
+def pairs_of_files(files, nodes, groups, sizes, places, similarity: float):
+    """Pairs of nodes of different groups in runs of equal ``files``, ascending in ``sizes``, whose sizes and places allow the similarity."""
+    heads = np.flatnonzero(np.diff(files, prepend=files[0] - 1))
+    ends = np.append(heads[1:], len(files))
+    long = ends - heads > SMALL
+
+    def allowed(x, y):
+        least = similarity / (1 + similarity) * (sizes[x] + sizes[y]) - 1e-6
+        most = 1 + np.minimum(places[x], places[y]) + np.minimum(sizes[x] - places[x], sizes[y] - places[y]) - 1
+        return (groups[x] != groups[y]) & (most >= least)
+
+    def near(x, y):
+        return sizes[x] >= similarity * sizes[y] - 1e-6
+
+    end = np.repeat(ends, ends - heads)
+    rows = np.flatnonzero(np.repeat(~long, ends - heads))
+    for d in range(1, SMALL):
+        rows = rows[rows + d < end[rows]]
+        rows = rows[near(rows, rows + d)]
+        if not len(rows):
+            break
+        fit = rows[allowed(rows, rows + d)]
+        yield nodes[fit], nodes[fit + d]
+    for h, e in zip(heads[long].tolist(), ends[long].tolist()):
+        # Members of the largest group need no comparison with each other.
+        names, which, count = np.unique(groups[h:e], return_inverse=True, return_counts=True)
+        for x in (h + np.flatnonzero(which != count.argmax())).tolist():
+            y = np.arange(h + int(np.searchsorted(sizes[h:e], similarity * sizes[x] - 1e-6)), h + int(np.searchsorted(sizes[h:e], (sizes[x] + 1e-6) / similarity, "right")))
+            # Of two members of other groups the one that comes first compares.
+            y = y[(y > x) | (which[y - h] == count.argmax())]
+            y = y[allowed(np.full(len(y), x), y)]
+            yield np.full(len(y), nodes[x]), nodes[y]
+
+
+def prefix_pairs(filed: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b) from the rows (node, grp, size, first): all that share a shingle of ``first``, are of different groups, and may be similar."""
+    rows = filed.select(F.posexplode("first").alias("place", "file"), "node", "grp", "size")
+    rows = rows.select("file", "node", "grp", (F.shiftleft(F.col("size").cast("bigint"), 32) + F.col("place")).alias("measure"))
+
+    def run(batches):
+        for table in whole_files(batches):
+            files, nodes, groups, measure = (table.column(i).to_numpy() for i in range(4))
+            seen = []
+            for a, b in pairs_of_files(files, nodes, groups, measure >> 32, measure & (1 << 32) - 1, similarity):
+                seen.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+                if sum(map(len, seen[-64:])) > 1 << 16 or len(seen) > 1 << 12:
+                    yield batch_of(seen)
+                    seen = []
+            if seen:
+                yield batch_of(seen)
+
+    def batch_of(seen):
+        both = np.unique(np.concatenate(seen), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+
+    return rows.repartition("file").sortWithinPartitions("file", "measure").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def verified(pairs: DataFrame, alike: DataFrame, thin: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have the Jaccard similarity; ``alike`` names a document (id, mark) of each node."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    text = alike.join(asked, "node").select("node", F.coalesce(F.col("first.id").cast("string"), F.lit("")).alias("id"), "first.mark")
+    text = thin.withColumn("id", F.coalesce(F.col("id").cast("string"), F.lit(""))).join(text, ["id", "mark"]).select("node", "text")
+    sets = annotate(text, "text", ["node"], "shingles binary", lambda: lambda texts: {"shingles": [shingle_set(t).tobytes() for t in texts]})
+    # Repeated rows have the same set.
+    sets = materialise(sets.select("row.node", "shingles").dropDuplicates(["node"]), "sets")
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both > 0 and both / (len(x) + len(y) - both) >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
+
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
 def one_of_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = 0.8) -> DataFrame:
     """One document of each group of similar texts stays, the one with the smallest id, in the documents' own columns.
 
-    Texts link at a Jaccard similarity of ``similarity`` or more over shingles of
-    ``WIDE_SHINGLE`` words, as wide fingerprints estimate it.
+    Texts link at a Jaccard similarity of ``similarity`` or more over their sets
+    of shingles of ``WIDE_SHINGLE`` words.
     """
     mark = F.xxhash64(F.col(f"`{text}`").cast("string"))
     thin = docs.select(F.col(f"`{key}`").alias("id"), mark.alias("mark"), F.col(f"`{text}`").cast("string").alias("text"))
-    prints = annotate(thin, "text", ["id", "mark"], "wide binary", lambda: lambda texts: {"wide": [wide_fingerprint(t) for t in texts]})
-    prints = materialise(prints.select("row.id", "row.mark", "wide", F.xxhash64("wide").alias("node")), "wide")
-    alike = materialise(prints.groupBy("node").agg(F.any_value("wide").alias("wide")), "nodes")
-    near = materialise(roots(similar_links(alike, reach_of(similarity))), "roots")
+    frequent = frequent_shingles(thin)
+
+    def work(texts):
+        sets = [shingle_set(t) for t in texts]
+        return {"wide": [wide_fingerprint(t) for t in texts], "node": [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets],
+                "size": [len(s) for s in sets], "first": [prefix(s, frequent, similarity).view(np.int64) for s in sets]}
+
+    prints = annotate(thin, "text", ["id", "mark"], "wide binary, node bigint, size int, first array<bigint>", lambda: work)
+    prints = materialise(prints.select("row.id", "row.mark", "wide", "node", "size", F.col("first").alias("start")), "wide")
+    alike = prints.groupBy("node").agg(F.any_value("wide").alias("wide"), F.any_value("size").alias("size"), F.any_value("start").alias("start"),
+                                       F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first"))
+    alike = materialise(alike, "nodes")
+    close = materialise(similar_links(alike, reach_of(similarity)), "close")
+    groups = materialise(roots(close), "groups")
+    filed = alike.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("grp"), "size", F.col("start").alias("first"))
+    pairs = materialise(prefix_pairs(filed, similarity), "pairs")
+    others = verified(pairs, alike, thin, similarity)
+    near = materialise(roots(close.unionByName(others)), "roots")
     member = prints.select("id", "mark", "node").join(near, "node", "left").select("id", "mark", F.coalesce("root", "node").alias("root"))
     first = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first")).select("first.id", "first.mark")
     # Repeated rows of the one that stays: the join has brought them together by id and text.

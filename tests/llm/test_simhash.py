@@ -161,3 +161,44 @@ def test_similar_texts(spark, folder, documents):
     got = simhash.one_of_similar(spark.read.parquet(f"{twice}/documents.parquet")).collect()
     assert sorted(str(r.doc_id) for r in got) == ["4", "None"]
     assert simhash.one_of_similar(spark.read.parquet(f"{folder(documents=documents([]))}/documents.parquet")).count() == 0
+
+
+def edited_pairs(seed, n, low, high):
+    """Pairs of texts whose five-word similarity lies in [low, high)."""
+    rng = random.Random(seed)
+    out = []
+    while len(out) < n:
+        words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(rng.randint(150, 300))]
+        other = list(words)
+        for _ in range(rng.randint(2, 12)):
+            other[rng.randrange(len(other))] = "".join(rng.choices("klmnop", k=6))
+        x, y = ({tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (words, other))
+        if low <= len(x & y) / len(x | y) < high:
+            out.append((" ".join(words), " ".join(other)))
+    return out
+
+
+def kept_ids(spark, folder, documents, texts):
+    path = folder(documents=documents(texts))
+    return {r.doc_id for r in simhash.one_of_similar(spark.read.parquet(f"{path}/documents.parquet")).collect()}
+
+
+def test_every_pair_at_the_similarity_is_found(spark, folder, documents):
+    texts = [t for p in edited_pairs(21, 120, 0.8, 0.82) for t in p]
+    assert kept_ids(spark, folder, documents, texts) == set(range(0, len(texts), 2))
+
+
+def test_pairs_of_files_are_those_of_brute_force():
+    rng = random.Random(8)
+    sizes = [20, 22, 24, 25, 30]
+    for n in (5, 40, 200):
+        rows = sorted((f, rng.choice(sizes), rng.randint(0, 5), rng.choice([1, 1, 1, 2, 3, 4])) for f in (1, 2) for _ in range(n))
+        files, size, place, group = (np.array(c) for c in zip(*rows))
+        got = set()
+        for a, b in simhash.pairs_of_files(files, np.arange(len(rows)), group, size, place, 0.8):
+            new = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())}
+            assert len(new) == len(a) and not new & got
+            got |= new
+        want = {(i, j) for j in range(len(rows)) for i in range(j) if files[i] == files[j] and group[i] != group[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j])
+                and 9 * (1 + min(place[i], place[j]) + min(size[i] - place[i], size[j] - place[j]) - 1) >= 4 * (size[i] + size[j])}
+        assert got == want
