@@ -14,8 +14,8 @@ partition's value with every choice of t_i bits blanked; fingerprints that share
 a file are candidates and verified.
 
 For a similarity instead of a number of bits (:func:`one_of_similar`), fingerprints
-of 512 bits, cut into 32 parts, link most near copies cheaply.  What they miss is
-found without loss: two sets of shingles whose Jaccard similarity is s or more share
+of 512 bits, cut into 32 parts, propose most near copies cheaply, and the sets of
+shingles confirm them.  What they miss is found without loss: two sets of shingles whose Jaccard similarity is s or more share
 one of the first n - ceil(s n) + 1 shingles of either in any common order.  Shingles
 that are frequent in a sample come last in that order.  Pairs of different groups
 that share such a shingle are compared by their sets.
@@ -250,9 +250,8 @@ def group(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: list[s
     return stored.join(grouped(stored.select("fp", "id"), reach), "fp")
 
 
-def wide_fingerprint(text: str | None) -> bytes:
-    """A fingerprint of ``BLOCKS`` times 64 bits over shingles of ``WIDE_SHINGLE`` words; each block remixes the hashes."""
-    hashes = shingle_hashes(text, WIDE_SHINGLE)
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """A fingerprint of ``BLOCKS`` times 64 bits over distinct hashes of shingles; each block remixes them."""
     out = []
     for i in range(BLOCKS):
         h = (hashes ^ np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -387,8 +386,8 @@ def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], simila
     return shingles[np.lexsort((shingles, rank))[:n - ceil(similarity * n - 1e-9) + 1]]
 
 
-def pairs_of_files(files, nodes, groups, sizes, places, similarity: float):
-    """Pairs of nodes of different groups in runs of equal ``files``, ascending in ``sizes``, whose sizes and places allow the similarity."""
+def pairs_of_files(files, groups, sizes, places, similarity: float):
+    """Pairs of row numbers of different groups in runs of equal ``files``, ascending in ``sizes``, whose sizes and places allow the similarity."""
     heads = np.flatnonzero(np.diff(files, prepend=files[0] - 1))
     ends = np.append(heads[1:], len(files))
     long = ends - heads > SMALL
@@ -409,7 +408,7 @@ def pairs_of_files(files, nodes, groups, sizes, places, similarity: float):
         if not len(rows):
             break
         fit = rows[allowed(rows, rows + d)]
-        yield nodes[fit], nodes[fit + d]
+        yield fit, fit + d
     for h, e in zip(heads[long].tolist(), ends[long].tolist()):
         # Members of the largest group need no comparison with each other.
         names, which, count = np.unique(groups[h:e], return_inverse=True, return_counts=True)
@@ -418,7 +417,7 @@ def pairs_of_files(files, nodes, groups, sizes, places, similarity: float):
             # Of two members of other groups the one that comes first compares.
             y = y[(y > x) | (which[y - h] == count.argmax())]
             y = y[allowed(np.full(len(y), x), y)]
-            yield np.full(len(y), nodes[x]), nodes[y]
+            yield np.full(len(y), x), y
 
 
 def prefix_pairs(filed: DataFrame, similarity: float) -> DataFrame:
@@ -429,20 +428,28 @@ def prefix_pairs(filed: DataFrame, similarity: float) -> DataFrame:
     def run(batches):
         for table in whole_files(batches):
             files, nodes, groups, measure = (table.column(i).to_numpy() for i in range(4))
-            seen = []
-            for a, b in pairs_of_files(files, nodes, groups, measure >> 32, measure & (1 << 32) - 1, similarity):
-                seen.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-                if sum(map(len, seen[-64:])) > 1 << 16 or len(seen) > 1 << 12:
-                    yield batch_of(seen)
-                    seen = []
+            seen, held = [], 0
+            for a, b in pairs_of_files(files, groups, measure >> 32, measure & (1 << 32) - 1, similarity):
+                # Two row numbers of the table in one; the smaller node comes first.
+                seen.append(np.where(nodes[a] < nodes[b], a << 32 | b, b << 32 | a))
+                held += len(a)
+                if held > 1 << 20 or len(seen) > 1 << 14:
+                    yield from batch_of(seen, nodes, measure >> 32).to_batches()
+                    seen, held = [], 0
             if seen:
-                yield batch_of(seen)
+                yield from batch_of(seen, nodes, measure >> 32).to_batches()
 
-    def batch_of(seen):
-        both = np.unique(np.concatenate(seen), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+    def batch_of(seen, nodes, sizes):
+        both = np.concatenate(seen)
+        one, other = both >> 32, both & (1 << 32) - 1
+        table = pa.table({"a": nodes[one], "b": nodes[other], "x": sizes[one], "y": sizes[other]})
+        return table.group_by(["a", "b", "x", "y"]).aggregate([([], "count_all")]).rename_columns(["a", "b", "x", "y", "n"])
 
-    return rows.repartition("file").sortWithinPartitions("file", "measure").mapInArrow(run, "a bigint, b bigint").distinct()
+    # Shared shingles beyond the shorter prefix are the rest of one set at most.
+    found = rows.repartition("file").sortWithinPartitions("file", "measure").mapInArrow(run, "a bigint, b bigint, x bigint, y bigint, n bigint")
+    found = found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("x").alias("x"), F.first("y").alias("y"))
+    rest = F.ceil(F.greatest("x", "y") * similarity - 1e-9) - 1
+    return found.filter(F.col("n") + rest >= similarity / (1 + similarity) * (F.col("x") + F.col("y")) - 1e-6).select("a", "b")
 
 
 def verified(pairs: DataFrame, alike: DataFrame, thin: DataFrame, similarity: float) -> DataFrame:
@@ -480,7 +487,7 @@ def one_of_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", sim
 
     def work(texts):
         sets = [shingle_set(t) for t in texts]
-        return {"wide": [wide_fingerprint(t) for t in texts], "node": [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets],
+        return {"wide": [wide_fingerprint(s) for s in sets], "node": [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets],
                 "size": [len(s) for s in sets], "first": [prefix(s, frequent, similarity).view(np.int64) for s in sets]}
 
     prints = annotate(thin, "text", ["id", "mark"], "wide binary, node bigint, size int, first array<bigint>", lambda: work)
@@ -488,7 +495,7 @@ def one_of_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", sim
     alike = prints.groupBy("node").agg(F.any_value("wide").alias("wide"), F.any_value("size").alias("size"), F.any_value("start").alias("start"),
                                        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first"))
     alike = materialise(alike, "nodes")
-    close = materialise(similar_links(alike, reach_of(similarity)), "close")
+    close = materialise(verified(similar_links(alike, reach_of(similarity)), alike, thin, similarity), "close")
     groups = materialise(roots(close), "groups")
     filed = alike.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("grp"), "size", F.col("start").alias("first"))
     pairs = materialise(prefix_pairs(filed, similarity), "pairs")

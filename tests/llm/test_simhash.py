@@ -195,10 +195,22 @@ def test_pairs_of_files_are_those_of_brute_force():
         rows = sorted((f, rng.choice(sizes), rng.randint(0, 5), rng.choice([1, 1, 1, 2, 3, 4])) for f in (1, 2) for _ in range(n))
         files, size, place, group = (np.array(c) for c in zip(*rows))
         got = set()
-        for a, b in simhash.pairs_of_files(files, np.arange(len(rows)), group, size, place, 0.8):
+        for a, b in simhash.pairs_of_files(files, group, size, place, 0.8):
             new = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())}
             assert len(new) == len(a) and not new & got
             got |= new
         want = {(i, j) for j in range(len(rows)) for i in range(j) if files[i] == files[j] and group[i] != group[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j])
                 and 9 * (1 + min(place[i], place[j]) + min(size[i] - place[i], size[j] - place[j]) - 1) >= 4 * (size[i] + size[j])}
         assert got == want
+
+
+def test_texts_below_the_similarity_stay(spark, folder, documents):
+    texts = [t for p in edited_pairs(22, 40, 0.72, 0.799) for t in p]
+    rng = random.Random(23)
+    words = lambda n: ["".join(rng.choices("qrstuvwxyz", k=6)) for _ in range(n)]
+    # A repeated line in two texts that are else unlike, and short texts that differ in the last word.
+    line = words(16)
+    texts += [" ".join(line * 30 + words(104)) for _ in range(2)]
+    short = words(9)
+    texts += [" ".join([*short, w]) for w in words(2)]
+    assert kept_ids(spark, folder, documents, texts) == set(range(len(texts)))
