@@ -1,8 +1,9 @@
 """Secret scan: fixed shapes, and tokens that pass a battery of randomness tests.
 
 The base kinds are regular expressions.  The method then looks at every token of
-``[A-Za-z0-9+/_-]``, infers its encoding from the symbols used, and measures how
-far it is from written text towards random symbols:
+``[A-Za-z0-9+/_-]``, infers its encoding from the symbols used (tokens that no encoding
+fits: without ``+/_-``; tokens with these: their pieces of 16 or more as well), and
+measures how far it is from written text towards random symbols:
 
 * chi-squared: how uniform the symbols are over the encoding's alphabet;
 * runs: how often the class of symbol (digit, upper, lower, other) changes;
@@ -16,7 +17,7 @@ must also be compatible with a random one in each test.  All of it is DataFrame
 expressions; the step-up thresholds come from counts per (octave, p bin).
 
 Cases: null text counts as empty; empty text has no spans; tokens of one symbol
-class are words or numbers and are not tested; ties in p share their fate;
+class besides ``+/_-`` are words or numbers and are not tested; ties in p share their fate;
 repeated rows and an empty table need no special care; positions are code points.
 """
 
@@ -59,7 +60,10 @@ ENCODINGS = (
     ("^(?=.*[0-9])(?=.*[a-z])[0-9a-z]+$", _DIGITS + _LOWER),
     ("^(?=.*[0-9])(?=.*[A-Z])[0-9A-Z]+$", _DIGITS + _UPPER),
     ("^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])", _ORDER),
+    ("^(?=.*[a-z])(?=.*[A-Z])[A-Za-z]+$", _UPPER + _LOWER),
 )
+# A token that no encoding fits is tested without these, and so is each of its long pieces between them.
+SEPARATORS, PIECE = "+/_-", "[A-Za-z0-9]{16,}"
 
 
 def located(text: F.Column, pattern: str) -> F.Column:
@@ -109,16 +113,26 @@ def upper_tail(z: F.Column) -> F.Column:
     return F.when(z >= 0, half).otherwise(1 - half)
 
 
+def _encoding(token: F.Column) -> F.Column:
+    alphabet = F.lit(None).cast("string")
+    for shape, symbols in reversed(ENCODINGS):
+        alphabet = F.when(F.rlike(token, F.lit(shape)), F.lit(symbols)).otherwise(alphabet)
+    return alphabet
+
+
 def battery(token: F.Column) -> F.Column:
     """Struct (size, p, random): the combined p value against written text, and whether all tests allow a random token.
 
-    Null where no encoding is inferred.
+    Null where no encoding is inferred, with the separators or without.
     """
-    n = F.length(token)
-    alphabet = F.lit(None).cast("string")
-    for shape, symbols in reversed(ENCODINGS):
-        alphabet = F.when(F.rlike(token, F.lit(shape)), F.lit(symbols)).otherwise(alphabet)
-    return F.when(alphabet.isNotNull(), _tests(token, n, alphabet))
+    def bound(value, use):
+        # A value that is used many times is computed once.
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    def infer(core):
+        return bound(F.struct(core.alias("core"), _encoding(core).alias("alphabet")), lambda t: F.when(t.alphabet.isNotNull(), _tests(t.core, F.length(t.core), t.alphabet)))
+
+    return bound(F.when(_encoding(token).isNotNull(), token).otherwise(F.translate(token, SEPARATORS, "")), infer)
 
 
 def _tests(token: F.Column, n: F.Column, alphabet: F.Column) -> F.Column:
@@ -135,10 +149,12 @@ def _tests(token: F.Column, n: F.Column, alphabet: F.Column) -> F.Column:
     same = sum((x * x for x in [*kinds[1:], other]), kinds[0] * kinds[0]) / (k * k)
     z_runs_random = (runs - (n - 1) * (1 - same)) / F.sqrt(F.greatest((n - 1) * same * (1 - same), F.lit(1e-9)))
     codes = F.transform(F.split(token, "(?!^)"), lambda c: F.instr(F.lit(_ORDER), c).cast("double"))
-    mean = F.aggregate(codes, F.lit(0.0), lambda a, c: a + c) / n
-    centred = F.transform(codes, lambda c: c - mean)
-    spread = F.aggregate(centred, F.lit(0.0), lambda a, c: a + c * c)
-    lagged = F.aggregate(F.zip_with(F.slice(centred, 1, n - 1), F.slice(centred, 2, n - 1), lambda a, b: a * b), F.lit(0.0), lambda a, c: a + c)
+    # Sums over the codes themselves: linear in the token's length.
+    total, square = (F.aggregate(codes, F.lit(0.0), f) for f in (lambda a, c: a + c, lambda a, c: a + c * c))
+    product = F.aggregate(F.zip_with(F.slice(codes, 1, n - 1), F.slice(codes, 2, n - 1), lambda a, b: a * b), F.lit(0.0), lambda a, c: a + c)
+    mean = total / n
+    spread = square - total * mean
+    lagged = product - mean * (2 * total - F.element_at(codes, 1) - F.element_at(codes, -1)) + (n - 1) * mean * mean
     serial = F.when(spread > 0, lagged / spread).otherwise(1.0)
     z_serial = (TEXT_SERIAL - serial) * F.sqrt(n.cast("double")) / (1 - TEXT_SERIAL ** 2)
     p = upper_tail((z_chi + z_runs + z_serial) / math.sqrt(3))
@@ -151,12 +167,15 @@ def _octave(size: F.Column) -> F.Column:
 
 
 def tested(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``row``, ``base`` spans and the tested ``tokens`` (start, end, octave, p bin, random) of each text."""
+    """``row``, ``base`` spans and the tested ``tokens`` (start, end, octave, p bin, random, piece) of each text."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    tokens = F.transform(located(F.col("text"), TOKEN), lambda t: F.struct(t.start.alias("start"), t.end.alias("end"), battery(t.hit).alias("b")))
+    pieces = F.transform(F.filter(located(F.col("text"), TOKEN), lambda t: F.rlike(t.hit, F.lit("[+/_-]"))), lambda t: F.transform(located(t.hit, PIECE), lambda x: F.struct(
+        (t.start + x.start).alias("start"), (t.start + x.end).alias("end"), x.hit.alias("hit"), F.lit(True).alias("piece"))))
+    whole = F.transform(located(F.col("text"), TOKEN), lambda t: F.struct(t.start.alias("start"), t.end.alias("end"), t.hit.alias("hit"), F.lit(False).alias("piece")))
+    tokens = F.transform(F.concat(whole, F.flatten(pieces)), lambda t: F.struct(t.start.alias("start"), t.end.alias("end"), t.piece.alias("piece"), battery(t.hit).alias("b")))
     tokens = F.transform(F.filter(tokens, lambda t: t.b.isNotNull()), lambda t: F.struct(
         t.start.alias("start"), t.end.alias("end"), _octave(t.b.size).alias("octave"),
-        F.least(F.floor(-F.log10(F.greatest(t.b.p, F.lit(1e-299))) * BINS_PER_DECADE), F.lit(TOP_BIN)).cast("int").alias("bin"), t.b.random.alias("random")))
+        F.least(F.floor(-F.log10(F.greatest(t.b.p, F.lit(1e-299))) * BINS_PER_DECADE), F.lit(TOP_BIN)).cast("int").alias("bin"), t.b.random.alias("random"), t.piece.alias("piece")))
     return packed.select("row", base_spans(F.col("text")).alias("base"), tokens.alias("tokens"))
 
 
@@ -176,6 +195,8 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     # At most one entry per octave of length: a map that every row can hold.
     least = thresholds(found).agg(F.map_from_entries(F.collect_list(F.struct("octave", "least"))).alias("least")).scalar()
     random = F.filter("tokens", lambda t: t.random & (t.bin >= F.coalesce(F.try_element_at(F.col("least"), t.octave), F.lit(TOP_BIN + 1))))
+    # A piece of a token that is flagged as a whole is not named again.
+    random = F.transform(F.array(random), lambda r: F.filter(r, lambda t: ~t.piece | ~F.exists(r, lambda w: ~w.piece & (w.start <= t.start) & (w.end >= t.end))))[0]
     added = _tagged(random, KINDS.index(METHOD), METHOD)
     return found.withColumn("least", least).select("row", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 

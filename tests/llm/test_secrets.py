@@ -58,6 +58,31 @@ def test_battery_tells_random_tokens_from_written_ones(spark):
     assert all(f"random:4:{4 + len(random_ones[r.id])}" in r.s for r in found if r.id in flagged)
 
 
+def flagged_spans(spark, tokens):
+    rows = [(i, f"see {t} here") for i, t in enumerate(tokens)]
+    found = secrets.scan(spark.createDataFrame(rows, "id int, text string"), keep=["id"]).select("row.id", secrets.joined("spans").alias("s")).collect()
+    return {r.id: [tuple(map(int, x.split(":")[1:])) for x in r.s.split(",") if x.startswith("random")] for r in found}
+
+
+def test_tokens_with_separators_and_without_digits(spark):
+    rng = random.Random(3)
+    draw = lambda a, n: "".join(rng.choices(a, k=n))
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    shapes = {
+        "uuid": lambda: "-".join(draw("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)),
+        "prefix": lambda: "prefix_" + draw("0123456789abcdef", 40),
+        "key id": lambda: "key-id-" + draw(lower + digits, 40),
+        "licence": lambda: "-".join(draw(upper + digits, 5) for _ in range(6)),
+        "letters": lambda: draw(upper + lower, 32),
+    }
+    names = [n for n in shapes for _ in range(30)]
+    tokens = [shapes[n]() for n in names]
+    got = flagged_spans(spark, tokens)
+    for n in shapes:
+        hit = [i for i, m in enumerate(names) if m == n and got[i]]
+        assert len(hit) >= 0.8 * 30, (n, len(hit))
+
+
 @pytest.mark.parametrize("z,p", [(0.0, 0.5), (1.0, 0.158655), (-1.0, 0.841345), (3.0, 0.00134990), (6.0, 9.8659e-10)])
 def test_upper_tail(spark, z, p):
     from pyspark.sql import functions as F
