@@ -59,10 +59,12 @@ ENCODINGS = (
     ("^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", _UPPER + _DIGITS[2:8]),
     ("^(?=.*[0-9])(?=.*[a-z])[0-9a-z]+$", _DIGITS + _LOWER),
     ("^(?=.*[0-9])(?=.*[A-Z])[0-9A-Z]+$", _DIGITS + _UPPER),
-    ("^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])", _ORDER),
+    ("^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[0-9A-Za-z]+$", _DIGITS + _UPPER + _LOWER),
     ("^(?=.*[a-z])(?=.*[A-Z])[A-Za-z]+$", _UPPER + _LOWER),
+    ("^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[0-9A-Za-z+/]+$", _DIGITS + _UPPER + _LOWER + "+/"),
+    ("^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[0-9A-Za-z_-]+$", _DIGITS + _UPPER + _LOWER + "_-"),
 )
-# A token that no encoding fits is tested without these, and so is each of its long pieces between them.
+# A token that is neither base64 nor base64url is tested without these, and so is each of its long pieces between them.
 SEPARATORS, PIECE = "+/_-", "[A-Za-z0-9]{16,}"
 
 

@@ -83,6 +83,14 @@ def test_tokens_with_separators_and_without_digits(spark):
         assert len(hit) >= 0.8 * 30, (n, len(hit))
 
 
+def test_long_random_tokens(spark):
+    rng = random.Random(4)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    tokens = ["".join(rng.choices(a, k=n)) for a in (base62, base62 + "+/", base62 + "_-") for n in (2000, 10000) for _ in range(5)]
+    got = flagged_spans(spark, tokens)
+    assert all(got[i] == [(4, 4 + len(t))] for i, t in enumerate(tokens))
+
+
 @pytest.mark.parametrize("z,p", [(0.0, 0.5), (1.0, 0.158655), (-1.0, 0.841345), (3.0, 0.00134990), (6.0, 9.8659e-10)])
 def test_upper_tail(spark, z, p):
     from pyspark.sql import functions as F
