@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import decontaminate, language, mixing, pii, repeats, secrets, simhash, topk, toxicity, urls
+from slotwise.llm import codes, decontaminate, language, lexical, lines, mixing, pii, repeats, secrets, simhash, topk, toxicity, urls
 from slotwise.llm.texts import crc_of
 
 
@@ -83,8 +85,98 @@ def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search(_table(spark, folder, "embeddings"), F.col("key") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_decontamination, op4_pii, op5_mixing, op6_repeats, op7_language_id, op8_simhash, op9_url_filter, op10_top_k)}
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    found, books = codes.encode(_table(spark, folder, "embeddings"), keep=["vec_id", "label"])
+    digest = sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
+    error = F.aggregate("errors", F.lit(0).cast("bigint"), lambda a, b: a + b)
+    rows = found.select("row.vec_id", "row.label", F.lower(F.hex("code")).alias("code"), error.alias("error"))
+    return codes.with_label_sums(rows, "label", "error", "label_error").select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+# The limits of the base rules.
+LEAST_WORDS, MOST_REPEATED_PERCENT = 20, 30
+
+
+def op12_line_cleaning(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.clean(_table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"], with_text=False)
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
+    return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~F.col("rejected")).alias("kept"))
+
+
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_decontamination, op4_pii, op5_mixing, op6_repeats, op7_language_id, op8_simhash, op9_url_filter, op10_top_k,
+                                  op11_vector_codes, op12_line_cleaning, op13_lexical_search)}
+
+
+def _texts(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _codes_sql() -> str:
+    """Lloyd rounds with full comparisons: assignment a, codebook b, in turn."""
+    steps = []
+    for r in range(codes.ROUNDS + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT uid, p, any_value(x) AS x, min(d * {codes.ENTRIES} + e) % {codes.ENTRIES} AS e, min(d) AS d
+    FROM (SELECT uid, parts.p, x, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM parts JOIN b{r} ON parts.p = b{r}.p) GROUP BY uid, p)""")
+        if r < codes.ROUNDS:
+            steps.append(f"""b{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(n.c, b.c) AS c FROM b{r} b LEFT JOIN (SELECT p, e, list(CAST((s - ((s % k) + k) % k) // k AS BIGINT) ORDER BY j) AS c
+    FROM (SELECT p, e, j, sum(x[j]) AS s, count(*) AS k FROM a{r}, (SELECT unnest(range(1, w + 1)) AS j FROM width) GROUP BY p, e, j) GROUP BY p, e) n USING (p, e))""")
+    last = codes.ROUNDS
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS uid, vec_id, label, list_transform(embedding, lambda x: CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+width AS (SELECT greatest(1, (max(len(v)) + {codes.PARTS - 1}) // {codes.PARTS}) AS w FROM kept),
+parts AS MATERIALIZED (SELECT uid, vec_id, v, p, list_resize(v, {codes.PARTS} * w, 0)[p * w + 1:p * w + w] AS x FROM kept, width, (SELECT unnest(range({codes.PARTS})) AS p)),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id NULLS LAST, v) - 1 AS e, x AS c FROM parts QUALIFY e < {codes.ENTRIES}),
+{",".join(chr(10) + s for s in steps).strip()},
+coded AS (SELECT uid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{last} GROUP BY uid),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{last})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (uid), book"""
+
+
+def _lines_sql() -> str:
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    end, half = lines.SENTENCE_END.replace("'", "''"), lines.MOST_LOST
+    bare = f"trim({low.format('x')}, '{lines.MENU_TRIM}')"
+    return f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT uid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs),
+lined AS MATERIALIZED (SELECT uid, i, line, regexp_extract_all(line, '{lines.WORD}') AS ws, row_number() OVER (PARTITION BY uid, line ORDER BY i) AS nth FROM cut WHERE regexp_matches(line, '{lines.WORD}')),
+judged AS (SELECT *, len(list_filter(ws, lambda x: list_contains({_texts(lines.SEPARATORS)}, x))) AS apart, list_transform(ws, lambda x: {bare}) AS bare,
+    list_sum(list_transform(ws, lambda x: length(x))) AS chars FROM lined),
+per_doc AS (SELECT uid, sum(len(ws)) AS n_words, sum(chars) AS word_chars, count_if(nth > 1) AS n_dup_lines, sum(CASE WHEN (apart >= 2 AND 4 * apart >= len(ws))
+    OR (list_contains({_texts(lines.MENU)}, bare[1]) AND len(list_filter(bare, lambda x: x = '' OR list_contains({_texts(lines.MENU)}, x))) = len(ws))
+    OR {" OR ".join(f"contains({low.format('line')}, '{b}')" for b in lines.BOILERPLATE)}
+    OR len(list_filter(ws, lambda x: regexp_matches(x, '{end}$'))) = 0 OR 10 * len(regexp_extract_all(line, '[#*$%&|<>]')) > chars
+    OR 5 * len(list_filter(ws, lambda x: regexp_matches(x, '{lines.DOUBLED}$'))) > len(ws) THEN len(ws) ELSE 0 END) AS lost FROM judged GROUP BY uid),
+worded AS MATERIALIZED (SELECT uid, regexp_extract_all(text, '{lines.WORD}') AS ws FROM docs),
+windows AS (SELECT uid, unnest(range(1, len(ws) - {lines.WINDOW - 2})) AS i, ws FROM worded WHERE len(ws) >= {lines.WINDOW}),
+twice AS (SELECT uid, list(i) AS places FROM (SELECT uid, i, ws[i:i + {lines.WINDOW - 1}] AS w FROM windows) GROUP BY uid, w HAVING count(*) > 1),
+repeated AS (SELECT uid, count(DISTINCT place + o) AS n FROM (SELECT uid, unnest(places) AS place FROM twice), (SELECT unnest(range({lines.WINDOW})) AS o) GROUP BY uid),
+counted AS (SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, coalesce(lost, 0) AS lost FROM docs LEFT JOIN per_doc USING (uid) LEFT JOIN repeated USING (uid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed,
+    NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words) AND lost <= {half} * n_words AS kept FROM counted"""
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SQL: dict[str, str] = {
+    "op11_vector_codes": _codes_sql(),
+    "op12_line_cleaning": _lines_sql(),
+    "op13_lexical_search": f"""
+WITH docs AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') AS ws FROM documents),
+sized AS MATERIALIZED (SELECT * FROM docs WHERE len(ws) > 0),
+total AS (SELECT count(*) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_terms FROM sized),
+tfs AS MATERIALIZED (SELECT uid, term, count(*) AS tf FROM (SELECT uid, unnest(ws) AS term FROM sized) GROUP BY uid, term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tfs, total GROUP BY term),
+items AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') AS ws FROM benchmark),
+asked AS (SELECT item, item_id, term, count(*) AS c FROM (SELECT item, item_id, unnest(ws) AS term FROM items) GROUP BY item, item_id, term),
+scored AS (SELECT item, item_id, uid, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len(ws) * n_docs) // n_terms)))) AS BIGINT) AS score
+    FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN sized USING (uid), total GROUP BY item, item_id, uid, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, uid) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 10""",
     "op9_url_filter": f"""
 WITH cut AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 named AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS name FROM cut),
