@@ -139,13 +139,29 @@ def freshness(status: DataFrame, now: Column, zone: str = DEFAULT_ZONE) -> DataF
     late = (F.col("_base") == "ok") & (F.col("fc_date") == today) & active & (F.col("last_sp") > 0) & (F.col("lag_min") > DELAY_MIN)
     d = d.withColumn("health", F.when(late, "delayed").otherwise(F.col("_base")))
     checked = ~F.col("health").isin("daily_missed", "unknown") & (F.col("state_date") == today)
-    rule = (
-        F.when(~F.coalesce(checked, F.lit(False)), "none")
-        .when((F.col("n_corrected") > 0) & (F.col("n_actual") == 0), "A")
-        .when(F.col("n_actual") > F.col("n_corrected") + RULE_B_TOLERANCE, "B").otherwise("none"))
+    rule = F.when(F.coalesce(checked, F.lit(False)), consistency_rule("n_actual", "n_corrected")).otherwise("none")
     return d.withColumn("inconsistency", rule).drop("_base", "_now")
 
 
+def consistency_rule(n_actual: str, n_corrected: str) -> Column:
+    """A: outcomes were corrected for that no published row shows; B: published outcomes the correction has not taken in."""
+    return (F.when((F.col(n_corrected) > 0) & (F.col(n_actual) == 0), "A")
+            .when(F.col(n_actual) > F.col(n_corrected) + RULE_B_TOLERANCE, "B").otherwise("none"))
+
+
+def consistency(counts: DataFrame, state: DataFrame, corrections: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Published outcomes, outcomes in the filter's state, and open slots of the last stored correction of each day, with the rule they break.
+
+    ``counts``: keys, n_actual. ``state``: one row per settled slot in the filter's state. ``corrections``: stored rows with run and settlement_period.
+    """
+    held = state.groupBy(*keys).agg(F.count("*").alias("n_corrected"))
+    per_run = corrections.groupBy(*keys, "run").agg(F.count("*").alias("n"))
+    stored = per_run.groupBy(*keys).agg(F.max_by("n", "run").alias("n_open"))
+    j = counts.join(held, list(keys), "full").join(stored, list(keys), "left")
+    j = j.withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("n_actual", "n_corrected", "n_open")})
+    return j.withColumn("inconsistency", consistency_rule("n_actual", "n_corrected"))
+
+
 def report_status(heartbeat: DataFrame, now: Column) -> DataFrame:
     """Status line of the weekly report from the last state update."""
     d = heartbeat.withColumn("_now", now)

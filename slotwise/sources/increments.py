@@ -50,6 +50,11 @@ def upsert_last_wins(old: DataFrame, new: DataFrame, keys: Sequence[str], order:
     return first_source_wins([new, old], keys, order).drop("source_rank")
 
 
+def empty_table(spark: SparkSession, path: str, schema: str, partition: str) -> None:
+    """A partitioned table without rows yet, to merge into."""
+    spark.createDataFrame([], schema).write.partitionBy(partition).parquet(path)
+
+
 def merge_into(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], partition: str,
                order: Sequence[Column] = (), keep: str = "last") -> None:
     """Merge rows into a partitioned parquet table, rewriting only the partitions they touch.
@@ -57,10 +62,11 @@ def merge_into(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[st
     The merged partitions are written to the shared folder before the dynamic
     overwrite, so a failed job never leaves a half-read partition. ``keep`` is
     first (stored row stays), last (new row wins) or newest (``order`` decides).
+    The table has the columns of ``new``; it may hold no rows yet.
     """
     # Read once more per step below: a micro-batch would be computed anew each time.
     new = materialise(new, "batch")
-    old = spark.read.parquet(path)
+    old = spark.read.schema(new.schema).parquet(path)
     touched = new.select(partition).distinct()
     affected = old.join(touched, partition, "left_semi")
     kept = affected.select(*new.columns)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,9 +61,11 @@ def drain(stream: DataFrame, keys: Sequence[str], label: str, mode: str = "updat
     return latest_updates(spark, path, keys, schema or stream.schema)
 
 
-def event_slots(events: DataFrame, series: Column, late: str = "2 days") -> DataFrame:
-    """Raw events to half-hour sums, tumbling; state older than the watermark is dropped."""
-    e = events.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", late)
+def event_slots(events: DataFrame, series: Column, late: str | None = "2 days") -> DataFrame:
+    """Raw events to half-hour sums, tumbling; state older than the watermark is dropped (``late`` is None for a table, which has none)."""
+    e = events.withColumn("event_time", F.col("ts").cast("timestamp"))
+    if late:
+        e = e.withWatermark("event_time", late)
     g = e.groupBy(series.alias("series"), F.window("event_time", "30 minutes").alias("w")).agg(
         F.sum(F.col("value").cast("decimal(18,2)")).alias("total"), F.count("*").alias("n"))
     start = F.col("w.start").cast("timestamp_ntz")
@@ -72,12 +74,94 @@ def event_slots(events: DataFrame, series: Column, late: str = "2 days") -> Data
 
 
 def sliding_day(events: DataFrame, late: str = "2 days") -> DataFrame:
-    """Mean value of the last 24 hours, every half hour."""
-    e = events.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", late)
-    g = e.groupBy(F.window("event_time", "24 hours", "30 minutes").alias("w")).agg(
-        F.sum(F.col("value").cast("decimal(18,2)")).alias("total"), F.count("*").alias("n"))
-    return g.select(F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n",
-                    (F.col("total").cast("double") / F.col("n")).alias("mean_value"))
+    """Mean value of the last 24 hours, every half hour, once the watermark has passed it.
+
+    Two windows in a chain: events are summed into half hours first, and only a
+    closed half hour enters the 48 days it lies in. Rows without a time of an
+    event but with one in ``clock`` move the watermark.
+    """
+    e = events.withColumn("event_time", F.coalesce(F.col("ts").cast("timestamp"), "clock") if "clock" in events.columns else F.col("ts").cast("timestamp"))
+    slots = e.withWatermark("event_time", late).groupBy(F.window("event_time", "30 minutes").alias("w")).agg(
+        F.sum(F.col("value").cast("decimal(18,2)")).alias("total"), F.count("ts").alias("n"))
+    day = slots.withColumn("slot_time", F.window_time("w")).groupBy(F.window("slot_time", "24 hours", "30 minutes").alias("d")).agg(
+        F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return day.where("n > 0").select(F.col("d.end").cast("timestamp_ntz").alias("window_end"), "n",
+                                     (F.col("total").cast("double") / F.col("n")).alias("mean_value"))
+
+
+def split_late(stream: DataFrame, path: str, checkpoint: str, window_end: Column, event_time: str, late: str) -> None:
+    """Write every micro-batch to ``path`` with a flag ``late``: its window had ended when the batch arrived.
+
+    The mark is the highest event time of earlier batches less ``late``, as a
+    watermark is; here the rows behind it are kept and can be put right. The
+    highest time of a batch is observed while it is written, and stored with it.
+    """
+    spark = stream.sparkSession
+    marks = T.StructType.fromDDL("mark TIMESTAMP, n BIGINT, n_late BIGINT, batch BIGINT")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        earlier = None
+        if batch_id:
+            seen = spark.read.schema(marks).option("basePath", f"{path}/marks").parquet(f"{path}/marks")
+            earlier = seen.where(F.col("batch") < batch_id).agg((F.max("mark") - F.expr(f"interval {late}")).cast("string")).first()[0]
+        flagged = batch.withColumn("late", F.coalesce(window_end <= F.lit(earlier).cast("timestamp"), F.lit(False)))
+        seen = Observation()
+        counted = flagged.observe(seen, F.max(F.col(event_time).cast("timestamp").cast("string")).alias("mark"), F.count(F.lit(1)).alias("n"), F.count_if("late").alias("n_late"))
+        counted.write.mode("overwrite").partitionBy("late").parquet(f"{path}/rows/batch={batch_id}")
+        found = seen.get
+        row = spark.createDataFrame([(found["mark"], found["n"], found["n_late"])], "mark STRING, n BIGINT, n_late BIGINT")
+        row.withColumn("mark", F.col("mark").cast("timestamp")).coalesce(1).write.mode("overwrite").parquet(f"{path}/marks/batch={batch_id}")
+
+    q = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def split_rows(spark: SparkSession, path: str, schema: T.StructType, late: bool, stream: bool = True) -> DataFrame:
+    """The on-time or the late rows that :func:`split_late` has written, as a stream or as the table so far."""
+    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType()), T.StructField("late", T.BooleanType())])
+    reader = spark.readStream if stream else spark.read
+    return reader.schema(full).option("basePath", f"{path}/rows").parquet(f"{path}/rows").where(F.col("late") == F.lit(late)).drop("late", "batch")
+
+
+SLOT_TABLE = "series STRING, settlement_period INT, total DECIMAL(38,2), n BIGINT, late_total DECIMAL(38,2), n_late BIGINT, settlement_date DATE"
+
+
+def publish_slots(slots: DataFrame, table: str, checkpoint: str) -> None:
+    """On-time half-hour sums into a table of ``SLOT_TABLE``; a slot sent again replaces its sums."""
+    from slotwise.sources.increments import merge_into
+
+    keys = ["series", "settlement_date", "settlement_period"]
+    columns = T.StructType.fromDDL(SLOT_TABLE)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumns({"late_total": F.lit(0), "n_late": F.lit(0)})
+        merge_into(batch.sparkSession, table, rows.select(*[F.col(f.name).cast(f.dataType) for f in columns]), keys, "settlement_date")
+
+    q = slots.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def correct_slots(late: DataFrame, sums: Callable[[DataFrame], DataFrame], stored: Callable[[], DataFrame], table: str, checkpoint: str) -> None:
+    """Late rows into the table: the late sums of every slot they touch are formed anew from all late rows, so a replayed batch changes nothing.
+
+    ``sums`` turns raw rows into ``series, settlement_date, settlement_period, total, n``;
+    ``stored`` reads all late rows so far. The on-time sums stay as they are.
+    """
+    from slotwise.sources.increments import merge_into
+
+    keys = ["series", "settlement_date", "settlement_period"]
+    columns = T.StructType.fromDDL(SLOT_TABLE)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        touched = sums(batch).select(*keys)
+        again = sums(stored()).join(touched, keys, "left_semi").select(*keys, F.col("total").alias("late_total"), F.col("n").alias("n_late"))
+        on_time = spark.read.schema(columns).parquet(table).drop("late_total", "n_late")
+        rows = again.join(on_time, keys, "left").withColumns({"total": F.coalesce("total", F.lit(0)), "n": F.coalesce("n", F.lit(0))})
+        merge_into(spark, table, rows.select(*[F.col(f.name).cast(f.dataType) for f in columns]), keys, "settlement_date")
+
+    q = late.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
+    q.awaitTermination()
 
 
 def feed_status(slots: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -107,6 +191,24 @@ def upsert_stream(stream: DataFrame, table: str, checkpoint: str, keys: Sequence
     q.awaitTermination()
 
 
+def watch_consistency(counts: DataFrame, path: str, checkpoint: str, keys: Sequence[str], state: Callable[[], DataFrame], corrections: Callable[[], DataFrame]) -> None:
+    """After every micro-batch of published counts, the rules between them, the filter's state and its stored corrections.
+
+    ``state`` and ``corrections`` read what is stored at that moment. Days that
+    only the state knows take part, which is what the first rule is about.
+    """
+    from slotwise.operators.monitor import consistency
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/counts/batch={batch_id}")
+        known = latest_updates(spark, f"{path}/counts", keys, batch.schema)
+        consistency(known, state(), corrections(), keys).write.mode("overwrite").parquet(f"{path}/status/batch={batch_id}")
+
+    q = counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 def splice_stream(settled: DataFrame, published: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Stream-static join: forecast rows whose outcome has arrived."""
     s = settled.select(*keys, F.col("ssp").alias("actual_now"))
