@@ -1,7 +1,7 @@
 """Distributed primitives over a total order: prefix sums, ranks, exact quantiles.
 
 A plain window over a whole table runs in one task. Here the order is cut into
-value ranges: (1) rows collapse to one row per distinct value with map-side
+value ranges (quantiles: into a few brackets): (1) rows collapse to one row per distinct value with map-side
 partial aggregation, so a hot value is a single row; (2) a bounded sketch
 proposes split points; (3) range totals (``buckets`` rows per key) are summed
 in order; (4) the exact running sum is taken inside each range in parallel.
@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 #: Fewest ranges of an order; a session with more shuffle partitions gets as many ranges.
 BUCKETS = 64
+#: Values of a group that are ordered whole; error bound of the sketch of larger groups, as its inverse.
+WHOLE = 10_000
+ACCURACY = 10_000
 
 
 def _ranges(df: DataFrame) -> int:
@@ -75,17 +78,47 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, rank: str = "a
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], buckets: int | None = None
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], whole: int = WHOLE
 ) -> DataFrame:
-    """Linear-interpolated exact quantiles, one row per key: ``{column: probability}``, for groups of any size."""
-    r = running_by_value(df, keys, value, {"_n": F.count(F.lit(1))}, buckets=buckets)
-    first = F.col("cum__n") - F.col("_n")
+    """Linear-interpolated exact quantiles, one row per key: ``{column: probability}``, for groups of any size.
+
+    A sketch brackets each quantile. One pass then counts what lies between the
+    brackets and, per value, what lies inside them; only these few values (about
+    ``4 / whole + 4 / ACCURACY`` of a group per probability) are put in order.
+    Groups of up to ``whole`` values are ordered as they are. A rank outside its
+    bracket, which the sketch's error bound rules out, raises.
+    """
+    keys = list(keys)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"))
+    room = 2 / ACCURACY + 2 / whole
+    low, high = ([min(max(p + d, 0.0), 1.0) for p in probs.values()] for d in (-room, room))
+    sketch = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"), F.percentile_approx("_x", [*low, *high], ACCURACY).alias("_s"))
+
+    def bound(i: int, p: float, end: float) -> Column:
+        open_end = F.col("_all") <= whole
+        return F.when(open_end | F.lit(p == end), F.lit(float("-inf" if end == 0.0 else "inf"))).otherwise(F.get("_s", F.lit(i)).cast("double"))
+
+    k = len(probs)
+    sketch = sketch.select(*keys, "_all", F.array(*[F.struct(bound(i, low[i], 0.0).alias("lo"), bound(k + i, high[i], 1.0).alias("hi")) for i in range(k)]).alias("_b"))
+    if keys:
+        placed = _with(rows, sketch, keys)
+    else:
+        placed = rows.withColumn("_one", sketch.select(F.struct("_all", "_b")).scalar()).select("_x", "_one.*")
+    inside = F.exists("_b", lambda b: (b["lo"] <= F.col("_x")) & (F.col("_x") <= b["hi"]))
+    # Values between brackets stand right above the last bracket below them.
+    below = F.array_max(F.transform(F.filter("_b", lambda b: b["hi"] < F.col("_x")), lambda b: b["hi"]))
+    counted = placed.select(*keys, "_all", inside.alias("_in"), F.when(inside, F.col("_x").cast("double")).otherwise(below).alias("_v")).groupBy(
+        *keys, "_v", "_in").agg(F.count(F.lit(1)).alias("_n"), F.any_value("_all").alias("_all"))
+    order = W.partitionBy(*keys or [F.lit(0)]).orderBy(F.col("_v").asc_nulls_first(), F.col("_in").desc()).rowsBetween(W.unboundedPreceding, 0)
+    r = counted.withColumn("_cum", F.sum("_n").over(order))
+    first = F.col("_cum") - F.col("_n")
+    found = F.when(F.col("_in"), F.col("_v")).otherwise(F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
     picks = []
     for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("all__n") - 1)
+        pos = F.lit(float(p)) * (F.col("_all") - 1)
         for part, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hit = (first <= at) & (at < F.col("cum__n"))
-            picks.append(F.max(F.when(hit, F.col(value))).alias(f"_{part}_{name}"))
+            hit = (first <= at) & (at < F.col("_cum"))
+            picks.append(F.max(F.when(hit, found)).alias(f"_{part}_{name}"))
         picks.append(F.max(pos - F.floor(pos)).alias(f"_w_{name}"))
     got = r.groupBy(*keys).agg(*picks)
     return got.select(

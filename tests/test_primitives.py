@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -47,13 +48,49 @@ def test_frames_never_use_one_partition(spark):
 
 
 @SLOW
-@given(st.lists(st.integers(-50, 50).map(lambda x: x / 4), min_size=1, max_size=200), st.integers(1, 9))
-def test_exact_quantiles(spark, values, buckets):
+@given(st.lists(st.integers(-50, 50).map(lambda x: x / 4), min_size=1, max_size=200), st.sampled_from([1000, 100_000]))
+def test_exact_quantiles(spark, values, whole):
     d = spark.createDataFrame([("k", float(v)) for v in values], "k STRING, v DOUBLE")
-    q = exact_quantiles(d, ["k"], "v", {"a": 0.1, "b": 0.5, "c": 0.8}, buckets=buckets + 1).first()
+    q = exact_quantiles(d, ["k"], "v", {"a": 0.1, "b": 0.5, "c": 0.8}, whole=whole).first()
     np.testing.assert_allclose([q.a, q.b, q.c], np.quantile(values, [0.1, 0.5, 0.8]), atol=1e-9)
 
 
+def test_large_groups_are_bracketed(spark):
+    """Groups beyond the whole size: only what lies in the brackets is ordered, and the quantiles stay exact."""
+    r = np.random.default_rng(8)
+    groups = {"normal": r.normal(0, 50, 60_000), "ties": r.integers(0, 7, 45_000).astype(float), "hot": np.r_[np.zeros(30_000), r.normal(0, 1, 15_000)],
+              "small": r.normal(5, 1, 11), None: np.arange(20_000, dtype=float)}
+    pdf = pd.concat([pd.DataFrame({"g": g, "x": v}) for g, v in groups.items()])
+    d = spark.createDataFrame(pdf, "g string, x double").repartition(16, F.rand(1))
+    probs = {"a": 0.0, "b": 0.0001, "c": 0.25, "d": 0.2503, "e": 0.5, "f": 0.98, "h": 1.0}
+    for q in exact_quantiles(d, ["g"], "x", probs).collect():
+        np.testing.assert_allclose([q[n] for n in probs], np.quantile(groups[q.g], list(probs.values())), atol=1e-9)
+    q = exact_quantiles(d, [], "x", probs).first()
+    np.testing.assert_allclose([q[n] for n in probs], np.quantile(np.concatenate(list(groups.values())), list(probs.values())), atol=1e-9)
+    assert exact_quantiles(d.limit(0), [], "x", {"a": 0.5}).first().a is None and exact_quantiles(d.limit(0), ["g"], "x", {"a": 0.5}).count() == 0
+
+
+@pytest.mark.parametrize("gaps", [0.0, 0.4, 0.97])
+def test_block_statistics_equal_plain_frames(spark, gaps, monkeypatch):
+    monkeypatch.setattr(SR, "SHORT", 0)
+    pdf = series(1300, gaps, seed=3)
+    pdf["ssp"] = pdf["ssp"].where(pdf.index % 5 != 0).where(pdf.slot_ix < 700, 1e6)
+    pdf["k"] = (pdf.slot_ix % 3).astype("int64")
+    d = frame(spark, pdf)
+
+    def build(f):
+        out = {f"{s}_{w}_{int(now)}": f.rolling("ssp", w, s, include_current=now) for s in ("mean", "std", "min", "max", "sum", "count") for w in (1, 6, 48, 336) for now in (False, True)}
+        return out | {"few": f.rolling("ssp", 48, "mean", min_periods=9), "k_sum": f.rolling("k", 6, "sum"), "k_abs": f.rolling(F.abs("k"), 6, "max")}
+
+    got = SR.with_frames(d, ["series"], "slot_ix", build, back=337, chunk=400).toPandas().sort_values("slot_ix").reset_index(drop=True)
+    want = d.withColumns(build(SR.frames_by(["series"], "slot_ix"))).toPandas().sort_values("slot_ix").reset_index(drop=True)
+    assert list(got.columns) == list(want.columns) and str(got.k_sum.dtype) == str(want.k_sum.dtype)
+    for c in got.columns[1:]:
+        np.testing.assert_allclose(got[c].to_numpy(float), want[c].to_numpy(float), rtol=1e-9, atol=1e-9, equal_nan=True, err_msg=c)
+    # A window of equal values has no deviation at all, whatever stood before it.
+    assert (got.loc[(got.slot_ix > 1060) & got.std_48_0.notna(), "std_48_0"] == 0).all()
+
+
 def test_hot_value_third_of_rows(spark):
     v = [0.0] * 4000 + [float(i) for i in range(8000)]
     d = spark.createDataFrame([(x,) for x in v], "v DOUBLE")
