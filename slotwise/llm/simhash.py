@@ -54,8 +54,8 @@ SMALL = 64
 # Fingerprints for a similarity: words of a shingle, blocks of 64 bits, bits in all, bits of a part that is looked up.
 WIDE_SHINGLE, BLOCKS, PART = 5, 8, 16
 WIDE = BLOCKS * BITS
-#: Documents of which frequent shingles are learnt, and in how many of them one must be (they choose the order, never the result).
-ORDER_SAMPLE, FREQUENT = 8192, 3
+#: Shingles counted together in a task, the most frequent ones it reports, and those sent to every task (they choose the order, never the result).
+COUNTED, REPORTED, KNOWN = 4 << 20, 1 << 15, 1 << 20
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -364,10 +364,35 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 def frequent_shingles(thin: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several distinct texts of a sample hold, ascending, and in how many (``thin`` has ``mark`` and ``text``)."""
-    some = thin.filter(share(F.col("mark"), F.lit(5)) < ORDER_SAMPLE / F.lit(max(thin.count(), 1))).groupBy("mark").agg(F.any_value("text").alias("text"))
-    sets = annotate(some, "text", ["mark"], "shingle array<bigint>", lambda: lambda texts: {"shingle": [shingle_set(t).view(np.int64) for t in texts]})
-    counts = sets.select(F.explode("shingle").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT).toArrow()
+    """The ``KNOWN`` shingles that most texts hold, ascending, and in about how many (``thin`` has ``mark`` and ``text``).
+
+    Every text is counted, copies within a stretch of a task once; each stretch
+    reports the shingles that several of its texts hold.
+    """
+    def count(batches):
+        sets, marks, held = [], set(), 0
+        for batch in batches:
+            for mark, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if mark in marks:
+                    continue
+                marks.add(mark)
+                sets.append(shingle_set(text.as_py()))
+                held += len(sets[-1])
+                if held >= COUNTED:
+                    yield reported(sets)
+                    sets, marks, held = [], set(), 0
+        if sets:
+            yield reported(sets)
+
+    def reported(sets):
+        shingles, n = np.unique(np.concatenate(sets), return_counts=True)
+        top = np.flatnonzero(n > 1)
+        if len(top) > REPORTED:
+            top = top[np.argpartition(n[top], len(top) - REPORTED)[len(top) - REPORTED:]]
+        return pa.RecordBatch.from_arrays([pa.array(shingles[top].view(np.int64)), pa.array(n[top])], names=["shingle", "n"])
+
+    found = thin.select("mark", "text").mapInArrow(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = found.orderBy(F.desc("n"), "shingle").limit(KNOWN).toArrow()
     shingles = counts["shingle"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(shingles)
     return shingles[order], counts["n"].to_numpy()[order]
@@ -386,8 +411,11 @@ def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], simila
     return shingles[np.lexsort((shingles, rank))[:n - ceil(similarity * n - 1e-9) + 1]]
 
 
-def pairs_of_files(files, groups, sizes, places, similarity: float):
-    """Pairs of row numbers of different groups in runs of equal ``files``, ascending in ``sizes``, whose sizes and places allow the similarity."""
+def pairs_of_files(files, groups, sizes, places, shared, similarity: float):
+    """Pairs of row numbers of different groups in runs of equal ``files``, ascending in ``sizes``, whose sizes, places and shared shingles allow the similarity.
+
+    ``shared``: how many of a text's first shingles any other group has.
+    """
     heads = np.flatnonzero(np.diff(files, prepend=files[0] - 1))
     ends = np.append(heads[1:], len(files))
     long = ends - heads > SMALL
@@ -395,7 +423,8 @@ def pairs_of_files(files, groups, sizes, places, similarity: float):
     def allowed(x, y):
         least = similarity / (1 + similarity) * (sizes[x] + sizes[y]) - 1e-6
         most = 1 + np.minimum(places[x], places[y]) + np.minimum(sizes[x] - places[x], sizes[y] - places[y]) - 1
-        return (groups[x] != groups[y]) & (most >= least)
+        held = np.minimum(shared[x], shared[y]) + np.ceil(np.maximum(sizes[x], sizes[y]) * similarity - 1e-9) - 1
+        return (groups[x] != groups[y]) & (np.minimum(most, held) >= least)
 
     def near(x, y):
         return sizes[x] >= similarity * sizes[y] - 1e-6
@@ -420,36 +449,55 @@ def pairs_of_files(files, groups, sizes, places, similarity: float):
             yield np.full(len(y), x), y
 
 
-def prefix_pairs(filed: DataFrame, similarity: float) -> DataFrame:
-    """Candidates (a, b) from the rows (node, grp, size, first): all that share a shingle of ``first``, are of different groups, and may be similar."""
+def shared_entries(filed: DataFrame) -> DataFrame:
+    """Of the rows (node, grp, size, first) the entries (file, node, grp, measure) whose shingle several groups hold among their first, with ``shared``, their number per node.
+
+    Most shingles are one text's own; what is left is small.
+    """
     rows = filed.select(F.posexplode("first").alias("place", "file"), "node", "grp", "size")
     rows = rows.select("file", "node", "grp", (F.shiftleft(F.col("size").cast("bigint"), 32) + F.col("place")).alias("measure"))
 
+    def several(batches):
+        for table in whole_files(batches):
+            files, groups = table.column(0).to_numpy(), table.column(2).to_numpy()
+            heads = np.flatnonzero(np.diff(files, prepend=files[0] - 1))
+            mixed = np.minimum.reduceat(groups, heads) != np.maximum.reduceat(groups, heads)
+            yield from table.filter(pa.array(np.repeat(mixed, np.diff(np.append(heads, len(files)))))).to_batches()
+
+    kept = materialise(rows.repartition("file").sortWithinPartitions("file").mapInArrow(several, rows.schema), "shared")
+    return kept.join(kept.groupBy("node").agg(F.count(F.lit(1)).alias("shared")), "node").select("file", "node", "grp", "measure", "shared")
+
+
+def prefix_pairs(filed: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b, ga, gb, n) from the rows (node, grp, size, first): all pairs of different groups ga, gb that share ``n`` shingles of ``first`` and may be similar."""
     def run(batches):
         for table in whole_files(batches):
-            files, nodes, groups, measure = (table.column(i).to_numpy() for i in range(4))
+            files, nodes, groups, measure, shared = (table.column(i).to_numpy() for i in range(5))
             seen, held = [], 0
-            for a, b in pairs_of_files(files, groups, measure >> 32, measure & (1 << 32) - 1, similarity):
+            for a, b in pairs_of_files(files, groups, measure >> 32, measure & (1 << 32) - 1, shared, similarity):
                 # Two row numbers of the table in one; the smaller node comes first.
                 seen.append(np.where(nodes[a] < nodes[b], a << 32 | b, b << 32 | a))
                 held += len(a)
                 if held > 1 << 20 or len(seen) > 1 << 14:
-                    yield from batch_of(seen, nodes, measure >> 32).to_batches()
+                    yield from batch_of(seen, nodes, groups, measure >> 32).to_batches()
                     seen, held = [], 0
             if seen:
-                yield from batch_of(seen, nodes, measure >> 32).to_batches()
+                yield from batch_of(seen, nodes, groups, measure >> 32).to_batches()
+
+    names = ["a", "b", "ga", "gb", "x", "y"]
 
-    def batch_of(seen, nodes, sizes):
+    def batch_of(seen, nodes, groups, sizes):
         both = np.concatenate(seen)
         one, other = both >> 32, both & (1 << 32) - 1
-        table = pa.table({"a": nodes[one], "b": nodes[other], "x": sizes[one], "y": sizes[other]})
-        return table.group_by(["a", "b", "x", "y"]).aggregate([([], "count_all")]).rename_columns(["a", "b", "x", "y", "n"])
+        table = pa.table([nodes[one], nodes[other], groups[one], groups[other], sizes[one], sizes[other]], names=names)
+        return table.group_by(names).aggregate([([], "count_all")]).rename_columns([*names, "n"])
 
     # Shared shingles beyond the shorter prefix are the rest of one set at most.
-    found = rows.repartition("file").sortWithinPartitions("file", "measure").mapInArrow(run, "a bigint, b bigint, x bigint, y bigint, n bigint")
-    found = found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("x").alias("x"), F.first("y").alias("y"))
+    schema = ", ".join(f"{c} bigint" for c in [*names, "n"])
+    found = shared_entries(filed).repartition("file").sortWithinPartitions("file", "measure").mapInArrow(run, schema)
+    found = found.groupBy("a", "b").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in names[2:]])
     rest = F.ceil(F.greatest("x", "y") * similarity - 1e-9) - 1
-    return found.filter(F.col("n") + rest >= similarity / (1 + similarity) * (F.col("x") + F.col("y")) - 1e-6).select("a", "b")
+    return found.filter(F.col("n") + rest >= similarity / (1 + similarity) * (F.col("x") + F.col("y")) - 1e-6).select("a", "b", "ga", "gb", "n")
 
 
 def verified(pairs: DataFrame, alike: DataFrame, thin: DataFrame, similarity: float) -> DataFrame:
@@ -499,8 +547,14 @@ def one_of_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", sim
     groups = materialise(roots(close), "groups")
     filed = alike.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("grp"), "size", F.col("start").alias("first"))
     pairs = materialise(prefix_pairs(filed, similarity), "pairs")
-    others = verified(pairs, alike, thin, similarity)
-    near = materialise(roots(close.unionByName(others)), "roots")
+    # One link joins two groups: first the most promising pair of each two groups, then all pairs of those that are still apart.
+    first_of = pairs.groupBy(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h")).agg(F.max_by(F.struct("a", "b"), F.struct("n", "a", "b")).alias("p")).select("p.*")
+    first = materialise(verified(first_of, alike, thin, similarity), "first")
+    joined = materialise(roots(close.unionByName(first)), "joined")
+    root_of = [joined.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b")]
+    apart = pairs.join(root_of[0], "a", "left").join(root_of[1], "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    others = verified(apart.join(first_of, ["a", "b"], "left_anti"), alike, thin, similarity)
+    near = materialise(roots(close.unionByName(first).unionByName(others)), "roots")
     member = prints.select("id", "mark", "node").join(near, "node", "left").select("id", "mark", F.coalesce("root", "node").alias("root"))
     first = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first")).select("first.id", "first.mark")
     # Repeated rows of the one that stays: the join has brought them together by id and text.

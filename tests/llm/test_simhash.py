@@ -192,15 +192,17 @@ def test_pairs_of_files_are_those_of_brute_force():
     rng = random.Random(8)
     sizes = [20, 22, 24, 25, 30]
     for n in (5, 40, 200):
-        rows = sorted((f, rng.choice(sizes), rng.randint(0, 5), rng.choice([1, 1, 1, 2, 3, 4])) for f in (1, 2) for _ in range(n))
-        files, size, place, group = (np.array(c) for c in zip(*rows))
+        rows = sorted((f, rng.choice(sizes), rng.randint(0, 5), rng.choice([1, 1, 1, 2, 3, 4]), rng.randint(1, 6)) for f in (1, 2) for _ in range(n))
+        files, size, place, group, shared = (np.array(c) for c in zip(*rows))
         got = set()
-        for a, b in simhash.pairs_of_files(files, group, size, place, 0.8):
+        for a, b in simhash.pairs_of_files(files, group, size, place, shared, 0.8):
             new = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())}
             assert len(new) == len(a) and not new & got
             got |= new
         want = {(i, j) for j in range(len(rows)) for i in range(j) if files[i] == files[j] and group[i] != group[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j])
-                and 9 * (1 + min(place[i], place[j]) + min(size[i] - place[i], size[j] - place[j]) - 1) >= 4 * (size[i] + size[j])}
+                and 9 * (1 + min(place[i], place[j]) + min(size[i] - place[i], size[j] - place[j]) - 1) >= 4 * (size[i] + size[j])
+                # What two texts share: at most the first shingles that others hold too, and the rest of the larger one.
+                and 9 * (min(shared[i], shared[j]) + -(-4 * max(size[i], size[j]) // 5) - 1) >= 4 * (size[i] + size[j])}
         assert got == want
 
 
@@ -214,3 +216,29 @@ def test_texts_below_the_similarity_stay(spark, folder, documents):
     short = words(9)
     texts += [" ".join([*short, w]) for w in words(2)]
     assert kept_ids(spark, folder, documents, texts) == set(range(len(texts)))
+
+
+def test_frequent_shingles_count_every_text(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "COUNTED", 40)
+    texts = [f"a b c d e f{i % 3} g h" for i in range(60)] + ["one of its own with no copy"] + ["a b c d e f0 g h"] * 9
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "mark long, text string").coalesce(1)
+    shingles, n = simhash.frequent_shingles(df)
+    known = dict(zip(shingles.tolist(), n.tolist()))
+    assert known[int(simhash.shingle_hashes("a b c d e", 5)[0])] == 69
+    assert int(simhash.shingle_hashes("one of its own with", 5)[0]) not in known
+    assert (np.diff(shingles.astype(object)) > 0).all()
+
+
+def test_a_text_outside_a_large_group_joins_it(spark, folder, documents):
+    """A chain of near copies whose ends are unlike, and texts that are near to one member only."""
+    rng = random.Random(31)
+    base = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(120)]
+    texts = []
+    for i in range(0, 100, 2):
+        base[i], base[i + 1] = f"x{i}", f"y{i}"
+        texts.append(" ".join(base))
+    alone = [" ".join(["".join(rng.choices("ijklmn", k=7)) for _ in range(120)]) for _ in range(5)]
+    order = texts + alone
+    rng.shuffle(order)
+    kept = kept_ids(spark, folder, documents, order)
+    assert kept == {order.index(t) for t in alone} | {min(order.index(t) for t in texts)}
