@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from slotwise.operators.ordered import exact_quantiles
+from slotwise.operators.ordered import _with, exact_quantiles
 from slotwise.operators.series import interpolate_in_day
+from slotwise.session import materialise
 
 # Fixed value: installed wind capacity used when no demand forecast exists, in MW.
 WIND_CAPACITY_MW = 32000.0
@@ -109,6 +110,68 @@ def _solved(g: DataFrame, keys: Sequence[str], sums: dict, label: str, k: int, r
     return g.select(*keys, "n_train", _solver(k, rcond)(gram, rhs).alias("beta"))
 
 
+#: Class variances, densities (times the bandwidth) and bandwidths below these count as these, which bounds the weights of a reweighted fit.
+LEAST_VARIANCE, LEAST_DENSITY, LEAST_WIDTH = 1e-4, 1e-3, 1e-6
+
+
+def quantile_loss(p: float):
+    """Weight and target of a row under the pinball loss at ``p``, smoothed over a bandwidth, given its label and the last round's forecast."""
+    def step(y: Column, z: Column | None, width: Column | None) -> tuple[Column, Column]:
+        if z is None:
+            return F.lit(1.0), y
+        above = probability(F.greatest(F.least((y - z) / width, F.lit(30.0)), F.lit(-30.0)))
+        w = F.greatest(above * (1 - above), F.lit(LEAST_DENSITY)) / width
+        return w, z + (p - (1 - above)) / w
+
+    return step
+
+
+def class_loss(share: str):
+    """Weight and target of a row under the logistic loss, both classes weighing alike; ``share``: the label's mean in the row's group."""
+    def step(y: Column, z: Column | None, width: Column | None) -> tuple[Column, Column]:
+        z = F.lit(0.0) if z is None else F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))
+        p = probability(z)
+        v = F.greatest(p * (1 - p), F.lit(LEAST_VARIANCE))
+        balance = F.when(y > 0, 0.5 / F.col(share)).otherwise(0.5 / (1 - F.col(share)))
+        return v * balance, z + (y - p) / v
+
+    return step
+
+
+def probability(z: Column) -> Column:
+    return 1 / (1 + F.exp(-z))
+
+
+def reweighted_fits(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, losses: dict, rounds: int = 6, rcond: float = 1e-12) -> DataFrame:
+    """Linear fits of many groups under several losses by iteratively reweighted least squares: (keys, n_train, one coefficient array per loss).
+
+    Every round is one grouped sum of cross products over the rows, all losses
+    side by side as columns of it, and one small solve per group. The first
+    round's mean error is a group's bandwidth, halved from round to round. The
+    coefficients, a row per group, are written between rounds.
+    """
+    keys = list(keys)
+    rows = df.dropna(subset=[label, *features])
+    y, k = F.col(label).cast("double"), len(features) + 1
+    solve = _solver(k, rcond)
+    fit = scale = None
+    for r in range(rounds):
+        d = rows if fit is None else _with(rows, fit.drop("n_train"), keys)
+        if r == 1:
+            scale = materialise(d.groupBy(*keys).agg(*[F.avg(F.abs(y - linear_predict(features, n))).alias(f"_s_{n}") for n in losses]), "scale")
+        d = d if scale is None else _with(d, scale, keys)
+        cols, aggs = {}, {}
+        for name, loss in losses.items():
+            z = None if fit is None else linear_predict(features, name)
+            width = None if scale is None else F.greatest(F.col(f"_s_{name}") * 0.5 ** (r - 1), F.lit(LEAST_WIDTH))
+            cols[f"_w_{name}"], cols[f"_t_{name}"] = loss(y, z, width)
+            aggs |= {f"{name}_{c}": a for c, a in _cross_products(features, [f"_t_{name}"], F.col(f"_w_{name}")).items()}
+        g = d.withColumns(cols).groupBy(*keys).agg(F.count("*").alias("n_train"), *[a.alias(c) for c, a in aggs.items()])
+        betas = [solve(F.array(*[c for c in aggs if c.startswith(f"{n}_g_")]), F.array(*[f"{n}_r__t_{n}_{i}" for i in range(k)])).alias(n) for n in losses]
+        fit = materialise(g.select(*keys, "n_train", *betas), "coefficients")
+    return fit
+
+
 def fold_least_squares(df: DataFrame, folds: Sequence[tuple[str, str, str]], val_days: int, keys: Sequence[str], features: Sequence[str],
                        label: str) -> DataFrame:
     """One least-squares fit per (keys, walk-forward fold), all folds in one job: (keys, fold, n_train, beta).

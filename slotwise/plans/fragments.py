@@ -153,5 +153,24 @@ def least_squares(name: str, source: str, xs: list[str], y: str, keys: list[str]
     return ",\n".join(steps)
 
 
+def reweighted(name: str, source: str, xs: list[str], y: str, keys: list[str], first: tuple[str, str], later: tuple[str, str], rounds: int) -> str:
+    """CTEs ending in ``name``: rounds of :func:`least_squares` whose weight and target follow from the last round's forecast z and a bandwidth h.
+
+    ``first`` and ``later``: weight and target of the first and of the other rounds, over the columns of ``source``, z and h.
+    """
+    whole, by = " AND ".join(f"{c} IS NOT NULL" for c in [*xs, y]), ", ".join(keys)
+    steps = []
+    for r in range(rounds):
+        fit, rows = name if r == rounds - 1 else f"{name}_fit{r}", f"{name}_rows{r}"
+        (w, t), z = (first, "0.0") if r == 0 else (later, predicted(xs, f"{name}_fit{r - 1}"))
+        joined = f" JOIN {name}_fit{r - 1} USING ({by}) JOIN {name}_scale USING ({by})" if r else ""
+        h = f"greatest(scale_ * {0.5 ** (r - 1)}, 1e-6)" if r else "1.0"
+        if r == 1:
+            steps.append(f"{name}_scale AS MATERIALIZED (SELECT {by}, avg(abs({y} - {z})) AS scale_ FROM {source} JOIN {name}_fit0 USING ({by}) WHERE {whole} GROUP BY {by})")
+        steps.append(f"{rows} AS MATERIALIZED (SELECT *, {w} AS w_, {t} AS t_ FROM (SELECT {source}.*, {z} AS z, {h} AS h FROM {source}{joined} WHERE {whole}))")
+        steps.append(least_squares(fit, rows, xs, "t_", keys, "w_"))
+    return ",\n".join(steps)
+
+
 def predicted(xs: list[str], fit: str) -> str:
     return f"({fit}.b0" + "".join(f" + {fit}.b{i} * {c}" for i, c in enumerate(xs, 1)) + ")"

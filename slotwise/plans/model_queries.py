@@ -16,7 +16,7 @@ from slotwise.operators import series as SR
 from slotwise.operators.joins import vwap
 from slotwise.plans import inputs as I
 from slotwise.plans.feature_queries import at, roll
-from slotwise.plans.fragments import least_squares, predicted
+from slotwise.plans.fragments import least_squares, predicted, reweighted
 from slotwise.plans.registry import query
 from slotwise.session import Tables, materialise
 
@@ -304,16 +304,82 @@ def least_squares_per_series(t: Tables):
     return g.select("series", "n_train", F.element_at("beta", 1).alias("b0"), F.element_at("beta", 2).alias("b1"))
 
 
-# Training window in months, half-life in days, transform; first days of the folds.
-CONFIGS = [(w, h, "linear") for w in (12, 18, 24, 36, None) for h in (None, 365, 182, 91)] + [
-    (w, h, "asinh") for w in (36, 18, None) for h in (None, 182)]
-STARTS = [f"2000-{m:02d}-01" for m in range(7, 13)] + [f"2001-{m:02d}-01" for m in range(1, 8)]
-_SWEPT = ["price_lag1", "price_lag7", "roll_mean_7", "roll_mean_28", "sin_annual", "cos_annual"]
 _YEAR = 2 * math.pi / 365
 _LAGGED = f"""SELECT series, settlement_date, price, {at('price', 1, 'd')} AS price_lag1, {at('price', 7, 'd')} AS price_lag7,
   {roll('price', 7, 'mean', 'd', 3)} AS roll_mean_7, {roll('price', 28, 'mean', 'd', 3)} AS roll_mean_28,
   sin(dayofyear(settlement_date) * {_YEAR!r}) AS sin_annual, cos(dayofyear(settlement_date) * {_YEAR!r}) AS cos_annual FROM c_daily_prio"""
 
+_FITTED, _PROBS = ["price_lag1", "price_lag7", "roll_mean_28"], {"q10": 0.1, "q50": 0.5, "q90": 0.9}
+_ROUNDS = 6
+
+
+def _pinball_step(p: float) -> tuple[str, str]:
+    above = "(1 / (1 + exp(-greatest(least((price - z) / h, 30), -30))))"
+    w = f"(greatest({above} * (1 - {above}), {L.LEAST_DENSITY}) / h)"
+    return w, f"z + ({p} - (1 - {above})) / {w}"
+
+
+@query("J4 J18 D11", rnd="mae pinball_q10 pinball_q90 coverage mean_width", sql=f"""
+WITH d AS ({_LAGGED}), tr AS (SELECT * FROM d WHERE settlement_date < DATE '2000-07-01'),
+{", ".join(reweighted(n, "tr", _FITTED, "price", ["series"], ("1.0", "price"), _pinball_step(p), _ROUNDS) for n, p in _PROBS.items())},
+p AS (SELECT d.series, price, {", ".join(f"{predicted(_FITTED, n)} AS p_{n}" for n in _PROBS)} FROM d {" ".join(f"JOIN {n} ON d.series = {n}.series" for n in _PROBS)}
+  WHERE settlement_date >= DATE '2000-07-01' AND {" AND ".join(f"{c} IS NOT NULL" for c in _FITTED)}),
+o AS (SELECT series, price, p_q50 AS q50, least(p_q10, p_q50) AS q10, greatest(p_q90, p_q50) AS q90 FROM p)
+SELECT series, count(*) AS n, avg(abs(price - q50)) AS mae, avg(greatest((price - q10) * 0.1, (price - q10) * -0.9)) AS pinball_q10,
+  avg(greatest((price - q90) * 0.9, (price - q90) * (0.9 - 1))) AS pinball_q90, avg(CASE WHEN price >= q10 AND price <= q90 THEN 1.0 ELSE 0.0 END) AS coverage,
+  avg(q90 - q10) AS mean_width FROM o GROUP BY 1""")
+def fitted_quantiles(t: Tables):
+    """P10, P50 and P90 each fitted under its own pinball loss, all series and all three in the same rounds."""
+    d = daily_model_table(t).select("series", "settlement_date", "price", *_FITTED)
+    train, test = _split(materialise(d, "daily"))
+    fit = L.reweighted_fits(train, ["series"], _FITTED, "price", {n: L.quantile_loss(p) for n, p in _PROBS.items()}, _ROUNDS)
+    p = test.dropna(subset=_FITTED).join(fit.drop("n_train"), "series").withColumns({f"p_{n}": L.linear_predict(_FITTED, n) for n in _PROBS})
+    o = p.select("series", "price", F.col("p_q50").alias("q50"), F.least("p_q10", "p_q50").alias("q10"), F.greatest("p_q90", "p_q50").alias("q90"))
+
+    def pinball(c, q):
+        e = F.col("price") - F.col(c)
+        return F.avg(F.greatest(e * q, e * (q - 1)))
+
+    return o.groupBy("series").agg(
+        F.count("*").alias("n"), S.mae("price", "q50").alias("mae"), pinball("q10", 0.1).alias("pinball_q10"), pinball("q90", 0.9).alias("pinball_q90"),
+        F.avg(F.when(F.col("price").between(F.col("q10"), F.col("q90")), 1.0).otherwise(0.0)).alias("coverage"), F.avg(F.col("q90") - F.col("q10")).alias("mean_width"))
+
+
+_CLASS_VARIANCE = f"greatest((1 / (1 + exp(-zc))) * (1 - 1 / (1 + exp(-zc))), {L.LEAST_VARIANCE})"
+_CLASS_STEP = (f"{_CLASS_VARIANCE} * CASE WHEN high_day > 0 THEN 0.5 / share ELSE 0.5 / (1 - share) END".replace("zc", "greatest(least(z, 30), -30)"),
+               f"zc + (high_day - 1 / (1 + exp(-zc))) / {_CLASS_VARIANCE}".replace("zc", "greatest(least(z, 30), -30)"))
+
+
+@query("J7 J8 D28", rnd="brier base_brier mean_high mean_other", sql=f"""
+WITH d AS (SELECT *, CAST(CASE WHEN price > roll_mean_28 THEN 1 ELSE 0 END AS DOUBLE) AS high_day FROM ({_LAGGED}) WHERE roll_mean_28 IS NOT NULL),
+tr AS (SELECT *, avg(high_day) OVER (PARTITION BY series) AS share FROM d WHERE settlement_date < DATE '2000-07-01' AND {" AND ".join(f"{c} IS NOT NULL" for c in ["price", *_FITTED])}),
+{reweighted("cl", "tr", _FITTED, "high_day", ["series"], _CLASS_STEP, _CLASS_STEP, _ROUNDS)},
+p AS (SELECT d.series, high_day, 1 / (1 + exp(-{predicted(_FITTED, "cl")})) AS p FROM d JOIN cl ON d.series = cl.series
+  WHERE settlement_date >= DATE '2000-07-01' AND {" AND ".join(f"{c} IS NOT NULL" for c in _FITTED)}),
+r AS (SELECT series, avg(high_day) AS rate FROM p GROUP BY 1)
+SELECT p.series, count(*) AS n, avg((p - high_day) * (p - high_day)) AS brier, avg((rate - high_day) * (rate - high_day)) AS base_brier,
+  avg(CASE WHEN high_day = 1 THEN p END) AS mean_high, avg(CASE WHEN high_day = 0 THEN p END) AS mean_other FROM p JOIN r USING (series) GROUP BY 1""")
+def fitted_day_class(t: Tables):
+    """Days above their four-week mean: a balanced logistic fit per series by reweighted least squares, judged on later days."""
+    d = daily_model_table(t).select("series", "settlement_date", "price", *_FITTED).where("roll_mean_28 IS NOT NULL")
+    d = materialise(d.withColumn("high_day", (F.col("price") > F.col("roll_mean_28")).cast("double")), "daily")
+    train, test = _split(d)
+    train = train.dropna(subset=["price", *_FITTED])
+    share = train.groupBy("series").agg(F.avg("high_day").alias("share"))
+    fit = L.reweighted_fits(train.join(share, "series"), ["series"], _FITTED, "high_day", {"cl": L.class_loss("share")}, _ROUNDS)
+    p = test.dropna(subset=_FITTED).join(fit.drop("n_train"), "series").withColumn("p", L.probability(L.linear_predict(_FITTED, "cl")))
+    e = F.pow(F.col("p") - F.col("high_day"), 2)
+    # The mean's own score needs the rate only.
+    rate = F.avg("high_day")
+    return p.groupBy("series").agg(F.count("*").alias("n"), F.avg(e).alias("brier"), (rate * (1 - rate)).alias("base_brier"),
+                                   F.avg(F.when(F.col("high_day") == 1, F.col("p"))).alias("mean_high"), F.avg(F.when(F.col("high_day") == 0, F.col("p"))).alias("mean_other"))
+
+
+# Training window in months, half-life in days, transform; first days of the folds.
+CONFIGS = [(w, h, "linear") for w in (12, 18, 24, 36, None) for h in (None, 365, 182, 91)] + [
+    (w, h, "asinh") for w in (36, 18, None) for h in (None, 182)]
+STARTS = [f"2000-{m:02d}-01" for m in range(7, 13)] + [f"2001-{m:02d}-01" for m in range(1, 8)]
+_SWEPT = ["price_lag1", "price_lag7", "roll_mean_7", "roll_mean_28", "sin_annual", "cos_annual"]
 
 @query("J22 J23 E29", rnd="mae bias pinball coverage", sql=f"""
 WITH d AS (SELECT * FROM ({_LAGGED}) WHERE {" AND ".join(f"{c} IS NOT NULL" for c in ["price", *_SWEPT])}),

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from slotwise.operators import calibrate as CB
 from slotwise.operators import correct as K
 from slotwise.operators import features as FT
 from slotwise.operators import joins as J
+from slotwise.operators import learn as L
 from slotwise.operators import monitor as MO
 from slotwise.operators import nowcast as N
 from slotwise.session import fresh_path
@@ -159,3 +162,26 @@ def test_partition_merge_touches_only_new_days(spark):
     INC.merge_into(spark, path, spark.createDataFrame([(d2, 1, 9.0), (d2, 2, 3.0)], schema), ["settlement_date", "settlement_period"], "settlement_date")
     got = sorted((r.settlement_date, r.settlement_period, r.ssp) for r in spark.read.parquet(path).collect())
     assert got == [(d1, 1, 1.0), (d2, 1, 9.0), (d2, 2, 3.0)]
+
+
+def test_reweighted_fits_meet_their_loss(spark):
+    """Shares below the fitted quantiles, and the balanced logistic fit's own equations, in two groups of unlike noise."""
+    r = np.random.default_rng(12)
+    n = 4000
+    x = r.uniform(0, 10, n)
+    pdf = pd.DataFrame({"g": np.where(np.arange(n) % 2 == 0, "a", None), "x": x, "y": 5 + 2 * x + r.exponential(3, n) * (1 + np.arange(n) % 2)})
+    pdf["c"] = (pdf.y + r.normal(0, 8, n) > 18).astype(float)
+    d = spark.createDataFrame(pdf)
+    fit = {row.g: row for row in L.reweighted_fits(d, ["g"], ["x"], "y", {"lo": L.quantile_loss(0.1), "hi": L.quantile_loss(0.9)}).collect()}
+    assert set(fit) == {"a", None}
+    for g, row in fit.items():
+        part = pdf[pdf.g.isna()] if g is None else pdf[pdf.g == g]
+        for beta, p in ((row.lo, 0.1), (row.hi, 0.9)):
+            assert abs((part.y < beta[0] + beta[1] * part.x).mean() - p) < 0.02 and row.n_train == 2000
+    # Both slopes follow the spread: the upper quantile of the noisier group lies higher.
+    assert fit[None].hi[0] > fit["a"].hi[0] + 4
+    share = spark.createDataFrame(pdf.assign(g="all", share=pdf.c.mean()))
+    beta = L.reweighted_fits(share, ["g"], ["x"], "c", {"cl": L.class_loss("share")}, rounds=12).first().cl
+    p = 1 / (1 + np.exp(-(beta[0] + beta[1] * pdf.x)))
+    w = np.where(pdf.c > 0, 0.5 / pdf.c.mean(), 0.5 / (1 - pdf.c.mean()))
+    assert abs((w * (pdf.c - p)).mean()) < 1e-6 and abs((w * (pdf.c - p) * pdf.x).mean()) < 1e-6
