@@ -111,9 +111,9 @@ def risk_split(df: DataFrame, flag: str = "spike_risk_flag", limit: float = 150.
 def spike_harness(df: DataFrame, flag: str = "spike_risk_flag") -> DataFrame:
     """Coverage, error, median error, code-P rate by bucket, by flag, by both and by fold x flag.
 
-    Each row is tagged with the four groups it belongs to and all groups are
-    aggregated in one pass; medians go through the distributed quantile so that
-    no group, however large, sits in one task.
+    The rows are summed once, by fold, flag and bucket; the groups are sums of
+    these cells. Medians go through the distributed quantile so that no group,
+    however large, sits in one task.
     """
     d = df.withColumns({"bucket": S.price_bucket("actual"), "_f": F.when(F.col(flag), "risk").otherwise("no-risk")})
     tags = F.array(
@@ -122,14 +122,23 @@ def spike_harness(df: DataFrame, flag: str = "spike_risk_flag") -> DataFrame:
         F.struct(F.lit("flag_bucket").alias("cut"), F.concat_ws("|", "_f", "bucket").alias("grp")),
         F.struct(F.lit("fold_flag").alias("cut"), F.concat_ws("|", "fold", "_f").alias("grp")),
     )
-    long = d.withColumn("_t", F.explode(tags)).select("_t.*", "actual", "q10", "q50", "q90", "price_derivation_code",
-                                                      (F.col("actual") - F.col("q50")).alias("e"))
+    measures = {"coverage": S.covered("actual", "q10", "q90"), "mae": F.abs(F.col("actual") - F.col("q50")),
+                "code_p_rate": F.coalesce((F.col("price_derivation_code") == "P").cast("int"), F.lit(0))}
+    cells = cell_sums(d, ["fold", "_f", "bucket"], measures)
     keys = ["cut", "grp"]
-    main = long.groupBy(*keys).agg(
-        F.count("*").alias("n"), (S.coverage_pct("actual", "q10", "q90") / 100).alias("coverage"),
-        S.mae("actual", "q50").alias("mae"),
-        F.avg(F.coalesce((F.col("price_derivation_code") == "P").cast("int"), F.lit(0))).alias("code_p_rate"))
-    return main.join(exact_quantiles(long, keys, "e", {"median_error": 0.5}), keys)
+    main = cells.withColumn("_t", F.explode(tags)).select("*", "_t.*").groupBy(*keys).agg(F.sum("n").alias("n"), *cell_averages(measures))
+    errors = d.select(F.explode(tags).alias("_t"), (F.col("actual") - F.col("q50")).alias("e")).select("_t.*", "e")
+    return main.join(exact_quantiles(errors, keys, "e", {"median_error": 0.5}), keys)
+
+
+def cell_sums(df: DataFrame, cell: Sequence[str], measures: dict[str, Column]) -> DataFrame:
+    """Rows, and the sum and number of each measure, per finest cell; coarser groups are sums of cells, so no row is copied to the groups it is in."""
+    sums = [f(c.cast("double") if f is F.sum else c).alias(f"_{k}_{n}") for n, c in measures.items() for k, f in (("s", F.sum), ("n", F.count))]
+    return df.groupBy(*cell).agg(F.count("*").alias("n"), *sums)
+
+
+def cell_averages(measures: Sequence[str]) -> list[Column]:
+    return [ratio(F.sum(f"_s_{n}"), F.sum(f"_n_{n}")).alias(n) for n in measures]
 
 
 def flag_lift(df: DataFrame, flag: str = "spike_risk_flag", limit: float = 150.0) -> DataFrame:

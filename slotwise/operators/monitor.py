@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions import scoring as S
 from slotwise.functions.keys import DEFAULT_ZONE, local_clock, ratio
+from slotwise.operators.metrics import cell_averages, cell_sums
 
 # Freshness limits in minutes and hours, tolerance, gate thresholds.
 STALE_MIN = 360
@@ -83,18 +84,18 @@ def shadow_log(pair: DataFrame, keys: Sequence[str] = ("settlement_date",)) -> D
 def scenario_table(df: DataFrame, variants: dict[str, tuple[str, str, str]], base: str, groups: dict[str, Column]) -> DataFrame:
     """Group x variant scores with the change against the base variant.
 
-    Each row is tagged once per group it belongs to; all variants of a group
-    are aggregated side by side and unpivoted from the aggregate.
+    The rows are summed once, by the set of groups they are in; a group is the
+    sum of the sets that have it, all variants side by side.
     """
-    tags = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in groups.items()]))
-    d = df.withColumn("group", F.explode(tags))
-    rows = []
+    named = [F.when(c, F.lit(n)) for n, c in groups.items()]
+    measures, names = {}, ("mae", "coverage", "mean_width", "is_score")
     for v, (lo, mid, hi) in variants.items():
-        rows.append(F.struct(F.lit(v).alias("variant"), S.mae("actual", mid).alias("mae"),
-                             F.avg(S.covered("actual", lo, hi)).alias("coverage"),
-                             F.avg(F.col(hi) - F.col(lo)).alias("mean_width"),
-                             F.avg(S.interval_score("actual", lo, hi)).alias("is_score")))
-    g = d.groupBy("group").agg(F.count("*").alias("n"), F.array(*rows).alias("r"))
+        found = (F.abs(F.col("actual") - F.col(mid)), S.covered("actual", lo, hi), F.col(hi) - F.col(lo), S.interval_score("actual", lo, hi))
+        measures |= {f"{v}_{n}": c for n, c in zip(names, found)}
+    cells = cell_sums(df.withColumn("_in", F.array_compact(F.array(*named))), ["_in"], measures)
+    g = cells.withColumn("group", F.explode("_in")).groupBy("group").agg(F.sum("n").alias("n"), *cell_averages(measures))
+    rows = [F.struct(F.lit(v).alias("variant"), *[F.col(f"{v}_{n}").alias(n) for n in names]) for v in variants]
+    g = g.select("group", "n", F.array(*rows).alias("r"))
     ref = F.element_at("r", list(variants).index(base) + 1)
     g = g.withColumns({"base_mae": ref["mae"], "base_cov": ref["coverage"], "base_is": ref["is_score"]})
     out = g.select("group", "n", "base_mae", "base_cov", "base_is", F.inline("r"))
