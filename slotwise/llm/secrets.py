@@ -48,10 +48,13 @@ REACH = 4.0
 # Written text: excess of the chi-squared statistic per symbol, share of neighbours of different class, serial correlation.
 TEXT_EXCESS, TEXT_CHANGES, TEXT_SERIAL = 0.8, 0.2, 0.4
 BINS_PER_DECADE, TOP_BIN = 50, 15000
+#: Matches whose positions are added up at a time.
+BLOCK = 64
 
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _OTHER = "+/_-"
 _ORDER = _DIGITS + _UPPER + _LOWER + _OTHER
+CLASSES = (_DIGITS, _UPPER, _LOWER, _OTHER)
 # Alphabets by what their symbols must match, tried in this order.
 ENCODINGS = (
     ("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", _DIGITS + _LOWER[:6]),
@@ -68,21 +71,37 @@ ENCODINGS = (
 SEPARATORS, PIECE = "+/_-", "[A-Za-z0-9]{16,}"
 
 
+def bound(value, use):
+    """``use(value)`` with a value that is computed once however often it is used, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def located(text: F.Column, pattern: str) -> F.Column:
     """Array of (start, end, hit) of all matches, left to right, in code points.
 
-    The pieces between the matches give the positions.
+    The pieces between the matches give the positions: running sums inside blocks of
+    ``BLOCK`` matches, then over the blocks, so that many matches cost no more each than few.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    steps = F.zip_with(hits, F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda h, p: F.struct(h.alias("hit"), F.length(p).alias("before")))
     none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    steps = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda h, p: F.struct(h.alias("hit"), F.length(p).alias("before")))
 
     def grow(acc, s):
         at = F.coalesce(F.try_element_at(acc, F.lit(-1)).end, F.lit(0)) + s.before
         return F.concat(acc, F.array(F.struct(at.alias("start"), (at + F.length(s.hit)).alias("end"), s.hit.alias("hit"))))
 
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(steps, none, grow)).otherwise(none)
+    def blocks(steps):
+        # The last step is the text after the last match.
+        of = lambda b: F.slice(steps, b * BLOCK + 1, F.least(F.lit(BLOCK), F.size(steps) - 1 - b * BLOCK))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 2) / BLOCK).cast("int")), lambda b: F.aggregate(of(b), none, grow))
+
+    def offsets(parts):
+        return F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.element_at(p, -1).end)))
+
+    def shifted(parts):
+        moved = F.zip_with(parts, F.slice(offsets(parts), 1, F.size(parts)), lambda p, at: F.transform(p, lambda m: F.struct((m.start + at).alias("start"), (m.end + at).alias("end"), m.hit.alias("hit"))))
+        return F.flatten(moved)
+
+    return F.when(F.rlike(text, F.lit(pattern)), bound(steps, lambda s: bound(blocks(s), shifted))).otherwise(none)
 
 
 def base_spans(text: F.Column) -> F.Column:
@@ -104,22 +123,30 @@ def _tagged(found: F.Column, order: int, kind: str) -> F.Column:
 
 def upper_tail(z: F.Column) -> F.Column:
     """P(N(0, 1) > z) by a rational approximation of the error function (absolute error under 2e-7, relative under 1e-3 in the tail)."""
-    x = F.abs(z) / math.sqrt(2)
     # Coefficients of the complementary error function's Chebyshev fit, constant term first.
     terms = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-    t = 1 / (1 + x / 2)
-    power = F.lit(terms[-1])
-    for c in reversed(terms[:-1]):
-        power = power * t + c
-    half = t * F.exp(-x * x + power) / 2
-    return F.when(z >= 0, half).otherwise(1 - half)
+
+    def half(v):
+        power = F.lit(terms[-1])
+        for c in reversed(terms[:-1]):
+            power = power * v.t + c
+        return v.t * F.exp(-v.x * v.x + power) / 2
+
+    def tail(z):
+        x = F.abs(z) / math.sqrt(2)
+        return bound(bound(F.struct(x.alias("x"), (1 / (1 + x / 2)).alias("t")), half), lambda h: F.when(z >= 0, h).otherwise(1 - h))
+
+    return bound(z, tail)
 
 
 def _encoding(token: F.Column) -> F.Column:
-    alphabet = F.lit(None).cast("string")
+    """Struct of the inferred alphabet: its size, and the chance that two random symbols are of one class; null where none fits."""
+    found = F.lit(None).cast("struct<k:int,same:double>")
     for shape, symbols in reversed(ENCODINGS):
-        alphabet = F.when(F.rlike(token, F.lit(shape)), F.lit(symbols)).otherwise(alphabet)
-    return alphabet
+        classes = [sum(c in group for c in symbols) for group in CLASSES]
+        same = sum(x * x for x in classes) / len(symbols) ** 2
+        found = F.when(F.rlike(token, F.lit(shape)), F.struct(F.lit(len(symbols)).alias("k"), F.lit(same).alias("same"))).otherwise(found)
+    return found
 
 
 def battery(token: F.Column) -> F.Column:
@@ -127,41 +154,49 @@ def battery(token: F.Column) -> F.Column:
 
     Null where no encoding is inferred, with the separators or without.
     """
-    def bound(value, use):
-        # A value that is used many times is computed once.
-        return F.element_at(F.transform(F.array(value), use), 1)
-
     def infer(core):
-        return bound(F.struct(core.alias("core"), _encoding(core).alias("alphabet")), lambda t: F.when(t.alphabet.isNotNull(), _tests(t.core, F.length(t.core), t.alphabet)))
+        codes = F.transform(F.split(core, "(?!^|$)"), lambda c: F.instr(F.lit(_ORDER), c))
+        return bound(_encoding(core), lambda e: F.when(e.isNotNull(), bound(codes, lambda c: _tests(c, e))))
 
     return bound(F.when(_encoding(token).isNotNull(), token).otherwise(F.translate(token, SEPARATORS, "")), infer)
 
 
-def _tests(token: F.Column, n: F.Column, alphabet: F.Column) -> F.Column:
-    k = F.length(alphabet)
-    squares = F.aggregate(F.split(alphabet, ""), F.lit(0.0), lambda acc, c: acc + F.when(c == "", 0.0).otherwise(F.pow(n - F.length(F.replace(token, c, F.lit(""))), F.lit(2.0))))
-    chi = squares * k / n - n
-    mean_text, var_text = (k - 1) + n * TEXT_EXCESS, 2 * ((k - 1) + 2 * n * TEXT_EXCESS)
-    z_chi = (mean_text - chi) / F.sqrt(var_text)
-    classes = F.translate(token, _ORDER, "0" * 10 + "A" * 26 + "a" * 26 + "-" * 4)
-    runs = F.length(F.regexp_replace(classes, r"(.)\1*", "$1")) - 1
-    z_runs = (runs - (n - 1) * TEXT_CHANGES) / F.sqrt((n - 1) * (TEXT_CHANGES * (1 - TEXT_CHANGES)))
-    kinds = [F.length(F.regexp_replace(alphabet, f"[^{c}]", "")) for c in ("0-9", "A-Z", "a-z")]
-    other = k - sum(kinds[1:], kinds[0])
-    same = sum((x * x for x in [*kinds[1:], other]), kinds[0] * kinds[0]) / (k * k)
-    z_runs_random = (runs - (n - 1) * (1 - same)) / F.sqrt(F.greatest((n - 1) * same * (1 - same), F.lit(1e-9)))
-    codes = F.transform(F.split(token, "(?!^)"), lambda c: F.instr(F.lit(_ORDER), c).cast("double"))
-    # Sums over the codes themselves: linear in the token's length.
-    total, square = (F.aggregate(codes, F.lit(0.0), f) for f in (lambda a, c: a + c, lambda a, c: a + c * c))
-    product = F.aggregate(F.zip_with(F.slice(codes, 1, n - 1), F.slice(codes, 2, n - 1), lambda a, b: a * b), F.lit(0.0), lambda a, c: a + c)
-    mean = total / n
-    spread = square - total * mean
-    lagged = product - mean * (2 * total - F.element_at(codes, 1) - F.element_at(codes, -1)) + (n - 1) * mean * mean
-    serial = F.when(spread > 0, lagged / spread).otherwise(1.0)
-    z_serial = (TEXT_SERIAL - serial) * F.sqrt(n.cast("double")) / (1 - TEXT_SERIAL ** 2)
-    p = upper_tail((z_chi + z_runs + z_serial) / math.sqrt(3))
-    fits = ((F.abs(chi - (k - 1)) <= REACH * F.sqrt(2.0 * (k - 1))) & (F.abs(z_runs_random) <= REACH) & (F.abs(serial) * F.sqrt(n.cast("double")) <= REACH))
-    return F.struct(n.alias("size"), p.alias("p"), fits.alias("random"))
+def _moments(codes: F.Column) -> F.Column:
+    """All sums of the tests in two passes: along the token, and over its symbols in order."""
+    kind = lambda c: F.when(c <= 10, 0).when(c <= 36, 1).when(c <= 62, 2).otherwise(3)
+    start = F.struct(F.lit(0).alias("last"), F.lit(-1).alias("kind"), F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("square"),
+                     F.lit(0).cast("bigint").alias("product"), F.lit(-1).alias("runs"))
+    along = F.aggregate(codes, start, lambda a, c: F.struct(
+        c.alias("last"), kind(c).alias("kind"), (a.total + c).alias("total"), (a.square + c * c).alias("square"), (a.product + a["last"] * c).alias("product"),
+        (a.runs + F.when(a.kind == kind(c), 0).otherwise(1)).alias("runs")))
+    # The r-th copy of a symbol adds 2 r - 1 to the sum of squared counts.
+    start = F.struct(F.lit(0).alias("last"), F.lit(0).cast("bigint").alias("copies"), F.lit(0).cast("bigint").alias("squares"))
+    counted = F.aggregate(F.sort_array(codes), start, lambda a, c: F.struct(
+        c.alias("last"), F.when(a["last"] == c, a.copies + 1).otherwise(F.lit(1).cast("bigint")).alias("copies"),
+        (a.squares + F.when(a["last"] == c, 2 * a.copies + 1).otherwise(F.lit(1).cast("bigint"))).alias("squares")))
+    return F.struct(F.size(codes).alias("n"), F.element_at(codes, 1).alias("first"), along.alias("along"), counted.squares.alias("squares"))
+
+
+def _tests(codes: F.Column, encoding: F.Column) -> F.Column:
+    k, same = encoding.k, encoding.same
+
+    def statistics(m):
+        n, a = m.n, m.along
+        mean = a.total.cast("double") / n
+        spread = a.square - a.total * mean
+        lagged = a.product - mean * (2 * a.total - m.first - a["last"]) + (n - 1) * mean * mean
+        return F.struct(n.alias("n"), a.runs.alias("runs"), (m.squares.cast("double") * k / n - n).alias("chi"), F.when(spread > 0, lagged / spread).otherwise(1.0).alias("serial"))
+
+    def judged(s):
+        n, root = s.n, F.sqrt(s.n.cast("double"))
+        z_chi = ((k - 1) + n * TEXT_EXCESS - s.chi) / F.sqrt(2 * ((k - 1) + 2 * n * TEXT_EXCESS))
+        z_runs = (s.runs - (n - 1) * TEXT_CHANGES) / F.sqrt((n - 1) * (TEXT_CHANGES * (1 - TEXT_CHANGES)))
+        z_serial = (TEXT_SERIAL - s.serial) * root / (1 - TEXT_SERIAL ** 2)
+        z_runs_random = (s.runs - (n - 1) * (1 - same)) / F.sqrt(F.greatest((n - 1) * same * (1 - same), F.lit(1e-9)))
+        fits = (F.abs(s.chi - (k - 1)) <= REACH * F.sqrt(2.0 * (k - 1))) & (F.abs(z_runs_random) <= REACH) & (F.abs(s.serial) * root <= REACH)
+        return F.struct(n.alias("size"), upper_tail((z_chi + z_runs + z_serial) / math.sqrt(3)).alias("p"), fits.alias("random"))
+
+    return bound(bound(_moments(codes), statistics), judged)
 
 
 def _octave(size: F.Column) -> F.Column:
@@ -171,10 +206,13 @@ def _octave(size: F.Column) -> F.Column:
 def tested(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``row``, ``base`` spans and the tested ``tokens`` (start, end, octave, p bin, random, piece) of each text."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    pieces = F.transform(F.filter(located(F.col("text"), TOKEN), lambda t: F.rlike(t.hit, F.lit("[+/_-]"))), lambda t: F.transform(located(t.hit, PIECE), lambda x: F.struct(
-        (t.start + x.start).alias("start"), (t.start + x.end).alias("end"), x.hit.alias("hit"), F.lit(True).alias("piece"))))
-    whole = F.transform(located(F.col("text"), TOKEN), lambda t: F.struct(t.start.alias("start"), t.end.alias("end"), t.hit.alias("hit"), F.lit(False).alias("piece")))
-    tokens = F.transform(F.concat(whole, F.flatten(pieces)), lambda t: F.struct(t.start.alias("start"), t.end.alias("end"), t.piece.alias("piece"), battery(t.hit).alias("b")))
+    def with_pieces(found):
+        pieces = F.transform(F.filter(found, lambda t: F.rlike(t.hit, F.lit("[+/_-]"))), lambda t: F.transform(located(t.hit, PIECE), lambda x: F.struct(
+            (t.start + x.start).alias("start"), (t.start + x.end).alias("end"), x.hit.alias("hit"), F.lit(True).alias("piece"))))
+        whole = F.transform(found, lambda t: F.struct(t.start.alias("start"), t.end.alias("end"), t.hit.alias("hit"), F.lit(False).alias("piece")))
+        return F.concat(whole, F.flatten(pieces))
+
+    tokens = F.transform(bound(located(F.col("text"), TOKEN), with_pieces), lambda t: F.struct(t.start.alias("start"), t.end.alias("end"), t.piece.alias("piece"), battery(t.hit).alias("b")))
     tokens = F.transform(F.filter(tokens, lambda t: t.b.isNotNull()), lambda t: F.struct(
         t.start.alias("start"), t.end.alias("end"), _octave(t.b.size).alias("octave"),
         F.least(F.floor(-F.log10(F.greatest(t.b.p, F.lit(1e-299))) * BINS_PER_DECADE), F.lit(TOP_BIN)).cast("int").alias("bin"), t.b.random.alias("random"), t.piece.alias("piece")))

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+import time
 
 import pytest
 
@@ -96,3 +98,85 @@ def test_upper_tail(spark, z, p):
     from pyspark.sql import functions as F
     got = spark.range(1).select(secrets.upper_tail(F.lit(z))).first()[0]
     assert abs(got / p - 1) < 2e-3
+
+
+def plain_battery(token):
+    """Statistics of one token by their definitions; none where no encoding fits."""
+    order = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-"
+    encoding = lambda t: next((a for shape, a in secrets.ENCODINGS if re.search(shape, t)), None)
+    core = token if encoding(token) else re.sub("[+/_-]", "", token)
+    alphabet = encoding(core)
+    if alphabet is None:
+        return None
+    n, k = len(core), len(alphabet)
+    kind = lambda c: "0" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else "-"
+    chi = sum((core.count(c) - n / k) ** 2 / (n / k) for c in alphabet)
+    runs = sum(kind(a) != kind(b) for a, b in zip(core, core[1:]))
+    codes = [order.index(c) for c in core]
+    mean = sum(codes) / n
+    spread = sum((c - mean) ** 2 for c in codes)
+    serial = sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:])) / spread if spread > 1e-9 else 1.0
+    z = ((k - 1 + 0.8 * n - chi) / math.sqrt(2 * (k - 1 + 1.6 * n)) + (runs - 0.2 * (n - 1)) / math.sqrt(0.16 * (n - 1)) + (0.4 - serial) * math.sqrt(n) / 0.84) / math.sqrt(3)
+    same = sum((sum(kind(c) == x for c in alphabet) / k) ** 2 for x in "0Aa-")
+    runs_random = (runs - (n - 1) * (1 - same)) / math.sqrt(max((n - 1) * same * (1 - same), 1e-9))
+    random_too = abs(chi - k + 1) <= 4 * math.sqrt(2 * (k - 1)) and abs(runs_random) <= 4 and abs(serial) * math.sqrt(n) <= 4
+    return n, math.erfc(z / math.sqrt(2)) / 2, random_too
+
+
+def mixed_tokens():
+    rng = random.Random(5)
+    alphabets = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGH234567", "abcdefghij01", "abc-def_1", "aB1+/", "aB1-_xyz", "aaaaab1", "abcdefgh", "aB", "0123456789", "+/_-a1"]
+    return ["".join(rng.choices(a, k=n)) for a in alphabets for n in (16, 23, 40, 300) for _ in range(4)] + ["a" * 15 + "1", "1" + "a" * 15, "-" * 16, "A" * 8 + "b" * 8]
+
+
+def test_battery_equals_plain_statistics(spark):
+    from pyspark.sql import functions as F
+    tokens = mixed_tokens()
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "id int, t string").select("id", secrets.battery(F.col("t")).alias("b")).collect()
+    tested = 0
+    for r in rows:
+        want = plain_battery(tokens[r.id])
+        assert (r.b is None) == (want is None), tokens[r.id]
+        if want:
+            tested += 1
+            assert (r.b.size, r.b.random) == (want[0], want[2]), tokens[r.id]
+            assert abs(r.b.p - want[1]) <= 2e-3 * min(want[1], 1 - want[1]) + 1e-6, tokens[r.id]
+    assert tested > 100
+
+
+def test_thresholds_are_the_step_up_procedure(spark):
+    rng = random.Random(6)
+    tokens = [(o, min(15000, int(rng.expovariate(1 / 20) + (400 if rng.random() < 0.1 * o else 0)))) for o in range(4, 9) for _ in range(200)]
+    found = spark.createDataFrame([([{"octave": o, "bin": b}],) for o, b in tokens], "tokens array<struct<octave:int,bin:int>>")
+    got = {r.octave: r.least for r in secrets.thresholds(found).collect()}
+    want = {}
+    for octave in range(4, 9):
+        p = sorted(10 ** (-b / 50) for o, b in tokens if o == octave)
+        passed = [v for i, v in enumerate(p, 1) if v <= 0.01 * len([x for x in p if x <= v]) / len(p)]
+        if passed:
+            want[octave] = round(-50 * math.log10(max(passed)))
+    assert got == want and want
+
+
+def test_positions_of_many_matches(spark):
+    from pyspark.sql import functions as F
+    rng = random.Random(7)
+    texts = ["".join(rng.choices(["é", " ", "ab", "abab", "𝒳"], k=n)) for n in (0, 1, 2, 63, 200, 5000) for _ in range(3)] + ["ab" * 64, "ab " * 64, "ab " * 65, " ab" * 128, None, "x"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").select("id", secrets.located(F.col("t"), "(?:ab)+").alias("m")).collect()
+    for r in rows:
+        assert [tuple(m) for m in r.m] == [(m.start(), m.end(), m.group()) for m in re.finditer("(?:ab)+", texts[r.id] or "")], texts[r.id]
+
+
+def test_a_dump_of_keys_takes_linear_time(spark):
+    rng = random.Random(8)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    dump = lambda n: " ".join("".join(rng.choices(base62, k=24)) for _ in range(n))
+    took = []
+    for n in (100, 100_000):
+        table = spark.createDataFrame([(1, dump(n))], "id int, text string")
+        begun = time.time()
+        flagged = secrets.scan(table, keep=["id"]).selectExpr("size(spans)").first()[0]
+        took.append(time.time() - begun)
+        assert flagged >= 0.95 * n
+    # At four milliseconds a token this was seven minutes.
+    assert took[1] - took[0] < 60
