@@ -34,6 +34,13 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 SCHEMES = ("http://", "https://", "ftp://", "mailto:", "ssh://")
 CUES = ("account", "acct", "iban", "konto", "compte", "cuenta", "passport", "ssn", "customer id", "member id")
 
+# Words that may stand between a cue and its identifier.
+LINKS = ("number", "num", "no", "nr", "nummer", "numero", "número", "numéro", "n°", "id", "is", "ist", "est", "es")
+_SEPARATORS = r"[ :#=.\t]{0,4}"
+#: At most two of these words, with the separators around them.
+_LINK = re.compile(rf"(?:nummer|nr)?{_SEPARATORS}(?:(?:{'|'.join(LINKS)})(?![A-Za-z0-9]){_SEPARATORS}){{0,2}}", re.IGNORECASE)
+_LETTERED = re.compile("[A-Z]{1,3}[0-9]{6,17}(?![A-Za-z0-9])")
+
 _DIGITS = frozenset(string.digits)
 _LABEL = frozenset(string.ascii_letters + string.digits + "-")
 _LOCAL = _LABEL | frozenset("._%+")
@@ -165,10 +172,9 @@ def iban_valid(code: str) -> bool:
 
 
 def parse_account(text: str, end_of_cue: int) -> tuple[int, int] | None:
-    """The identifier after a cue: an IBAN with a valid check number, or 6 to 20 digits in groups."""
-    at = run_right(text, end_of_cue, frozenset(" :#=.\t"))
-    if at > end_of_cue + 4:
-        return None
+    """The identifier after a cue and words like "number is": an IBAN with a valid check number,
+    6 to 17 digits after up to three capitals, or 6 to 20 digits in groups."""
+    at = _LINK.match(text, end_of_cue).end()
     if text[at:at + 2].isalpha():
         end, code = at, ""
         while end < len(text) and len(code) < 34:
@@ -179,7 +185,8 @@ def parse_account(text: str, end_of_cue: int) -> tuple[int, int] | None:
             end += 1
             if len(code) >= 15 and iban_valid(code) and (end == len(text) or text[end] not in _UPPER_ALNUM):
                 return at, end
-        return None
+    if (m := _LETTERED.match(text, at)):
+        return m.span()
     if at < len(text) and text[at] in _DIGITS:
         start, end = digit_run(text, at, at, _GAP)
         if 6 <= sum(c in _DIGITS for c in text[start:end]) <= 20:

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -69,3 +70,19 @@ def test_query_rows(spark, folder, documents):
         assert got[i].spans.startswith(digest)
     empty = folder(documents=documents([]))
     assert op4_pii(spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("text,want", [
+    ("account number: 12345678", "12345678"), ("Account No. 12345678.", "12345678"), ("acct # 12345678", "12345678"), ("my account number is 1234-5678-90, thanks", "1234-5678-90"),
+    ("SSN is 123-45-6789", "123-45-6789"), ("ssn no 123 45 6789", "123 45 6789"), ("passport no. X1234567", "X1234567"), ("Passport: AB1234567;", "AB1234567"),
+    ("Kontonummer: 12345678", "12345678"), ("numéro de compte n° 12345678", "12345678"), ("member id is 00123456", "00123456"),
+    ("iban is DE89 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 00"),
+])
+def test_identifiers_after_words(text, want):
+    assert [text[a:b] for k, a, b in pii.find(text) if k == "account"] == [want]
+
+
+@pytest.mark.parametrize("text", ["account of 12345678 people", "account number", "accountable 12345678", "passport no. X123", "account no 12", "passport X1234567890123456789",
+                                  "account nothing 12345678", "account is is is 12345678", "ssn" + " " * 9 + "123456789"])
+def test_no_identifier_after_other_words(text):
+    assert not [s for s in pii.find(text) if s[0] == "account"]
