@@ -6,13 +6,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotwise.operators.ordered import _with, exact_quantiles
 from slotwise.operators.series import interpolate_in_day
-from slotwise.session import materialise
+from slotwise.session import fresh_path, materialise
 
 # Fixed value: installed wind capacity used when no demand forecast exists, in MW.
 WIND_CAPACITY_MW = 32000.0
@@ -546,6 +546,84 @@ def top_coefficients(pred: DataFrame, names: Sequence[str], n: int = 15, keys: S
 
 
 # -- recursive roll-out -----------------------------------------------------------
+def short_lag_trees(train: DataFrame, inputs: dict[str, str], label: str, rounds: int = 20, depth: int = 4, seed: int = 42):
+    """Boosted trees of absolute loss on ``inputs``' columns, rows with a missing one left out; the model and its assembler."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    va = VectorAssembler(inputCols=list(inputs.values()), outputCol="features")
+    rows = va.transform(train.dropna(subset=[label, *inputs.values()]))
+    return GBTRegressor(labelCol=label, featuresCol="features", lossType="absolute", maxIter=rounds, maxDepth=depth, seed=seed).fit(rows), va
+
+
+def stored_ensemble(model) -> DataFrame:
+    """A fitted tree ensemble as one row: per tree its weight and its nodes as a flat array.
+
+    The saved model's node table, children by their position. Its size is set by the fit's rounds and depth.
+    """
+    spark = SparkSession.active()
+    path = fresh_path(spark, "trees")
+    model.save(path)
+    n = F.col("nodeData")
+    node = F.struct(n.id.alias("id"), n.split.featureIndex.alias("feature"), F.try_element_at(n.split.leftCategoriesOrThreshold, F.lit(1)).alias("threshold"),
+                    n.leftChild.alias("left"), n.rightChild.alias("right"), n.prediction.alias("value"))
+    nodes = spark.read.parquet(f"{path}/data").groupBy("treeID").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    weight = F.array(*[F.lit(w) for w in model.treeWeights])[F.col("treeID")]
+    return nodes.agg(F.array_sort(F.collect_list(F.struct("treeID", weight.alias("weight"), "nodes"))).alias("ensemble"))
+
+
+def ensemble_value(ensemble: Column, x: Column, depth: int) -> Column:
+    """The ensemble's prediction for the input array ``x``, by built-in functions alone; NULL where an input is NULL.
+
+    Each tree is descended ``depth`` steps; a leaf stays where it is. Continuous splits only.
+    """
+    def leaf(nodes):
+        def step(at, _):
+            node = nodes[at]
+            return F.when(node.feature < 0, at).when(x[node.feature] <= node.threshold, node.left).otherwise(node.right)
+        return nodes[F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step)].value
+
+    total = F.aggregate(ensemble, F.lit(0.0), lambda a, t: a + t.weight * leaf(t.nodes))
+    return F.when(~F.exists(x, lambda v: v.isNull()), total)
+
+
+def _recent(buf: Column, memory: int) -> dict[str, Column]:
+    """Short-memory inputs of the next slot, from the last prices (newest last)."""
+    last6 = F.slice(buf, -6, 6)
+    return {
+        "lag_1": F.element_at(buf, -1), "lag_2": F.element_at(buf, -2), "lag_48": F.element_at(buf, -memory),
+        "roll_mean_6": F.aggregate(last6, F.lit(0.0), lambda a, v: a + v) / 6,
+        "roll_min_6": F.array_min(last6), "roll_max_6": F.array_max(last6),
+    }
+
+
+def fitted_tree_rollout(history: DataFrame, future: DataFrame, model, inputs: Sequence[str], keys: Sequence[str] = ("series",),
+                        cap: float | None = None, memory: int = 48) -> DataFrame:
+    """``rollout`` with a fitted tree ensemble: each slot's prediction is an input of the next ones.
+
+    ``inputs`` names the model's features in order: terms of the last prices (``lag_1``, ``roll_mean_6``, ...), or
+    columns of ``future`` (keys, target_date, settlement_period and these). The trees travel as flat arrays and are
+    descended inside the day's ``aggregate``; days and series run in parallel. A slot with a NULL input has a NULL
+    forecast, and so have the later ones that look back at it.
+    """
+    on = [*keys, "target_date"]
+    given = [c for c in inputs if c in future.columns]
+    steps = future.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("settlement_period", *[F.col(c).cast("double").alias(c) for c in given]))).alias("steps"))
+    d = history.join(steps, on).withColumn("ensemble", stored_ensemble(model).scalar())
+    depth = max(model.getMaxDepth(), 1)
+
+    def push(acc, s):
+        terms = _recent(acc["buf"], memory)
+        x = F.array(*[s[c] if c in given else terms[c] for c in inputs])
+        # The input array and the prediction are used many times and computed once.
+        y = F.transform(F.array(x), lambda v: ensemble_value(F.col("ensemble"), v, depth))
+        return F.transform(y, lambda v: F.struct(
+            F.concat(F.slice(acc["buf"], -(memory - 1), memory - 1), F.array(v if cap is None else F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(-500.0)), F.lit(float(cap)))))).alias("buf"),
+            F.concat(acc["out"], F.array(F.struct(s["settlement_period"].alias("settlement_period"), v.alias("pred")))).alias("out")))[0]
+
+    start = F.struct(F.col("buf"), F.from_json(F.lit("[]"), "array<struct<settlement_period:int,pred:double>>").alias("out"))
+    return d.select(*on, F.inline(F.aggregate("steps", start, push, lambda a: a["out"])))
+
+
 def rollout(history: DataFrame, future: DataFrame, weights: dict[str, float | str], keys: Sequence[str] = ("series",),
             cap: float | None = None, memory: int = 48) -> DataFrame:
     """Slot-by-slot forecast of a day, each step feeding the next; days run in parallel.
@@ -564,12 +642,7 @@ def rollout(history: DataFrame, future: DataFrame, weights: dict[str, float | st
 
     def push(acc, s):
         buf = acc["buf"]
-        last6 = F.slice(buf, -6, 6)
-        terms = {
-            "lag_1": F.element_at(buf, -1), "lag_2": F.element_at(buf, -2), "lag_48": F.element_at(buf, -memory),
-            "roll_mean_6": F.aggregate(last6, F.lit(0.0), lambda a, v: a + v) / 6,
-            "roll_min_6": F.array_min(last6), "roll_max_6": F.array_max(last6),
-        }
+        terms = _recent(buf, memory)
         y = s["base"]
         for n, w in weights.items():
             y = y + terms[n] * (s[w] if isinstance(w, str) else float(w))

@@ -11,9 +11,12 @@ from slotwise.plans.registry import query
 from slotwise.session import Tables, fresh_path
 from slotwise.sources import files as FS
 from slotwise.sources import increments as INC
+from slotwise.sources import layout as LY
 from slotwise.sources import payloads as PL
 
 KEY = ["settlement_date", "settlement_period"]
+#: Buckets of the slot tables at this scale; grows with the tables.
+BUCKETS = 8
 
 
 @query("A1 A18 A23", rnd="ssp net_imbalance_volume", sql="""
@@ -259,6 +262,31 @@ def fetch_heartbeats(t: Tables):
     return h.select("settlement_date", "n_slots", "max_sp", F.to_date("fetched_at").alias("fetched_on"))
 
 
+@query("A22 B2 I10", sql="""
+SELECT feed, count(*) AS n_rows, count(DISTINCT settlement_date) AS n_days, 48 * count(DISTINCT settlement_date) - count(*) AS n_missing,
+  max(settlement_date) AS last_date, arg_max(settlement_period, slot_ix) AS last_sp, 48 * count(DISTINCT settlement_date) > count(*) AS gaps
+FROM (SELECT *, CASE WHEN settlement_date < DATE '2024-01-18' THEN 'backfill' ELSE 'daily' END AS feed FROM c_panel) GROUP BY 1""")
+def observed_heartbeats(t: Tables):
+    """Two fetches appended to one table, their heartbeats and gap warnings counted while they are written."""
+    path, log = fresh_path(t.spark, "landed"), fresh_path(t.spark, "heartbeats")
+    p, cut = I.panel(t).select(*KEY, "ssp"), F.lit("2024-01-18").cast("date")
+    for feed, rows in (("backfill", p.where(F.col("settlement_date") < cut)), ("daily", p.where(F.col("settlement_date") >= cut))):
+        FS.land_observed(rows, path, log, feed, F.lit("2024-01-31 09:00:00").cast("timestamp_ntz"))
+    return t.spark.read.parquet(log).select("feed", "n_rows", "n_days", "n_missing", "last_date", "last_sp", (F.col("n_missing") > 0).alias("gaps"))
+
+
+@query("A18 C2 C4 C5 C10", rnd="ssp wind_pct gas_pct mid_price margin_fc_mw q50", sql="""
+SELECT p.series, p.settlement_date, p.settlement_period, p.ssp, g.wind_pct, g.gas_pct, mid_price, tsdf_fc_mw - windfor_fc_mw AS margin_fc_mw, q50
+FROM c_panel_type p LEFT JOIN c_panel g USING (settlement_date, settlement_period) LEFT JOIN c_mid USING (settlement_date, settlement_period)
+LEFT JOIN c_vintage USING (settlement_date, settlement_period) LEFT JOIN c_wf USING (settlement_date, settlement_period)""")
+def slot_tables_joined_on_layout(t: Tables):
+    """Prices of several series with four slot tables, all bucketed by slot: a chain of joins without an exchange."""
+    sides = [I.panel(t).select(*KEY, "wind_pct", "gas_pct"), vwap(I.provider_trades(t), KEY).select(*KEY, "mid_price"),
+             I.vintages(t).select(*KEY, (F.col("tsdf_fc_mw") - F.col("windfor_fc_mw")).alias("margin_fc_mw")), I.forecasts(t).select(*KEY, "q50")]
+    base, *stored = [LY.write_bucketed(d, KEY, BUCKETS) for d in (I.panel(t, by_type=True).select("series", *KEY, "ssp"), *sides)]
+    return LY.join_on_layout(base, stored, KEY)
+
+
 @query("G3 C12 C17", sql="""
 SELECT settlement_date, settlement_period FROM c_panel_type WHERE series = 'view'
 INTERSECT SELECT settlement_date, settlement_period FROM c_panel_type WHERE series = 'click'""")

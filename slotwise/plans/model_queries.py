@@ -292,6 +292,24 @@ def fitted_rollout(t: Tables):
     return j.groupBy("target_date").agg(F.count("*").alias("n"), S.mae("ssp_raw", "pred").alias("mae"))
 
 
+@query("J19 J18", rnd="mae mae_one_step")
+def tree_rollout(t: Tables):
+    """Boosted trees on short lags, fitted before the cut-off, rolled out day by day; beside it the same trees given true lags."""
+    d = FT.slot_history(C.winsorise(I.panel(t)), [FT.price_lags, FT.price_rolling])
+    d = materialise(d.withColumns({"target_date": F.col("settlement_date"), "slot": F.col("settlement_period").cast("double")}), "trees")
+    train, test = _split(d, "2024-01-22")
+    model, assembler = L.short_lag_trees(train, TREE_INPUTS, "ssp", rounds=8, depth=3)
+    out = L.fitted_tree_rollout(L.last_prices(d, "ssp"), test, model, list(TREE_INPUTS), cap=500.0)
+    one = model.transform(assembler.transform(test.dropna(subset=list(TREE_INPUTS.values())))).select("series", "target_date", "settlement_period", "ssp_raw", "prediction")
+    j = out.join(one, ["series", "target_date", "settlement_period"])
+    return j.groupBy("target_date").agg(F.count("*").alias("n"), S.mae("ssp_raw", "pred").alias("mae"), S.mae("ssp_raw", "prediction").alias("mae_one_step"))
+
+
+#: Inputs of the roll-out, and the columns they are fitted on.
+TREE_INPUTS = {"lag_1": "ssp_lag_1", "lag_2": "ssp_lag_2", "lag_48": "ssp_lag_48", "roll_mean_6": "ssp_roll_mean_6", "roll_min_6": "ssp_roll_min_6",
+               "roll_max_6": "ssp_roll_max_6", "slot": "slot"}
+
+
 _LS = f"""
 WITH l AS (SELECT series, ssp AS y, {at('ssp', 1)} AS x FROM c_panel_type)
 SELECT series, count(*) AS n_train, regr_intercept(y, x) AS b0, regr_slope(y, x) AS b1 FROM l WHERE x IS NOT NULL GROUP BY 1"""

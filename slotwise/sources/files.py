@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,6 +92,26 @@ def heartbeat(df: DataFrame, keys: Sequence[str], at: Column) -> DataFrame:
     ).withColumn("fetched_at", at)
 
 
+def land_observed(df: DataFrame, path: str, log: str, feed: str, at: Column, slots: int = 48) -> DataFrame:
+    """Append a fetch to ``path`` and its heartbeat to ``log``; the heartbeat is counted by the write itself.
+
+    One row: rows, days, slots missing of these days, the latest date and its last slot. The counting sits after the
+    last shuffle of ``df``, in the stage that writes, whose tasks count once however often they are tried. The
+    days of one fetch are kept as a set; an empty fetch leaves a heartbeat with zero rows.
+    """
+    spark, seen = df.sparkSession, Observation()
+    day = F.col("settlement_date")
+    counted = df.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.size(F.collect_set(day)).alias("n_days"),
+                         F.max(F.struct(day.alias("d"), F.col("settlement_period").cast("int").alias("sp"))).alias("last"))
+    counted.write.mode("append").parquet(path)
+    got = seen.get
+    last = got["last"] or (None, None)
+    row = [(feed, got["n_rows"], got["n_days"], slots * got["n_days"] - got["n_rows"], last[0], last[1])]
+    beat = spark.createDataFrame(row, "feed string, n_rows bigint, n_days int, n_missing bigint, last_date date, last_sp int")
+    append_log(beat.withColumn("fetched_at", at).coalesce(1), log)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_sorted(df: DataFrame, path: str, order: Sequence[str]) -> None:
     """Chronological table: range-partitioned and sorted inside each file, so no task sorts everything."""
     df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)

@@ -10,7 +10,7 @@ from slotwise.plans.catalog import QUERIES
 FOLDER = "/root/testdata/sf{}".format(os.environ.get("SF", "0.001"))
 # Need complete days or unbroken daily lags, which the smallest scale has none of.
 WHOLE_DAYS = {"complete_days", "recursive_rollout", "lagged_day_profiles", "slot_lasso_backtest", "slot_lasso_coefficients", "fitted_rollout",
-              "level_sweep", "fitted_quantiles", "fitted_day_class"}
+              "level_sweep", "fitted_quantiles", "fitted_day_class", "tree_rollout"}
 
 
 def folder_of(name):
