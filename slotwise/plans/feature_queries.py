@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from slotwise.functions.calendar import bank_holidays
@@ -11,7 +13,7 @@ from slotwise.operators import features as FT
 from slotwise.operators import series as SR
 from slotwise.operators.joins import vwap
 from slotwise.plans import inputs as I
-from slotwise.plans.registry import query
+from slotwise.plans.registry import QUERIES, query
 from slotwise.session import Tables
 
 KEY = ["settlement_date", "settlement_period"]
@@ -509,3 +511,87 @@ def without_weather(t: Tables):
     return f.groupBy("settlement_date").agg(
         F.count("*").alias("n"), F.count("temp_c_lag_48").cast("int").alias("has_temp"),
         F.count("wind_ms_lag_48").cast("int").alias("has_wind"), F.count("ssp_lag_48").alias("has_lag"))
+
+
+# -- whole feature tables, every column compared -----------------------------------
+_SPIKES = {f"is_spike_lag_{n}": at("CAST(is_spike AS INTEGER)", n) for n in (48, 336)}
+_SPIKES |= {f"is_negative_lag_{n}": at("CAST(ssp_raw < 0 AS INTEGER)", n) for n in (48, 336)}
+_SPIKES |= {"spike_count_roll_48": roll("CAST(is_spike AS INTEGER)", 48, "sum"), "neg_count_roll_48": roll("CAST(ssp_raw < 0 AS INTEGER)", 48, "sum")}
+_VINTAGE = {"windfor_fc_mw": "windfor_fc_mw", "tsdf_fc_mw": "tsdf_fc_mw", "surplus_fc_mw": "surplus_fc_mw", "margin_fc_mw": "tsdf_fc_mw - windfor_fc_mw",
+            "wind_pen_fc": "100.0 * windfor_fc_mw / nullif(tsdf_fc_mw, 0)"}
+_OWN = _LAGS | _RAMPS | _ROLL | _VROLL | _SPIKES | _GEN | _MID | _WX | _SAME | _VINTAGE
+_OF_DAY = {c: (_DL | _DR | _DD)[c] for c in (
+    "ssp_daily_mean_lag1d", "ssp_daily_mean_lag2d", "ssp_daily_mean_lag7d", "ssp_raw_daily_max_lag1d", "ssp_raw_daily_max_lag2d", "niv_daily_mean_lag1d", "spike_count_lag1d",
+    "spike_count_lag7d", "spike_count_roll_7d", "ssp_daily_roll_mean_7d", "ssp_daily_roll_std_7d")}
+_DEVIATIONS = {"ssp_lag48_deviation": "ssp_lag_48 - ssp_daily_mean_lag1d", "ssp_lag96_deviation": "ssp_lag_96 - ssp_daily_mean_lag2d",
+               "ssp_lag336_deviation": "ssp_lag_336 - ssp_daily_mean_lag7d"}
+_AHEAD = [*FT.CALENDAR, "cpi_index", "cpi_yoy"]
+_SLOT_COLUMNS = [*_OWN, *_AHEAD]
+#: Columns of the shape table for the next day and for the day after.
+_NEXT = [*_SLOT_COLUMNS, *[c for c in _OF_DAY if not c.endswith("lag2d") and c not in ("spike_count_lag7d", "ssp_daily_mean_lag7d")], "ssp_daily_mean_lag7d",
+         "ssp_lag48_deviation", "ssp_lag336_deviation"]
+_AFTER = [*_SLOT_COLUMNS, "ssp_daily_mean_lag2d", "ssp_daily_mean_lag7d", "ssp_raw_daily_max_lag2d", "spike_count_lag7d", "ssp_lag96_deviation", "ssp_lag336_deviation"]
+# The same selection by names: what a day-ahead model must not see, and what the day after may.
+_TOO_NEW = re.compile(r"_lag_[12]$|^(ssp|net_imbalance_volume|abs_niv|temp_c|wind_ms|solar_wm2)_roll_|_count_roll_48$|^ssp_diff_1_48$|^wind_ramp_6$")
+_OLD_ENOUGH = re.compile(r"_lag_(96|336)$|_ramp_336$|_lag[27]d$|_lag(96|336)_deviation$")
+_NEXT_DAY = [c for c in _NEXT if not _TOO_NEW.search(c)]
+_TWO_DAY = [c for c in _AFTER if c in _AHEAD or _OLD_ENOUGH.search(c)]
+
+
+def _after_with(text: str) -> str:
+    return re.sub(r"^\s*WITH\s+(RECURSIVE\s+)?", "", text).strip()
+
+
+_FULL = "WITH RECURSIVE " + ",\n".join([_after_with(_CPI), _after_with(_WX_JOIN).replace("\nj AS (", "\nwx AS ("), _after_with(_DAILY)]) + f""",
+cal AS ({QUERIES["calendar_features"].body}),
+src AS (SELECT c.*, {", ".join(FT.WEATHER)}, mid_price, windfor_fc_mw, tsdf_fc_mw, surplus_fc_mw
+  FROM c_clean c LEFT JOIN wx USING (series, settlement_date, settlement_period) LEFT JOIN c_mid USING (settlement_date, settlement_period)
+  LEFT JOIN c_vintage USING (settlement_date, settlement_period)),
+own AS ({select_sql(_OWN, "src")}),
+of_day AS ({select_sql(_OF_DAY, "dd", _DID)}),
+wide AS (SELECT own.*, cal.* EXCLUDE (settlement_date, settlement_period), cpi_index, cpi_yoy, of_day.* EXCLUDE (series, settlement_date), {", ".join(f"{e} AS {n}" for n, e in _DEVIATIONS.items())}
+  FROM own LEFT JOIN cal USING (settlement_date, settlement_period) LEFT JOIN of_day USING (series, settlement_date)
+  LEFT JOIN y ON y.year_month = CAST(date_trunc('month', own.settlement_date) AS DATE))
+"""
+
+
+def _full_sql(names: list[str], where: str = "TRUE") -> str:
+    return _FULL + f"SELECT series, settlement_date, settlement_period, {', '.join(names)} FROM wide WHERE {where}"
+
+
+def _complete(t: Tables, slots_back: int, horizon: int, core: list[str]):
+    s, names = _selected(t, slots_back, horizon)
+    return C.complete_cases(s.select(*SID, *names), [c for c in core if c in names])
+
+
+@query("C1 C2 C3 C4 C5 B27 E1 E3 E4 E9 E11 H1", rnd=" ".join(_SLOT_COLUMNS), sql=_full_sql(_SLOT_COLUMNS))
+def slot_features(t: Tables):
+    """The whole slot feature table: every family and feed, every row."""
+    return full_feature_table(t).select(*SID, *_SLOT_COLUMNS)
+
+
+@query("B12 B15 C6", rnd=" ".join(_NEXT_DAY), sql=_full_sql(_NEXT_DAY, "ssp_lag_48 IS NOT NULL AND ssp_lag_336 IS NOT NULL"))
+def next_day_features(t: Tables):
+    """What the next-day shape model trains on."""
+    return _complete(t, 48, 1, ["ssp_lag_1", "ssp_lag_48", "ssp_lag_336"])
+
+
+@query("B13 B15 C7", rnd=" ".join(_TWO_DAY), sql=_full_sql(_TWO_DAY, "ssp_lag_96 IS NOT NULL AND ssp_lag_336 IS NOT NULL"))
+def two_day_features(t: Tables):
+    """What the shape model of the day after trains on."""
+    return _complete(t, 96, 2, ["ssp_lag_48", "ssp_lag_96", "ssp_lag_336"])
+
+
+@query("B14 B15", rnd=" ".join(_NEXT), sql=_full_sql(_NEXT, "ssp_lag_1 IS NOT NULL AND ssp_lag_336 IS NOT NULL"))
+def direct_features(t: Tables):
+    """What the direct model trains on: short lags as well."""
+    return _complete(t, 1, 1, ["ssp_lag_1", "ssp_lag_336", "ssp_raw"])
+
+
+_NO_WEATHER = ["temp_c_lag_48", "wind_ms_lag_48", "solar_wm2_lag_48"]
+
+
+@query("B21", rnd=" ".join(_SLOT_COLUMNS), sql=_full_sql([f"CAST(NULL AS DOUBLE) AS {c}" if c in _NO_WEATHER else c for c in _SLOT_COLUMNS]))
+def slot_features_without_weather(t: Tables):
+    """The whole table with a list of inputs taken away, the others untouched."""
+    return C.null_features(full_feature_table(t).select(*SID, *_SLOT_COLUMNS), _NO_WEATHER)
