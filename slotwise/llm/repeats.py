@@ -67,7 +67,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
         rest >>= 1
         if rest:
             h = h[:len(h) - size] * power + h[size:]
-            power, size = power * power, size * 2
+            power, size = np.uint64(int(power) ** 2 % (1 << 64)), size * 2
     done ^= done >> np.uint64(32)
     done *= np.uint64(0xD6E8FEB86659FD93)
     done ^= done >> np.uint64(29)
@@ -238,12 +238,18 @@ def _rows(c: dict[str, np.ndarray], at: np.ndarray, known: np.ndarray) -> pa.Rec
                                        pa.array(c["n"][at], pa.int32()), pa.array(known[at])], names=["gram", "id", "mark", "start", "n", "known"])
 
 
-def suffix_ranks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Ranks of the ``LENGTH``-byte strings at ``at`` in suffix order (equal strings, equal ranks), by prefix doubling from 8 bytes."""
-    padded = np.concatenate([data, np.zeros(LENGTH + 8, dtype=np.uint8)])
+def words_of(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes at every position as one number, zeros past the end."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
     words = np.zeros(len(data), dtype=np.uint64)
     for i in range(8):
         words = (words << np.uint64(8)) | padded[i:i + len(data)]
+    return words
+
+
+def suffix_ranks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Ranks of the ``LENGTH``-byte strings at ``at`` in suffix order (equal strings, equal ranks), by prefix doubling from 8 bytes."""
+    words = words_of(data)
     rank = np.unique(words, return_inverse=True)[1].astype(np.int64)
     size = 8
     while size * 2 <= LENGTH:
@@ -253,25 +259,69 @@ def suffix_ranks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.unique(rank[at] * (len(data) + 1) + rank[at + LENGTH - size], return_inverse=True)[1]
 
 
-def repeated_windows(ranks: np.ndarray, place: np.ndarray) -> np.ndarray:
+def common_prefixes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bytes, ``LENGTH`` at most, that each string of ``at`` shares with the next one."""
+    words = words_of(data)
+    shared = np.zeros(max(len(at) - 1, 0), dtype=np.int16)
+    alike = np.arange(len(shared))
+    for done in range(0, LENGTH, 8):
+        differs = words[at[alike] + done] ^ words[at[alike + 1] + done]
+        # Leading zero bytes of the difference are shared.
+        shared[alike] += sum((differs < np.uint64(1 << (64 - 8 * k))).astype(np.int16) for k in range(1, 8)) + (differs == 0)
+        alike = alike[differs == 0]
+    return np.minimum(shared, LENGTH)
+
+
+def previous_smaller(place: np.ndarray, common: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry of the order the nearest one before it with a smaller place, and the prefix both share.
+
+    Blocks of 2^k entries that hold no smaller place are skipped, the largest first, up to 2^levels - 1 entries;
+    where these hold none, the entry just before them is given, whose shared prefix bounds all further ones.
+    """
+    least, shared = [place], [common]
+    for k in range(levels - 1):
+        least.append(np.minimum(least[-1][:-(1 << k)], least[-1][1 << k:]))
+        shared.append(np.minimum(shared[-1][:-(1 << k)], shared[-1][1 << k:]))
+    at, prefix = np.arange(len(place)), np.full(len(place), LENGTH, dtype=np.int16)
+    for k in reversed(range(levels)):
+        rows = np.flatnonzero(at >= 1 << k)
+        to = at[rows] - (1 << k)
+        skip = least[k][to] >= place[rows]
+        rows, to = rows[skip], to[skip]
+        prefix[rows] = np.minimum(prefix[rows], shared[k][to])
+        at[rows] = to
+    some = at > 0
+    prefix[some] = np.minimum(prefix[some], common[at[some] - 1])
+    prefix[~some] = 0
+    return at - 1, prefix
+
+
+def previous_factors(place: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Longest previous factors in suffix order: the longer of the prefixes shared with the previous and the next smaller place.
+
+    Exact where ``LENGTH`` is reached; below it an upper bound, as the search goes no further than strings that share ``LENGTH``.
+    """
+    n = len(place)
+    if n < 2:
+        return np.zeros(n, dtype=np.int16)
+    breaks = np.flatnonzero(np.concatenate([[True], common < LENGTH, [True]]))
+    levels = min(int(np.diff(breaks).max()), n - 1).bit_length()
+    before = previous_smaller(place, common, levels)[1]
+    after = previous_smaller(place[::-1], common[::-1], levels)[1][::-1]
+    return np.maximum(before, after)
+
+
+def repeated_windows(ranks: np.ndarray, place: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
     """Windows whose longest previous factor reaches ``LENGTH``.
 
-    In suffix order, a run of equal ranks shares ``LENGTH`` bytes.  A window's
-    previous (next) smaller position lies in its run if the least place before
-    (after) it there is smaller; otherwise that neighbour shares fewer bytes.
+    ``common`` holds the prefixes that neighbours in suffix order (a stable sort of
+    ``ranks``) share; without it, equal ranks share ``LENGTH`` and others nothing.
     """
-    n = len(ranks)
     order = np.argsort(ranks, kind="stable")
-    p, r = place[order], ranks[order]
-    # Running minima restart with each run: later runs lie in lower ranges going forward, earlier ones going back.
-    width = int(place.max(initial=0)) + 1
-    run = np.cumsum(np.concatenate([[0], r[1:] != r[:-1]])) if n else np.zeros(0, dtype=np.int64)
-    shifted = p - run * width
-    before = np.minimum.accumulate(shifted)
-    back = p + (run - (run[-1] if n else 0)) * width
-    after = np.minimum.accumulate(back[::-1])[::-1]
-    out = np.zeros(n, dtype=bool)
-    out[order] = (before < shifted) | (after < back)
+    if common is None:
+        common = np.where(np.diff(ranks[order]) == 0, LENGTH, 0).astype(np.int16)
+    out = np.zeros(len(ranks), dtype=bool)
+    out[order] = previous_factors(place[order], common) >= LENGTH
     return out
 
 
@@ -311,7 +361,8 @@ def _repeats_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
         first = np.cumsum(sizes[a:b]) - sizes[a:b]
         owner = np.repeat(np.arange(b - a), counts)
         step = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        ranks = suffix_ranks(data, first[owner] + step)
+        windows = first[owner] + step
+        ranks = suffix_ranks(data, windows)
         # Only windows of one gram can be equal, so places compare within a rank as (id, start).
         start = starts[owner] + step
         order = np.lexsort((start, ids[owner]))
@@ -319,7 +370,7 @@ def _repeats_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
         fresh[1:] = (ids[owner][order][1:] != ids[owner][order][:-1]) | (start[order][1:] != start[order][:-1])
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.cumsum(fresh)
-        hit = repeated_windows(ranks, place)
+        hit = repeated_windows(ranks, place.astype(np.int32), common_prefixes(data, windows[np.argsort(ranks, kind="stable")]))
         edge = np.ones(len(hit), dtype=bool)
         edge[1:] = (owner[1:] != owner[:-1]) | ~hit[:-1]
         heads = np.flatnonzero(hit & edge)

@@ -133,3 +133,42 @@ def test_small_pieces_and_batches(spark, monkeypatch):
     assert int(got["n"].sum()) == sum(max(0, len(t) - 99) for t in texts)
     starts = sorted((int(i), int(p)) for i, s, n in zip(got["text"], got["start"], got["n"]) for p in range(s, s + n))
     assert starts == [(i, p) for i, t in enumerate(texts) for p in range(max(0, len(t) - 99))]
+
+
+def shared(a, b):
+    n = 0
+    while n < 100 and a[n] == b[n]:
+        n += 1
+    return n
+
+
+def test_neighbours_and_their_prefixes_by_definition():
+    rng = np.random.default_rng(2)
+    for round_ in range(15):
+        data = np.tile(rng.integers(0, 2, 70 + 20 * (round_ % 3)), 5).astype(np.uint8)
+        data[rng.integers(0, len(data), round_ % 4)] ^= 1
+        at = np.arange(len(data) - 99)
+        text = [data[i:i + 100].tobytes() for i in at]
+        ranks = repeats.suffix_ranks(data, at)
+        order = np.argsort(ranks, kind="stable")
+        assert [text[i] for i in order] == sorted(text)
+        common = repeats.common_prefixes(data, at[order])
+        assert common.tolist() == [shared(text[i], text[j]) for i, j in zip(order, order[1:])]
+        # Ties: some windows stand at one place.
+        place = rng.integers(0, len(at), len(at)).astype(np.int32)[order]
+        factors = repeats.previous_factors(place, common)
+        found, prefix = repeats.previous_smaller(place, common, len(at).bit_length())
+        for i in range(len(order)):
+            smaller = [j for j in range(len(order)) if place[j] < place[i]]
+            before = [j for j in smaller if j < i]
+            assert found[i] == (before[-1] if before else -1)
+            assert prefix[i] == (shared(text[order[before[-1]]], text[order[i]]) if before else 0)
+            want = max([shared(text[order[j]], text[order[i]]) for j in smaller], default=0)
+            assert factors[i] == 100 if want == 100 else want <= factors[i] < 100
+
+
+def test_factors_of_one_window_and_of_none():
+    assert repeats.previous_factors(np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int16)).tolist() == []
+    assert repeats.previous_factors(np.ones(1, dtype=np.int32), np.zeros(0, dtype=np.int16)).tolist() == [0]
+    same = np.full(4, 100, dtype=np.int16)
+    assert repeats.previous_factors(np.array([3, 1, 1, 5, 2], dtype=np.int32), same).tolist() == [100, 0, 0, 100, 100]
