@@ -18,7 +18,9 @@ of 512 bits, cut into 32 parts, propose most near copies cheaply, and the sets o
 shingles confirm them.  What they miss is found without loss: two sets of shingles whose Jaccard similarity is s or more share
 one of the first n - ceil(s n) + 1 shingles of either in any common order.  Shingles
 that are frequent in a sample come last in that order.  Pairs of different groups
-that share such a shingle are compared by their sets.
+that share such a shingle, and whose outlines allow the similarity, are compared
+by their sets.  An outline has a bit for each remainder of a hash, set if an odd number
+of shingles has it, so two sets differ in at least as many shingles as their outlines in bits.
 
 Equal fingerprints are one entry.  A file with many entries is walked breadth
 first over what is not yet reached, so it yields one link per entry, not all
@@ -54,6 +56,8 @@ SMALL = 64
 # Fingerprints for a similarity: words of a shingle, blocks of 64 bits, bits in all, bits of a part that is looked up.
 WIDE_SHINGLE, BLOCKS, PART = 5, 8, 16
 WIDE = BLOCKS * BITS
+#: Bits of an outline; a power of two.
+OUTLINE = 1024
 #: Shingles counted together in a task, the most frequent ones it reports, and those sent to every task (they choose the order, never the result).
 COUNTED, REPORTED, KNOWN = 4 << 20, 1 << 15, 1 << 20
 
@@ -398,6 +402,16 @@ def frequent_shingles(thin: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return shingles[order], counts["n"].to_numpy()[order]
 
 
+def outline(shingles: np.ndarray) -> bytes:
+    """For each remainder of the hashes a bit, set if an odd number of the shingles has it."""
+    return np.packbits(np.bincount((shingles % np.uint64(OUTLINE)).astype(np.int64), minlength=OUTLINE) & 1 == 1).tobytes()
+
+
+def outlines_allow(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets with the outlines (rows of words) ``x`` and ``y`` and ``sizes`` shingles together can have the similarity."""
+    return np.bitwise_count(x ^ y).sum(axis=1) <= (1 - similarity) / (1 + similarity) * sizes + 1e-6
+
+
 def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
     """The first shingles in the common order, one of which any set of that similarity holds among its own first."""
     n = len(shingles)
@@ -450,7 +464,7 @@ def pairs_of_files(files, groups, sizes, places, shared, similarity: float):
 
 
 def shared_entries(filed: DataFrame) -> DataFrame:
-    """Of the rows (node, grp, size, first) the entries (file, node, grp, measure) whose shingle several groups hold among their first, with ``shared``, their number per node.
+    """Of the rows (node, grp, size, outline, first) the entries (file, node, grp, measure, outline) whose shingle several groups hold among their first, with ``shared``, their number per node.
 
     Most shingles are one text's own; what is left is small.
     """
@@ -465,24 +479,30 @@ def shared_entries(filed: DataFrame) -> DataFrame:
             yield from table.filter(pa.array(np.repeat(mixed, np.diff(np.append(heads, len(files)))))).to_batches()
 
     kept = materialise(rows.repartition("file").sortWithinPartitions("file").mapInArrow(several, rows.schema), "shared")
-    return kept.join(kept.groupBy("node").agg(F.count(F.lit(1)).alias("shared")), "node").select("file", "node", "grp", "measure", "shared")
+    of_node = kept.groupBy("node").agg(F.count(F.lit(1)).alias("shared")).join(filed.select("node", "outline"), "node")
+    return kept.join(of_node, "node").select("file", "node", "grp", "measure", "shared", "outline")
 
 
 def prefix_pairs(filed: DataFrame, similarity: float) -> DataFrame:
-    """Candidates (a, b, ga, gb, n) from the rows (node, grp, size, first): all pairs of different groups ga, gb that share ``n`` shingles of ``first`` and may be similar."""
+    """Candidates (a, b, ga, gb, n) from the rows (node, grp, size, outline, first): all pairs of different groups ga, gb that share ``n`` shingles of ``first`` and may be similar."""
     def run(batches):
         for table in whole_files(batches):
             files, nodes, groups, measure, shared = (table.column(i).to_numpy() for i in range(5))
+            words, sizes = np.frombuffer(b"".join(table.column(5).to_pylist()), dtype=np.uint64).reshape(len(files), -1), measure >> 32
             seen, held = [], 0
-            for a, b in pairs_of_files(files, groups, measure >> 32, measure & (1 << 32) - 1, shared, similarity):
+            for a, b in pairs_of_files(files, groups, sizes, measure & (1 << 32) - 1, shared, similarity):
+                fit = outlines_allow(words[a], words[b], sizes[a] + sizes[b], similarity)
+                a, b = a[fit], b[fit]
+                if not len(a):
+                    continue
                 # Two row numbers of the table in one; the smaller node comes first.
                 seen.append(np.where(nodes[a] < nodes[b], a << 32 | b, b << 32 | a))
                 held += len(a)
                 if held > 1 << 20 or len(seen) > 1 << 14:
-                    yield from batch_of(seen, nodes, groups, measure >> 32).to_batches()
+                    yield from batch_of(seen, nodes, groups, sizes).to_batches()
                     seen, held = [], 0
             if seen:
-                yield from batch_of(seen, nodes, groups, measure >> 32).to_batches()
+                yield from batch_of(seen, nodes, groups, sizes).to_batches()
 
     names = ["a", "b", "ga", "gb", "x", "y"]
 
@@ -536,16 +556,16 @@ def one_of_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", sim
     def work(texts):
         sets = [shingle_set(t) for t in texts]
         return {"wide": [wide_fingerprint(s) for s in sets], "node": [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets],
-                "size": [len(s) for s in sets], "first": [prefix(s, frequent, similarity).view(np.int64) for s in sets]}
+                "size": [len(s) for s in sets], "outline": [outline(s) for s in sets], "first": [prefix(s, frequent, similarity).view(np.int64) for s in sets]}
 
-    prints = annotate(thin, "text", ["id", "mark"], "wide binary, node bigint, size int, first array<bigint>", lambda: work)
-    prints = materialise(prints.select("row.id", "row.mark", "wide", "node", "size", F.col("first").alias("start")), "wide")
-    alike = prints.groupBy("node").agg(F.any_value("wide").alias("wide"), F.any_value("size").alias("size"), F.any_value("start").alias("start"),
+    prints = annotate(thin, "text", ["id", "mark"], "wide binary, node bigint, size int, outline binary, first array<bigint>", lambda: work)
+    prints = materialise(prints.select("row.id", "row.mark", "wide", "node", "size", "outline", F.col("first").alias("start")), "wide")
+    alike = prints.groupBy("node").agg(F.any_value("wide").alias("wide"), F.any_value("size").alias("size"), F.any_value("outline").alias("outline"), F.any_value("start").alias("start"),
                                        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first"))
     alike = materialise(alike, "nodes")
     close = materialise(verified(similar_links(alike, reach_of(similarity)), alike, thin, similarity), "close")
     groups = materialise(roots(close), "groups")
-    filed = alike.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("grp"), "size", F.col("start").alias("first"))
+    filed = alike.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("grp"), "size", "outline", F.col("start").alias("first"))
     pairs = materialise(prefix_pairs(filed, similarity), "pairs")
     # One link joins two groups: first the most promising pair of each two groups, then all pairs of those that are still apart.
     first_of = pairs.groupBy(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h")).agg(F.max_by(F.struct("a", "b"), F.struct("n", "a", "b")).alias("p")).select("p.*")

@@ -206,6 +206,24 @@ def test_pairs_of_files_are_those_of_brute_force():
         assert got == want
 
 
+def test_outlines_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(12)
+    dropped = 0
+    for _ in range(300):
+        n, edits = int(rng.integers(1, 2000)), int(rng.integers(0, 400))
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[min(edits, len(x) - 1):], rng.integers(0, 1 << 63, edits // 2, dtype=np.uint64)]))
+        bits = [np.frombuffer(simhash.outline(s), dtype=np.uint64)[None] for s in (x, y)]
+        assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(np.setxor1d(x, y))
+        allowed = simhash.outlines_allow(*bits, np.array([len(x) + len(y)]), 0.8)[0]
+        both = len(np.intersect1d(x, y))
+        assert allowed or both / (len(x) + len(y) - both) < 0.8
+        dropped += not allowed
+    assert dropped > 100
+    empty = np.zeros(0, dtype=np.uint64)
+    assert simhash.outline(empty) == bytes(simhash.OUTLINE // 8)
+
+
 def test_texts_below_the_similarity_stay(spark, folder, documents):
     texts = [t for p in edited_pairs(22, 40, 0.72, 0.799) for t in p]
     rng = random.Random(23)
