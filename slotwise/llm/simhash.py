@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.llm.components import roots
+from slotwise.llm.stored import Folder
 from slotwise.llm.texts import annotate, share
 from slotwise.session import materialise
 
@@ -463,28 +464,41 @@ def pairs_of_files(files, groups, sizes, places, shared, similarity: float):
             yield np.full(len(y), x), y
 
 
-def shared_entries(filed: DataFrame) -> DataFrame:
-    """Of the rows (node, grp, size, outline, first) the entries (file, node, grp, measure, outline) whose shingle several groups hold among their first, with ``shared``, their number per node.
-
-    Most shingles are one text's own; what is left is small.
+def with_company(files: np.ndarray, groups: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether a row, in runs of equal ``files`` ascending in ``sizes``, has one of another group and a size that allows the similarity in its run."""
+    heads = np.flatnonzero(np.diff(files, prepend=files[0] - 1))
+    counts = np.diff(np.append(heads, len(files)))
+    # Runs apart on one axis, so that one search serves all of them.
+    width = float(sizes.max(initial=0)) * 2 / similarity + 2
+    base = np.repeat(np.arange(len(heads)), counts) * width
+    axis = base + sizes
+    low = np.searchsorted(axis, base + similarity * sizes - 1e-3)
+    high = np.searchsorted(axis, base + sizes / similarity + 1e-3, "right") - 1
+    changes = np.cumsum(np.diff(groups, prepend=groups[0]) != 0)
+    return changes[high] > changes[low]
+
+
+def shared_entries(filed: DataFrame, similarity: float, folder: Folder) -> tuple[DataFrame, DataFrame]:
+    """Of the rows (node, grp, size, outline, first) the entries (file, node, grp, measure, outline) whose shingle a text of another group and a fitting size holds among its first too.
+
+    ``shared`` is their number per node.  Most shingles are one text's own; what
+    is left is small.  The second table is the one written for it.
     """
     rows = filed.select(F.posexplode("first").alias("place", "file"), "node", "grp", "size")
     rows = rows.select("file", "node", "grp", (F.shiftleft(F.col("size").cast("bigint"), 32) + F.col("place")).alias("measure"))
 
     def several(batches):
         for table in whole_files(batches):
-            files, groups = table.column(0).to_numpy(), table.column(2).to_numpy()
-            heads = np.flatnonzero(np.diff(files, prepend=files[0] - 1))
-            mixed = np.minimum.reduceat(groups, heads) != np.maximum.reduceat(groups, heads)
-            yield from table.filter(pa.array(np.repeat(mixed, np.diff(np.append(heads, len(files)))))).to_batches()
+            files, groups, measure = (table.column(i).to_numpy() for i in (0, 2, 3))
+            yield from table.filter(pa.array(with_company(files, groups, measure >> 32, similarity))).to_batches()
 
-    kept = materialise(rows.repartition("file").sortWithinPartitions("file").mapInArrow(several, rows.schema), "shared")
+    kept = folder.write(rows.repartition("file").sortWithinPartitions("file", "measure").mapInArrow(several, rows.schema))
     of_node = kept.groupBy("node").agg(F.count(F.lit(1)).alias("shared")).join(filed.select("node", "outline"), "node")
-    return kept.join(of_node, "node").select("file", "node", "grp", "measure", "shared", "outline")
+    return kept.join(of_node, "node").select("file", "node", "grp", "measure", "shared", "outline"), kept
 
 
-def prefix_pairs(filed: DataFrame, similarity: float) -> DataFrame:
-    """Candidates (a, b, ga, gb, n) from the rows (node, grp, size, outline, first): all pairs of different groups ga, gb that share ``n`` shingles of ``first`` and may be similar."""
+def prefix_pairs(filed: DataFrame, similarity: float, folder: Folder) -> DataFrame:
+    """Candidates, written, (a, b, ga, gb, n) from the rows (node, grp, size, outline, first): all pairs of different groups ga, gb that share ``n`` shingles of ``first`` and may be similar."""
     def run(batches):
         for table in whole_files(batches):
             files, nodes, groups, measure, shared = (table.column(i).to_numpy() for i in range(5))
@@ -514,20 +528,23 @@ def prefix_pairs(filed: DataFrame, similarity: float) -> DataFrame:
 
     # Shared shingles beyond the shorter prefix are the rest of one set at most.
     schema = ", ".join(f"{c} bigint" for c in [*names, "n"])
-    found = shared_entries(filed).repartition("file").sortWithinPartitions("file", "measure").mapInArrow(run, schema)
+    entries, kept = shared_entries(filed, similarity, folder)
+    found = entries.repartition("file").sortWithinPartitions("file", "measure").mapInArrow(run, schema)
     found = found.groupBy("a", "b").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in names[2:]])
     rest = F.ceil(F.greatest("x", "y") * similarity - 1e-9) - 1
-    return found.filter(F.col("n") + rest >= similarity / (1 + similarity) * (F.col("x") + F.col("y")) - 1e-6).select("a", "b", "ga", "gb", "n")
+    pairs = folder.write(found.filter(F.col("n") + rest >= similarity / (1 + similarity) * (F.col("x") + F.col("y")) - 1e-6).select("a", "b", "ga", "gb", "n"))
+    folder.discard(kept)
+    return pairs
 
 
-def verified(pairs: DataFrame, alike: DataFrame, thin: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have the Jaccard similarity; ``alike`` names a document (id, mark) of each node."""
+def verified(pairs: DataFrame, alike: DataFrame, thin: DataFrame, similarity: float, folder: Folder) -> DataFrame:
+    """The pairs (a, b), written, whose sets of shingles have the Jaccard similarity; ``alike`` names a document (id, mark) of each node."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     text = alike.join(asked, "node").select("node", F.coalesce(F.col("first.id").cast("string"), F.lit("")).alias("id"), "first.mark")
     text = thin.withColumn("id", F.coalesce(F.col("id").cast("string"), F.lit(""))).join(text, ["id", "mark"]).select("node", "text")
     sets = annotate(text, "text", ["node"], "shingles binary", lambda: lambda texts: {"shingles": [shingle_set(t).tobytes() for t in texts]})
     # Repeated rows have the same set.
-    sets = materialise(sets.select("row.node", "shingles").dropDuplicates(["node"]), "sets")
+    sets = folder.write(sets.select("row.node", "shingles").dropDuplicates(["node"]))
 
     def run(batches):
         for batch in batches:
@@ -540,7 +557,9 @@ def verified(pairs: DataFrame, alike: DataFrame, thin: DataFrame, similarity: fl
 
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    found = folder.write(pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"))
+    folder.discard(sets)
+    return found
 
 
 def one_of_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = 0.8) -> DataFrame:
@@ -559,23 +578,28 @@ def one_of_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", sim
                 "size": [len(s) for s in sets], "outline": [outline(s) for s in sets], "first": [prefix(s, frequent, similarity).view(np.int64) for s in sets]}
 
     prints = annotate(thin, "text", ["id", "mark"], "wide binary, node bigint, size int, outline binary, first array<bigint>", lambda: work)
-    prints = materialise(prints.select("row.id", "row.mark", "wide", "node", "size", "outline", F.col("first").alias("start")), "wide")
+    folder = Folder(docs.sparkSession, "similar")
+    prints = folder.write(prints.select("row.id", "row.mark", "wide", "node", "size", "outline", F.col("first").alias("start")))
     alike = prints.groupBy("node").agg(F.any_value("wide").alias("wide"), F.any_value("size").alias("size"), F.any_value("outline").alias("outline"), F.any_value("start").alias("start"),
                                        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first"))
-    alike = materialise(alike, "nodes")
-    close = materialise(verified(similar_links(alike, reach_of(similarity)), alike, thin, similarity), "close")
+    alike = folder.write(alike)
+    names = folder.write(prints.select("id", "mark", "node"))
+    folder.discard(prints)
+    links = folder.write(similar_links(alike, reach_of(similarity)))
+    close = verified(links, alike, thin, similarity, folder)
     groups = materialise(roots(close), "groups")
     filed = alike.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("grp"), "size", "outline", F.col("start").alias("first"))
-    pairs = materialise(prefix_pairs(filed, similarity), "pairs")
+    pairs = prefix_pairs(filed, similarity, folder)
     # One link joins two groups: first the most promising pair of each two groups, then all pairs of those that are still apart.
     first_of = pairs.groupBy(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h")).agg(F.max_by(F.struct("a", "b"), F.struct("n", "a", "b")).alias("p")).select("p.*")
-    first = materialise(verified(first_of, alike, thin, similarity), "first")
+    first = verified(first_of, alike, thin, similarity, folder)
     joined = materialise(roots(close.unionByName(first)), "joined")
     root_of = [joined.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b")]
     apart = pairs.join(root_of[0], "a", "left").join(root_of[1], "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    others = verified(apart.join(first_of, ["a", "b"], "left_anti"), alike, thin, similarity)
+    others = verified(apart.join(first_of, ["a", "b"], "left_anti"), alike, thin, similarity, folder)
     near = materialise(roots(close.unionByName(first).unionByName(others)), "roots")
-    member = prints.select("id", "mark", "node").join(near, "node", "left").select("id", "mark", F.coalesce("root", "node").alias("root"))
+    folder.discard(alike)
+    member = names.join(near, "node", "left").select("id", "mark", F.coalesce("root", "node").alias("root"))
     first = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first")).select("first.id", "first.mark")
     # Repeated rows of the one that stays: the join has brought them together by id and text.
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).alias("id"), mark.alias("mark"))

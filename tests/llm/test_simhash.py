@@ -206,6 +206,15 @@ def test_pairs_of_files_are_those_of_brute_force():
         assert got == want
 
 
+def test_company_of_a_row_is_that_of_brute_force():
+    rng = random.Random(13)
+    for n in (1, 6, 60):
+        rows = sorted((f, rng.choice([0, 1, 4, 5, 20, 22, 25, 30, 100]), rng.choice([1, 1, 1, 2, 3])) for f in (-7, 3, 9, 10) for _ in range(n))
+        files, sizes, groups = (np.array(c) for c in zip(*rows))
+        want = [any(f == files[i] and g != groups[i] and min(s, sizes[i]) >= 0.8 * max(s, sizes[i]) for f, s, g in rows) for i in range(len(rows))]
+        assert simhash.with_company(files, groups, sizes, 0.8).tolist() == want
+
+
 def test_outlines_differ_in_no_more_bits_than_sets():
     rng = np.random.default_rng(12)
     dropped = 0
