@@ -7,7 +7,8 @@ Learning has three steps over a bounded sample of labelled documents
    on document counts; near copies among the toxic documents count once (equal
    minimum hashes), so that a copied text cannot make its rare words cues;
 2. labelled tokens: in toxic documents the tokens that carry a cue, and windows
-   of tokens around them and from other places;
+   of tokens around them (``CUE_WINDOWS`` a document) and from one other place; where no
+   cue is found, every token of a toxic document is labelled;
 3. the field: weights of hashed features of a token and its neighbours and of
    label transitions, fitted by AdaGrad on the exact likelihood.
 
@@ -17,7 +18,7 @@ is the noisy-or over the spans (or the highest marginal where there is none),
 calibrated by a logistic curve on the sample.
 
 Cases: null, empty and word-less texts get the score of a text without evidence;
-texts are scored whole; without labels of both kinds every score is 0; repeated
+texts are scored whole; without labels of both kinds on texts with words every score is 0; repeated
 label rows count once, the higher label wins; null labels are ignored.
 """
 
@@ -52,6 +53,8 @@ LEAST_LEFT = 3
 #: Share of toxic documents among those with a cue, after balancing the labels.
 PURITY = 0.97
 WINDOW = 16
+#: Windows around cues that a sampled document gives to training, spread over its cues; one more lies anywhere.
+CUE_WINDOWS = 3
 ROUNDS, RATE, DECAY = 80, 0.3, 1e-4
 _WORD = re.compile(r"\w+")
 #: Word types kept per task before the table of known words starts anew.
@@ -316,8 +319,8 @@ def calibrated(field: ToxicField, evidence: np.ndarray, label: np.ndarray) -> To
     return ToxicField(field.weights, field.bias, field.start, field.moves, max(slope, 1e-3), offset)
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", per_class: int = PER_CLASS) -> ToxicField | None:
-    """The field, or None where the labelled documents are not of both kinds."""
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", per_class: int = PER_CLASS, cue_windows: int = CUE_WINDOWS) -> ToxicField | None:
+    """The field, or None where the labelled documents with words are not of both kinds."""
     known = (labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("y")).filter("key IS NOT NULL AND y IN (0, 1)")
              .groupBy("key").agg(F.max("y").alias("y")))
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -348,8 +351,6 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         docs_of.append((signs, at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == own)] if len(names) else at[:0]))
     marks = set(names[sorted(cues(docs_of, counts["clean"].to_numpy(), n_clean))].tolist()) if len(names) else set()
     del toxic, docs_of
-    if not marks:
-        return None
 
     def cut():
         def work(texts):
@@ -361,7 +362,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                 if words:
                     y = np.array([any(x in marks for x in cue_features(w)) for w in words])
                     at = np.flatnonzero(y)
-                    centres = at[np.linspace(0, len(at) - 1, min(3, len(at))).astype(int)].tolist() if len(at) else []
+                    centres = at[np.linspace(0, len(at) - 1, min(cue_windows, len(at))).astype(int)].tolist() if len(at) else []
                     for c in {*centres, xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass")) % len(words)}:
                         a, b = max(0, c - WINDOW), c + WINDOW
                         near = words[max(0, a - 1):b + 1]
@@ -372,7 +373,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         return work
 
     cuts = annotate(sample, "text", ["y"], "w array<struct<features:array<int>,labels:array<int>>>", cut).select("row.y", F.explode("w").alias("w"))
-    windows = cuts.select("y", "w.features", "w.labels").orderBy(F.xxhash64("features"), "y").toArrow()
+    # Without any cue every token of a toxic document counts as toxic.
+    tokens = F.col("w.labels") if marks else F.transform("w.labels", lambda _: F.col("y").cast("int"))
+    windows = cuts.select("y", "w.features", tokens.alias("labels")).orderBy(F.xxhash64("features"), "y").toArrow()
+    if not marks and len(pc.unique(windows["y"])) < 2:
+        return None
     field = train(windows)
     judged = score(sample, field, keep=["y"]).select("row.y", "evidence").toArrow()
     return calibrated(field, judged["evidence"].to_numpy(), judged["y"].to_numpy().astype(float))
