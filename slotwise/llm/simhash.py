@@ -18,8 +18,9 @@ of 512 bits, cut into 32 parts, propose most near copies cheaply, and the sets o
 shingles confirm them.  What they miss is found without loss: two sets of shingles whose Jaccard similarity is s or more share
 one of the first n - ceil(s n) + 1 shingles of either in any common order.  Shingles
 that are frequent in a sample come last in that order.  Pairs of different groups
-that share such a shingle, and whose outlines allow the similarity, are compared
-by their sets.  An outline has a bit for each remainder of a hash, set if an odd number
+that share such a shingle, and whose outlines allow the similarity, are candidates:
+first a spanning forest of them, the most alike ones, is compared by sets, then all
+candidates between groups that this leaves apart.  An outline has a bit for each remainder of a hash, set if an odd number
 of shingles has it, so two sets differ in at least as many shingles as their outlines in bits.
 
 Equal fingerprints are one entry.  A file with many entries is walked breadth
@@ -327,7 +328,7 @@ def similar_links(prints: DataFrame, reach: int) -> DataFrame:
     """Edges (a, b) between the nodes of rows (node, wide) that share a ``PART`` of their bits and differ in ``reach`` at most.
 
     The parts are partitions with threshold zero: any two fingerprints that
-    differ in fewer bits than there are parts share one; :func:`prefix_pairs`
+    differ in fewer bits than there are parts share one; :func:`all_pairs`
     finds the others.
     """
     def file(batches):
@@ -478,11 +479,32 @@ def with_company(files: np.ndarray, groups: np.ndarray, sizes: np.ndarray, simil
     return changes[high] > changes[low]
 
 
-def shared_entries(filed: DataFrame, similarity: float, folder: Folder) -> tuple[DataFrame, DataFrame]:
-    """Of the rows (node, grp, size, outline, first) the entries (file, node, grp, measure, outline) whose shingle a text of another group and a fitting size holds among its first too.
-
-    ``shared`` is their number per node.  Most shingles are one text's own; what
-    is left is small.  The second table is the one written for it.
+def spanning(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Numbers of the edges (a, b) of a spanning forest that takes those that come first in ``order``."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, other = at[:len(a)][order], at[len(a):][order]
+    label, live, chosen = np.arange(len(nodes)), np.arange(len(order)), []
+    while True:
+        x, y = label[one[live]], label[other[live]]
+        live, x, y = live[x != y], x[x != y], y[x != y]
+        if not len(live):
+            return order[np.concatenate(chosen)] if chosen else order[:0]
+        # Each tree takes the first edge that leaves it.
+        first = np.full(len(nodes), len(order))
+        np.minimum.at(first, x, live)
+        np.minimum.at(first, y, live)
+        taken = np.unique(first[first < len(order)])
+        chosen.append(taken)
+        node, root = stars(label[one[taken]], label[other[taken]])
+        step = np.arange(len(nodes))
+        step[node] = root
+        label = step[label]
+
+
+def shared_entries(filed: DataFrame, similarity: float, folder: Folder) -> DataFrame:
+    """Of the rows (node, grp, size, first) the entries, written, (file, node, grp, measure) whose shingle a text of another group and a fitting size holds among its first too.
+
+    Most shingles are one text's own; what is left is small.
     """
     rows = filed.select(F.posexplode("first").alias("place", "file"), "node", "grp", "size")
     rows = rows.select("file", "node", "grp", (F.shiftleft(F.col("size").cast("bigint"), 32) + F.col("place")).alias("measure"))
@@ -492,49 +514,94 @@ def shared_entries(filed: DataFrame, similarity: float, folder: Folder) -> tuple
             files, groups, measure = (table.column(i).to_numpy() for i in (0, 2, 3))
             yield from table.filter(pa.array(with_company(files, groups, measure >> 32, similarity))).to_batches()
 
-    kept = folder.write(rows.repartition("file").sortWithinPartitions("file", "measure").mapInArrow(several, rows.schema))
-    of_node = kept.groupBy("node").agg(F.count(F.lit(1)).alias("shared")).join(filed.select("node", "outline"), "node")
-    return kept.join(of_node, "node").select("file", "node", "grp", "measure", "shared", "outline"), kept
+    return folder.write(rows.repartition("file").sortWithinPartitions("file", "measure").mapInArrow(several, rows.schema))
+
+
+def in_files(entries: DataFrame, outlines: DataFrame) -> DataFrame:
+    """The entries with their nodes' ``outlines`` (node, outline) and ``shared``, the number of a node's entries, file by file."""
+    of_node = entries.groupBy("node").agg(F.count(F.lit(1)).alias("shared")).join(outlines, "node")
+    entries = entries.join(of_node, "node").select("file", "node", "grp", "measure", "shared", "outline")
+    return entries.repartition("file").sortWithinPartitions("file", "measure")
+
+
+def candidates(table: pa.Table, similarity: float):
+    """Row numbers (a, b), the smaller node first, of pairs in the files of :func:`in_files`'s rows that may be similar, and the share of their shingles in which they differ by their outlines."""
+    files, nodes, groups, measure, shared = (table.column(i).to_numpy() for i in range(5))
+    words, sizes = np.frombuffer(b"".join(table.column(5).to_pylist()), dtype=np.uint64).reshape(len(files), -1), measure >> 32
+    for a, b in pairs_of_files(files, groups, sizes, measure & (1 << 32) - 1, shared, similarity):
+        fit = outlines_allow(words[a], words[b], sizes[a] + sizes[b], similarity)
+        a, b = a[fit], b[fit]
+        if len(a):
+            a, b = np.where(nodes[a] < nodes[b], a, b), np.where(nodes[a] < nodes[b], b, a)
+            yield a, b, np.bitwise_count(words[a] ^ words[b]).sum(axis=1) / np.maximum(sizes[a] + sizes[b], 1)
+
+
+def first_pairs(filed: DataFrame, similarity: float) -> DataFrame:
+    """Of the candidates in the rows of :func:`in_files` those (a, b, ga, gb) that connect what all of them connect, groups being one node each: fewer in a stretch of files than it has groups, the most alike ones."""
+    def run(batches):
+        for table in whole_files(batches):
+            groups, nodes = table.column(2).to_numpy(), table.column(1).to_numpy()
+            held: list[tuple] = []
+            more = 0
+
+            def forest():
+                a, b, apart = (np.concatenate(x) for x in zip(*held))
+                kept = spanning(groups[a], groups[b], np.lexsort((nodes[b], nodes[a], apart)))
+                return a[kept], b[kept], apart[kept]
 
+            for found in candidates(table, similarity):
+                held.append(found)
+                more += len(found[0])
+                if len(held) > 1 << 12 or more > 1 << 20:
+                    held, more = [forest()], 0
+            if held:
+                a, b, apart = forest()
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (nodes[a], nodes[b], groups[a], groups[b], apart)], names=["a", "b", "ga", "gb", "apart"])
+
+    found = filed.mapInArrow(run, "a bigint, b bigint, ga bigint, gb bigint, apart double")
+    best = F.min_by(F.struct("a", "b", "ga", "gb"), F.struct("apart", "a", "b")).alias("p")
+    return found.groupBy(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h")).agg(best).select("p.*")
+
+
+def all_pairs(filed: DataFrame, similarity: float) -> DataFrame:
+    """All candidates (a, b) in the rows of :func:`in_files` whose number of shared shingles allows the similarity."""
+    names = ["a", "b", "x", "y"]
 
-def prefix_pairs(filed: DataFrame, similarity: float, folder: Folder) -> DataFrame:
-    """Candidates, written, (a, b, ga, gb, n) from the rows (node, grp, size, outline, first): all pairs of different groups ga, gb that share ``n`` shingles of ``first`` and may be similar."""
     def run(batches):
         for table in whole_files(batches):
-            files, nodes, groups, measure, shared = (table.column(i).to_numpy() for i in range(5))
-            words, sizes = np.frombuffer(b"".join(table.column(5).to_pylist()), dtype=np.uint64).reshape(len(files), -1), measure >> 32
+            nodes, sizes = table.column(1).to_numpy(), table.column(3).to_numpy() >> 32
+
+            def batch_of():
+                one, other = (np.concatenate(x) for x in zip(*seen))
+                pairs = pa.table([nodes[one], nodes[other], sizes[one], sizes[other]], names=names)
+                return pairs.group_by(names).aggregate([([], "count_all")]).rename_columns([*names, "n"]).to_batches()
+
             seen, held = [], 0
-            for a, b in pairs_of_files(files, groups, sizes, measure & (1 << 32) - 1, shared, similarity):
-                fit = outlines_allow(words[a], words[b], sizes[a] + sizes[b], similarity)
-                a, b = a[fit], b[fit]
-                if not len(a):
-                    continue
-                # Two row numbers of the table in one; the smaller node comes first.
-                seen.append(np.where(nodes[a] < nodes[b], a << 32 | b, b << 32 | a))
+            for a, b, _ in candidates(table, similarity):
+                seen.append((a, b))
                 held += len(a)
                 if held > 1 << 20 or len(seen) > 1 << 14:
-                    yield from batch_of(seen, nodes, groups, sizes).to_batches()
+                    yield from batch_of()
                     seen, held = [], 0
             if seen:
-                yield from batch_of(seen, nodes, groups, sizes).to_batches()
+                yield from batch_of()
 
-    names = ["a", "b", "ga", "gb", "x", "y"]
-
-    def batch_of(seen, nodes, groups, sizes):
-        both = np.concatenate(seen)
-        one, other = both >> 32, both & (1 << 32) - 1
-        table = pa.table([nodes[one], nodes[other], groups[one], groups[other], sizes[one], sizes[other]], names=names)
-        return table.group_by(names).aggregate([([], "count_all")]).rename_columns([*names, "n"])
-
-    # Shared shingles beyond the shorter prefix are the rest of one set at most.
     schema = ", ".join(f"{c} bigint" for c in [*names, "n"])
-    entries, kept = shared_entries(filed, similarity, folder)
-    found = entries.repartition("file").sortWithinPartitions("file", "measure").mapInArrow(run, schema)
-    found = found.groupBy("a", "b").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in names[2:]])
+    found = filed.mapInArrow(run, schema).groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("x").alias("x"), F.first("y").alias("y"))
+    # Shared shingles beyond the shorter prefix are the rest of one set at most.
     rest = F.ceil(F.greatest("x", "y") * similarity - 1e-9) - 1
-    pairs = folder.write(found.filter(F.col("n") + rest >= similarity / (1 + similarity) * (F.col("x") + F.col("y")) - 1e-6).select("a", "b", "ga", "gb", "n"))
-    folder.discard(kept)
-    return pairs
+    return found.filter(F.col("n") + rest >= similarity / (1 + similarity) * (F.col("x") + F.col("y")) - 1e-6).select("a", "b")
+
+
+def still_apart(first: DataFrame, joined: DataFrame) -> DataFrame:
+    """The groups that candidates connect but links do not: ``grp`` and ``now``, its group by the links ``joined`` (node, root), for the pairs (ga, gb) of :func:`first_pairs`."""
+    asked = first.select(F.explode(F.array("ga", "gb")).alias("grp")).distinct()
+    within = roots(first.select(F.col("ga").alias("a"), F.col("gb").alias("b"))).select(F.col("node").alias("grp"), F.col("root").alias("part"))
+    now = joined.select(F.col("node").alias("grp"), F.col("root").alias("now"))
+    of_group = asked.join(within, "grp", "left").join(now, "grp", "left").select("grp", F.coalesce("part", "grp").alias("part"), F.coalesce("now", "grp").alias("now"))
+    of_group = materialise(of_group, "asked")
+    parts = of_group.groupBy("part").agg(F.min("now").alias("low"), F.max("now").alias("high")).filter("low <> high").select("part")
+    return of_group.join(parts, "part").select("grp", "now")
 
 
 def verified(pairs: DataFrame, alike: DataFrame, thin: DataFrame, similarity: float, folder: Folder) -> DataFrame:
@@ -588,15 +655,16 @@ def one_of_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", sim
     links = folder.write(similar_links(alike, reach_of(similarity)))
     close = verified(links, alike, thin, similarity, folder)
     groups = materialise(roots(close), "groups")
-    filed = alike.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("grp"), "size", "outline", F.col("start").alias("first"))
-    pairs = prefix_pairs(filed, similarity, folder)
-    # One link joins two groups: first the most promising pair of each two groups, then all pairs of those that are still apart.
-    first_of = pairs.groupBy(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h")).agg(F.max_by(F.struct("a", "b"), F.struct("n", "a", "b")).alias("p")).select("p.*")
-    first = verified(first_of, alike, thin, similarity, folder)
+    filed = alike.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("grp"), "size", F.col("start").alias("first"))
+    entries, outlines = shared_entries(filed, similarity, folder), alike.select("node", "outline")
+    # One link joins two groups: first what connects all that candidates connect, then all pairs of groups that this leaves apart.
+    first_of = folder.write(first_pairs(in_files(entries, outlines), similarity))
+    first = verified(first_of.select("a", "b"), alike, thin, similarity, folder)
     joined = materialise(roots(close.unionByName(first)), "joined")
-    root_of = [joined.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b")]
-    apart = pairs.join(root_of[0], "a", "left").join(root_of[1], "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    others = verified(apart.join(first_of, ["a", "b"], "left_anti"), alike, thin, similarity, folder)
+    again = entries.join(still_apart(first_of, joined), "grp").select("file", "node", F.col("now").alias("grp"), "measure")
+    pairs = folder.write(all_pairs(in_files(again, outlines), similarity).join(first_of.select("a", "b"), ["a", "b"], "left_anti"))
+    folder.discard(entries)
+    others = verified(pairs, alike, thin, similarity, folder)
     near = materialise(roots(close.unionByName(first).unionByName(others)), "roots")
     folder.discard(alike)
     member = names.join(near, "node", "left").select("id", "mark", F.coalesce("root", "node").alias("root"))

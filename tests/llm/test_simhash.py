@@ -5,6 +5,7 @@ import xxhash
 
 from slotwise.llm import simhash
 from slotwise.llm.queries import op8_simhash
+from slotwise.llm.stored import Folder
 
 
 def plain_fingerprint(text):
@@ -269,3 +270,42 @@ def test_a_text_outside_a_large_group_joins_it(spark, folder, documents):
     rng.shuffle(order)
     kept = kept_ids(spark, folder, documents, order)
     assert kept == {order.index(t) for t in alone} | {min(order.index(t) for t in texts)}
+
+
+def test_candidates_grow_with_the_entries_not_their_pairs(spark):
+    """A large group and many near copies outside of it: one pair for each copy, where all pairs were proposed before."""
+    rng = random.Random(11)
+    base = [rng.getrandbits(63) for _ in range(100)]
+    rows = []
+    for node in range(400):
+        held = np.unique(np.array([*base[:97], *[rng.getrandbits(63) for _ in range(3)]], dtype=np.uint64))
+        rows.append((node, 0 if node < 340 else node, len(held), bytearray(simhash.outline(held)), simhash.prefix(held, (held[:0], held[:0]), 0.8).view(np.int64).tolist()))
+    filed = spark.createDataFrame(rows, "node bigint, grp bigint, size int, outline binary, first array<bigint>")
+    entries = simhash.shared_entries(filed, 0.8, Folder(spark, "similar"))
+    table = simhash.in_files(entries, filed.select("node", "outline")).coalesce(1)
+    pairs = simhash.first_pairs(table, 0.8)
+    got = pairs.collect()
+    assert len(got) <= 3 * 60
+    edges = spark.createDataFrame([(r.ga, r.gb) for r in got], "a bigint, b bigint")
+    assert {(r.node, r.root) for r in simhash.roots(edges).collect()} == {(n, 0) for n in range(340, 400)}
+
+
+def test_spanning_forest_takes_the_first_edges():
+    rng = np.random.default_rng(5)
+    for n, m in [(2, 1), (6, 9), (40, 300), (40, 15)]:
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        a, b = a[a != b], b[a != b]
+        order = rng.permutation(len(a))
+        label, want = list(range(n)), set()
+        for e in order.tolist():
+            x, y = label[a[e]], label[b[e]]
+            if x != y:
+                want.add(e)
+                label = [x if v == y else v for v in label]
+        assert set(simhash.spanning(a, b, order).tolist()) == want
+
+
+def test_groups_that_the_first_pairs_leave_apart(spark):
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (10, 11), (20, 21), (21, 22)], "ga bigint, gb bigint")
+    joined = spark.createDataFrame([(2, 1), (11, 10), (21, 20), (22, 20), (30, 1)], "node bigint, root bigint")
+    assert sorted(map(tuple, simhash.still_apart(pairs, joined).collect())) == [(1, 1), (2, 1), (3, 3)]
