@@ -53,13 +53,13 @@ def keep_or_replace(old: DataFrame, new: DataFrame, check: DataFrame) -> DataFra
     return a.where(F.col("_new") == F.coalesce(ok, F.lit(0))).drop("_new")
 
 
-def nowcast(latest: DataFrame, bands: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
-    """Persistence forecast for the next slots; a regime without its own band uses the overall one."""
+def nowcast(latest: DataFrame, bands: DataFrame, horizons: Sequence[int] = HORIZONS, fallback: bool = True) -> DataFrame:
+    """Persistence forecast for the next slots; a regime without its own band uses the overall one, or has no row without ``fallback``."""
     regime = F.when(F.col("price_derivation_code") == "N", "NP").otherwise("EN")
     d = latest.select("*", regime.alias("regime"), F.explode(F.array(*map(F.lit, horizons))).alias("h"))
     own = bands.select("h", "regime", F.col("p10").alias("a10"), F.col("p90").alias("a90"))
     overall = bands.where("regime = 'overall'").select("h", F.col("p10").alias("b10"), F.col("p90").alias("b90"))
-    j = d.join(F.broadcast(own), ["h", "regime"], "left").join(F.broadcast(overall), "h", "left")
+    j = d.join(F.broadcast(own), ["h", "regime"], "left" if fallback else "inner").join(F.broadcast(overall), "h", "left")
     return j.select(
         *[c for c in ("series",) if c in latest.columns], "settlement_date", "settlement_period", "h",
         ahead_date("settlement_date", "settlement_period", "h").alias("target_date"),

@@ -35,3 +35,17 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.body is None])
 def test_runs(spark, name):
     assert QUERIES[name].run(spark, folder_of(name)).collect()
+
+
+@pytest.mark.parametrize("name", ["persistence_nowcast"])
+def test_nowcast_of_a_regime_without_a_band(spark, tmp_path, name):
+    """Until 21 January every slot is of one regime; two series end in the other one, which then has no band."""
+    con = connect("/root/testdata/sf0.001")
+    con.execute(f"""COPY (SELECT * REPLACE (value + 200 AS value) FROM events WHERE event_type NOT IN ('purchase', 'signup') OR ts >= DATE '2024-01-22')
+                    TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df = QUERIES[name].run(spark, str(tmp_path))
+    cur = con.execute(QUERIES[name].sql())
+    want = cur.fetchall()
+    assert compare([tuple(r) for r in df.collect()], df.columns, want, [c[0] for c in cur.description]) == ""
+    assert len(want) == 9
