@@ -146,3 +146,11 @@ def test_restart_equals_unbroken_run(spark, name):
     unbroken = {(r.settlement_date, r.run): (r.n, r.x, r.p) for r in QUERIES["streamed_filter_states"].run(spark, FOLDER).collect()}
     got = {(r.settlement_date, r.run): (r.n, r.x, r.p) for r in QUERIES[name].run(spark, FOLDER).collect() if r.run >= 0}
     assert got == {k: v for k, v in unbroken.items() if name == "streamed_filter_restart" or k[1] > 4}
+
+
+def test_freshness_tells_inconsistent_state(spark):
+    """The day that is open at the query's clock has rows that the rule of settled against corrected slots tells apart."""
+    rows = QUERIES["streamed_freshness"].run(spark, FOLDER).collect()
+    found = {(r.series, r.fc_date): r.inconsistency for r in rows}
+    assert found == {(r.series, r.fc_date): r.inconsistency for r in QUERIES["feed_freshness"].run(spark, FOLDER).collect()}
+    assert {d for (_, d), x in found.items() if x == "B"} == {dt.date(2024, 1, 15)}
