@@ -282,15 +282,22 @@ def level_sweep(daily: DataFrame, features: Sequence[str], label: str, configs:
 
 
 # -- MLlib models -----------------------------------------------------------------
-def assemble(df: DataFrame, features: Sequence[str], fit_on: DataFrame | None = None):
-    """Median-imputed features plus missing flags as one vector (trees in MLlib do not route missing values)."""
-    from pyspark.ml.feature import Imputer, VectorAssembler
+def imputed(df: DataFrame, features: Sequence[str], fit_on: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """The rows with median-imputed features and missing flags, and the names of these columns."""
+    from pyspark.ml.feature import Imputer
     flags = {f"{c}__na": F.col(c).isNull().cast("double") for c in features}
     src = df.withColumns({c: F.col(c).cast("double") for c in features})
     base = (fit_on if fit_on is not None else df).withColumns({c: F.col(c).cast("double") for c in features})
-    imp = Imputer(inputCols=list(features), outputCols=[f"{c}__i" for c in features], strategy="median").fit(base)
-    va = VectorAssembler(inputCols=[*[f"{c}__i" for c in features], *flags], outputCol="features")
-    return va.transform(imp.transform(src.withColumns(flags)))
+    filled = [f"{c}__i" for c in features]
+    imp = Imputer(inputCols=list(features), outputCols=filled, strategy="median").fit(base)
+    return imp.transform(src.withColumns(flags)), [*filled, *flags]
+
+
+def assemble(df: DataFrame, features: Sequence[str], fit_on: DataFrame | None = None):
+    """Median-imputed features plus missing flags as one vector (trees in MLlib do not route missing values)."""
+    from pyspark.ml.feature import VectorAssembler
+    d, names = imputed(df, features, fit_on)
+    return VectorAssembler(inputCols=names, outputCol="features").transform(d)
 
 
 def quantile_forest(train: DataFrame, score: DataFrame, features: Sequence[str], label: str, keys: Sequence[str] = (),
@@ -321,18 +328,26 @@ def two_stage(level: DataFrame, shape: DataFrame, keys: Sequence[str] = ("series
 
 
 def day_probability(train: DataFrame, score: DataFrame, features: Sequence[str], label: str, out: str) -> DataFrame:
-    """Balanced logistic score of a day class as a feature column."""
+    """Balanced logistic score of a day class as a feature column.
+
+    The fit is MLlib's; the score is an expression over its coefficients, so
+    the plan that scores ships no model to the tasks.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import vector_to_array
     labelled = train.dropna(subset=[label])
     tr = balanced(assemble(labelled, features), label)
     pipe = Pipeline(stages=[
         StandardScaler(inputCol="features", outputCol="z", withMean=True, withStd=True),
         LogisticRegression(featuresCol="z", labelCol=label, weightCol="_w", regParam=0.01, maxIter=100)]).fit(tr)
-    res = pipe.transform(assemble(score, features, labelled))
-    return res.withColumn(out, vector_to_array("probability")[1]).select(*score.columns, out)
+    scaler, model = pipe.stages
+    rows, names = imputed(score, features, labelled)
+    z = F.lit(float(model.intercept))
+    for c, beta, mean, std in zip(names, model.coefficients.toArray().tolist(), scaler.mean.toArray().tolist(), scaler.std.toArray().tolist()):
+        # A column without spread is scaled to zero.
+        z = z + (F.col(c) - mean) * (beta / std if std else 0.0)
+    return rows.withColumn(out, probability(z)).select(*score.columns, out)
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:

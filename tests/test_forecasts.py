@@ -3,6 +3,9 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import StandardScaler
 from pyspark.sql import functions as F
 
 from slotwise.functions.keys import ahead_date, ahead_period
@@ -185,3 +188,21 @@ def test_reweighted_fits_meet_their_loss(spark):
     p = 1 / (1 + np.exp(-(beta[0] + beta[1] * pdf.x)))
     w = np.where(pdf.c > 0, 0.5 / pdf.c.mean(), 0.5 / (1 - pdf.c.mean()))
     assert abs((w * (pdf.c - p)).mean()) < 1e-6 and abs((w * (pdf.c - p) * pdf.x).mean()) < 1e-6
+
+
+def test_day_score_ships_no_model_and_equals_the_fitted_one(spark):
+    """The scoring plan holds no function object to send; missing values, a column without spread and one class in training."""
+    r = np.random.default_rng(4)
+    x = r.normal(0, 3, 400)
+    rows = [(i, None if i % 9 == 0 else float(v), 7, int(v + r.normal() > 1)) for i, v in enumerate(x)]
+    d = spark.createDataFrame(rows, "i int, x double, flat int, y int")
+    train, later = d.where("i < 300"), d.where("i >= 300")
+    s = L.day_probability(train, later, ["x", "flat"], "y", "p")
+    assert "UDF" not in s._jdf.queryExecution().executedPlan().toString()
+    got = {row.i: row.p for row in s.collect()}
+    scaled = StandardScaler(inputCol="features", outputCol="z", withMean=True, withStd=True)
+    model = Pipeline(stages=[scaled, LogisticRegression(featuresCol="z", labelCol="y", weightCol="_w", regParam=0.01, maxIter=100)]).fit(L.balanced(L.assemble(train, ["x", "flat"]), "y"))
+    want = {row.i: float(row.probability[1]) for row in model.transform(L.assemble(later, ["x", "flat"], train)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+    one = L.day_probability(train.where("y = 1"), later, ["x", "flat"], "y", "p")
+    assert {row.p for row in one.collect()} == {1.0}
